@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL twins."""
 
-from factlake.llm import byte_bpe, exact_dedup
+from factlake.llm import byte_bpe, exact_dedup, near_dedup
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
 }
