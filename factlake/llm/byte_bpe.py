@@ -137,17 +137,24 @@ def encode_documents(
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
     schema = "doc_id long, ids array<int>, decoded binary" + ", token_start array<int>, token_end array<int>" * offsets
 
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *values]).astype(np.int32)))
+
     def run(batches):
         bpe = tokenizer(shared.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                found = [np.frombuffer(bpe.encode(t), "<i4").tolist() for t in _texts(part.column(1))]
-                columns = [part.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(map(bpe.decode, found), pa.binary())]
+                found = [np.frombuffer(bpe.encode(t), "<i4") for t in _texts(part.column(1))]
+                plain = [f.tolist() for f in found]
+                columns = [part.column(0), lists(found), pa.array(map(bpe.decode, plain), pa.binary())]
                 if offsets:
-                    spans = [bpe.offsets(f) for f in found]
-                    columns += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+                    spans = [bpe.offsets(ids) for ids in plain]
+                    columns += [lists([np.array(s[k], np.int32) for s in spans]) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL twins."""
 
-from factlake.llm import byte_bpe, exact_dedup, near_dedup
+import corpus_pipeline
+from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_mix_sources": mixing.op5_mix_sources,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
