@@ -15,13 +15,15 @@ from factlake.llm.words import word_counts
 #: A document is taken this many times at most; so a source's target is at most so many times its size.
 MOST_COPIES = 3
 #: Rows of a block on average, and blocks whose rests meet in one block of the next level.
-BLOCK, REST_BLOCKS = 500, 400
+BLOCK, REST_BLOCKS = 500, 100
+#: Units that a block holds back for the landing, at least.
+RESERVE = 12
 EPS = 1e-9
 
 
 def fly(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight phase: move the inclusion probabilities through the null-space of
-    the two balancing totals until at most two are neither 0 nor 1.
+    the two balancing totals until two at most are neither 0 nor 1.
 
     Three open units have one direction that changes neither the number of
     documents nor the number of words: ``(c - b, a - c, b - a)`` of their sizes
@@ -60,17 +62,35 @@ def fly(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarra
     return np.array(p)
 
 
-def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Landing phase: of all roundings of the open units (two at most) the one nearest to the word total, then to the document total."""
+def fly_most(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Fly all but a reserve: small units and some spread over all sizes, as
+    many as can make up for the rounding of the largest unit."""
     open_ = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
-    best = None
-    for choice in range(1 << len(open_)):
-        out = pi.copy()
-        out[open_] = [(choice >> k) & 1 for k in range(len(open_))]
-        off = (abs(float((size * (out - pi)).sum())), abs(float((out - pi).sum())), choice)
-        if best is None or off < best[0]:
-            best = (off, out)
-    return best[1]
+    by_size = open_[np.argsort(size[open_], kind="stable")]
+    reserve, held = RESERVE, by_size
+    while reserve < len(by_size):
+        spread = np.linspace(0, len(by_size) - 1, reserve * 3 // 4).astype(int)
+        held = np.union1d(by_size[: reserve // 4], by_size[spread])
+        lesser = held[held != by_size[-1]]
+        if (size[lesser] * np.minimum(pi[lesser], 1 - pi[lesser])).sum() >= size[by_size[-1]]:
+            break
+        reserve, held = 2 * reserve, by_size
+    out = pi.copy()
+    rest = np.setdiff1d(np.arange(len(pi)), held)
+    out[rest] = fly(pi[rest], size[rest], rng)
+    return out
+
+
+def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Round the open units from the largest to the smallest, each so that the
+    words stay nearest to their total: small ones make up for large ones."""
+    out, over = pi.copy(), 0.0
+    open_ = np.flatnonzero((out > EPS) & (out < 1 - EPS))
+    for k in open_[np.argsort(-size[open_], kind="stable")]:
+        no, yes = over - size[k] * out[k], over + size[k] * (1 - out[k])
+        take = abs(yes) < abs(no)
+        out[k], over = float(take), yes if take else no
+    return np.round(out)
 
 
 def _level(rows: DataFrame, last: bool) -> DataFrame:
@@ -78,9 +98,9 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
         table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("size", "ascending")])
         seed = hashlib.sha256(repr([k.as_py() for k in key]).encode()).digest()
         pi, size = table.column("pi").to_numpy(), table.column("size").to_numpy()
-        out = fly(pi, size, np.random.default_rng(int.from_bytes(seed[:8], "little")))
-        if last:
-            out = land(out, size)
+        rng = np.random.default_rng(int.from_bytes(seed[:8], "little"))
+        out = fly_most(pi, size, rng)
+        out = land(out, size) if last else out
         return table.set_column(table.schema.get_field_index("pi"), "pi", pa.array(out, pa.float64()))
 
     return rows.groupBy("source", "level", "block").applyInArrow(run, rows.schema)
@@ -111,8 +131,8 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
     Each row of a source whose target is r times its size is taken floor(r)
     times, and once more with probability r - floor(r); these draws balance
-    words and documents. Blocks of rows fly on their own, at most two open
-    rows of each go on to the next level, and one last block a source lands.
+    words and documents. Blocks of rows fly on their own, their few open
+    rows go on to the next level, and one last block a source lands.
     Returns one row per row of ``docs``: doc_id, size, source_size, target,
     taken, copies, source, text_hash. Null, empty and blank texts have size 0
     and are not taken. A null source is a source of its own, the last. Null and
