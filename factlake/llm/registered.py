@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL twins."""
 
 import corpus_pipeline
-from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup
+from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, suffix_dedup
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,

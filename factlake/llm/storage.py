@@ -58,15 +58,16 @@ def bit_filter(keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
     ).groupBy("_slice").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
-def maybe_in(df: DataFrame, column: str, filter_: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """The rows whose ``column`` may be in ``filter_``: all that are, few that aren't."""
+def maybe_in(df: DataFrame, column: str, filter_: DataFrame, bits: int = 1 << 24, negate: bool = False) -> DataFrame:
+    """The rows whose ``column`` may be in ``filter_``: all that are, few that aren't. ``negate`` gives the others."""
     place = F.pmod(F.xxhash64(column), F.lit(bits))
-    bit = (place % BITS_PER_BUCKET).cast("int")
+    set_ = F.expr("shiftright(cast(conv(hex(substring(_bits, _bit div 8 + 1, 1)), 16, 10) as int), _bit % 8) & 1 = 1")
+    set_ = F.coalesce(set_, F.lit(False))
     return (
         df.withColumn("_slice", F.floor(place / BITS_PER_BUCKET).cast("int"))
-        .withColumn("_bit", bit)
-        .join(F.broadcast(filter_), "_slice")
-        .where(F.expr("shiftright(cast(conv(hex(substring(_bits, _bit div 8 + 1, 1)), 16, 10) as int), _bit % 8) & 1 = 1"))
+        .withColumn("_bit", (place % BITS_PER_BUCKET).cast("int"))
+        .join(F.broadcast(filter_), "_slice", "left")
+        .where(~set_ if negate else set_)
         .drop("_slice", "_bit", "_bits")
     )
 
