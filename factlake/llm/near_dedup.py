@@ -6,7 +6,10 @@ compared with the rest: signature batches are read until the posterior of the
 similarity rules the pair out, survivors are confirmed on their full sets, and
 confirmed links join components. A bucket within one component needs no more
 comparing; in the others further pivots follow, in waves that double, until
-every pair in different components has been compared.
+every pair in different components has been compared or can't be similar: two
+sets of n and m shingles share at most c, the smaller number of shingles that
+either has in common with any document still open, so their similarity is at
+most c / (n + m - c).
 """
 
 from __future__ import annotations
@@ -129,6 +132,31 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _open(live: DataFrame, turn: int) -> DataFrame:
+    """Members of the buckets that have several components and pivots to come."""
+    open_ = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("wave").alias("upto"))
+    return live.join(open_.where(f"lo < hi and upto >= {turn}").select("key"), "key", "left_semi")
+
+
+def _in_common(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, common): how many shingles of each open document any other one has too."""
+
+    def explode(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                own = part.column(1).to_pylist()
+                who = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.frombuffer(b"".join(own), np.int64))], ["id", "shingle"])
+
+    ids = live.select("id").distinct()
+    shingles = sets.join(ids, "id", "left_semi").select("id", "shingles").mapInArrow(explode, "id long, shingle long")
+    shingles = save(shingles)
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
+    counted = shingles.join(shared, "shingle", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+    return ids.join(counted, "id", "left").select("id", F.coalesce("common", F.lit(0)).alias("common"))
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Link documents whose sets of ``words``-word shingles have a similarity of ``percent`` or more.
 
@@ -145,37 +173,39 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sketches = save(_sketches(docs, words))
     linkable = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = save(linkable.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("id")))
-    first = linkable.select(F.col("doc_id").alias("id"), "signature", "keys").join(classes.select("id"), "id", "left_semi")
+    first = linkable.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "keys").join(classes.select("id"), "id", "left_semi")
     reps = save(first.dropDuplicates(["id"]))
 
-    keys = reps.select("id", F.explode("keys").alias("key"), F.xxhash64("id").alias("h"))
+    keys = reps.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"), F.xxhash64("id").alias("h"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot")).where("n > 1")
     # Wave 0 is the pivot; wave w + 1 holds about 4 * 2**w more of a bucket of n.
     place = (F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * F.col("n") / 4
     wave = F.when(F.col("h") == F.col("pivot"), 0).otherwise(F.floor(F.log2(place + 1)).cast("int") + 1)
-    members = save(keys.join(buckets, "key").select("key", "id", "h", wave.alias("wave")))
+    members = save(keys.join(buckets, "key").select("key", "id", "size", "h", wave.alias("wave")))
     ids = bit_filter(members.select("id").distinct(), "id")
     sets = save(_sets(maybe_in(docs, "doc_id", ids), words).where("id is not null"))
     signs = reps.select("id", "signature")
 
-    links, labels = None, None
+    links, labels, common = None, None, None
     last = members.agg(F.max("wave")).first()[0]
     for turn in range(0 if last is None else last + 1):
-        live = members
+        live = members.withColumn("label", F.col("id")).withColumn("common", F.col("size"))
         if labels is not None:
-            live = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            open_ = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("wave").alias("upto")).where(f"lo < hi and upto >= {turn}").select("key")
-            live = save(live.join(open_, "key", "left_semi"))
+            live = live.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        if turn:
+            if common is None:
+                common = save(_in_common(_open(live, turn), sets))
+            live = live.drop("common").join(common, "id").where(f"100 * common >= {percent} * size")
+            live = save(_open(live, turn))
             if live.isEmpty():
                 break
-        else:
-            live = live.withColumn("label", F.col("id"))
-        pivots = live.where(f"wave = {turn}").select("key", F.col("id").alias("p"), F.col("h").alias("ph"), F.col("label").alias("plabel"))
+        pivots = live.where(f"wave = {turn}").select(*(F.col(c).alias(f"p_{c}") for c in ("key", "id", "size", "h", "label", "common")))
         rest = live.where(f"wave >= {turn}")
-        pairs = (
-            rest.join(pivots, "key").where(f"label <> plabel and (wave > {turn} or h > ph)")
-            .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        )
+        most = F.least("common", "p_common")
+        similar = (100 * most >= percent * (F.col("size") + F.col("p_size") - most)) & (F.col("label") != F.col("p_label"))
+        later = (F.col("wave") > turn) | (F.col("h") > F.col("p_h"))
+        pairs = rest.join(pivots, (F.col("key") == F.col("p_key")) & similar & later)
+        pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
         pairs = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
         likely = save(_likely(pairs, percent))
         pairs = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
