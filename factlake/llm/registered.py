@@ -1,18 +1,21 @@
 """The queries of this subpackage and their SQL twins."""
 
 import corpus_pipeline
-from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, suffix_dedup
+from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, suffix_dedup, vector_search, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_nearest_neighbours": vector_search.op4_nearest_neighbours,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op8_warc": warc.op8_warc,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
     "op9_near_dedup": near_dedup.ORACLE_SQL,
 }
