@@ -62,9 +62,12 @@ def fly(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarra
     return np.array(p)
 
 
-def fly_most(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Fly all but a reserve: small units and some spread over all sizes, as
-    many as can make up for the rounding of the largest unit."""
+def fly_most(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, enough: bool) -> np.ndarray:
+    """Fly all but a reserve of small units and some spread over all sizes.
+
+    With ``enough`` it has as many as can make up for the rounding of the
+    largest unit; else, where many blocks add theirs, RESERVE.
+    """
     open_ = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
     by_size = open_[np.argsort(size[open_], kind="stable")]
     reserve, held = RESERVE, by_size
@@ -72,7 +75,7 @@ def fly_most(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
         spread = np.linspace(0, len(by_size) - 1, reserve * 3 // 4).astype(int)
         held = np.union1d(by_size[: reserve // 4], by_size[spread])
         lesser = held[held != by_size[-1]]
-        if (size[lesser] * np.minimum(pi[lesser], 1 - pi[lesser])).sum() >= size[by_size[-1]]:
+        if not enough or (size[lesser] * np.minimum(pi[lesser], 1 - pi[lesser])).sum() >= size[by_size[-1]]:
             break
         reserve, held = 2 * reserve, by_size
     out = pi.copy()
@@ -99,7 +102,7 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
         seed = hashlib.sha256(repr([k.as_py() for k in key]).encode()).digest()
         pi, size = table.column("pi").to_numpy(), table.column("size").to_numpy()
         rng = np.random.default_rng(int.from_bytes(seed[:8], "little"))
-        out = fly_most(pi, size, rng)
+        out = fly_most(pi, size, rng, last or table.column("few_blocks")[0].as_py())
         out = land(out, size) if last else out
         return table.set_column(table.schema.get_field_index("pi"), "pi", pa.array(out, pa.float64()))
 
@@ -160,7 +163,8 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         .withColumn("pi", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("rate") - whole)).otherwise(0.0))
         .withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(0))
         .withColumn("level", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash"), blocks))
-        .select("doc_id", "source", "text_hash", "size", "source_size", "target", "whole", "pi", "level", "block")
+        .withColumn("few_blocks", blocks <= 4)
+        .select("doc_id", "source", "text_hash", "size", "source_size", "target", "whole", "pi", "level", "block", "few_blocks")
     )
     n_blocks = sources.agg(F.max(blocks)).first()[0] or 1
     done, level, rows = [], 0, joined
