@@ -1,15 +1,17 @@
 """The queries of this subpackage and their SQL twins."""
 
 import corpus_pipeline
-from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, suffix_dedup, vector_search, warc
+from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, quality, suffix_dedup, token_counts, vector_search, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_nearest_neighbours": vector_search.op4_nearest_neighbours,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_quality": quality.op7_quality,
     "op8_warc": warc.op8_warc,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_language_id": language_id.op10_language_id,
