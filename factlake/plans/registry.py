@@ -1,4 +1,30 @@
 """Registered queries and their SQL twins."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factlake.plans.views import Tables, twin
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of ``Tables`` as a query, with its twin in SQL."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = twin(sql)
+        return f
+
+    return add
+
+
+def load() -> None:
+    from factlake.plans import facts  # noqa: F401
+
+
