@@ -1,15 +1,13 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with the same shingle set are one class from the start. Classes
-whose signatures agree in a band share a bucket. Bucket by bucket a pivot is
-compared with the rest: signature batches are read until the posterior of the
-similarity rules the pair out, survivors are confirmed on their full sets, and
-confirmed links join components. A bucket within one component needs no more
-comparing; in the others further pivots follow, in waves that double, until
-every pair in different components has been compared or can't be similar: two
-sets of n and m shingles share at most c, the smaller number of shingles that
-either has in common with any document still open, so their similarity is at
-most c / (n + m - c).
+whose signatures agree in a band share a bucket. In a bucket of a few classes
+all are compared, in a larger one a pivot with the rest: signature batches are
+read until the posterior of the similarity rules the pair out, survivors are
+confirmed on their full sets, and confirmed links join components. A large
+bucket that is one component then needs no more comparing. In the others every
+two classes of different components are compared on their full sets, block by
+block within tasks, so that pairs that aren't links are never rows.
 """
 
 from __future__ import annotations
@@ -27,6 +25,8 @@ from factlake.llm.words import mix, shingle_sets
 
 #: Values in a signature, in a band of it, and in a batch of sequential comparing.
 SIGNATURE, BAND, BATCH = 100, 4, 20
+#: Classes of a bucket that are all compared; shingles of a block in larger ones.
+FEW, BLOCK = 32, 1 << 17
 #: Chance at which a pair at the threshold may be ruled out by its posterior.
 MISS = 1e-7
 _rng = np.random.default_rng(7)
@@ -132,29 +132,53 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _open(live: DataFrame, turn: int) -> DataFrame:
-    """Members of the buckets that have several components and pivots to come."""
-    open_ = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("wave").alias("upto"))
-    return live.join(open_.where(f"lo < hi and upto >= {turn}").select("key"), "key", "left_semi")
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between the blocks i and j of a bucket, one for each two components.
 
+    ``rows(key, i, j, block, id, label, shingles)``. Sets are multiplied as 0/1
+    matrices over the shingles that both sides have, some columns at a time.
+    """
 
-def _in_common(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, common): how many shingles of each open document any other one has too."""
-
-    def explode(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                own = part.column(1).to_pylist()
-                who = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.frombuffer(b"".join(own), np.int64))], ["id", "shingle"])
-
-    ids = live.select("id").distinct()
-    shingles = sets.join(ids, "id", "left_semi").select("id", "shingles").mapInArrow(explode, "id long, shingle long")
-    shingles = save(shingles)
-    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle")
-    counted = shingles.join(shared, "shingle", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
-    return ids.join(counted, "id", "left").select("id", F.coalesce("common", F.lit(0)).alias("common"))
+    def run(table: pa.Table) -> pa.Table:
+        ids, labels, block = (table.column(c).to_numpy() for c in ("id", "label", "block"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out = []
+        if len(left) and len(right) and len(np.unique(labels)) > 1:
+            size = np.array([len(x) for x in sets])
+            _, code = np.unique(np.concatenate(sets), return_inverse=True)
+            start = np.concatenate([[0], np.cumsum(size)])
+            cells = []
+            for side in (left, right):
+                row = np.repeat(np.arange(len(side)), size[side])
+                cells.append((row, np.concatenate([code[start[k] : start[k + 1]] for k in side])))
+            both = np.intersect1d(cells[0][1], cells[1][1])
+            shared = np.zeros((len(left), len(right)), np.float32)
+            spots = []
+            for row, col in cells:
+                at = np.searchsorted(both, col)
+                at[at == len(both)] = 0
+                hit = both[at] == col if len(both) else np.zeros(len(col), bool)
+                order = np.argsort(at[hit], kind="stable")
+                spots.append((row[hit][order], at[hit][order]))
+            for c in range(0, len(both), 4096):
+                parts = []
+                for (row, col), n in zip(spots, (len(left), len(right)), strict=True):
+                    lo, hi = np.searchsorted(col, [c, c + 4096])
+                    m = np.zeros((n, 4096), np.float32)
+                    m[row[lo:hi], col[lo:hi] - c] = 1
+                    parts.append(m)
+                shared += parts[0] @ parts[1].T
+            union = size[left][:, None] + size[right][None] - shared.astype(np.int64)
+            x, y = np.nonzero((100 * shared.astype(np.int64) >= percent * union) & (labels[left][:, None] != labels[right][None]))
+            x, y = left[x], right[y]
+            two = np.sort(np.stack([labels[x], labels[y]], axis=1), axis=1)
+            _, first = np.unique(two, axis=0, return_index=True)
+            out = [(min(p), max(p)) for p in zip(ids[x[first]].tolist(), ids[y[first]].tolist(), strict=True)]
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -177,46 +201,34 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     reps = save(first.dropDuplicates(["id"]))
 
     keys = reps.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"), F.xxhash64("id").alias("h"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot")).where("n > 1")
-    # Wave 0 is the pivot; wave w + 1 holds about 4 * 2**w more of a bucket of n.
-    place = (F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * F.col("n") / 4
-    wave = F.when(F.col("h") == F.col("pivot"), 0).otherwise(F.floor(F.log2(place + 1)).cast("int") + 1)
-    members = save(keys.join(buckets, "key").select("key", "id", "size", "h", wave.alias("wave")))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot"), F.sum("size").alias("volume")).where("n > 1")
+    members = save(keys.join(buckets, "key"))
     ids = bit_filter(members.select("id").distinct(), "id")
     sets = save(_sets(maybe_in(docs, "doc_id", ids), words).where("id is not null"))
     signs = reps.select("id", "signature")
 
-    links, labels, common = None, None, None
-    last = members.agg(F.max("wave")).first()[0]
-    for turn in range(0 if last is None else last + 1):
-        live = members.withColumn("label", F.col("id")).withColumn("common", F.col("size"))
-        if labels is not None:
-            live = live.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        if turn:
-            if common is None:
-                common = save(_in_common(_open(live, turn), sets))
-            live = live.drop("common").join(common, "id").where(f"100 * common >= {percent} * size")
-            live = save(_open(live, turn))
-            if live.isEmpty():
-                break
-        pivots = live.where(f"wave = {turn}").select(*(F.col(c).alias(f"p_{c}") for c in ("key", "id", "size", "h", "label", "common")))
-        rest = live.where(f"wave >= {turn}")
-        most = F.least("common", "p_common")
-        similar = (100 * most >= percent * (F.col("size") + F.col("p_size") - most)) & (F.col("label") != F.col("p_label"))
-        later = (F.col("wave") > turn) | (F.col("h") > F.col("p_h"))
-        pairs = rest.join(pivots, (F.col("key") == F.col("p_key")) & similar & later)
-        pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        pairs = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
-        likely = save(_likely(pairs, percent))
-        pairs = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        new = save(_confirmed(pairs, percent))
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
+    pivots = members.where(f"n <= {FEW} or h = pivot").select(*(F.col(c).alias(f"p_{c}") for c in ("key", "id", "size", "h")))
+    alike = 100 * F.least("size", "p_size") >= percent * F.greatest("size", "p_size")
+    pairs = members.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("h") > F.col("p_h")) & alike)
+    pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+    pairs = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
+    likely = save(_likely(pairs, percent))
+    pairs = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    links = save(_confirmed(pairs, percent))
+    labels = components(links)
+
+    large = members.where(f"n > {FEW}").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_ = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    blocks = F.ceil(F.col("volume") / BLOCK).cast("int")
+    live = save(large.join(open_, "key", "left_semi").select("key", "id", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block")))
+    if not live.isEmpty():
+        rows = live.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "shingles")
+        more = save(_block_links(rows, percent))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     out = sketches.select("doc_id", "n_shingles", "one", "two")
-    own = classes
-    if labels is not None:
-        own = own.join(labels, "id", "left").withColumn("id", F.coalesce("label", "id")).drop("label")
+    own = classes.join(labels, "id", "left").withColumn("id", F.coalesce("label", "id")).drop("label")
     out = out.join(own, ["one", "two", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
