@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,20 +45,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bit_filter(keys: DataFrame, column: str, bits: int = 1 << 24) -> DataFrame:
+def bit_filter(keys: DataFrame, column: str, bits: int = 1 << 24, hashed: bool = False) -> DataFrame:
     """A hash filter of the values of ``column``: one row per 4 KB slice of ``bits`` bits.
 
     It has at most ``bits / 8`` bytes whatever the number of keys, so it may be
     broadcast (2 MB by default). A full filter lets every row through, which
-    costs time and never changes a result.
+    costs time and never changes a result. ``hashed``: the values are hashes
+    already, their last bits are the place.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    place = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(bits))
     return keys.select(
         F.floor(place / BITS_PER_BUCKET).cast("int").alias("_slice"),
         (place % BITS_PER_BUCKET).alias("_bit"),
     ).groupBy("_slice").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
+def bit_array(filter_: DataFrame, bits: int) -> np.ndarray:
+    """A filter as an array of ``bits / 8`` bytes, for use within tasks."""
+    out = np.zeros(bits // 8, np.uint8)
+    for r in filter_.collect():
+        out[r["_slice"] * (BITS_PER_BUCKET // 8) :][: BITS_PER_BUCKET // 8] = np.frombuffer(r["_bits"], np.uint8)
+    return out
+
+
+def bits_set(array: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned) hashes may be in a filter of hashed values."""
+    place = hashes & np.uint64(8 * len(array) - 1)
+    return (array[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def maybe_in(df: DataFrame, column: str, filter_: DataFrame, bits: int = 1 << 24, negate: bool = False) -> DataFrame:
     """The rows whose ``column`` may be in ``filter_``: all that are, few that aren't. ``negate`` gives the others."""
     place = F.pmod(F.xxhash64(column), F.lit(bits))

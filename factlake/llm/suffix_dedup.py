@@ -10,8 +10,9 @@ anchor is rewritten log(batches) times.
 
 Anchors that occur once rule out all their windows. For the others the whole
 stretch of windows that share the anchor is hashed at once; stretches that
-occur twice are removed whole, and only at the ends of matches, where
-stretches differ, are windows compared one by one.
+occur twice are removed whole. Only at the ends of matches, where stretches
+differ, is more to compare: first what each sixteen neighbouring windows have
+in common, then the windows of those that are left, one by one.
 """
 
 from __future__ import annotations
@@ -21,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.storage import bit_filter, delete, maybe_in, read_table, save, scratch_folder, text_or_empty
+from factlake.llm.storage import bit_array, bit_filter, bits_set, delete, maybe_in, read_table, save, scratch_folder, text_or_empty
 from factlake.llm.words import BASE, BYTE_VALUE, mix, parts, powers, text_bytes
 
+WANTED = "array<struct<first:int,last:int,anchor:int,alone:boolean,mixed:boolean>>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 #: Bytes of a suffix that its order goes by.
 PREFIX = 96
 #: Batches that a table is added in.
 BATCHES = 4
+#: Bits of the filters of repeated hashes (4 MB); windows that are compared together first.
+BITS, GROUP = 1 << 25, 16
 SECOND = 0xC2B2AE3D27D4EB4F | 1
 LOW = np.uint64((1 << 24) - 1)
 SEGMENT = 1 << 23
@@ -141,42 +146,78 @@ class SuffixIndex:
         return out.distinct()
 
 
-def _stretch_hashes(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """The stretches of ``docs(doc_key, text, wanted)`` whose anchor hash is wanted."""
+def _stretch_hashes(docs: DataFrame, repeats, min_bytes: int) -> DataFrame:
+    """The stretches of ``docs(doc_key, text)`` whose anchor may be repeated."""
 
     def run(batches):
         for batch in batches:
-            keys, wanted = batch.column(0).to_numpy(), batch.column(2)
+            keys = batch.column(0).to_numpy()
             for a, b, data, offsets in _chunks(batch.column(1)):
                 with np.errstate(over="ignore"):
                     anchor, first, last, gram = stretches(data, offsets, min_bytes)
-                    keep = np.isin(gram, wanted.slice(a, b - a).flatten().to_numpy().astype(np.uint64))
+                    keep = bits_set(repeats.value, gram)
                     anchor, first, last, gram = anchor[keep], first[keep], last[keep], gram[keep]
                     place = mix((anchor - first).astype(np.uint64) * np.uint64(BASE) + (last - first).astype(np.uint64))
-                    both = [hashes(prefix_sums(data, base), base, first, last + min_bytes) ^ place for base in (BASE, SECOND)]
+                    whole = hashes(prefix_sums(data, SECOND), SECOND, first, last + min_bytes) ^ place
                 doc = np.searchsorted(offsets, first, "right") - 1
-                columns = [keys[a:b][doc], gram.astype(np.int64), *(h.astype(np.int64) for h in both), (first - offsets[doc]).astype(np.int32), (last - offsets[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_key", "prefix_hash", "one", "two", "first", "last"])
+                columns = [keys[a:b][doc], gram.astype(np.int64), whole.astype(np.int64), (first - offsets[doc]).astype(np.int32), (last - offsets[doc]).astype(np.int32), (anchor - offsets[doc]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_key", "prefix_hash", "whole_hash", "first", "last", "anchor"])
+
+    return docs.select("doc_key", "text").mapInArrow(run, "doc_key long, prefix_hash long, whole_hash long, first int, last int, anchor int")
+
+
+def _wanted(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Text, first, last, anchor and alone of the stretches that are to be compared."""
+    flat = column.flatten()
+    doc = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
+    first, last, anchor, alone, mixed = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+    return tuple(x[mixed] for x in (doc, first, last, anchor, alone))
+
+
+def _groups(doc: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows by distance to the anchor, GROUP at a time: text, low and high distance of the group, those in the stretch, anchor, alone."""
+    near, far = anchor - last, anchor - first  # distances that the stretch has
+    count = far // GROUP - near // GROUP + 1
+    at = np.repeat(near // GROUP, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, near, far, anchor, alone = (np.repeat(x, count) for x in (doc, near, far, anchor, alone))
+    return doc, at, np.maximum(near, at * GROUP), np.minimum(far, at * GROUP + GROUP - 1), anchor, alone
+
+
+def _core(sums: np.ndarray, at: np.ndarray, anchor: np.ndarray, start: np.ndarray, min_bytes: int) -> np.ndarray:
+    """Hash of what all windows of a group hold, as far as a window of the stretch shows it."""
+    low = anchor + start - at * GROUP
+    return hashes(sums, BASE, low, low + min_bytes - GROUP + 1) ^ mix(at.astype(np.uint64))
+
+
+def _core_hashes(docs: DataFrame, min_bytes: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in _chunks(batch.column(1)):
+                doc, first, last, anchor, alone = _wanted(batch.column(2).slice(a, b - a))
+                doc, at, _, _, anchor, _ = _groups(doc, first, last, anchor, alone)
+                with np.errstate(over="ignore"):
+                    core = _core(prefix_sums(data, BASE), at, anchor, offsets[doc], min_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array(core.astype(np.int64))], ["core"])
 
-    return docs.select("doc_key", "text", "wanted").mapInArrow(run, "doc_key long, prefix_hash long, one long, two long, first int, last int")
+    return docs.select("doc_key", "text", "wanted").mapInArrow(run, "core long")
 
 
-def _window_hashes(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """Each single window of ``docs(doc_key, text, wanted array<struct<first, last, alone>>)``."""
+def _window_hashes(docs: DataFrame, cores, min_bytes: int) -> DataFrame:
+    """Each window of the wanted stretches whose group's core may be repeated."""
 
     def run(batches):
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy(), batch.column(2)
+            keys = batch.column(0).to_numpy()
             for a, b, data, offsets in _chunks(batch.column(1)):
-                own = lists.slice(a, b - a)
-                flat = own.flatten()
-                first, last, alone = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                doc = np.repeat(np.arange(b - a), own.value_lengths().to_numpy())
-                count = last - first + 1
-                doc, alone = np.repeat(doc, count), np.repeat(alone, count)
-                window = np.repeat(first, count) + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                start = window + offsets[doc]
+                doc, first, last, anchor, alone = _wanted(batch.column(2).slice(a, b - a))
+                doc, at, near, far, anchor, alone = _groups(doc, first, last, anchor, alone)
                 with np.errstate(over="ignore"):
+                    keep = bits_set(cores.value, _core(prefix_sums(data, BASE), at, anchor, offsets[doc], min_bytes))
+                    doc, near, far, anchor, alone = (x[keep] for x in (doc, near, far, anchor, alone))
+                    count = far - near + 1
+                    window = np.repeat(anchor - far, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    doc, alone = np.repeat(doc, count), np.repeat(alone, count)
+                    start = window + offsets[doc]
                     both = [hashes(prefix_sums(data, base), base, start, start + min_bytes).astype(np.int64) for base in (BASE, SECOND)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[a:b][doc]), *map(pa.array, both), pa.array(window.astype(np.int32)), pa.array(alone)],
@@ -186,35 +227,39 @@ def _window_hashes(docs: DataFrame, min_bytes: int) -> DataFrame:
     return docs.select("doc_key", "text", "wanted").mapInArrow(run, "doc_key long, one long, two long, first int, alone boolean")
 
 
-def _cut(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """Remove the union of ``docs(.., ranges array<struct<first, last>>)`` of windows from each text."""
+def _cut(docs: DataFrame, repeats, min_bytes: int) -> DataFrame:
+    """Remove from each ``docs(doc_id, text, wanted, windows)`` its repeated stretches, but those alone, and its repeated windows."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                data, offsets = text_bytes(part.column(1))
-                n, spans, kept = [], [], []
-                for i, ranges in enumerate(part.column(2)):
-                    own = data[offsets[i] : offsets[i + 1]]
-                    gone = np.zeros(len(own) + 1, np.int64)
-                    if ranges.is_valid:
-                        flat = ranges.values
-                        np.add.at(gone, flat.field(0).to_numpy(), 1)
-                        np.add.at(gone, np.minimum(flat.field(1).to_numpy() + min_bytes, len(own)), -1)
-                    gone = np.cumsum(gone)[:-1] > 0
-                    edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                    n.append(len(own))
+            for a, b, data, offsets in _chunks(batch.column(1)):
+                with np.errstate(over="ignore"):
+                    _, first, last, gram = stretches(data, offsets, min_bytes)
+                keep = bits_set(repeats.value, gram)
+                first, last = first[keep], last[keep]
+                lists, single = batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)
+                flat = lists.flatten()
+                doc = np.repeat(np.arange(b - a), lists.value_lengths().fill_null(0).to_numpy())
+                lone = (flat.field(0).to_numpy(zero_copy_only=False) + offsets[doc])[flat.field(3).to_numpy(zero_copy_only=False)]
+                whole = ~np.isin(first, lone)
+                doc = np.repeat(np.arange(b - a), single.value_lengths().fill_null(0).to_numpy())
+                window = single.flatten().to_numpy() + offsets[doc]
+                change = np.zeros(len(data) + 1, np.int64)
+                for start, end in ((first[whole], last[whole] + min_bytes), (window, window + min_bytes)):
+                    np.add.at(change, start, 1)
+                    np.add.at(change, end, -1)
+                gone = np.cumsum(change)[:-1] > 0
+                n, spans, kept = np.diff(offsets), [], []
+                for i in range(b - a):
+                    own, out = data[offsets[i] : offsets[i + 1]], gone[offsets[i] : offsets[i + 1]]
+                    edge = np.flatnonzero(np.diff(np.r_[False, out, False].astype(np.int8)))
                     spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-                    kept.append(own[~gone].tobytes())
+                    kept.append(own[~out].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
                 )
 
-    return docs.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
-
-
-SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return docs.select("doc_id", "text", "wanted", "windows").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = 200, batches: int = BATCHES) -> DataFrame:
@@ -237,34 +282,35 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200, batches: int = BATCHES
     index = SuffixIndex(spark)
     for batch in range(batches):
         index.add(entries.where(F.col("batch") == batch))
-    repeats = save(index.repeats())
+    repeats = spark.sparkContext.broadcast(bit_array(bit_filter(index.repeats(), "prefix_hash", BITS, hashed=True), BITS))
     for _, old, _ in index.levels:
         delete(spark, old)
-
-    hits = maybe_in(entries.select("prefix_hash", "doc_key"), "prefix_hash", bit_filter(repeats, "prefix_hash"))
-    hits = save(hits.join(repeats, "prefix_hash", "left_semi").groupBy("doc_key").agg(F.collect_set("prefix_hash").alias("wanted")))
-    texts = maybe_in(docs.select("doc_key", "text"), "doc_key", bit_filter(hits, "doc_key"))
-    found = save(_stretch_hashes(texts.join(hits, "doc_key"), min_bytes))
     delete(spark, path)
 
-    place = F.min(F.struct("doc_key", "first", "last"))
-    groups = save(found.groupBy("prefix_hash", "one", "two").agg(F.count(F.lit(1)).alias("n"), place.alias("at")))
-    mixed = groups.groupBy("prefix_hash").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).where("least = 1 and kinds > 1").select("prefix_hash")
-    wanted = groups.join(mixed, "prefix_hash", "left_semi").select("at.*", (F.col("n") == 1).alias("alone"))
-    wanted = save(wanted.groupBy("doc_key").agg(F.collect_list(F.struct("first", "last", "alone")).alias("wanted")))
-    texts = maybe_in(docs.select("doc_key", "text"), "doc_key", bit_filter(wanted, "doc_key"))
-    windows = save(_window_hashes(texts.join(wanted, "doc_key"), min_bytes))
+    place = F.min(F.struct("doc_key", "first", "last", "anchor"))
+    found = _stretch_hashes(docs, repeats, min_bytes)
+    groups = found.groupBy("prefix_hash", "whole_hash").agg(F.count(F.lit(1)).alias("n"), place.alias("at"))
+    groups = save(groups.select("prefix_hash", (F.col("n") == 1).alias("alone"), "at"))
+    mixed = groups.groupBy("prefix_hash").agg(F.max("alone").alias("alone"), F.count(F.lit(1)).alias("kinds")).where("alone and kinds > 1").select("prefix_hash", F.lit(True).alias("mixed"))
+    # A stretch that is alone is not removed whole; where others have its anchor, one of each kind is compared by windows.
+    wanted = groups.join(mixed, "prefix_hash", "left").where("alone or mixed")
+    item = F.struct("at.first", "at.last", "at.anchor", "alone", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    wanted = wanted.groupBy("at.doc_key").agg(F.collect_list(item).cast(WANTED).alias("wanted"))
+    wanted = save(wanted)
+    some = bit_filter(wanted, "doc_key")
+    texts = save(maybe_in(docs, "doc_key", some).join(wanted, "doc_key", "left"))
+
+    compared = texts.where("exists(wanted, w -> w.mixed)")
+    cores = _core_hashes(compared, min_bytes).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cores = spark.sparkContext.broadcast(bit_array(bit_filter(cores, "core", BITS, hashed=True), BITS))
+    windows = save(_window_hashes(compared, cores, min_bytes))
     twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-    single = windows.where("alone").join(twice, ["one", "two"], "left_semi").select("doc_key", "first", F.col("first").alias("last"))
-    whole = found.join(groups.where("n > 1").select("prefix_hash", "one", "two"), ["prefix_hash", "one", "two"], "left_semi").select("doc_key", "first", "last")
-    ranges = save(single.unionByName(whole).groupBy("doc_key").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
-
-    touched = bit_filter(ranges, "doc_key")
-    untouched = maybe_in(docs, "doc_key", touched, negate=True).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
-        F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.col("text").cast("binary").alias("kept"),
-    )
-    return _cut(maybe_in(docs, "doc_key", touched).join(ranges, "doc_key", "left"), min_bytes).unionByName(untouched)
+    single = windows.where("alone").join(twice, ["one", "two"], "left_semi").groupBy("doc_key").agg(F.collect_set("first").alias("windows"))
+
+    none = F.lit(None)
+    rest = maybe_in(docs, "doc_key", some, negate=True).select("doc_id", "text", none.cast(WANTED).alias("wanted"), none.cast("array<int>").alias("windows"))
+    cut = texts.join(single, "doc_key", "left").select("doc_id", "text", "wanted", "windows")
+    return _cut(cut, repeats, min_bytes).unionByName(_cut(rest, repeats, min_bytes))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
