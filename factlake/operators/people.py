@@ -59,7 +59,8 @@ def name_candidates(persons: DataFrame, aliases: DataFrame, most: int = NAME_CAN
         aliases.join(roots.select(F.col("canonical_id").alias("person_id")), "person_id", "left_semi").select(F.col("person_id").alias("id"), normalize_name(F.col("display_name")).alias("name"))
     ).distinct()
     w = Window.partitionBy("name").orderBy("id")
-    rows = names.select("id", F.explode(F.array(*[F.lead("id", k).over(w) for k in range(1, most + 1)])).alias("other")).where("other is not null")
+    near = names.withColumn("others", F.array(*[F.lead("id", k).over(w) for k in range(1, most + 1)]))
+    rows = near.select("id", F.explode("others").alias("other")).where("other is not null")
     return rows.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
