@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.storage import read_table, save
+from factlake.llm.storage import first_rows, read_table, save
 
 #: Vectors that the centroids are fitted on at most, drawn by a hash; and of them in a list at most.
 SAMPLE, LIST = 16384, 24
@@ -17,6 +17,8 @@ BLOCK = 1000
 NEAR_RATIO, COPIES = 1.05, 2
 #: A search reads the lists up to this ratio of the nearest centroid's distance, out of BEAM that the graph finds.
 SEARCH_RATIO, BEAM = 1.25, 512
+#: Lists that a search reads in any case, before the others; spare points against rounding.
+FIRST, TIES = 16, 4
 #: Links of a centroid in the graph.
 DEGREE = 24
 
@@ -117,8 +119,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
 
 
-def _lists(classes: DataFrame, shared, queries: bool, ratio: float, most: int, beam: int, at_least: int) -> DataFrame:
-    """(list, cls, vec) for the lists of each class that are near enough."""
+def _lists(points: DataFrame, shared, queries: bool, ratio: float, most: int, beam: int, at_least: int) -> DataFrame:
+    """(list, place, id, vec) for the lists of each of ``points(id, vec)`` that are near enough; place 0 is the nearest."""
 
     def run(batches):
         centroids, links, longest = shared.value
@@ -136,31 +138,36 @@ def _lists(classes: DataFrame, shared, queries: bool, ratio: float, most: int, b
                 near[:, :at_least] |= np.isfinite(dist[:, :at_least])
                 near[:, most:] = False
                 row, col = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row, col].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["list", "cls", "vec"]
-                )
+                for k in range(0, len(row), 4096):
+                    r, c = row[k : k + 4096], col[k : k + 4096]
+                    who = pa.array(r)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[r, c].astype(np.int32)), pa.array(c.astype(np.int32)), part.column(0).take(who), part.column(1).take(who)], ["list", "place", "id", "vec"]
+                    )
 
-    return classes.select("cls", "vec").mapInArrow(run, "list int, cls string, vec array<double>")
+    return points.select("id", "vec").mapInArrow(run, "list int, place int, id long, vec array<double>")
 
 
 def _best(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """Per block and query the k best of the block."""
+    """(query, id, score): per block the k best for each query, if they reach the query's ``least`` score."""
 
     def run(block: pa.Table, queries: pa.Table) -> pa.Table:
-        names, rows = ["query", "vec", "cls", "found"], []
+        names, rows = ["query", "id", "score"], []
         if block.num_rows and queries.num_rows:
-            x, found = _matrix(block.column("vec").combine_chunks()), block.column("cls").combine_chunks()
+            x, found = _matrix(block.column("vec").combine_chunks()), block.column("id").to_numpy()
             for at in range(0, queries.num_rows, 512):
                 part = queries.slice(at, 512)
                 scores = _matrix(part.column("vec").combine_chunks()) @ x.T
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                who = pa.array(np.repeat(np.arange(len(top)), top.shape[1]))
-                rows.append(pa.table([part.column("cls").take(who), part.column("vec").take(who), found.take(pa.array(top.ravel())), block.column("vec").take(pa.array(top.ravel()))], names))
-        schema = pa.schema([("query", pa.string()), ("vec", pa.list_(pa.float64())), ("cls", pa.string()), ("found", pa.list_(pa.float64()))])
+                best = np.take_along_axis(scores, top, axis=1)
+                # Rounding differs between products, so the bound is a little lower.
+                row, col = np.nonzero(best >= part.column("least").to_numpy()[:, None] - 1e-9 * np.abs(best))
+                rows.append(pa.table([part.column("id").to_numpy()[row], found[top[row, col]], best[row, col]], names))
+        schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
         return pa.concat_tables([t.cast(schema) for t in rows]) if rows else schema.empty_table()
 
     both = postings.groupBy("list", "block").cogroup(probes.groupBy("list", "block"))
-    return both.applyInArrow(run, "query string, vec array<double>, cls string, found array<double>")
+    return both.applyInArrow(run, "query long, id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -203,7 +210,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     classes = points.select("cls", "vec", "vec_id").mapInArrow(smallest, "cls string, vec array<double>, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    classes = save(classes.groupBy("cls").agg(F.first("vec").alias("vec"), ids.alias("ids")))
+    classes = classes.groupBy("cls").agg(F.first("vec").alias("vec"), ids.alias("ids"))
+    classes = save(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "vec", "ids"))
 
     n, longest = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
     draw = F.conv(F.substring("cls", 1, 8), 16, 10).cast("double") / 2.0**32
@@ -214,20 +222,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     centroids = balanced_centroids(fitted, LIST, np.random.default_rng(3))
     shared = spark.sparkContext.broadcast((centroids, link(centroids), longest))
 
-    asked = clean(queries).where(F.size("vec") == dim).withColumn("cls", cls).select("vec_id", "cls", "vec")
-    asked = save(asked.distinct())
-    postings = save(_lists(classes, shared, False, NEAR_RATIO, COPIES, 32, 1))
+    asked = save(clean(queries).where(F.size("vec") == dim).withColumn("cls", cls).select("vec_id", "cls", "vec").distinct())
+    points = asked.groupBy("cls").agg(F.first("vec").alias("vec"))
+    points = save(points.select(F.monotonically_increasing_id().alias("id"), "cls", "vec"))
+    postings = save(_lists(classes, shared, False, NEAR_RATIO, COPIES, 32, 1).drop("place"))
     counts = postings.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
     counts = save(counts)  # one row a list, and there are no more lists than vectors in the sample
-    postings = postings.join(F.broadcast(counts), "list").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    probes = _lists(asked.groupBy("cls").agg(F.first("vec").alias("vec")), shared, True, SEARCH_RATIO, BEAM, BEAM, 16)
-    probes = probes.join(F.broadcast(counts), "list").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    found = _best(postings.select("list", "block", "cls", "vec"), probes.select("list", "block", "cls", "vec"), k + 1)
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    postings = save(postings.join(F.broadcast(counts), "list").select("list", block.alias("block"), "id", "vec"))
+    probes = _lists(points, shared, True, SEARCH_RATIO, BEAM, BEAM, FIRST).join(F.broadcast(counts), "list")
+    probes = save(probes.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "place", "id", "vec"))
+    # The nearest lists come first; the k-th score there is what others must reach.
+    start = probes.where(f"place < {FIRST}").withColumn("least", F.lit(float("-inf")))
+    first = save(_best(postings, start, k + 1).groupBy("query", "id").agg(F.max("score").alias("score")))
+    least = first.groupBy("query").agg(F.try_element_at(F.reverse(F.array_sort(F.collect_list("score"))), F.lit(k + 1)).alias("least"))
+    rest = probes.where(f"place >= {FIRST}").join(least.withColumnRenamed("query", "id"), "id", "left")
+    rest = rest.withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = first.unionByName(_best(postings, rest, k + 1)).groupBy("query", "id").agg(F.max("score").alias("score"))
+    found = first_rows(found, ["query"], [F.desc("score"), F.col("id")], k + 1 + TIES)
+    found = found.select("query", "id").join(classes.select("id", F.col("vec").alias("found"), "ids"), "id")
+    found = found.join(points.select(F.col("id").alias("query"), "cls", "vec"), "query")
     score = F.aggregate(F.zip_with("vec", "found", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    found = found.select("query", "cls", score.alias("score")).dropDuplicates(["query", "cls"])
-    found = found.join(classes.select("cls", "ids"), "cls").select("query", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("vec_id")))).alias("hit"))
-    best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, k + 1).alias("hits"))
-    out = asked.select(F.col("vec_id").alias("query_id"), F.col("cls").alias("query")).join(best, "query")
+    found = found.select("cls", F.explode(F.transform("ids", lambda i: F.struct((-score).alias("far"), i.alias("vec_id")))).alias("hit"))
+    best = found.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, k + 1).alias("hits"))
+    out = asked.select(F.col("vec_id").alias("query_id"), "cls").join(best, "cls")
     own = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
     out = out.select("query_id", F.posexplode(own).alias("rank", "hit"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
