@@ -52,7 +52,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def parts(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes; a longer text comes alone."""
     n, at = len(offsets) - 1, 0
     while at < n:
