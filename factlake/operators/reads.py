@@ -207,3 +207,11 @@ def alias_query_text(persons: DataFrame, aliases: DataFrame) -> DataFrame:
     out = persons.join(own, F.col("canonical_id") == F.col("person_id"), "left")
     names = F.array_distinct(F.concat(F.array("display_name"), F.coalesce("others", F.array().cast("array<string>"))))
     return out.select("canonical_id", F.array_join(names, " ").alias("query_text"))
+
+
+def subject_candidates(names: DataFrame, persons: DataFrame, entities: DataFrame) -> DataFrame:
+    """All subjects of any type whose name holds ``names(query_id, name)``, in any case and spacing."""
+    subjects = persons.where("merged_into_id is null").select(F.lit("person").alias("type"), F.col("canonical_id").alias("id"), F.col("display_name").alias("label"))
+    subjects = subjects.unionByName(entities.select(F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), F.col("name").alias("label")))
+    wanted = small(names.select("query_id", normalize_name(F.col("name")).alias("wanted")))
+    return subjects.join(wanted, F.contains(normalize_name(F.col("label")), F.col("wanted"))).select("query_id", "type", "id", "label")

@@ -398,3 +398,116 @@ def h6(t):
     rows = t.v_claims.join(F.broadcast(predicates(t)), "predicate")
     score = ranking.fact_freshness(F.col("confidence"), F.col("valid_from"), now(), F.col("freshness_half_life_days"))
     return rows.select("claim_id", F.round(score, 6).alias("freshness"))
+
+
+@query("e1_normalize_grain", "select claim_id, case when g in ('day', 'month', 'quarter', 'year', 'unknown') then g else 'unknown' end as grain from (select claim_id, lower(trim(case cast(substr(claim_id, 2) as bigint) % 4 when 0 then ' Month ' when 1 then 'decade' when 2 then null else upper(time_grain) end)) as g from v_claims)")
+def e1(t):
+    n = F.expr("cast(substr(claim_id, 2) as bigint)") % 4
+    raw = F.when(n == 0, " Month ").when(n == 1, "decade").when(n == 3, F.upper("time_grain"))
+    return t.v_claims.select("claim_id", temporal.normalize_grain(raw).alias("grain"))
+
+
+@query("e7_e8_resolved_points", f"with {PTS} select point_id, strftime(i, '%Y-%m-%d') as instant, g as grain, strftime(b, '%Y-%m-%d') as belief, case when is_point then 'active,superseded' else 'active' end as statuses from pts")
+def e78(t):
+    out = reads.resolved_points(t.v_points, now())
+    return out.select("point_id", F.date_format("instant", "yyyy-MM-dd").alias("instant"), "grain", F.date_format("belief", "yyyy-MM-dd").alias("belief"), joined("statuses").alias("statuses"))
+
+
+@query("e12_merge_windows", "select subject_id, strftime(arg_min(valid_to, (created_at, claim_id)) filter (valid_to is not null), '%Y-%m-%d') as valid_to, strftime(arg_min(valid_from, (created_at, claim_id)), '%Y-%m-%d') as valid_from from v_claims group by 1")
+def e12(t):
+    out = ledger.merge_evidence(t.v_claims, ["subject_id"])
+    return out.select("subject_id", F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"), F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
+
+
+@query("d5_redact_quotes", f"""with {VIS}, q as (select claim_id, unnest(evidence_doc_ids) as doc_id from v_claims) select q.claim_id, v.viewer_id, count(vis.doc_id) as n_quotes from q cross join v_viewers v left join vis on vis.viewer_id = v.viewer_id and vis.doc_id = q.doc_id group by 1, 2""")
+def d5(t):
+    quotes = F.transform("evidence_doc_ids", lambda d: F.struct(d.alias("doc_id"), F.lit("said so").alias("quote")))
+    rows = t.v_claims.select("claim_id", "evidence_doc_ids", quotes.alias("quotes")).join(F.broadcast(t.v_viewers.select("viewer_id")), how="cross")
+    rows = acl.visible_evidence(rows, visible(t), "claim_id")
+    return rows.select("claim_id", "viewer_id", F.size(acl.redact_quotes(F.col("quotes"), F.col("visible_doc_ids"))).cast("long").alias("n_quotes"))
+
+
+def relationships(t):
+    """Edges with the ledger's columns: two creators, some confidence, an update time."""
+    k = F.expr("cast(split(substr(relationship_id, 2), '_')[0] as bigint)")
+    return t.v_relationships.withColumns({"confidence": F.round(0.5 + (k % 50) / 100.0, 2), "created_by": F.when(k % 3 == 0, "structured_field:x").otherwise("extraction"), "updated_at": F.col("valid_from"), "created_at": F.col("valid_from"), "to_id": F.concat("to_id", F.lit("_"), k % 2)})
+
+
+@query("f9_close_relationship_slots", """with r as (select *, cast(split_part(substr(relationship_id, 2), '_', 1) as bigint) as k from v_relationships), x as (select *, concat(to_id, '_', k % 2) as t2, round(0.5 + (k % 50) / 100.0, 2) as confidence, case when k % 3 = 0 then 4 when len(list_distinct(evidence_doc_ids)) >= 2 then 2 else 1 end as precedence from r where relationship_type = 'reports_to'),
+n as (select x.relationship_id, max(d.event_time) as newest from x join v_documents d on d.doc_id = x.evidence_doc_ids[1] and not d.deleted group by 1),
+w as (select x.*, first_value(t2) over ws as best from x left join n using (relationship_id) window ws as (partition by from_id order by precedence desc, newest desc nulls last, confidence desc, valid_from desc, relationship_id desc))
+select r.relationship_id, case when w.best <> w.t2 then 'superseded' else r.status end as status from r left join w using (relationship_id)""")
+def f9(t):
+    return ledger.close_relationship_slots(relationships(t), t.v_documents, edges(t), now()).select("relationship_id", "status")
+
+
+@query("f12_resolve_conflicts", f"""with {RANKED}, a as (select *, first_value(object_text) over w as best from rk where status = 'active' and predicate in ('title', 'team') window w as (partition by subject_id, predicate order by {ORDER}))
+select c.claim_id, case when a.best <> a.object_text then 'superseded' else c.status end as status from v_claims c left join a using (claim_id)""")
+def f12(t):
+    registry = predicates(t).where("predicate in ('title', 'definition')").withColumn("mutually_exclusive", F.col("predicate") == "title")
+    verdicts = t.spark.createDataFrame([("team", True), ("reports_to", False)], "predicate string, exclusive boolean")
+    return ledger.resolve_conflicts(t.v_claims, t.v_documents, registry, verdicts, now()).select("claim_id", "status")
+
+
+
+@query("f13_merge_relationships", """with r as (select *, cast(split_part(substr(relationship_id, 2), '_', 1) as bigint) as k from v_relationships), o as (select from_id, relationship_type, to_id, min(relationship_id) as id, count(*) as c from r where k < 500 group by all), n as (select from_id, relationship_type, to_id, min(relationship_id) as id from r where k >= 500 group by all),
+e as (select from_id, relationship_type, to_id, string_agg(distinct d, ',' order by d) as docs from (select from_id, relationship_type, to_id, unnest(evidence_doc_ids) as d from r) group by all)
+select from_id, relationship_type, to_id, coalesce(o.id, n.id) as relationship_id, e.docs from o full join n using (from_id, relationship_type, to_id) join e using (from_id, relationship_type, to_id)""")
+def f13(t):
+    rows = t.v_relationships.withColumns({"confidence": F.lit(0.9), "created_by": F.lit("extraction")})
+    k = F.expr("cast(split(substr(relationship_id, 2), '_')[0] as bigint)")
+    out = ledger.merge_relationships(rows.where(k < 500), rows.where(k >= 500))
+    return out.select("from_id", "relationship_type", "to_id", "relationship_id", joined("evidence_doc_ids").alias("docs"))
+
+
+@query("f14_merge_claims", """with c as (select *, cast(substr(claim_id, 2) as bigint) as k from v_claims where status <> 'superseded'), b as (select *, row_number() over (partition by subject_id, predicate, object_text order by k) as rn from c),
+e as (select subject_id, predicate, object_text, string_agg(distinct d, ',' order by d) as docs from (select subject_id, predicate, object_text, unnest(evidence_doc_ids) as d from b) group by all)
+select subject_id, predicate, object_text, max(confidence) as confidence, any_value(e.docs) as docs from b join e using (subject_id, predicate, object_text) group by all""")
+def f14(t):
+    from pyspark.sql import Window
+
+    k = F.expr("cast(substr(claim_id, 2) as bigint)")
+    rows = t.v_claims.where("status <> 'superseded'").withColumn("rn", F.row_number().over(Window.partitionBy("subject_id", "predicate", "object_text").orderBy(k)))
+    out = ledger.merge_claims(rows.where("rn = 1"), rows.where("rn > 1"))
+    return out.select("subject_id", "predicate", "object_text", "confidence", joined("evidence_doc_ids").alias("docs"))
+
+
+@query("f28_decide_proposals", "select claim_id as proposal_id, case when status <> 'proposed' then 'not_pending' when cast(substr(claim_id, 2) as bigint) % 4 = 0 then 'applied' else 'rejected' end as outcome from v_claims")
+def f28(t):
+    rows = t.v_claims.select(F.col("claim_id").alias("proposal_id"), F.when(F.col("status") == "proposed", "pending").otherwise("applied").alias("status"))
+    told = rows.select("proposal_id", F.when(F.expr("cast(substr(proposal_id, 2) as bigint) % 4 = 0"), "apply").otherwise("reject").alias("decision"), F.lit("u").alias("decided_by"))
+    return ledger.decide_proposals(rows, told).select("proposal_id", "outcome")
+
+
+@query("f26_upsert_proposals", """with w as (select subject_id, predicate, arg_max(claim_id, claim_id) as n_claim, arg_max(object_text, claim_id) as n_value from v_claims where status = 'active' group by all), o as (select subject_id, predicate, arg_min(claim_id, claim_id) as claim, arg_min(object_text, claim_id) as value from v_claims where status = 'active' and predicate <> 'team' group by all)
+select coalesce(w.subject_id, o.subject_id) as subject_id, coalesce(w.predicate, o.predicate) as field_key, case when o.claim is null then 'created' when w.n_claim = o.claim then 'raised' else 'superseded' end as action, w.n_claim as source_claim_id from w full join o using (subject_id, predicate)""")
+def f26(t):
+    active = t.v_claims.where("status = 'active'")
+    pick = lambda f: active.groupBy("subject_id", "predicate").agg(f(F.struct("claim_id", "object_text", "evidence_doc_ids", "confidence"), "claim_id").alias("c")).select("subject_id", F.lit("people").alias("taxonomy_key"), F.col("predicate").alias("field_key"), "c.*")
+    old = pick(F.min_by).where("field_key <> 'team'").select("subject_id", "taxonomy_key", "field_key", F.concat(F.lit("q"), "claim_id").alias("proposal_id"), F.lit("pending").alias("status"), F.col("object_text").alias("value_text"), F.col("claim_id").alias("source_claim_id"), "evidence_doc_ids", "confidence")
+    return ledger.upsert_proposals(old, pick(F.max_by)).select("subject_id", "field_key", "action", "source_claim_id")
+
+
+@query("f27_promote_claims", f"""with {VIS}, {seen('v_claims', 'claim_id')}, e as (select c.claim_id, bool_and(coalesce(contains(lower(concat(d.title, chr(10), d.rendered_text)), 'doc'), false)) as ok from (select claim_id, unnest(list_distinct(evidence_doc_ids)) as doc_id from v_claims) c left join v_documents d using (doc_id) group by 1)
+select c.claim_id as promotion_id, case when c.predicate = 'team' then 'unbound' when p.canonical_id is null then 'unknown_subject' when av.claim_id is null then 'evidence_not_visible' when not e.ok then 'unsupported' else 'promoted' end as outcome
+ from v_claims c left join v_persons p on p.canonical_id = c.subject_id left join av on av.claim_id = c.claim_id and av.viewer_id = 'v1' left join e on e.claim_id = c.claim_id""")
+def f27(t):
+    bindings = predicates(t).where("predicate <> 'team'").select("predicate", F.lit("people").alias("taxonomy_key"))
+    rows = t.v_claims.select(F.col("claim_id").alias("promotion_id"), F.lit("v1").alias("viewer_id"), "subject_id", "predicate", F.lit("Doc").alias("object_text"), "evidence_doc_ids")
+    ok, bad = ledger.promote_claims(rows, bindings, t.v_persons, t.v_documents, visible(t), now())
+    return ok.select(F.col("claim_id").alias("promotion_id"), F.lit("promoted").alias("outcome")).unionByName(bad.select("promotion_id", F.col("reason").alias("outcome")))
+
+
+@query("g13_subject_candidates", """with w as (select * from (values ('q1', '00001'), ('q2', 'an')) t(query_id, name)), s as (select 'person' as type, canonical_id as id, display_name as label from v_persons where merged_into_id is null union all select entity_type, entity_id, name from v_entities)
+select w.query_id, s.type, count(*) as n from w join s on contains(lower(s.label), w.name) group by all""")
+def g13(t):
+    names = t.spark.createDataFrame([("q1", "00001"), ("q2", "AN")], "query_id string, name string")
+    return reads.subject_candidates(names, t.v_persons, t.v_entities).groupBy("query_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i13_reconcile_slots", f"""with {RANKED}, roots as (select distinct coalesce(merged_into_id, canonical_id) as id from v_persons where merged_into_id is not null), a as (select rk.*, first_value(object_text) over w as best from rk join roots on roots.id = rk.subject_id where status = 'active' and predicate in ('title', 'reports_to', 'definition') window w as (partition by subject_id, predicate order by {ORDER}))
+select c.claim_id, case when a.best <> a.object_text then 'superseded' else c.status end as status from v_claims c join roots on roots.id = c.subject_id left join a using (claim_id)""")
+def i13(t):
+    roots = t.v_persons.where("merged_into_id is not null").select(F.col("merged_into_id").alias("subject_id")).distinct()
+    own = t.v_claims.join(roots, "subject_id", "left_semi").select(t.v_claims.columns)
+    return ledger.close_claim_slots(own, t.v_documents, exclusive(t), now()).select("claim_id", "status")
