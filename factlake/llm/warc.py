@@ -154,8 +154,11 @@ def assemble(records: DataFrame) -> DataFrame:
     found = captures.join(others, "id", "left")
     first = F.col("metadata")[0]["fields"]
     found = found.withColumn("page_id", first["page-id"].cast("long")).withColumn("payload_bytes", first["payload-bytes"].cast("long"))
+    # Only records that refer to another are joined: the others would meet under one null key.
+    columns = ["page_id", "payload_bytes", "refers_to_page", "response", "requests", "metadata"]
     referred = found.where("response.kind = 'response'").select(F.col("id").alias("refers_to"), F.col("page_id").alias("refers_to_page"))
-    return found.join(referred, "refers_to", "left").select("page_id", "payload_bytes", "refers_to_page", "response", "requests", "metadata")
+    again = found.where("refers_to is not null").join(referred, "refers_to", "left").select(columns)
+    return again.unionByName(found.where("refers_to is null").withColumn("refers_to_page", F.lit(None).cast("long")).select(columns))
 
 
 def round_trip(pages: DataFrame, payload: bool = True) -> DataFrame:
