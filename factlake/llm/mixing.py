@@ -18,6 +18,9 @@ MOST_COPIES = 3
 BLOCK, REST_BLOCKS = 500, 100
 #: Units that a block holds back for the landing, at least.
 RESERVE = 12
+#: Units of more than LARGE mean sizes of their source are decided before the others; MOST units of a source at most.
+#: A source's blocks hold back MOST units at most for the landing where there are more than RESERVE a block.
+LARGE, MOST = 16, 50_000
 EPS = 1e-9
 
 
@@ -62,15 +65,15 @@ def fly(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarra
     return np.array(p)
 
 
-def fly_most(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, enough: bool) -> np.ndarray:
+def fly_most(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, enough: bool, reserve: int = RESERVE) -> np.ndarray:
     """Fly all but a reserve of small units and some spread over all sizes.
 
-    With ``enough`` it has as many as can make up for the rounding of the
-    largest unit; else, where many blocks add theirs, RESERVE.
+    With ``enough`` the reserve grows until it can make up for the rounding of
+    the largest unit; else other blocks add theirs.
     """
     open_ = np.flatnonzero((pi > EPS) & (pi < 1 - EPS))
     by_size = open_[np.argsort(size[open_], kind="stable")]
-    reserve, held = RESERVE, by_size
+    held = by_size
     while reserve < len(by_size):
         spread = np.linspace(0, len(by_size) - 1, reserve * 3 // 4).astype(int)
         held = np.union1d(by_size[: reserve // 4], by_size[spread])
@@ -96,19 +99,49 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.round(out)
 
 
-def _level(rows: DataFrame, last: bool) -> DataFrame:
+def _level(rows: DataFrame) -> DataFrame:
+    """Fly each block; the only block of a source lands, others hold back their share of ``reserve`` units."""
+
     def run(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("size", "ascending")])
         seed = hashlib.sha256(repr([k.as_py() for k in key]).encode()).digest()
         pi, size = table.column("pi").to_numpy(), table.column("size").to_numpy()
         rng = np.random.default_rng(int.from_bytes(seed[:8], "little"))
-        out = fly_most(pi, size, rng, last or table.column("few_blocks")[0].as_py())
+        blocks, reserve = table.column("blocks")[0].as_py(), max(table.column("reserve").to_pylist())
+        last = blocks <= 1
+        out = fly_most(pi, size, rng, last, RESERVE if last else max(RESERVE, -(-reserve // blocks)))
         out = land(out, size) if last else out
         return table.set_column(table.schema.get_field_index("pi"), "pi", pa.array(out, pa.float64()))
 
     return rows.groupBy("source", "level", "block").applyInArrow(run, rows.schema)
 
 
+def large_first(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decide the large open units of each source, and let the others make up for it.
+
+    One very long document can outweigh all that blocks hold back. So units of
+    more than LARGE mean sizes (and of more than 1 / MOST of their source, so
+    there are fewer than MOST) land on their own, and what they miss goes into
+    the probabilities of the source's other open units, however many these are.
+    Returns the rows decided, and the others with their new pi and reserve.
+    """
+    least = F.col("source_size") * F.greatest(LARGE / F.col("n"), F.lit(1 / MOST))
+    open_ = f"pi > {EPS} and pi < 1 - {EPS}"
+    is_large = F.expr(open_) & (F.col("size") > least)
+    decided = save(_level(rows.where(is_large).withColumns({"level": F.lit(-1), "block": F.lit(0).cast("long"), "blocks": F.lit(1).cast("long")})))
+    others = rows.where(~is_large)
+    got = decided.groupBy(F.col("source").alias("of")).agg(F.sum(F.col("size") * F.col("pi")).alias("got"))
+    parts = rows.where(open_).groupBy("source").agg(F.max("pi").alias("pi"), F.sum(F.when(is_large, F.col("size"))).alias("large"), F.sum(F.when(~is_large, F.col("size"))).alias("small"))
+    shift = (F.col("large") * F.col("pi") - F.col("got")) / F.col("small")
+    shifts = parts.join(got, F.expr("source <=> of")).where("small > 0").select("of", shift.alias("shift"))
+    pi = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("pi") + F.coalesce("shift", F.lit(0.0))))
+    others = others.join(shifts, F.expr("source <=> of"), "left").withColumn("pi", F.when(F.expr(open_), pi).otherwise(F.col("pi")))
+    # Twice the units of mean size whose rounding offsets the largest of the others.
+    need = 2 * F.greatest(F.lit(float(LARGE)), F.col("n") / MOST) / F.greatest(F.lit(EPS), F.least("pi", 1 - F.col("pi")))
+    need = F.ceil(F.least(F.lit(float(MOST)), need)).cast("int")
+    return decided, others.withColumn("reserve", F.when(F.expr(open_), need).otherwise(0)).select(rows.columns)
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """``sources(source, source_size, n)`` with weight and target.
 
@@ -134,8 +167,10 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
     Each row of a source whose target is r times its size is taken floor(r)
     times, and once more with probability r - floor(r); these draws balance
-    words and documents. Blocks of rows fly on their own, their few open
-    rows go on to the next level, and one last block a source lands.
+    words and documents. A source's few very large rows are drawn first, and
+    the others' probability makes up for them. Blocks of rows fly on their own,
+    their few open rows go on to the next level, and one last block a source
+    lands; a source's draw doesn't depend on other sources but by its target.
     Returns one row per row of ``docs``: doc_id, size, source_size, target,
     taken, copies, source, text_hash. Null, empty and blank texts have size 0
     and are not taken. A null source is a source of its own, the last. Null and
@@ -163,19 +198,20 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         .withColumn("pi", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("rate") - whole)).otherwise(0.0))
         .withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(0))
         .withColumn("level", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash"), blocks))
-        .withColumn("few_blocks", blocks <= 4)
-        .select("doc_id", "source", "text_hash", "size", "source_size", "target", "whole", "pi", "level", "block", "few_blocks")
+        .withColumn("blocks", blocks).withColumn("reserve", F.lit(0))
+        .select("doc_id", "source", "text_hash", "size", "source_size", "target", "n", "whole", "pi", "level", "block", "blocks", "reserve")
     )
     n_blocks = sources.agg(F.max(blocks)).first()[0] or 1
-    done, level, rows = [], 0, joined
+    decided, rows = large_first(save(joined))
+    done, level = [decided], 0
     while True:
-        last = n_blocks <= 1
-        rows = save(_level(rows, last))
+        rows = save(_level(rows))
         done.append(rows.where(f"pi <= {EPS} or pi >= 1 - {EPS}"))
-        if last:
+        if n_blocks <= 1:
             break
         level, n_blocks = level + 1, -(-n_blocks // REST_BLOCKS)
-        rows = rows.where(f"pi > {EPS} and pi < 1 - {EPS}").withColumn("level", F.lit(level)).withColumn("block", F.floor(F.col("block") / REST_BLOCKS))
+        up = {"level": F.lit(level), "block": F.floor(F.col("block") / REST_BLOCKS), "blocks": F.ceil(F.col("blocks") / REST_BLOCKS)}
+        rows = rows.where(f"pi > {EPS} and pi < 1 - {EPS}").withColumns(up)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -69,6 +69,21 @@ def test_mix(docs, odd):
     assert mix_sources(docs(rows).where("doc_id < 0")).count() == 0
 
 
+def test_mix_of_a_very_long_document(spark):
+    """A source of seven blocks with one document of a tenth of its words, beside a source of 120 blocks."""
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randrange(20, 80), "a") for k in range(3400)] + [(9999, "w " * 20000, "a")]
+    rows += [(10000 + k, "w " * rng.randrange(1, 4), "b") for k in range(60000)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs_).groupBy("source").agg({"taken": "sum", "target": "max", "doc_id": "count"}).collect()
+    assert {r["source"]: r["count(doc_id)"] for r in got} == {"a": 3401, "b": 60000}
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.001 * r["max(target)"], r
+    # What else is in the table changes a source's draw by its target only: beside few blocks a is as near.
+    beside = mix_sources(docs_.where("doc_id < 20000")).where("source = 'a'").agg({"taken": "sum", "target": "max"}).first()
+    assert abs(beside["sum(taken)"] - beside["max(target)"]) <= 0.001 * beside["max(target)"]
+
+
 def test_isotonic_rises():
     x, y = isotonic(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 0, 1, 1.0]))
     assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
