@@ -19,6 +19,8 @@ NEAR_RATIO, COPIES = 1.05, 2
 SEARCH_RATIO, BEAM = 1.25, 512
 #: Lists that a search reads in any case, before the others; spare points against rounding.
 FIRST, TIES = 16, 4
+#: Half-octaves of norms above and below the most frequent one that share a band; a band's sample is at least LEAST.
+WIDTH, LEAST = 1, 256
 #: Links of a centroid in the graph.
 DEGREE = 24
 
@@ -29,6 +31,28 @@ def usable(column: str) -> Column:
     return F.col(column).isNotNull() & ~bad & F.exists(column, lambda x: x != 0)
 
 
+def log_norm(column: str) -> Column:
+    """Binary logarithm of a usable vector's norm; neither large nor small components overflow."""
+    most = F.array_max(F.transform(column, F.abs))
+    return F.log2(most) + F.log2(F.aggregate(column, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
+
+
+def norm_bands(counts: dict[int, int]) -> dict[int, int]:
+    """A band for each half-octave of norms, from ``{half-octave: vectors}``.
+
+    A few long vectors would lift all others to nearly one point, so vectors
+    are lifted to the longest of their band only. Each band is made around the
+    most frequent half-octave that is left, so common norms aren't cut apart.
+    """
+    out: dict[int, int] = {}
+    bands = 0
+    for half in sorted(counts, key=lambda h: (-counts[h], h)):
+        if half not in out:
+            out |= {h: bands for h in range(half - WIDTH, half + WIDTH + 1) if h in counts and h not in out}
+            bands += 1
+    return out
+
+
 def lift(vectors: np.ndarray, longest: float) -> np.ndarray:
     """One more component makes all norms equal, so the largest product is the smallest distance."""
     rest = np.sqrt(np.maximum(0.0, longest**2 - (vectors**2).sum(axis=1)))
@@ -120,32 +144,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _lists(points: DataFrame, shared, queries: bool, ratio: float, most: int, beam: int, at_least: int) -> DataFrame:
-    """(list, place, id, vec) for the lists of each of ``points(id, vec)`` that are near enough; place 0 is the nearest."""
+    """(list, place, reach, id, vec) for the lists that are near enough to each of ``points(id, vec, half)``.
+
+    A point is put in lists of its own band; a query has lists in each band.
+    place counts them from the band's nearest, 0. reach is the largest product
+    that a query can have with a vector of the band.
+    """
 
     def run(batches):
-        centroids, links, longest = shared.value
+        band_of, bands = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 points = _matrix(part.column(1))
+                own = None if queries else np.array([band_of[h] for h in part.column(2).to_pylist()])
                 if queries:  # of any length; their further component is 0
-                    points = points * (longest / np.linalg.norm(points, axis=1)[:, None])
-                    lifted = np.c_[points, np.zeros(len(points))].astype(np.float32)
-                else:
-                    lifted = lift(points, longest)
-                ids, dist = walk(lifted, centroids, links, beam)
-                near = (dist <= ratio * dist[:, :1]) & np.isfinite(dist)
-                near[:, :at_least] |= np.isfinite(dist[:, :at_least])
-                near[:, most:] = False
-                row, col = np.nonzero(near)
-                for k in range(0, len(row), 4096):
-                    r, c = row[k : k + 4096], col[k : k + 4096]
-                    who = pa.array(r)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[r, c].astype(np.int32)), pa.array(c.astype(np.int32)), part.column(0).take(who), part.column(1).take(who)], ["list", "place", "id", "vec"]
-                    )
-
-    return points.select("id", "vec").mapInArrow(run, "list int, place int, id long, vec array<double>")
+                    scale = np.abs(points).max(axis=1)
+                    norm = np.linalg.norm(points / scale[:, None], axis=1)
+                    asked = np.c_[points / scale[:, None] / norm[:, None], np.zeros(len(points))].astype(np.float32)
+                for band, (base, centroids, links, longest) in enumerate(bands):
+                    rows = np.arange(len(points)) if queries else np.flatnonzero(own == band)
+                    if not len(rows):
+                        continue
+                    lifted = asked if queries else lift(points[rows] / longest, 1.0)
+                    ids, dist = walk(lifted, centroids, links, beam)
+                    near = (dist <= ratio * dist[:, :1]) & np.isfinite(dist)
+                    near[:, :at_least] |= np.isfinite(dist[:, :at_least])
+                    near[:, most:] = False
+                    row, col = np.nonzero(near)
+                    for k in range(0, len(row), 4096):
+                        r, c = row[k : k + 4096], col[k : k + 4096]
+                        who = pa.array(rows[r])
+                        reach = norm[r] * scale[r] * longest if queries else np.zeros(len(r))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array((base + ids[r, c]).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(reach), part.column(0).take(who), part.column(1).take(who)],
+                            ["list", "place", "reach", "id", "vec"],
+                        )
+
+    return points.mapInArrow(run, "list int, place int, reach double, id long, vec array<double>")
 
 
 def _best(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
@@ -181,8 +217,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     point of the index with the smallest ids that could be asked for; rows
     that repeat an id and vector count once. Empty tables give empty results;
     other columns are ignored. Scores are summed in double precision from the
-    original vectors. Centroids are fitted on SAMPLE vectors at most; every
-    vector is put in the lists.
+    original vectors. Vectors of similar norm form a band, which has lists of
+    its own and is skipped where its longest vector can't reach a query's k-th
+    score. Centroids are fitted on SAMPLE vectors at most (and LEAST a rare
+    band); every vector is put in the lists.
     """
     spark = vectors.sparkSession
 
@@ -211,33 +249,46 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     classes = points.select("cls", "vec", "vec_id").mapInArrow(smallest, "cls string, vec array<double>, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     classes = classes.groupBy("cls").agg(F.first("vec").alias("vec"), ids.alias("ids"))
-    classes = save(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "vec", "ids"))
-
-    n, longest = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "cls", "vec", "ids", log_norm("vec").alias("log_norm"))
+    classes = save(classes.withColumn("half", F.floor(F.col("log_norm") * 2).cast("int")))
+
+    norms = classes.groupBy("half").agg(F.count(F.lit(1)), F.max("log_norm")).collect()  # some thousand rows at most
+    band_of = norm_bands({half: count for half, count, _ in norms})
+    size, longest = {b: 0 for b in band_of.values()}, {b: -np.inf for b in band_of.values()}
+    for half, count, log in norms:
+        size[band_of[half]] += count
+        longest[band_of[half]] = max(longest[band_of[half]], log)
+    n = sum(size.values())
+    rates = spark.createDataFrame([(h, min(1.0, max(SAMPLE * size[b] / n, LEAST) / size[b])) for h, b in band_of.items()], "half int, rate double")
     draw = F.conv(F.substring("cls", 1, 8), 16, 10).cast("double") / 2.0**32
-    drawn = classes.where(draw < min(1.0, SAMPLE / max(n, 1))).select("cls", "vec").limit(2 * SAMPLE).collect()
+    drawn = classes.join(F.broadcast(rates), "half").where(draw < F.col("rate")).select("cls", "vec", "half").limit(2 * SAMPLE + 2 * LEAST * len(size)).collect()
     drawn.sort(key=lambda r: r["cls"])
-    longest = float(np.sqrt(longest or 1.0))
-    fitted = lift(np.array([r["vec"] for r in drawn], float).reshape(len(drawn), dim), longest) if drawn else np.zeros((1, dim + 1), np.float32)
-    centroids = balanced_centroids(fitted, LIST, np.random.default_rng(3))
-    shared = spark.sparkContext.broadcast((centroids, link(centroids), longest))
+    bands, base = [], 0
+    for band in sorted(size):
+        own = np.array([r["vec"] for r in drawn if band_of[r["half"]] == band], float).reshape(-1, dim)
+        most = float(np.exp2(longest[band]))
+        fitted = lift(own / most, 1.0) if len(own) else np.zeros((1, dim + 1), np.float32)
+        centroids = balanced_centroids(fitted, LIST, np.random.default_rng(3))
+        bands.append((base, centroids, link(centroids), most))
+        base += len(centroids)
+    shared = spark.sparkContext.broadcast((band_of, bands))
 
     asked = save(clean(queries).where(F.size("vec") == dim).withColumn("cls", cls).select("vec_id", "cls", "vec").distinct())
     points = asked.groupBy("cls").agg(F.first("vec").alias("vec"))
     points = save(points.select(F.monotonically_increasing_id().alias("id"), "cls", "vec"))
-    postings = save(_lists(classes, shared, False, NEAR_RATIO, COPIES, 32, 1).drop("place"))
+    postings = save(_lists(classes.select("id", "vec", "half"), shared, False, NEAR_RATIO, COPIES, 32, 1).drop("place", "reach"))
     counts = postings.groupBy("list").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
     counts = save(counts)  # one row a list, and there are no more lists than vectors in the sample
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     postings = save(postings.join(F.broadcast(counts), "list").select("list", block.alias("block"), "id", "vec"))
-    probes = _lists(points, shared, True, SEARCH_RATIO, BEAM, BEAM, FIRST).join(F.broadcast(counts), "list")
-    probes = save(probes.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "place", "id", "vec"))
+    probes = _lists(points.select("id", "vec"), shared, True, SEARCH_RATIO, BEAM, BEAM, FIRST).join(F.broadcast(counts), "list")
+    probes = save(probes.select("list", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "place", "reach", "id", "vec"))
     # The nearest lists come first; the k-th score there is what others must reach.
     start = probes.where(f"place < {FIRST}").withColumn("least", F.lit(float("-inf")))
     first = save(_best(postings, start, k + 1).groupBy("query", "id").agg(F.max("score").alias("score")))
     least = first.groupBy("query").agg(F.try_element_at(F.reverse(F.array_sort(F.collect_list("score"))), F.lit(k + 1)).alias("least"))
     rest = probes.where(f"place >= {FIRST}").join(least.withColumnRenamed("query", "id"), "id", "left")
-    rest = rest.withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    rest = rest.withColumn("least", F.coalesce("least", F.lit(float("-inf")))).where("reach >= least - 1e-9 * abs(least)")
     found = first.unionByName(_best(postings, rest, k + 1)).groupBy("query", "id").agg(F.max("score").alias("score"))
     found = first_rows(found, ["query"], [F.desc("score"), F.col("id")], k + 1 + TIES)
     found = found.select("query", "id").join(classes.select("id", F.col("vec").alias("found"), "ids"), "id")

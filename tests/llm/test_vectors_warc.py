@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from factlake.llm.vector_search import nearest
 from factlake.llm.warc import assemble, read_archives, round_trip, write_archives
@@ -44,6 +45,26 @@ def test_nearest(spark):
     assert nearest(vectors.where("vec_id < 0"), vectors, 5).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [{7: 1e4}, {7: 1e4, 8: 1e-4, 9: 3e6}])
+def test_nearest_beside_very_long_vectors(spark, lengths):
+    """More than 512 lists of unit vectors, and few vectors of other lengths."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(15000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i, length in lengths.items():
+        x[i] *= length
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest(vectors, vectors.where("vec_id % 100 = 7"), 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(7, len(x), 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got.get(q, set()) & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) == 150 and hits >= 0.9 * 20 * 150
+
+
 def test_warc(spark, tmp_path):
     long = "<p>ünï\r\n\r\nWARC/1.1\r\n" + "x" * 200 + "</p>"
     pages = [(1, "http://a/1", long), (2, "http://a/2", long), (3, None, long), (4, "http://a/4", "short"), (5, "http://a/5", "short"), (6, "http://a/6", None), (7, "http://a/\r\n7", ""), (None, "http://a/n", long), (1, "http://a/1", long), (None, "u", "lonely" * 40), (8, "h", "y" * 100000)]
