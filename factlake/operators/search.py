@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.ranking import FACT_FLOOR, FACT_HALF_LIFE, PASSAGE_FLOOR, PASSAGE_HALF_LIFE, RRF_K, recency_multiplier
 from factlake.functions.text import BODY_WEIGHT, TITLE_WEIGHT, escape_like, terms
-from factlake.operators.acl import Visible
+from factlake.operators.acl import Visible, seen_by
 from factlake.operators.common import first_rows, small
 
 #: Candidates of each channel; what a budget drops first to last.
@@ -199,6 +199,34 @@ def episode_text(turns: DataFrame, most: int) -> DataFrame:
     return lines.select("conv_id", F.substring(F.array_join("lines.line", "\n"), 1, most).alias("episode_text"))
 
 
+def episode_search(queries: DataFrame, episodes: DataFrame, viewers: DataFrame, visible: Visible, scores: DataFrame | None, limit: int = 10) -> DataFrame:
+    """Active episodes for ``queries(query_id, viewer_id, agent_id, embedding, embedding_model, must, any, no)``: vector and keyword lists, fused and reranked.
+
+    A viewer needs access to the episode and to all of its evidence; one
+    without evidence needs the first only. A query's agent_id restricts it to
+    that agent, null to none. Access and agent come before each list's cut;
+    vectors of another model are compared with no query.
+    """
+    active = episodes.where("status = 'active'")
+    keys = queries.select("query_id", "viewer_id", F.col("agent_id").alias("asked_agent"), F.col("embedding_model").alias("asked_model"))
+    own = active.select("memory_id", "agent_id", "embedding_model", "org_visible", "allowed_principals", F.coalesce(F.size("evidence_doc_ids") > 0, F.lit(False)).alias("cites"))
+    facts = [c for c in own.columns if c not in ("org_visible", "allowed_principals")]
+    holders = keys.join(viewers.select("viewer_id", F.explode("principals").alias("principal")), "viewer_id")
+    named = own.where("not org_visible").select(*facts, F.explode("allowed_principals").alias("principal")).join(holders, "principal").drop("principal").distinct()
+    pairs = own.where("org_visible").select(facts).join(small(keys), how="cross").unionByName(named).where("asked_agent is null or asked_agent = agent_id")
+    pairs = pairs.where("not cites").unionByName(seen_by(pairs.where("cites"), active, visible, "memory_id"))
+    # Each query is a viewer of its own here, since its agent and model decide too.
+    private = pairs.where("embedding_model = asked_model").select(F.col("query_id").alias("viewer_id"), F.col("memory_id").alias("doc_id"))
+    chunks = active.select(F.col("memory_id").alias("chunk_id"), F.col("memory_id").alias("doc_id"), F.lit("child").alias("chunk_role"), "embedding")
+    near = vector_candidates(chunks, queries.withColumn("viewer_id", F.col("query_id")), Visible(private.select("doc_id").limit(0), private))
+    index = index_terms(active.select("memory_id", F.lit("").alias("title"), F.concat_ws(" ", "objective", "summary").alias("rendered_text")), "memory_id")
+    worded = keyword_candidates(index, queries, "memory_id", pairs.select("query_id", "memory_id"))
+    fused = rrf_fuse([near.select("query_id", F.col("chunk_id").alias("item_id"), "rank"), worded.withColumnRenamed("memory_id", "item_id")], "item_id")
+    shortlist = first_rows(fused, ["query_id"], [F.desc(F.round("score", 12)), F.col("item_id")], POOL, "rank")
+    none = queries.sparkSession.createDataFrame([], "query_id string, item_id string, score double")
+    return apply_rerank(shortlist, scores if scores is not None else none, limit)
+
+
 def supersede_episodes(episodes: DataFrame) -> DataFrame:
     """The newest of each agent, procedure and creator is active; older ones point to it."""
     w = Window.partitionBy("agent_id", "procedure_key", "created_by").orderBy(F.desc("created_at"), F.desc("memory_id"))

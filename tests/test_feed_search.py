@@ -179,3 +179,31 @@ def test_files(spark, tmp_path):
     files.save_tables({"t": one.union(two)}, str(tmp_path / "tables"))
     files.save_tables({"t": two.withColumn("v", F.lit(3))}, str(tmp_path / "tables"))
     assert {tuple(r) for r in files.load_tables(spark, str(tmp_path / "tables"), ["t"])["t"].select("workspace_id", "v").collect()} == {("a", 1), ("b", 3)}
+
+
+def test_episode_search(spark):
+    docs = spark.createDataFrame([("d1", True, [], False), ("d2", False, ["g1"], False), ("d3", True, [], True)], "doc_id string, org_visible boolean, allowed_principals array<string>, deleted boolean")
+    viewers = spark.createDataFrame([("v1", ["g1"]), ("v2", ["g2"])], "viewer_id string, principals array<string>")
+    rows = [
+        # Found by its vector only; by both; by words only, as its vector is another model's.
+        ("near", "a", "active", "deploy", "x", [1.0, 0.0], "m", True, [], []),
+        ("both", "a", "active", "rotate keys", "x", [0.9, 0.1], "m", True, [], ["d1"]),
+        ("word", "b", "active", "keys", "x", [1.0, 0.0], "old", True, [], None),
+        # Closed to v2 by its own list and by evidence; deleted evidence closes it to all; not active.
+        ("own", "a", "active", "keys", "x", [0.8, 0.2], "m", False, ["g1", "g9"], []),
+        ("cited", "b", "active", "keys", "x", [0.7, 0.3], "m", True, [], ["d1", "d2"]),
+        ("dead", "a", "active", "keys", "x", [1.0, 0.0], "m", True, [], ["d3"]),
+        ("old", "a", "superseded", "keys", "x", [1.0, 0.0], "m", True, [], []),
+    ]
+    schema = "memory_id string, agent_id string, status string, objective string, summary string, embedding array<double>, embedding_model string, org_visible boolean, allowed_principals array<string>, evidence_doc_ids array<string>"
+    episodes = spark.createDataFrame(rows, schema)
+    asked = [(q, v, a, [1.0, 0.0], "m", [], ["keys"], []) for q, v, a in (("q1", "v1", None), ("q2", "v2", None), ("q3", "v1", "b"))]
+    queries = spark.createDataFrame(asked, "query_id string, viewer_id string, agent_id string, embedding array<double>, embedding_model string, must array<string>, any array<string>, no array<string>")
+    visible = acl.visible_docs(docs, viewers)
+    got = search.episode_search(queries, episodes, viewers, visible, None).collect()
+    found = {q: {r["item_id"]: r["score"] for r in got if r["query_id"] == q} for q in ("q1", "q2", "q3")}
+    assert {q: set(x) for q, x in found.items()} == {"q1": {"near", "both", "word", "own", "cited"}, "q2": {"near", "both", "word"}, "q3": {"word", "cited"}}
+    assert found["q2"]["near"] == pytest.approx(1 / 61) and found["q2"]["both"] == pytest.approx(1 / 62 + 1 / 61) and found["q2"]["word"] == pytest.approx(1 / 62)
+    scores = spark.createDataFrame([("q2", "near", 0.1), ("q2", "both", 0.2), ("q2", "word", 0.9)], "query_id string, item_id string, score double")
+    got = search.episode_search(queries.where("query_id = 'q2'"), episodes, viewers, visible, scores, 2).orderBy("rank").collect()
+    assert [(r["item_id"], r["reranked"]) for r in got] == [("word", True), ("both", True)]
