@@ -29,7 +29,7 @@ select concat('c', o_orderkey) as claim_id, 'ws' as workspace_id, 'person' as su
  case o_orderkey % 5 when 0 then 'day' when 1 then 'month' when 2 then 'quarter' when 3 then 'year' else 'unknown' end as time_grain,
  o_orderdate + interval '1' day * cast(o_orderkey % 30 as int) as recorded_at,
  case when o_orderkey % 7 = 0 then o_orderdate + interval '1' day * cast(30 + o_orderkey % 300 as int) end as invalidated_at,
- round(0.5 + (o_orderkey % 50) / 100.0, 2) as confidence,
+ cast(0.5 + (o_orderkey % 50) / 100.0 as double) as confidence,
  case o_orderkey % 10 when 0 then 'proposed' when 1 then 'superseded' when 2 then 'retracted' else 'active' end as status,
  split(concat('src', (o_orderkey % 200) % 20, ':', o_orderkey % 200, case when o_orderkey % 2 = 0 then concat(',src', (o_orderkey * 7 % 200) % 20, ':', o_orderkey * 7 % 200) else '' end), ',') as evidence_doc_ids,
  case o_orderkey % 6 when 0 then 'structured_field:ground_truth' when 1 then 'agent_promote:u1' else 'extraction' end as created_by,

@@ -10,8 +10,11 @@ FOLDER = "/root/testdata/sf0.001"
 
 def plain(v):
     import datetime
+    import decimal
     import math
 
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
     if isinstance(v, float):
         return None if math.isnan(v) else float(f"{v:.9g}")
     if isinstance(v, datetime.datetime):
