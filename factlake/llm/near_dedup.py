@@ -7,26 +7,28 @@ read until the posterior of the similarity rules the pair out, survivors are
 confirmed on their full sets, and confirmed links join components. A large
 bucket that is one component then needs no more comparing. In the others every
 two classes of different components are compared on their full sets, block by
-block within tasks, so that pairs that aren't links are never rows.
+block within tasks, so that pairs that aren't links are never rows; members of
+the bucket's main component only meet the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm.components import components
-from factlake.llm.storage import bit_filter, maybe_in, read_table, save
+from factlake.llm.storage import bit_filter, hot_keys, join_dealt, maybe_in, read_table, save
 from factlake.llm.words import mix, shingle_sets
 
 #: Values in a signature, in a band of it, and in a batch of sequential comparing.
 SIGNATURE, BAND, BATCH = 100, 4, 20
-#: Classes of a bucket that are all compared; shingles of a block in larger ones.
-FEW, BLOCK = 32, 1 << 17
+#: Classes of a bucket that are all compared; shingles and classes of a block in larger ones.
+FEW, BLOCK, ROWS = 32, 1 << 18, 2000
 #: Chance at which a pair at the threshold may be ruled out by its posterior.
 MISS = 1e-7
 _rng = np.random.default_rng(7)
@@ -70,29 +72,42 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(at, 2000)
                 rows = []
                 for found in shingle_sets(part.column(1), words):
+                    if not len(found):
+                        rows.append((0, None, None, []))
+                        continue
                     with np.errstate(over="ignore"):
                         own = signature(found)
                         key = bands + np.uint64(1)
                         for k in range(BAND):
                             key = mix(key * np.uint64(0xD6E8FEB86659FD93) + own[k::BAND])
-                        one, two = (int(mix(found * np.uint64(f)).sum(dtype=np.uint64).astype(np.int64)) for f in (1, 0x9E3779B97F4A7C15))
-                    rows.append((len(found), one, two, own.tobytes() if len(found) else None, key.astype(np.int64) if len(found) else []))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                    rows.append((len(found), set_name(found), own.tobytes(), key.astype(np.int64)))
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_shingles", "one", "two", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["doc_id", "text_hash", "n_shingles", "set_id", "signature", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, signature binary, keys array<long>")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary, keys array<long>")
+
+
+def set_name(found: np.ndarray) -> bytes:
+    """A 128-bit hash of a set of shingles."""
+    return hashlib.blake2b(found, digest_size=16).digest()
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(set_id, shingles) of the sets of ``docs``, each once."""
+
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [s.tobytes() for s in shingle_sets(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            for at in range(0, batch.num_rows, 200):
+                found = [s for s in shingle_sets(batch.column(0).slice(at, 200), words) if len(s)]
+                names = [set_name(s) for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    sets = save(docs.select("text").mapInArrow(run, "set_id binary, shingles binary"))
+    # Only sets that several rows have are shuffled to be one.
+    again = bit_filter(sets.groupBy("set_id").count().where("count > 1"), "set_id")
+    return maybe_in(sets, "set_id", again, negate=True).unionByName(maybe_in(sets, "set_id", again).dropDuplicates(["set_id"]))
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -109,9 +124,9 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
                 for upto, need in steps:
                     matches[alive] += (one[alive, done:upto] == two[alive, done:upto]).sum(axis=1)
                     alive, done = alive[matches[alive] >= need], upto
-                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(alive)) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(alive)) for k in (0, 1, 4, 5)], ["a", "b", "name_a", "name_b"])
 
-    return pairs.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sign_a", "sign_b", "name_a", "name_b").mapInArrow(run, "a long, b long, name_a binary, name_b binary")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -181,62 +196,105 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links: of all classes of small buckets, and of the pivot with the others in larger ones."""
+    few = members.where(f"n <= {FEW}").select("key", "id", "size")
+    pairs = few.join(few.toDF("key", "o_id", "o_size"), "key").where("id < o_id").select("id", "size", "o_id", "o_size")
+    many = members.where(f"n > {FEW} and id <> pivot.id").select("id", "size", F.col("pivot.id").alias("o_id"), F.col("pivot.size").alias("o_size"))
+    alike = f"100 * least(size, o_size) >= {percent} * greatest(size, o_size)"
+    pairs = save(pairs.unionByName(many).where(alike).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct())
+    hot = {c: hot_keys(pairs, c) for c in ("a", "b")}
+    for c in ("a", "b"):
+        pairs = join_dealt(pairs, reps.select(F.col("id").alias(c), F.col("signature").alias(f"sign_{c}"), F.col("set_id").alias(f"name_{c}")), c, hot=hot[c])
+    pairs = save(_likely(pairs, percent))
+    hot = {c: hot_keys(pairs, c) for c in ("name_a", "name_b")}
+    for c in ("a", "b"):
+        pairs = join_dealt(pairs, sets.toDF(f"name_{c}", f"set_{c}"), f"name_{c}", hot=hot[f"name_{c}"])
+    return save(_confirmed(pairs, percent))
+
+
+def _open_buckets(large: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their blocks.
+
+    ``large(key, id, size, label)``. A bucket's most frequent component is its
+    main one; members of it need no comparing with each other. Blocks hold
+    BLOCK shingles and ROWS members on average; those of the main component
+    have the numbers from 0, the rest follow.
+    """
+    parts = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("volume"))
+    total = parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("volume").alias("volume"), F.max(F.struct("n", "volume", "label")).alias("main"),
+    )
+
+    def blocks(volume: str, n: str) -> Column:
+        return F.ceil(F.greatest(F.expr(volume) / BLOCK, F.expr(n) / ROWS)).cast("int")
+
+    total = total.where("labels > 1").select(
+        "key", F.col("main.label").alias("main"), blocks("main.volume", "main.n").alias("first"), blocks("volume - main.volume", "n - main.n").alias("rest")
+    )
+    live = join_dealt(large.select("key", "id", "label"), total, "key")
+    h = F.xxhash64("id")
+    block = F.when(F.col("label") == F.col("main"), F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("rest"))).cast("int")
+    return live.select("key", "id", "label", "first", "rest", block.alias("block"))
+
+
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Link documents whose sets of ``words``-word shingles have a similarity of ``percent`` or more.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id
     (smallest doc_id that links reach, itself included), kept (doc_id =
-    component_id). A text with fewer words is one shingle; a null, empty or
-    blank text has none and links with nothing. Rows that repeat a doc_id are
-    returned each. A row with a null doc_id links with nothing, has a null
-    component_id and is kept. Empty tables give empty results; other columns
-    are ignored. Candidates are found with probability 1 - (1 - s**4)**25 at
-    similarity s: all but 6e-6 of the pairs at 0.8, 1e-8 at 0.85.
+    component_id), text_hash (64 bits of the text, to tell rows of one doc_id
+    apart). A text with fewer words is one shingle; a null, empty
+    or blank text has none and links with nothing. Rows that repeat a doc_id
+    are rows of their own, each with the component of its own text; the answer
+    doesn't depend on their order. A row with a null doc_id links with
+    nothing, has a null component_id and is kept. Empty tables give empty
+    results; other columns are ignored. A very long text is hashed in segments
+    of a few megabytes; one task holds its set, 8 bytes a distinct shingle.
+
+    Candidates are found with probability 1 - (1 - s**4)**25 at similarity s:
+    all but 6e-6 of the pairs at 0.8, 1e-8 at 0.85. That larger buckets are
+    compared with their pivot first loses nothing: if all members are then in
+    one component, no link between them could change a component, and else
+    every two members of different components are compared on their full sets.
     """
     docs = docs.select("doc_id", "text")
     sketches = save(_sketches(docs, words))
-    linkable = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = save(linkable.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("id")))
-    first = linkable.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "keys").join(classes.select("id"), "id", "left_semi")
-    reps = save(first.dropDuplicates(["id"]))
-
-    keys = reps.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"), F.xxhash64("id").alias("h"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("pivot"), F.sum("size").alias("volume")).where("n > 1")
-    members = save(keys.join(buckets, "key"))
-    ids = bit_filter(members.select("id").distinct(), "id")
-    sets = save(_sets(maybe_in(docs, "doc_id", ids), words).where("id is not null"))
-    signs = reps.select("id", "signature")
-
-    pivots = members.where(f"n <= {FEW} or h = pivot").select(*(F.col(c).alias(f"p_{c}") for c in ("key", "id", "size", "h")))
-    alike = 100 * F.least("size", "p_size") >= percent * F.greatest("size", "p_size")
-    pairs = members.join(pivots, (F.col("key") == F.col("p_key")) & (F.col("h") > F.col("p_h")) & alike)
-    pairs = pairs.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-    pairs = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
-    likely = save(_likely(pairs, percent))
-    pairs = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    links = save(_confirmed(pairs, percent))
+    linkable = sketches.where("set_id is not null and doc_id is not null")
+    one = F.max(F.struct("n_shingles", "signature", "keys")).alias("x")  # alike in all rows of a set
+    reps = linkable.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), one)
+    reps = save(reps.select(F.monotonically_increasing_id().alias("id"), "set_id", "first_doc", F.col("x.n_shingles").alias("size"), "x.signature", "x.keys"))
+
+    keys = save(reps.select("id", "size", F.explode("keys").alias("key")))
+    order = F.struct(F.xxhash64("id").alias("h"), "id", "size")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("pivot")).where("n > 1")
+    members = save(join_dealt(keys, buckets, "key"))
+    wanted = reps.join(members.select("id").distinct(), "id", "left_semi")
+    sets = _sets(maybe_in(docs, "doc_id", bit_filter(wanted, "first_doc")), words)
+    links = _links(members, reps, sets, percent)
     labels = components(links)
 
-    large = members.where(f"n > {FEW}").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    blocks = F.ceil(F.col("volume") / BLOCK).cast("int")
-    live = save(large.join(open_, "key", "left_semi").select("key", "id", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block")))
+    large = members.where(f"n > {FEW}").select("key", "id", "size").join(labels, "id", "left")
+    live = save(_open_buckets(save(large.withColumn("label", F.coalesce("label", "id")))))
     if not live.isEmpty():
-        rows = live.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        other = F.when(F.col("block") < F.col("first"), F.expr("sequence(first, first + rest - 1)")).otherwise(F.expr("sequence(0, first + rest - 1)"))
+        rows = live.join(reps.select("id", "set_id"), "id").join(sets, "set_id").withColumn("other", F.explode(other))
         rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "shingles")
         more = save(_block_links(rows, percent))
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
-    out = sketches.select("doc_id", "n_shingles", "one", "two")
-    own = classes.join(labels, "id", "left").withColumn("id", F.coalesce("label", "id")).drop("label")
-    out = out.join(own, ["one", "two", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+            labels = components(links.select("a", "b").unionByName(more))
+    # The smallest doc_id of each component, over its classes.
+    own = save(reps.select("id", "set_id", "first_doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    first = own.groupBy("label").agg(F.min("first_doc").alias("component"))
+    own = join_dealt(own, first, "label").select("set_id", "component")
+    out = join_dealt(sketches.select("doc_id", "text_hash", "n_shingles", "set_id"), own, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+    found = near_dedup(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_SQL = r"""

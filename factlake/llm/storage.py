@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 BITS_PER_BUCKET = 32768
+#: A key with more than 1 / HOT_SHARE of all rows, and more than HOT_ROWS, is dealt over SALTS tasks when it is joined.
+HOT_SHARE, HOT_ROWS, SALTS = 4096, 500, 256
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new, unused folder name below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests on one
-    machine) a temporary folder is chosen and stored for the session.
+    The setting is read from the session. Where it is unset (tests on one
+    machine) the folder is below the warehouse, which executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("factlake.scratch.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="factlake-")
-        spark.conf.set("factlake.scratch.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/factlake-{uuid.uuid4().hex}"
 
 
@@ -88,6 +85,34 @@ def maybe_in(df: DataFrame, column: str, filter_: DataFrame, bits: int = 1 << 24
     )
 
 
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The values of ``key`` with many of the rows: HOT_SHARE values at most, whatever the size of ``df``; None if there are none."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    least = F.lit(df.count() // HOT_SHARE)
+    found = counts.where(F.col("_n") > least).select(key).collect()
+    return df.sparkSession.createDataFrame(found, StructType([StructField("_key", df.schema[key].dataType)])) if found else None
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | bool = False) -> DataFrame:
+    """Join ``left`` to ``right``, whose rows are few per key, by ``key``; no key of ``left`` is one task's.
+
+    The rows of its hot keys are dealt over SALTS tasks, to each of which the
+    rows that ``right`` has for them are sent. ``left`` is read twice unless
+    ``hot`` is given, so it should be a stored table. Columns but ``key`` have
+    different names. Where a row goes depends on its content and file only, so
+    a task that runs again deals alike.
+    """
+    hot = hot_keys(left, key) if hot is False else hot
+    if hot is None:
+        return left.join(right, key, how)
+    is_hot = F.col("_key").isNotNull()
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    mine = left.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_salt", salt).drop("_key")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    theirs = right.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_salt", F.explode(salts)).drop("_key")
+    return mine.join(theirs, [key, "_salt"], how).drop("_salt")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key; tasks cut their own rows before the shuffle."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

@@ -17,6 +17,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Bytes of a long text that are hashed at a time.
+SEGMENT = 1 << 22
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -87,28 +89,75 @@ def word_counts(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _hash_long_word(data: np.ndarray) -> np.ndarray:
+    """The hash of one word, a piece at a time."""
+    total, at = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for k in range(0, len(data), SEGMENT):
+        piece = data[k : k + SEGMENT]
+        total += (BYTE_VALUE[piece] * powers(BASE, len(piece))).sum(dtype=np.uint64) * at
+        at *= np.uint64(pow(BASE, len(piece), 1 << 64))
+    return mix(total)
+
+
+def _word_hashes(chunk: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, and the first word of each text (one more than texts)."""
+    starts, ends = word_bounds(chunk, own)
+    sums = np.zeros(len(chunk) + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[chunk] * powers(BASE, len(chunk)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(chunk) + 1)[starts]), np.searchsorted(starts, own)
+
+
+def segments(text: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of a text of about SEGMENT bytes that end at a blank; a longer word is a range of its own."""
+    at = 0
+    while at < len(text):
+        to = min(len(text), at + SEGMENT)
+        if to < len(text):
+            blank = np.flatnonzero(IS_BLANK[text[at:to]])
+            to = at + int(blank[-1]) + 1 if len(blank) else to
+            while not len(blank) and to < len(text):  # the rest of a long word
+                blank = np.flatnonzero(IS_BLANK[text[to : to + SEGMENT]])
+                to = to + int(blank[0]) if len(blank) else min(len(text), to + SEGMENT)
+        yield at, to
+        at = to
+
+
+def hashed_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, first) for some texts at a time: the 64-bit hashes of all their words, the first of each text.
+
+    A-Z count as a-z with ``lower``. A long text comes alone and is hashed in
+    segments, so beside the text about 40 bytes a byte of SEGMENT and 8 bytes
+    a word are held.
+    """
+    data, offsets = text_bytes(column)
+    for a, b in parts(offsets):
+        text, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        with np.errstate(over="ignore"):
+            if len(text) <= SEGMENT or b - a > 1:
+                yield _word_hashes(LOWER[text] if lower else text, own)
+                continue
+            found = []
+            for at, to in segments(text):
+                part = LOWER[text[at:to]] if lower else text[at:to]
+                word = len(part) > SEGMENT
+                found.append(_hash_long_word(part) if word else _word_hashes(part, np.array([0, len(part)]))[0])
+            found = np.concatenate(found)
+            yield found, np.array([0, len(found)])
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Per text its set of distinct shingles, as sorted 64-bit hashes.
 
     A-Z count as a-z. A text with fewer words is one shingle, its whole
     sequence; one without words has the empty set.
     """
-    data, offsets = text_bytes(column)
     step = np.uint64(0xD6E8FEB86659FD93)
-    for a, b in parts(offsets):
-        own = offsets[a : b + 1] - offsets[a]
-        chunk = LOWER[data[offsets[a] : offsets[b]]]
-        starts, ends = word_bounds(chunk, own)
+    for hashes, first in hashed_words(column):
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(chunk) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[chunk] * powers(BASE, len(chunk)), out=sums[1:])
-            hashes = mix((sums[ends] - sums[starts]) * powers(INVERSE, len(chunk) + 1)[starts])
-            first = np.searchsorted(starts, own)
             runs = np.full(max(0, len(hashes) - words + 1), words, np.uint64)
             for k in range(words):
                 runs = mix(runs * step + hashes[k : k + len(runs)])
-            for i in range(b - a):
-                lo, hi = first[i], first[i + 1]
+            for lo, hi in zip(first[:-1], first[1:], strict=True):
                 if hi - lo >= words:
                     yield np.unique(runs[lo : hi - words + 1])
                 elif hi > lo:

@@ -74,10 +74,49 @@ def test_near(docs, odd):
         rows.append((200 + k, " ".join(words).upper() if k % 7 == 0 else " ".join(words)))
     rows += [(400 + k, rows[30 + k][1]) for k in range(10)]
     for n, percent in ((3, 85), (5, 80)):
-        got = [tuple(r) for r in near_dedup(docs(rows), n, percent).collect()]
+        got = [tuple(r)[:4] for r in near_dedup(docs(rows), n, percent).collect()]
         assert sorted(got, key=repr) == expect_near(rows, n, percent)
 
 
+def test_near_with_a_repeated_id(docs):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    for rows in ([(5, a), (5, b), (7, b + " more")], [(5, b), (5, a), (7, b + " more")]):
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup(docs(rows), 3, 85).collect())
+        assert got == [(5, 5, True), (5, 5, True), (7, 5, False)]
+
+
+def test_hot_keys_are_dealt(spark, docs, monkeypatch):
+    """Everything is hot, and blocks hold few rows: the same components as by brute force."""
+    from factlake.llm import near_dedup as near
+    from factlake.llm import storage
+
+    monkeypatch.setattr(storage, "HOT_ROWS", 1)
+    monkeypatch.setattr(storage, "SALTS", 4)
+    monkeypatch.setattr(near, "ROWS", 20)
+    monkeypatch.setattr(near, "FEW", 3)
+    rng = random.Random(6)
+    rows = []
+    for k in range(90):  # some groups around one template, so that large buckets stay open
+        words = [f"t{i}" for i in range(100)] + [f"g{k % 6}x{i}" for i in range(14)]
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    got = [tuple(r)[:4] for r in near_dedup(docs(rows), 3, 85).collect()]
+    assert sorted(got, key=repr) == expect_near(rows, 3, 85)
+
+
+def test_words_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    from factlake.llm import words
+
+    texts = pa.array(["Aa bb cc " * 200, "x" * 1000 + " end", "y" * 900, None, "short one", " " * 700])
+    whole = [s.tolist() for s in words.shingle_sets(texts, 3)]
+    monkeypatch.setattr(words, "SEGMENT", 256)
+    monkeypatch.setattr(words, "parts", lambda offsets: ((k, k + 1) for k in range(len(offsets) - 1)))
+    assert [s.tolist() for s in words.shingle_sets(texts, 3)] == whole
+
+
 def test_posterior_bounds_rise():
     steps = least_matches(85)
     assert all(m < n for n, m in steps) and [m for _, m in steps] == sorted(m for _, m in steps)

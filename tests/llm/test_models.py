@@ -34,6 +34,31 @@ def test_language(spark, odd):
     assert identify(df.where("doc_id < 0")).count() == 0
 
 
+def test_language_sizes_by_plain_zstandard(spark, monkeypatch):
+    """Sizes recomputed one by one; languages in several passes; a long text keeps its margin."""
+    import zstandard
+
+    from factlake.llm import language_id
+
+    monkeypatch.setattr(language_id, "GROUP", 2)
+    rng = random.Random(2)
+    alphabets = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    say = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    rows = [(k, say(alphabets[k % 5], rng.randrange(5, 80)), f"l{k % 5}") for k in range(300)] + [(900, say("abcde", 150_000), None), (902, say("abcde", 12_000), None), (901, "Zz", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = learn(df)
+    assert [len(g) for g in models] == [2, 2, 1]
+    got = {r["doc_id"]: r for r in predict(df, models).collect()}
+    for i, text, _ in rows:
+        data, sizes = language_id.bare(text), []
+        for lang, content in (x for g in models for x in g):
+            zipper = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(zipper.compress(data[k : k + (1 << 16)])) for k in range(0, len(data), 1 << 16)), lang))
+        best, second = sorted(s for s, _ in sizes)[:2]
+        assert (best, got[i]["lang_pred"]) in sizes and abs(got[i]["score"] - (second - best) / second) < 1e-12
+    assert got[900]["score"] > 0.8 * got[902]["score"]
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(3)
     for _ in range(30):
