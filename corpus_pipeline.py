@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.llm.byte_bpe import encode_documents
 from factlake.llm.exact_dedup import exact_dedup, normalised
-from factlake.llm.language_id import identify
+from factlake.llm.language_id import judge, learn_outside
 from factlake.llm.mixing import mix_sources
 from factlake.llm.near_dedup import near_dedup
 from factlake.llm.storage import read_table, save
@@ -17,29 +17,57 @@ LEAST_MARGIN = 0.002
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that language ID rejects: no letter, or a narrow margin."""
-    rejected = identify(docs, LEAST_MARGIN).where("rejected").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null and text is not null")
-    return docs.where("doc_id is not null").join(rejected, "doc_id", "left_anti").select(docs.columns).unionByName(nameless)
+    """Drop the documents that language ID rejects: no letter, or a narrow margin.
+
+    Each row is judged by its own text; rows whose text is null or has no
+    letter go. A row with a null doc_id or a repeated one is judged as any
+    other. An empty table stays empty; other columns come through unchanged. A
+    very long text is compressed in pieces within one task.
+    """
+    name = "_" + "_".join(docs.columns)  # no other column has it
+    judged = judge(docs, learn_outside(docs), LEAST_MARGIN, name)
+    return judged.where(~F.col(name)["rejected"]).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
+    """Keep one document of each group of equal texts (blanks don't count).
+
+    The longest text stays, then the smallest doc_id; a group without ids keeps
+    one row. Null and empty texts are one group. Of repeated rows one stays. An
+    empty table stays empty; other columns come through unchanged, of the row
+    that is first by a hash of all columns where rows tie. A very long text is normalised
+    within the JVM, whole.
+    """
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     texts = docs.withColumn("_norm", F.sha2(normalised(), 256))
     same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_norm") == F.col("_sha"))
-    first = Window.partitionBy("_norm", "doc_id").orderBy(F.length("text").desc(), "text")
+    first = Window.partitionBy("_norm", "doc_id").orderBy(F.length("text").desc_nulls_last(), "text", F.xxhash64(*docs.columns))
     return texts.join(kept, same).withColumn("_row", F.row_number().over(first)).where("_row = 1").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five words, 0.8)."""
-    dropped = near_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keep one document of each group of near-duplicates (five words, 0.8).
+
+    Which row stays goes by doc_id and text, not by doc_id alone: a row that
+    repeats a dropped row's id with another text is judged by that text. Rows with a null doc_id, or a text without words, are
+    kept. Repeated rows of the kept id and text stay as they came. An empty
+    table stays empty; other columns come through unchanged. A very long text
+    is hashed in segments.
+    """
+    dropped = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    gone = (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    return own.join(dropped, gone, "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix takes it."""
+    """Take each document as often as the mix takes it.
+
+    Null, empty and blank texts are never taken. Null ids and sources are rows
+    like others, a null source a source of its own. Rows that repeat an id and
+    text are drawn one by one. An empty table stays empty; other columns come
+    through unchanged. A very long text is counted in segments.
+    """
     taken = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies")
     taken = taken.groupBy("_id", "_hash").agg(F.max("copies").alias("_copies"))
     texts = docs.withColumn("_own", F.xxhash64("text"))
@@ -48,7 +76,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the decoded text's digest."""
+    """Token ids of each text, and the decoded text's digest.
+
+    Returns doc_id, n_tokens, ids, decoded_sha256, one row per row. A null text
+    counts as empty and has no ids; null and repeated ids come back as they
+    are; an empty table gives an empty result; other columns are ignored. A
+    text is held whole by one task.
+    """
     coded = encode_documents(docs)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
