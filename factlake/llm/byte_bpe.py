@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ from factlake.llm.storage import read_table
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Characters of a text whose pieces are listed at once.
+LONG = 1 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -40,18 +45,20 @@ class ByteBpe:
 
     The library merges listed pairs only, while a rank file allows any pair
     whose bytes together are a token; so every such pair is listed, in the
-    order of the token's rank. Where two pairs give the same token and
-    overlap, the list can't say which is further left: each distinct piece is
-    therefore compared once with the rank rule itself, whose ids count.
+    order of the token's rank. The list can't say which of two different pairs
+    of one token is further left. Two such pairs only meet in a piece that
+    holds the token twice, and the token has three bytes or more, or there
+    were no two ways to cut it. So wherever no three bytes of a piece occur
+    twice the library's ids are those of the ranks; only the other pieces are
+    merged by rank here. ``n_by_rank`` counts them.
     """
 
     def __init__(self, data: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        ranks = read_ranks(data)
+        self.ranks = ranks = read_ranks(data)
         chars = byte_characters()
         shown = {token: "".join(map(chars.__getitem__, token)) for token in ranks}
         merges = []
@@ -59,15 +66,49 @@ class ByteBpe:
             for cut in range(1, len(token)):
                 if token[:cut] in ranks and token[cut:] in ranks:
                     merges.append((shown[token[:cut]], shown[token[cut:]]))
-        self.library = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges))
+        # A piece that is a token as a whole is that token, whatever the merges give.
+        self.library = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.rule = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.pieces_of = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         back = {c: b for b, c in enumerate(chars)}
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token_bytes[rank] = bytes(back[c] for c in shown[token])
+        self.token_length = np.array([len(t) for t in self.token_bytes])
         self.known: dict[str, bytes] = {}
+        self.n_by_rank = 0
+
+    def merge_by_rank(self, piece: bytes) -> list[int]:
+        """Merge the neighbours that give the token of the lowest rank, the leftmost first, until there are none."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        ranks, n = self.ranks, len(piece)
+        after, before = array("q", range(1, n + 2)), array("q", range(-1, n))  # of the part that starts here
+        gone = bytearray(n + 1)  # starts no part any more
+
+        def pair(at: int) -> int | None:
+            """The rank of what the part at ``at`` and the next one give."""
+            return ranks.get(piece[at : after[after[at]]]) if after[at] < n else None
+
+        waiting = [rank << 40 | at for at in range(n - 1) if (rank := pair(at)) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            entry = heapq.heappop(waiting)
+            at = entry & ((1 << 40) - 1)
+            if gone[at] or pair(at) != entry >> 40:  # merged since
+                continue
+            cut = after[at]
+            after[at], gone[cut] = after[cut], 1
+            if after[at] < n:
+                before[after[at]] = at
+            for start in (at, before[at]):
+                if start >= 0 and (rank := pair(start)) is not None:
+                    heapq.heappush(waiting, rank << 40 | start)
+        out, at = [], 0
+        while at < n:
+            out.append(ranks[piece[at : after[at]]])
+            at = after[at]
+        return out
 
     def learn(self, pieces: list[str]) -> None:
         """Encode the pieces that aren't known yet; ids are kept as little-endian 32-bit integers."""
@@ -75,29 +116,53 @@ class ByteBpe:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(set(pieces))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        alone = []
+        for piece in new:
+            raw = piece.encode("utf-8", "replace")
+            if len(raw) > 3 and len({raw[k : k + 3] for k in range(len(raw) - 2)}) < len(raw) - 2:
+                self.known[piece] = np.asarray(self.merge_by_rank(raw), "<u4").tobytes()
+                self.n_by_rank += 1
+            else:
+                alone.append(piece)
+        for at in range(0, len(alone), 20_000):
+            part = alone[at : at + 20_000]
             for piece, found in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = self.rule.encode_single_piece(piece.encode())
-                self.known[piece] = np.asarray(found.ids if found.ids == ids else ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        pieces = self.pieces_of(text)
+                self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The matches of the pattern; those of a long text come some at a time."""
+        if len(text) <= LONG:
+            yield self.pattern.findall(text)
+            return
+        matches = (m.group() for m in self.pattern.finditer(text))
+        while part := list(islice(matches, LONG // 4)):
+            yield part
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return list(map(self.known.__getitem__, pieces))
         except KeyError:
             self.learn(pieces)
-            return b"".join(map(self.known.__getitem__, pieces))
+            return list(map(self.known.__getitem__, pieces))
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join(b"".join(self.encode_pieces(part)) for part in self.pieces(text))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
+    def n_split(self, ids: np.ndarray, decoded: bytes) -> int:
+        """How many tokens start or end within a character."""
+        inner = np.append((np.frombuffer(decoded, np.uint8) & 0xC0) == 0x80, False)
+        ends = np.cumsum(self.token_length[ids])
+        return int((inner[ends - self.token_length[ids]] | inner[ends]).sum()) if len(ids) else 0
+
     def offsets(self, ids: list[int]) -> tuple[list[int], list[int]]:
         """Code-point start and end of each token; a token that holds part of a
         character spans that whole character."""
         data = np.frombuffer(self.decode(ids), np.uint8)
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids]).astype(int)
+        ends = np.cumsum(self.token_length[np.array(ids, int)]).astype(int)
         leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         starts = np.concatenate([[0], ends[:-1]]).astype(int) if len(ids) else ends
         first = np.minimum(leads[np.minimum(starts + 1, len(data))] - 1, leads[-1])
@@ -132,7 +197,9 @@ def encode_documents(
     token_start and token_end in code points. A null text counts as empty and
     has no ids. Rows are independent: repeated rows and ids are returned as
     they come, null ids too; an empty table gives an empty result; other
-    columns are ignored. A text is held whole by one task.
+    columns are ignored. A text is held whole by one task, which lists its
+    pieces some at a time; a single piece of n bytes (a run of letters, say)
+    takes some 60 n bytes while it is merged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
     schema = "doc_id long, ids array<int>, decoded binary" + ", token_start array<int>, token_end array<int>" * offsets
@@ -163,7 +230,8 @@ def digest_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     """As ``encode_documents``, but with digests of the ids and of the decoded bytes.
 
     Returns doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned
-    32-bit integers) and decoded_sha256. The ids never leave the worker, so the
+    32-bit integers), decoded_sha256 and n_split_tokens (tokens whose offsets
+    start or end within a character). The ids never leave the worker, so the
     result stays a few dozen bytes a document. Edge cases as there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())
@@ -175,13 +243,14 @@ def digest_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
             rows = []
             for text in _texts(batch.column(1)):
                 ids = bpe.encode(text)
-                decoded = bpe.decode(np.frombuffer(ids, "<u4").tolist())
-                rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(decoded).hexdigest()))
-            kinds = (pa.int64(), pa.string(), pa.string())
+                numbers = np.frombuffer(ids, "<u4")
+                decoded = bpe.decode(numbers.tolist())
+                rows.append((len(numbers), sha(ids).hexdigest(), sha(decoded).hexdigest(), bpe.n_split(numbers, decoded)))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split_tokens long")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

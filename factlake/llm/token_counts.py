@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.byte_bpe import REMEMBERED, VOCABULARY, read_ranks
+from factlake.llm.byte_bpe import VOCABULARY, tokenizer
 from factlake.llm.storage import read_table, text_or_empty
 
 #: Pre-tokens of a leaf when a tree is built.
@@ -22,24 +22,11 @@ class Counter:
     """Tokens of single pre-tokens, remembered by the worker."""
 
     def __init__(self, data: bytes, pattern: str):
-        import regex
-        import tiktoken
-
-        self.pattern = regex.compile(pattern)
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(data), special_tokens={})
-        self._encode = encoding._core_bpe.encode_single_piece
-        self.known: dict[str, int] = {}
+        self.bpe = tokenizer(data, pattern)
+        self.pattern = self.bpe.pattern
 
     def count(self, pieces: list[str]) -> list[int]:
-        try:
-            return [self.known[p] for p in pieces]
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for p in set(pieces):
-                if p not in self.known:
-                    self.known[p] = len(self._encode(p.encode("utf-8", "replace")))
-            return [self.known[p] for p in pieces]
+        return [len(ids) // 4 for ids in self.bpe.encode_pieces(pieces)]
 
 
 class PretokenTree:
@@ -140,6 +127,8 @@ class PretokenTree:
             changed = {i // 2 for i in changed if i > 1}
 
 
+#: A mail address: tried at the start of a run only and never given back, so that a long run is read once.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+"
 EDIT = "array<struct<start:int,stop:int,replacement:string>>"
 
 
@@ -185,25 +174,24 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(listed, "doc_id", "left")
 
 
-def redaction(docs: DataFrame) -> Column:
-    """Three edits of each text: its first mail address and its first run of six
-    digits or more are masked, and a line with its source is added at the end."""
-    text = text_or_empty()
-    mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
+def with_redactions(docs: DataFrame) -> DataFrame:
+    """doc_id, text and three edits of each text: its first mail address and its
+    first run of six digits or more are masked, and a line with its source is
+    added at the end. Patterns are linear in the text, whatever it holds."""
 
-    def mask(body: Column, pattern: str, new: str) -> tuple[Column, Column]:
-        found = F.regexp_extract(body, pattern, 0)
-        start = F.when(F.length(found) > 0, F.instr(body, found) - 1)
-        edit = F.struct(start.cast("int").alias("start"), (start + F.length(found)).cast("int").alias("stop"), F.lit(new).alias("replacement"))
-        return F.when(start.isNotNull(), edit), F.when(start.isNotNull(), F.concat(F.substring(body, F.lit(1), start), F.lit(new), F.substring(body, start + F.length(found) + 1, F.length(body)))).otherwise(body)
+    def edit(start: Column | str, length: Column | str, new: Column) -> Column:
+        start = F.col(start) if isinstance(start, str) else start
+        return F.struct(start.cast("int").alias("start"), (start + length).cast("int").alias("stop"), new.alias("replacement"))
 
-    first, body = mask(text, mail, "<mail>")
-    second, body = mask(body, "[0-9]{6,}", "<number>")
-    end = F.length(body).cast("int")
-    third = F.struct(end.alias("start"), end.alias("stop"), F.concat(F.lit("\nSource: "), F.coalesce("source", F.lit("unknown"))).alias("replacement"))
-    return F.array(first, second, third).cast(EDIT)
+    docs = docs.select("doc_id", "text", text_or_empty().alias("body"), F.coalesce("source", F.lit("unknown")).alias("source"))
+    for k, (pattern, new) in enumerate(((MAIL, "<mail>"), ("[0-9]{6,}", "<number>"))):
+        docs = docs.withColumn("found", F.regexp_extract("body", pattern, 0)).withColumn("n", F.length("found")).withColumn("at", F.instr("body", F.col("found")) - 1)
+        rest = F.substring("body", F.col("at") + F.col("n") + 1, F.length("body"))
+        docs = docs.withColumn(f"edit{k}", F.when(F.col("n") > 0, edit("at", F.col("n"), F.lit(new))))
+        docs = docs.withColumn("body", F.when(F.col("n") > 0, F.concat(F.substring("body", F.lit(1), F.col("at")), F.lit(new), rest)).otherwise(F.col("body")))
+    last = edit(F.length("body"), F.lit(0), F.concat(F.lit("\nSource: "), F.col("source")))
+    return docs.select("doc_id", "text", F.array("edit0", "edit1", last).cast(EDIT).alias("edits"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return count_edited(docs.withColumn("edits", redaction(docs)))
+    return count_edited(with_redactions(read_table(spark, sf_dir, "documents")))
