@@ -7,7 +7,6 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 BITS_PER_BUCKET = 32768
 #: A key with more than 1 / HOT_SHARE of all rows, and more than HOT_ROWS, is dealt over SALTS tasks when it is joined.
@@ -89,8 +88,8 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     """The values of ``key`` with many of the rows: HOT_SHARE values at most, whatever the size of ``df``; None if there are none."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
     least = F.lit(df.count() // HOT_SHARE)
-    found = counts.where(F.col("_n") > least).select(key).collect()
-    return df.sparkSession.createDataFrame(found, StructType([StructField("_key", df.schema[key].dataType)])) if found else None
+    found = [F.lit(r[0]) for r in counts.where(F.col("_n") > least).select(key).collect()]
+    return df.sparkSession.range(1).select(F.explode(F.array(*found)).alias("_key")) if found else None
 
 
 def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | bool = False) -> DataFrame:

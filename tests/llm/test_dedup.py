@@ -39,6 +39,24 @@ def test_exact_with_colliding_digests(docs, odd):
     assert sorted(got, key=repr) == sorted((r[:4] for r in expect_exact(rows)), key=repr)
 
 
+def test_exact_index_over_batches(docs, odd, spark, monkeypatch):
+    """Rows of later batches meet those of earlier ones, through runs that were merged and runs that weren't."""
+    from factlake.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "FANOUT", 2)
+    weak = lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 2))
+    for digest in (module.sha256, weak):
+        index, seen = module.DigestIndex(spark, digest), []
+        for b in range(3):
+            batch = [(i, t) for i, t in odd if (i or 0) % 3 == b] + [(100 * b + k, f"text  {k % (9 + b)}" + " " * (k % 4)) for k in range(60, 90)]
+            batch += [(-(2**63), f"text {b}")]
+            seen += batch
+            want = expect_exact(seen)
+            got = [tuple(r)[:4] for r in index.add(docs(batch)).collect()]
+            assert len(got) == len(batch) and set(got) <= {w[:4] for w in want}
+        assert [r.level for r in index.runs] == [1, 0]
+
+
 def shingles(text, n):
     words = [w for w in BLANK.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     if not words:
