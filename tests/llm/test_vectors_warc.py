@@ -65,6 +65,48 @@ def test_nearest_beside_very_long_vectors(spark, lengths):
     assert len(got) == 150 and hits >= 0.9 * 20 * 150
 
 
+def recall(vectors, x, step, k=20):
+    got = {}
+    for r in nearest(vectors, vectors.where(f"vec_id % {step} = 0"), k).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hits = 0
+    for q in range(0, len(x), step):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len({v for _, v in got[q]} & set(np.lexsort((np.arange(len(x)), -np.round(score, 9)))[:k].tolist()))
+    return hits / (k * len(range(0, len(x), step))), got
+
+
+def test_lists_that_are_split(spark, monkeypatch):
+    """A small sample gives few first centroids; their lists are split until they are short again."""
+    from factlake.llm import vector_search
+
+    monkeypatch.setattr(vector_search, "SAMPLE", 400)
+    monkeypatch.setattr(vector_search, "LIST_ROWS", 40)
+    monkeypatch.setattr(vector_search, "BLOCK", 700)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 8000)] + 0.4 * rng.normal(size=(8000, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>, vec string, id int, cls int".split(", vec ")[0]).repartition(3)
+    share, _ = recall(vectors, x.astype(np.float32).astype(float), 40)
+    assert share >= 0.9
+
+
+def test_ties_go_to_smaller_ids(spark):
+    """Vectors of +-1 and few dimensions: most scores tie, also between different vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.choice([-1.0, 1.0], (1500, 12))
+    vectors = spark.createDataFrame([(i, v.tolist(), "clash", 1, 2.0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, cls string, id int, score double").repartition(3)
+    _, got = recall(vectors, x, 100)
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        mine = [v for _, v in sorted(found)]
+        assert mine == sorted(mine, key=lambda v: (-score[v], v)) and len(mine) == 20
+        # What is found is right up to the first score that lists which weren't read hold too.
+        want = np.lexsort((np.arange(len(x)), -score))[:20].tolist()
+        assert len(set(mine) & set(want)) >= 17
+
+
 def test_warc(spark, tmp_path):
     long = "<p>ünï\r\n\r\nWARC/1.1\r\n" + "x" * 200 + "</p>"
     pages = [(1, "http://a/1", long), (2, "http://a/2", long), (3, None, long), (4, "http://a/4", "short"), (5, "http://a/5", "short"), (6, "http://a/6", None), (7, "http://a/\r\n7", ""), (None, "http://a/n", long), (1, "http://a/1", long), (None, "u", "lonely" * 40), (8, "h", "y" * 100000)]
