@@ -58,6 +58,20 @@ def seen_by(rows: DataFrame, facts: DataFrame, visible: Visible, key: str) -> Da
     return rows.join(own, (F.col(key) == F.col("_key")) & (F.col("_viewer").isNull() | (F.col("_viewer") == F.col("viewer_id"))), "left_semi")
 
 
+def for_viewers(facts: DataFrame, visible: Visible, key: str, viewers: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` (or the facts themselves), once for each viewer who sees the fact's evidence whole.
+
+    Access comes first: what everyone sees is paired with the viewers, what is
+    private only with its own.
+    """
+    rows = facts if rows is None else rows
+    everyone, own = all_visible(facts, visible, key)
+    ids = viewers.select("viewer_id").distinct()
+    public = rows.join(everyone, key, "left_semi").join(small(ids), how="cross")
+    private = rows.join(own.join(small(ids), "viewer_id", "left_semi"), key)
+    return public.unionByName(private.select(public.columns))
+
+
 def visible_evidence(rows: DataFrame, visible: Visible, key: str) -> DataFrame:
     """``rows(viewer_id, key, evidence_doc_ids)`` with the ids that the viewer sees, in order."""
     cited = rows.select("viewer_id", key, F.posexplode("evidence_doc_ids").alias("pos", "doc_id"))

@@ -23,3 +23,37 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1,
 
 def sorted_set(column: Column | str) -> Column:
     return F.array_sort(F.collect_set(column))
+
+
+def holding(rows: DataFrame, label: Column, names: DataFrame, wanted: Column) -> DataFrame:
+    """Pairs of ``rows`` and ``names`` where ``label`` holds ``wanted``.
+
+    A few names are broadcast. Many meet the labels by their first three
+    characters, which a label that holds the name has too; only names of one or
+    two characters are then compared with every label.
+    """
+    rows, names = rows.withColumn("_label", label), names.withColumn("_wanted", wanted)
+    held = F.contains("_label", "_wanted")
+    if names.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(names), held).drop("_label", "_wanted")
+    places = F.expr("sequence(1, greatest(length(_label) - 2, 1))")
+    grams = rows.withColumn("_gram", F.explode(F.array_distinct(F.transform(places, lambda k: F.substring("_label", k, F.lit(3))))))
+    long = grams.join(names.where("length(_wanted) > 2").withColumn("_gram", F.substring("_wanted", 1, 3)), "_gram").where(held).drop("_gram")
+    short = rows.join(small(names.where("length(_wanted) <= 2")), held)
+    return long.unionByName(short.select(long.columns)).drop("_label", "_wanted")
+
+
+def paired(rows: DataFrame, asked: DataFrame, condition: Column) -> DataFrame:
+    """Every row with every one of ``asked`` that fits ``condition``.
+
+    A stated set of queries against all rows: a small one is broadcast, a
+    larger one is cut in blocks of SMALL, and each block meets all rows, which
+    are dealt over tasks.
+    """
+    n = asked.count()
+    if n <= SMALL:
+        return rows.join(F.broadcast(asked), condition)
+    blocks, tasks = -(-n // SMALL), 256
+    left = rows.withColumn("_task", F.pmod(F.xxhash64(*rows.columns), F.lit(tasks))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+    return left.join(right, ["_block", "_task"]).where(condition).drop("_block", "_task")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from factlake.operators.common import first_rows
 
 #: Documents of a purge batch; traces that are looked at for reuse.
 PURGE_BATCH, TRACES = 500, 5
+#: Ids whose requests are admitted at once while they all fit.
+RANGE = 10_000
 
 
 def held_docs(docs: DataFrame, holds: DataFrame, participants: DataFrame) -> DataFrame:
@@ -55,24 +58,56 @@ def spend_by_class(ledger: DataFrame, now: Column, alert: int, limit: int) -> Da
 
 
 def spend_admission(requests: DataFrame, limit: int) -> DataFrame:
-    """In order of arrival a request is admitted while used + tokens stays within ``limit``; refused ones use nothing.
+    """In order of entry_id a request is admitted while used + tokens stays within ``limit``; refused ones use nothing.
 
-    The order of a workspace's month is one sequence by nature; it is folded
-    in one array per workspace and month.
+    A workspace's month is one sequence by nature, but most of it needs no
+    sequence: as long as the running total of whole ranges of RANGE ids stays
+    within the limit all of them are admitted, and what is larger than the
+    room left after those is refused. Only the rest is folded in order, row by
+    row as it streams by, so nothing but the amount used is held.
     """
     keys = ["workspace_id", "month"]
-    rows = requests.withColumn("month", F.date_format("created_at", "yyyy-MM"))
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entry_id", "tokens"))).alias("r"))
-    fold = f"""aggregate(r, named_struct('used', 0L, 'out', cast(array() as array<struct<entry_id: bigint, admitted: boolean>>)),
-      (s, x) -> named_struct('used', s.used + if(s.used + x.tokens <= {limit}L, x.tokens, 0L), 'out', array_append(s.out, named_struct('entry_id', x.entry_id, 'admitted', s.used + x.tokens <= {limit}L))))"""
-    return listed.select(*keys, F.explode(F.expr(fold)["out"]).alias("o")).select(*keys, "o.*")
+    rows = requests.select("workspace_id", F.date_format("created_at", "yyyy-MM").alias("month"), "entry_id", "tokens", F.floor(F.col("entry_id") / RANGE).alias("range"))
+    ranges = rows.groupBy(*keys, "range").agg(F.sum("tokens").alias("used"), F.min("tokens").alias("least"))
+    # A range with a negative amount (a refund) and all after it are folded.
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("total", F.sum("used").over(before)).withColumn("fits", F.max((F.col("total") > limit) | (F.col("least") < 0)).over(before) == F.lit(False))
+    room = ranges.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("total"))), F.lit(0)).cast("long").alias("start"), F.min("least").alias("lowest"))
+    rows = rows.join(ranges.select(*keys, "range", "fits"), [*keys, "range"]).join(room, keys)
+    refused = (F.col("tokens") > limit - F.col("start")) & (F.col("lowest") >= 0)
+    plain = rows.where("fits").withColumn("admitted", F.lit(True)).unionByName(rows.where(~F.col("fits") & refused).withColumn("admitted", F.lit(False)))
+    rest = rows.where(~F.col("fits") & ~refused).select(*keys, "entry_id", "tokens", "start").repartition(*keys).sortWithinPartitions(*keys, "entry_id")
+
+    def fold(batches):
+        held, used = None, 0
+        for batch in batches:
+            out = []
+            for workspace, month, tokens, start in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                if (workspace, month) != held:
+                    held, used = (workspace, month), start
+                fits = used + tokens <= limit
+                used += tokens if fits else 0
+                out.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.bool_())], [*keys, "entry_id", "admitted"])
+
+    folded = rest.mapInArrow(fold, "workspace_id string, month string, entry_id long, admitted boolean")
+    return plain.select(*keys, "entry_id", "admitted").unionByName(folded)
 
 
 def reconcile_reservations(ledger: DataFrame, actuals: DataFrame, limit: int) -> DataFrame:
-    """Estimates replaced by ``actuals(entry_id, actual)``; rows at which the month's running total passes the limit are marked."""
-    rows = ledger.join(actuals, "entry_id", "left").withColumn("tokens", F.coalesce("actual", "tokens")).withColumn("month", F.date_format("created_at", "yyyy-MM"))
-    run = F.sum("tokens").over(Window.partitionBy("month").orderBy("created_at", "entry_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", run).withColumn("over_limit", F.col("running") > limit).drop("actual")
+    """Estimates replaced by ``actuals(entry_id, actual)``; rows at which the month's running total passes the limit are marked.
+
+    The total runs per workspace (if the ledger names it) and month: over the
+    sums of its hours, and from there within each hour.
+    """
+    keys = [c for c in ("workspace_id",) if c in ledger.columns] + ["month"]
+    rows = ledger.join(actuals, "entry_id", "left").withColumn("tokens", F.coalesce("actual", "tokens")).withColumns({"month": F.date_format("created_at", "yyyy-MM"), "hour": F.date_format("created_at", "yyyy-MM-dd HH")})
+    hours = rows.groupBy(*keys, "hour").agg(F.sum("tokens").alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    hours = hours.select(*keys, "hour", F.coalesce(before, F.lit(0)).alias("before"))
+    run = F.sum("tokens").over(Window.partitionBy(*keys, "hour").orderBy("created_at", "entry_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(hours, [*keys, "hour"]).withColumn("running", F.col("before") + run)
+    return rows.withColumn("over_limit", F.col("running") > limit).drop("actual", "before", "hour")
 
 
 def work_counts(jobs: DataFrame) -> DataFrame:

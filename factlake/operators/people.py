@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from factlake.functions.identity import normalize_email
 from factlake.functions.text import normalize_name
-from factlake.operators.acl import Visible, seen_by
-from factlake.operators.common import first_rows, small, sorted_set
-from factlake.operators.search import dot, norm
+from factlake.operators.acl import Visible, for_viewers
+from factlake.operators.common import first_rows, paired, sorted_set
+from factlake.operators.search import SAME_MODEL, dot, model, norm
 
 #: Similarity and number of candidates; thresholds of a merge.
 SIMILAR, MOST_CANDIDATES, NAME_CANDIDATES, VERY_SIMILAR, SURE = 0.88, 3, 5, 0.95, 0.95
@@ -65,9 +65,10 @@ def name_candidates(persons: DataFrame, aliases: DataFrame, most: int = NAME_CAN
 
 
 def embedding_candidates(vectors: DataFrame, queries: DataFrame, least: float = SIMILAR, most: int = MOST_CANDIDATES) -> DataFrame:
-    """The few people at least so similar to each of ``queries(id, embedding)``; the table of queries is a parameter."""
-    asked = small(queries.select(F.col("id").alias("q_id"), F.col("embedding").alias("q"), norm("embedding").alias("q_norm")))
-    rows = vectors.select("id", F.col("embedding").alias("v"), norm("embedding").alias("v_norm")).join(asked, (F.col("id") != F.col("q_id")) & (F.size("v") == F.size("q")))
+    """The few people at least so similar to each of ``queries(id, embedding)``, by vectors of the same length and, where both tables name it, model."""
+    asked = queries.select(F.col("id").alias("query_id"), F.col("id").alias("q_id"), F.col("embedding").alias("q"), norm("embedding").alias("q_norm"), model(queries).alias("q_model"))
+    rows = vectors.select("id", F.col("embedding").alias("v"), norm("embedding").alias("v_norm"), model(vectors).alias("v_model"))
+    rows = paired(rows, asked, (F.col("id") != F.col("q_id")) & (F.size("v") == F.size("q")) & F.expr(SAME_MODEL))
     rows = rows.withColumn("similarity", dot("v", "q") / (F.col("v_norm") * F.col("q_norm"))).where(F.col("similarity") >= least)
     return first_rows(rows.select("q_id", "id", "similarity"), ["q_id"], [F.desc(F.round("similarity", 9)), F.col("id")], most, "rank")
 
@@ -177,6 +178,10 @@ def platform_user(aliases: DataFrame, persons: DataFrame, source: str) -> DataFr
     return one.join(person_roots(persons), "canonical_id").select("external_id", F.col("root_id").alias("person_id"))
 
 
+#: People of a document that are paired in one task with as many others.
+PART = 2000
+
+
 def role_weight(role: Column) -> Column:
     return reduce(lambda out, kv: F.when(role == kv[0], kv[1]).otherwise(out), ROLE_WEIGHTS.items(), F.lit(OTHER_ROLE))
 
@@ -192,17 +197,20 @@ def collaboration_edges(participants: DataFrame, docs: DataFrame, now: Column) -
     live = docs.where("not deleted").select("doc_id", "event_time", "org_visible")
     age = F.greatest((now.cast("timestamp").cast("double") - F.col("event_time").cast("timestamp").cast("double")) / 86400.0, F.lit(0.0))
     factor = F.pow(F.lit(0.5), age / HALF_LIFE) * F.when(F.col("org_visible"), PUBLIC_FACTOR).otherwise(1.0)
-    rows = best.join(live, "doc_id").withColumn("factor", factor)
-    a = rows.select("doc_id", F.col("person_id").alias("person_a"), F.col("w").alias("wa"), "factor", "event_time")
-    b = best.select("doc_id", F.col("person_id").alias("person_b"), F.col("w").alias("wb"))
-    pairs = a.join(b, "doc_id").where("person_a < person_b")
+    # A large document is cut in parts of PART people; each part meets each, so no document is one task's.
+    parts = best.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = best.join(parts, "doc_id").withColumn("part", F.pmod(F.xxhash64("person_id"), F.col("parts")).cast("int"))
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    a = dealt.join(live.withColumn("factor", factor), "doc_id").select("doc_id", F.col("part").alias("one"), every.alias("two"), F.col("person_id").alias("person_a"), F.col("w").alias("wa"), "factor", "event_time")
+    b = dealt.select("doc_id", every.alias("one"), F.col("part").alias("two"), F.col("person_id").alias("person_b"), F.col("w").alias("wb"))
+    pairs = a.join(b, ["doc_id", "one", "two"]).where("person_a < person_b")
     return pairs.groupBy("person_a", "person_b").agg(F.sum(F.col("factor") * F.sqrt(F.col("wa") * F.col("wb"))).alias("weight"), sorted_set("doc_id").alias("evidence_doc_ids"), F.max("event_time").alias("last_seen_at"))
 
 
 def top_collaborators(edges: DataFrame, viewers: DataFrame, visible: Visible, n: int) -> DataFrame:
     """Per viewer and person the ``n`` strongest edges whose evidence the viewer sees whole."""
     rows = edges.withColumn("edge_id", F.concat_ws("-", "person_a", "person_b"))
-    seen = seen_by(rows.join(small(viewers.select("viewer_id")), how="cross"), rows, visible, "edge_id")
+    seen = for_viewers(rows, visible, "edge_id", viewers)
     ends = seen.select("viewer_id", F.col("person_a").alias("person_id"), F.col("person_b").alias("other_id"), "weight").unionByName(seen.select("viewer_id", F.col("person_b").alias("person_id"), F.col("person_a").alias("other_id"), "weight"))
     return first_rows(ends, ["viewer_id", "person_id"], [F.desc(F.round("weight", 9)), F.col("other_id")], n, "rank")
 

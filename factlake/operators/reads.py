@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from factlake.functions.ranking import FACT_HALF_LIFE, fact_freshness
 from factlake.functions.temporal import believed_as_of, read_statuses, resolve_point, valid_as_of
-from factlake.functions.text import escape_like, normalize_name
-from factlake.operators.acl import Visible, seen_by
-from factlake.operators.common import first_rows, small
+from factlake.functions.text import normalize_name
+from factlake.operators.acl import Visible, for_viewers
+from factlake.operators.common import first_rows, holding, small
 
 
 def resolved_points(points: DataFrame, now: Column) -> DataFrame:
@@ -35,8 +35,7 @@ def claims_for_viewers(claims: DataFrame, subjects: DataFrame | None, viewers: D
     """Claims by viewer and point, of ``subjects(subject_id)`` or of all; the order is the reader's (newest first)."""
     if subjects is not None:
         claims = claims.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
-    rows = at_points(claims, points, now).join(small(viewers.select("viewer_id")), how="cross")
-    return seen_by(rows, claims, visible, "claim_id")
+    return at_points(for_viewers(claims, visible, "claim_id", viewers), points, now)
 
 
 def relationships_for_viewers(rels: DataFrame, nodes: DataFrame, viewers: DataFrame, visible: Visible, points: DataFrame, now: Column) -> DataFrame:
@@ -46,21 +45,18 @@ def relationships_for_viewers(rels: DataFrame, nodes: DataFrame, viewers: DataFr
         for e in ("from", "to")
     ]
     both = ends[0].unionByName(ends[1].where("not (from_type = to_type and from_id = to_id)"))
-    rows = at_points(both, points, now).join(small(viewers.select("viewer_id")), how="cross")
-    return seen_by(rows, rels, visible, "relationship_id")
+    return at_points(for_viewers(rels, visible, "relationship_id", viewers, both), points, now)
 
 
 def search_entities(entities: DataFrame, names: DataFrame, viewers: DataFrame, visible: Visible, limit: int) -> DataFrame:
     """Per ``names(query_id, pattern, entity_type)`` and viewer the first entities whose name holds the pattern."""
-    match = F.ilike("name", F.concat(F.lit("%"), escape_like(F.col("pattern")), F.lit("%")))
-    kind = F.col("q_type").isNull() | (F.col("entity_type") == F.col("q_type"))
-    hits = entities.join(small(names.withColumnRenamed("entity_type", "q_type")), match & kind)
-    hits = seen_by(hits.join(small(viewers.select("viewer_id")), how="cross"), entities, visible, "entity_id")
+    hits = holding(entities, F.lower("name"), names.withColumnRenamed("entity_type", "q_type"), F.lower("pattern"))
+    hits = for_viewers(entities, visible, "entity_id", viewers, hits.where("q_type is null or entity_type = q_type"))
     return first_rows(hits, ["query_id", "viewer_id"], [F.lower("name"), F.col("entity_id")], limit, "rank")
 
 
 def list_entities(entities: DataFrame, viewers: DataFrame, visible: Visible, limit: int) -> DataFrame:
-    rows = seen_by(entities.join(small(viewers.select("viewer_id")), how="cross"), entities, visible, "entity_id")
+    rows = for_viewers(entities, visible, "entity_id", viewers)
     return first_rows(rows, ["viewer_id", "entity_type"], [F.col("name"), F.col("entity_id")], limit, "rank")
 
 
@@ -102,35 +98,45 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: list[str], exclusive: D
 
 
 def walk_paths(
-    rels: DataFrame, starts: DataFrame, viewers: DataFrame, visible: Visible, points: DataFrame, now: Column, max_depth: int = 3, limit: int = 200
+    rels: DataFrame, starts: DataFrame, viewers: DataFrame, visible: Visible, points: DataFrame, now: Column, max_depth: int = 3, limit: int = 200, types: list[str] | None = None
 ) -> DataFrame:
-    """Outgoing walks of 1 to ``max_depth`` edges that repeat no node.
+    """Outgoing walks of 1 to ``max_depth`` edges that repeat no node, of edges of the ``types`` (all, if not given).
 
     Each edge is checked for time and visibility before it is walked; order is
-    depth, last edge, edges; ``limit`` a viewer, point and start, with a flag.
+    depth, last edge, edges; ``limit`` a viewer, point and start, and truncated
+    where there are more. Depth and limit are clamped to 3 and 200.
+
+    Since shorter walks come first, only starts that have ``limit`` walks or
+    fewer so far are walked further, and a node needs no more than its first
+    edges: a walk passes over the few nodes it has been at, ``limit`` + 1 edges
+    to each, and then takes ``limit`` + 1.
     """
-    max_depth = min(max(max_depth, 1), 3)
-    rows = at_points(rels, points, now).join(small(viewers.select("viewer_id")), how="cross")
-    edges = seen_by(rows, rels, visible, "relationship_id").select(
-        "viewer_id", "point_id", "relationship_id", F.concat_ws(":", "from_type", "from_id").alias("a"), F.concat_ws(":", "to_type", "to_id").alias("b")
-    )
+    max_depth, limit = min(max(max_depth, 1), 3), min(max(limit, 1), 200)
+    if types is not None:
+        rels = rels.where(F.col("relationship_type").isin(*types))
+    own = at_points(for_viewers(rels, visible, "relationship_id", viewers), points, now).where("not (from_type = to_type and from_id = to_id)")
+    edges = own.select("viewer_id", "point_id", "relationship_id", F.concat_ws(":", "from_type", "from_id").alias("a"), F.concat_ws(":", "to_type", "to_id").alias("b"))
+    edges = first_rows(edges, ["viewer_id", "point_id", "a", "b"], [F.col("relationship_id")], limit + 1)
+    edges = first_rows(edges, ["viewer_id", "point_id", "a"], [F.col("relationship_id")], (max_depth + 1) * (limit + 1))
     start = F.concat_ws(":", "node_type", "node_id")
-    first = edges.join(starts.select(start.alias("a")).distinct(), "a", "left_semi").where("a <> b")
-    level = first.select("viewer_id", "point_id", F.col("a").alias("start"), F.array("a", "b").alias("nodes"), F.array("relationship_id").alias("edges"), "b")
-    found = [level]
+    keys = ["viewer_id", "point_id", "start"]
+    level = edges.join(starts.select(start.alias("a")).distinct(), "a", "left_semi")
+    level = level.select("viewer_id", "point_id", F.col("a").alias("start"), F.array("a", "b").alias("nodes"), F.array("relationship_id").alias("edges"), "b", F.lit(0).cast("long").alias("before"))
     step = edges.select("viewer_id", "point_id", F.col("a").alias("b"), F.col("b").alias("c"), "relationship_id")
-    for _ in range(max_depth - 1):
-        level = level.join(step, ["viewer_id", "point_id", "b"]).where(~F.array_contains("nodes", F.col("c")))
-        level = level.select("viewer_id", "point_id", "start", F.array_append("nodes", F.col("c")).alias("nodes"), F.array_append("edges", F.col("relationship_id")).alias("edges"), F.col("c").alias("b"))
-        found.append(level)
+    found = []
+    for depth in range(1, max_depth + 1):
+        if depth > 1:
+            level = level.where(F.col("so_far") <= limit).join(step, ["viewer_id", "point_id", "b"]).where(~F.array_contains("nodes", F.col("c")))
+            level = level.select(*keys, F.array_append("nodes", F.col("c")).alias("nodes"), F.array_append("edges", F.col("relationship_id")).alias("edges"), F.col("c").alias("b"), F.col("so_far").alias("before"))
+        level = first_rows(level.withColumn("last", F.element_at("edges", -1)), keys, [F.col("last"), F.col("edges")], limit + 1)
+        level = level.withColumn("so_far", F.col("before") + F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        found.append(level.select(*keys, "nodes", "edges", F.lit(depth).cast("long").alias("depth"), "last"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    out = out.withColumn("depth", F.size("edges").cast("long")).withColumn("last", F.element_at("edges", -1))
-    keys = ["viewer_id", "point_id", "start"]
     ranked = first_rows(out, keys, [F.col("depth"), F.col("last"), F.col("edges")], limit + 1, "rank")
     more = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > limit
-    return ranked.withColumn("truncated", more).where(F.col("rank") <= limit).drop("b", "last")
+    return ranked.withColumn("truncated", more).where(F.col("rank") <= limit).drop("last")
 
 
 def person_roots(persons: DataFrame, steps: int = 8) -> DataFrame:
@@ -161,11 +167,11 @@ def subject_card(subjects: DataFrame, persons: DataFrame, claims: DataFrame, rel
 
 def search_people(persons: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     """Roots whose display name, or one of whose aliases, holds ``names(query_id, pattern)``."""
-    pattern = F.concat(F.lit("%"), escape_like(F.col("pattern")), F.lit("%"))
-    match = F.ilike("display_name", pattern)
+    roots = persons.where("merged_into_id is null")
+    hits = holding(roots, F.lower("display_name"), names, F.lower("pattern"))
     if "name_aliases" in persons.columns:
-        match = match | F.exists("name_aliases", lambda a: F.lower(a).contains(F.lower("pattern")))
-    hits = persons.where("merged_into_id is null").join(small(names), match)
+        listed = roots.withColumn("_alias", F.explode(F.array_distinct("name_aliases")))
+        hits = hits.unionByName(holding(listed, F.lower("_alias"), names, F.lower("pattern")).select(hits.columns)).dropDuplicates(["query_id", "canonical_id"])
     return first_rows(hits, ["query_id"], [F.col("display_name"), F.col("canonical_id")], limit, "rank")
 
 
@@ -177,8 +183,7 @@ def resolve_subjects(names: DataFrame, persons: DataFrame, entities: DataFrame)
     subjects = persons.where("merged_into_id is null").select(F.lit("person").alias("type"), F.col("canonical_id").alias("id"), F.col("display_name").alias("label"), F.lit(0).alias("place"))
     place = F.when(F.col("entity_type") == "team", 1).when(F.col("entity_type") == "project", 2).otherwise(3)
     subjects = subjects.unionByName(entities.select(F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), F.col("name").alias("label"), place.alias("place")))
-    wanted = small(names.withColumn("wanted", normalize_name(F.col("name"))))
-    hits = subjects.withColumn("norm", normalize_name(F.col("label"))).join(wanted, F.contains(F.col("norm"), F.col("wanted")))
+    hits = holding(subjects.withColumn("norm", normalize_name(F.col("label"))), F.col("norm"), names.withColumn("wanted", normalize_name(F.col("name"))), F.col("wanted"))
     hits = hits.withColumn("inexact", F.when(F.col("norm") == F.col("wanted"), 0).otherwise(1))
     best = F.min(F.struct("place", "inexact")).over(Window.partitionBy("query_id"))
     hits = hits.withColumn("best", best).where((F.col("place") == F.col("best.place")) & (F.col("inexact") == F.col("best.inexact")))
@@ -196,7 +201,7 @@ def list_subjects(entities: DataFrame, participants: DataFrame, persons: DataFra
     public = seen.where("viewer_id is null").select("person_id").distinct().join(small(viewers.select("viewer_id")), how="cross").select("viewer_id", "person_id")
     people = own.unionByName(public).distinct().join(persons.where("merged_into_id is null"), F.col("person_id") == F.col("canonical_id"))
     people = people.select("viewer_id", F.lit("person").alias("category"), F.col("person_id").alias("subject_id"), F.col("display_name").alias("label"))
-    things = seen_by(entities.join(small(viewers.select("viewer_id")), how="cross"), entities, visible, "entity_id")
+    things = for_viewers(entities, visible, "entity_id", viewers)
     things = things.select("viewer_id", F.col("entity_type").alias("category"), F.col("entity_id").alias("subject_id"), F.col("name").alias("label"))
     return first_rows(people.unionByName(things), ["viewer_id", "category"], [F.col("label"), F.col("subject_id")], min(max(limit, 1), 100), "rank")
 
@@ -213,5 +218,4 @@ def subject_candidates(names: DataFrame, persons: DataFrame, entities: DataFrame
     """All subjects of any type whose name holds ``names(query_id, name)``, in any case and spacing."""
     subjects = persons.where("merged_into_id is null").select(F.lit("person").alias("type"), F.col("canonical_id").alias("id"), F.col("display_name").alias("label"))
     subjects = subjects.unionByName(entities.select(F.col("entity_type").alias("type"), F.col("entity_id").alias("id"), F.col("name").alias("label")))
-    wanted = small(names.select("query_id", normalize_name(F.col("name")).alias("wanted")))
-    return subjects.join(wanted, F.contains(normalize_name(F.col("label")), F.col("wanted"))).select("query_id", "type", "id", "label")
+    return holding(subjects, normalize_name(F.col("label")), names.select("query_id", "name"), normalize_name(F.col("name"))).select("query_id", "type", "id", "label")

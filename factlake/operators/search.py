@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factlake.functions.ranking import FACT_FLOOR, FACT_HALF_LIFE, PASSAGE_FLOOR, PASSAGE_HALF_LIFE, RRF_K, recency_multiplier
 from factlake.functions.text import BODY_WEIGHT, TITLE_WEIGHT, escape_like, terms
 from factlake.operators.acl import Visible, seen_by
-from factlake.operators.common import first_rows, small
+from factlake.operators.common import first_rows, holding, paired, small
 
 #: Candidates of each channel; what a budget drops first to last.
 POOL = 100
@@ -48,16 +48,25 @@ def norm(a: str) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+#: Vectors of different models are never compared; a table that doesn't name its model has vectors of one.
+SAME_MODEL = "v_model is null or q_model is null or v_model = q_model"
+
+
+def model(vectors: DataFrame) -> Column:
+    return F.col("embedding_model") if "embedding_model" in vectors.columns else F.lit(None).cast("string")
+
+
 def vector_candidates(chunks: DataFrame, queries: DataFrame, visible: Visible | None, k: int = POOL) -> DataFrame:
     """The ``k`` cosine-nearest child passages of each ``queries(query_id, embedding[, viewer_id])``; access comes before the cut.
 
     Queries are a parameter table; passages are never shuffled before each
-    task has kept its own k best.
+    task has kept its own k best. Vectors of another length or, where both
+    tables name it, another embedding model are no candidates.
     """
-    base = chunks.where("chunk_role = 'child' and embedding is not null").select("chunk_id", "doc_id", F.col("embedding").alias("v"), norm("embedding").alias("v_norm"))
-    asked = queries.select(*[c for c in ("query_id", "viewer_id") if c in queries.columns], F.col("embedding").alias("q"), norm("embedding").alias("q_norm"))
-    rows = base.join(small(asked), F.size("v") == F.size("q"))
-    rows = rows.withColumn("similarity", F.when(F.col("v_norm") * F.col("q_norm") > 0, dot("v", "q") / (F.col("v_norm") * F.col("q_norm")))).drop("v", "q", "v_norm", "q_norm").where("similarity is not null")
+    base = chunks.where("chunk_role = 'child' and embedding is not null").select("chunk_id", "doc_id", F.col("embedding").alias("v"), norm("embedding").alias("v_norm"), model(chunks).alias("v_model"))
+    asked = queries.select(*[c for c in ("query_id", "viewer_id") if c in queries.columns], F.col("embedding").alias("q"), norm("embedding").alias("q_norm"), model(queries).alias("q_model"))
+    rows = paired(base, asked, (F.size("v") == F.size("q")) & F.expr(SAME_MODEL))
+    rows = rows.withColumn("similarity", F.when(F.col("v_norm") * F.col("q_norm") > 0, dot("v", "q") / (F.col("v_norm") * F.col("q_norm")))).drop("v", "q", "v_norm", "q_norm", "v_model", "q_model").where("similarity is not null")
     if visible is not None:
         public = rows.join(visible.public, "doc_id", "left_semi")
         private = rows.join(visible.private, ["viewer_id", "doc_id"], "left_semi").select(rows.columns)
@@ -65,11 +74,12 @@ def vector_candidates(chunks: DataFrame, queries: DataFrame, visible: Visible |
     return first_rows(rows, ["query_id"], [F.desc(F.round("similarity", 9)), F.col("chunk_id")], k, "rank")
 
 
-def keyword_candidates(index: DataFrame, queries: DataFrame, key: str, allowed: DataFrame | None = None, k: int = POOL) -> DataFrame:
-    """The ``k`` best matches by summed weighted term frequency; ``allowed(query_id, key)`` comes before the cut."""
+def keyword_candidates(index: DataFrame, queries: DataFrame, key: str, allowed: DataFrame | None = None, k: int = POOL, public: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best matches by summed weighted term frequency; ``allowed(query_id, key)`` and ``public(key)``, open to all, come before the cut."""
     hits = match_terms(index, queries, key)
     if allowed is not None:
-        hits = hits.join(allowed, ["query_id", key], "left_semi")
+        own = hits.join(allowed, ["query_id", key], "left_semi")
+        hits = own if public is None else hits.join(public, key, "left_semi").unionByName(own.join(public, key, "left_anti").select(hits.columns))
     return first_rows(hits, ["query_id"], [F.desc(F.round("score", 9)), F.col(key)], k, "rank")
 
 
@@ -117,8 +127,7 @@ def dedupe_parents(hits: DataFrame) -> DataFrame:
 
 def expand_authors(authors: DataFrame, persons: DataFrame, aliases: DataFrame, most: int = 3) -> DataFrame:
     """Patterns of ``authors(query_id, author)``: the text and the names of the people it fits, if they are few."""
-    pattern = F.concat(F.lit("%"), escape_like(F.col("author")), F.lit("%"))
-    people = persons.join(small(authors), F.ilike("display_name", pattern)).select("query_id", "canonical_id", "display_name")
+    people = holding(persons, F.lower("display_name"), authors.select("query_id", "author"), F.lower("author")).select("query_id", "canonical_id", "display_name")
     few = people.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("n") <= most)
     names = few.select("query_id", F.col("display_name").alias("name")).unionByName(
         few.join(aliases, F.col("canonical_id") == F.col("person_id")).select("query_id", aliases["display_name"].alias("name"))
@@ -144,12 +153,14 @@ def hybrid_search(
     if "vector" in channels:
         lists.append(vector_candidates(chunks, queries, visible).select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), "rank"))
     if "keyword" in channels:
-        seen = visible.public.join(small(keys), how="cross").select("query_id", "doc_id").unionByName(visible.private.join(keys, "viewer_id").select("query_id", "doc_id"))
-        allowed = chunks.where("chunk_role = 'child'").select("doc_id", "chunk_id").join(seen, "doc_id").select("query_id", "chunk_id")
-        lists.append(keyword_candidates(index, queries, "chunk_id", allowed).select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), "rank"))
+        own = chunks.where("chunk_role = 'child'").select("doc_id", "chunk_id")
+        public = own.join(visible.public, "doc_id", "left_semi").select("chunk_id")
+        private = own.join(visible.private.join(keys, "viewer_id").select("query_id", "doc_id"), "doc_id").select("query_id", "chunk_id").distinct()
+        lists.append(keyword_candidates(index, queries, "chunk_id", private, public=public).select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), "rank"))
     if "fact" in channels:
-        allowed = facts.where("viewer_id is null").select("fact_id").join(small(keys), how="cross").select("query_id", "fact_id").unionByName(facts.where("viewer_id is not null").join(keys, "viewer_id").select("query_id", "fact_id"))
-        lists.append(keyword_candidates(fact_index, queries, "fact_id", allowed.distinct()).select("query_id", F.concat(F.lit("fact:"), "fact_id").alias("item_id"), "rank"))
+        public = facts.where("viewer_id is null").select("fact_id").distinct()
+        private = facts.where("viewer_id is not null").join(keys, "viewer_id").select("query_id", "fact_id").distinct()
+        lists.append(keyword_candidates(fact_index, queries, "fact_id", private, public=public).select("query_id", F.concat(F.lit("fact:"), "fact_id").alias("item_id"), "rank"))
     fused = rrf_fuse(lists, "item_id")
     times = chunks.join(docs.select("doc_id", "event_time"), "doc_id").select(F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), F.lit("passage").alias("kind"), F.col("event_time").alias("at"), F.col("doc_id").alias("parent_id"))
     times = times.unionByName(facts.select(F.concat(F.lit("fact:"), "fact_id").alias("item_id"), F.lit("fact").alias("kind"), "at", F.lit(None).cast("string").alias("parent_id")).distinct())

@@ -140,10 +140,10 @@ def e5(t):
     return reads.at_points(t.v_claims, t.v_points, now()).select("claim_id", "point_id")
 
 
-@query("e2_validate_points", """select point_id, coalesce(as_of_grain, '') as grain, true as ok from v_points""")
+@query("e2_validate_points", """select point_id, case trim(lower(host_grain)) when 'month' then 'month' when 'quarter' then 'quarter' when 'year' then 'year' else '' end as grain, coalesce(host_grain <> 'decade', true) as ok from v_order_points""")
 def e2(t):
-    grain, ok = temporal.host_grain(F.col("as_of_grain"))
-    return t.v_points.select("point_id", F.coalesce(grain, F.lit("")).alias("grain"), ok.alias("ok"))
+    grain, ok = temporal.host_grain(F.col("host_grain"))
+    return t.v_order_points.select("point_id", F.coalesce(grain, F.lit("")).alias("grain"), ok.alias("ok"))
 
 
 @query("e9_shift_months", "select claim_id, strftime(valid_from - interval 7 month, '%Y-%m-%d') as back, strftime(valid_from + interval 13 month, '%Y-%m-%d') as ahead from v_claims")
@@ -304,10 +304,10 @@ def g1(t):
     return reads.claims_for_viewers(t.v_claims, None, t.v_viewers, visible(t), t.v_points, now()).select("claim_id", "viewer_id", "point_id")
 
 
-@query("g2_relationships_for_viewers", f"""with {VIS}, {seen('v_relationships', 'relationship_id')}, {PTS}, nodes as (select distinct subject_id as id from v_claims where subject_id like '%7')
+@query("g2_relationships_for_viewers", f"""with {VIS}, {seen('v_relationships', 'relationship_id')}, {PTS}, nodes as (select distinct subject_id as id from v_claims)
 select f.relationship_id, n.id as node_id, av.viewer_id, pb.point_id from v_relationships f join nodes n on n.id in (f.from_id, f.to_id) join pb on {AT} join av on av.relationship_id = f.relationship_id""")
 def g2(t):
-    nodes = t.v_claims.where("subject_id like '%7'").select(F.lit("person").alias("node_type"), F.col("subject_id").alias("node_id")).distinct()
+    nodes = t.v_claims.select(F.lit("person").alias("node_type"), F.col("subject_id").alias("node_id")).distinct()
     out = reads.relationships_for_viewers(t.v_relationships, nodes, t.v_viewers, visible(t), t.v_points, now())
     return out.select("relationship_id", "node_id", "viewer_id", "point_id")
 
@@ -342,17 +342,30 @@ def g7(t):
     return out.select("viewer_id", "subject_id", "predicate", "kind", "old_id", "new_id")
 
 
-@query("g8_walk_paths", f"""with {VIS}, {seen('v_relationships', 'relationship_id')}, {PTS}, e as (select av.viewer_id, pb.point_id, f.relationship_id as id, f.from_id as a, f.to_id as b from v_relationships f join pb on {AT} join av on av.relationship_id = f.relationship_id where pb.point_id = 'now'),
-p1 as (select viewer_id, a as start, [a, b] as nodes, [id] as es, b from e where a like 'p1%' and a <> b),
-p2 as (select p.viewer_id, start, list_append(nodes, e.b) as nodes, list_append(es, e.id) as es, e.b from p1 p join e on e.viewer_id = p.viewer_id and e.a = p.b where not list_contains(nodes, e.b)),
-p3 as (select p.viewer_id, start, list_append(nodes, e.b) as nodes, list_append(es, e.id) as es, e.b from p2 p join e on e.viewer_id = p.viewer_id and e.a = p.b where not list_contains(nodes, e.b)),
+def walks(kinds: str, limit: int) -> str:
+    return f"""with {VIS}, {seen('v_relationships', 'relationship_id')}, {PTS}, e as (select av.viewer_id, pb.point_id, f.relationship_id as id, f.from_id as a, f.to_id as b from v_relationships f join pb on {AT} join av on av.relationship_id = f.relationship_id where {kinds}),
+p1 as (select viewer_id, point_id, a as start, [a, b] as nodes, [id] as es, b from e where a <> b),
+p2 as (select p.viewer_id, p.point_id, start, list_append(nodes, e.b) as nodes, list_append(es, e.id) as es, e.b from p1 p join e on e.viewer_id = p.viewer_id and e.point_id = p.point_id and e.a = p.b where not list_contains(nodes, e.b)),
+p3 as (select p.viewer_id, p.point_id, start, list_append(nodes, e.b) as nodes, list_append(es, e.id) as es, e.b from p2 p join e on e.viewer_id = p.viewer_id and e.point_id = p.point_id and e.a = p.b where not list_contains(nodes, e.b)),
 u as (select *, 1 as depth from p1 union all select *, 2 from p2 union all select *, 3 from p3),
-r as (select *, row_number() over (partition by viewer_id, start order by depth, es[-1], es) as rank, count(*) over (partition by viewer_id, start) > 20 as truncated from u)
-select viewer_id, start, cast(depth as bigint) as depth, array_to_string(es, ',') as edges, truncated from r where rank <= 20""")
+r as (select *, row_number() over (partition by viewer_id, point_id, start order by depth, es[-1], es) as rank, count(*) over (partition by viewer_id, point_id, start) > {limit} as truncated from u)
+select viewer_id, point_id, start, cast(depth as bigint) as depth, array_to_string(es, ',') as edges, truncated from r where rank <= {limit}"""
+
+
+def walked(t, types, limit):
+    starts = t.v_relationships.select(F.col("from_type").alias("node_type"), F.col("from_id").alias("node_id")).distinct()
+    out = reads.walk_paths(t.v_relationships, starts, t.v_viewers, visible(t), t.v_points, now(), 3, limit, types)
+    return out.select("viewer_id", "point_id", F.regexp_replace("start", "person:", "").alias("start"), "depth", joined("edges").alias("edges"), "truncated")
+
+
+@query("g8_walk_paths", walks("true", 20))
 def g8(t):
-    starts = t.v_relationships.where("from_id like 'p1%'").select(F.col("from_type").alias("node_type"), F.col("from_id").alias("node_id")).distinct()
-    out = reads.walk_paths(t.v_relationships, starts, t.v_viewers, visible(t), t.v_points.where("point_id = 'now'"), now(), 3, 20)
-    return out.select("viewer_id", F.regexp_replace("start", "person:", "").alias("start"), "depth", joined("edges").alias("edges"), "truncated")
+    return walked(t, None, 20)
+
+
+@query("g8_walk_paths_of_types", walks("f.relationship_type in ('reports_to', 'member_of')", 50))
+def g8_types(t):
+    return walked(t, ["reports_to", "member_of"], 50)
 
 
 @query("g3_search_entities", f"""with {VIS}, {seen('v_entities', 'entity_id')}, h as (select q.query_id, av.viewer_id, e.entity_id, row_number() over (partition by q.query_id, av.viewer_id order by lower(e.name), e.entity_id) as rank
@@ -370,14 +383,14 @@ def g4(t):
 
 
 @query("g9_subject_card", f"""with {VIS}, {seen('v_claims', 'claim_id')}, {seen('v_relationships', 'relationship_id', 'ar')}, {PTS},
-ps as (select canonical_id as subject_id, coalesce(merged_into_id, canonical_id) as root_id from v_persons where canonical_id like 'p%3'),
+ps as (select canonical_id as subject_id, coalesce(merged_into_id, canonical_id) as root_id from v_persons),
 cl as (select av.viewer_id, pb.point_id, f.subject_id as root_id, string_agg(f.claim_id, ',' order by f.claim_id) as claims from v_claims f join pb on {AT} join av on av.claim_id = f.claim_id group by all),
 ed as (select viewer_id, point_id, root_id, string_agg(id, ',' order by id) as edges from (select distinct ar.viewer_id, pb.point_id, u.root_id, f.relationship_id as id from v_relationships f join pb on {AT} join ar on ar.relationship_id = f.relationship_id
  join (select distinct root_id from ps) u on u.root_id in (f.from_id, f.to_id)) group by all)
 select ps.subject_id, ps.root_id, v.viewer_id, p.point_id, cl.claims, ed.edges from ps cross join v_viewers v cross join v_points p left join cl on cl.viewer_id = v.viewer_id and cl.point_id = p.point_id and cl.root_id = ps.root_id
 left join ed on ed.viewer_id = v.viewer_id and ed.point_id = p.point_id and ed.root_id = ps.root_id""")
 def g9(t):
-    subjects = t.v_persons.where("canonical_id like 'p%3'").select(F.col("canonical_id").alias("subject_id"))
+    subjects = t.v_persons.select(F.col("canonical_id").alias("subject_id"))
     out = reads.subject_card(subjects, t.v_persons, t.v_claims, t.v_relationships, t.v_viewers, visible(t), t.v_points, now())
     return out.select("subject_id", "root_id", "viewer_id", "point_id", joined("claims.claim_id").alias("claims"), joined("edges.relationship_id").alias("edges"))
 
@@ -407,9 +420,10 @@ def e1(t):
     return t.v_claims.select("claim_id", temporal.normalize_grain(raw).alias("grain"))
 
 
-@query("e7_e8_resolved_points", f"with {PTS} select point_id, strftime(i, '%Y-%m-%d') as instant, g as grain, strftime(b, '%Y-%m-%d') as belief, case when is_point then 'active,superseded' else 'active' end as statuses from pts")
+@query("e7_e8_resolved_points", """select point_id, strftime(coalesce(as_of, believed_as_of, timestamp '1998-01-01'), '%Y-%m-%d') as instant, case when as_of is not null then coalesce(as_of_grain, 'unknown') else 'day' end as grain,
+ strftime(coalesce(believed_as_of, timestamp '1998-01-01'), '%Y-%m-%d') as belief, case when as_of is not null or believed_as_of is not null then 'active,superseded' else 'active' end as statuses from v_order_points""")
 def e78(t):
-    out = reads.resolved_points(t.v_points, now())
+    out = reads.resolved_points(t.v_order_points, now())
     return out.select("point_id", F.date_format("instant", "yyyy-MM-dd").alias("instant"), "grain", F.date_format("belief", "yyyy-MM-dd").alias("belief"), joined("statuses").alias("statuses"))
 
 

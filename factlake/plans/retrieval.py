@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factlake.functions import ranking, temporal
+from factlake.functions.text import STOP_WORDS, tokens
 from factlake.operators import acl, profiles, search
 from factlake.plans.facts import VIS, joined, stamp, visible
 from factlake.plans.feed import TERMS, clock
@@ -160,20 +161,36 @@ def h14(t):
     return out.select("request_id", "trimmed", F.greatest(size("passages"), F.lit(0)).alias("n_passages"), F.greatest(size("structured_facts"), F.lit(0)).alias("n_facts"), F.greatest(size("paths"), F.lit(0)).alias("n_paths"))
 
 
-@query("h16_episode_search", """with e as (select conv_id, lower(string_agg(text, ' ' order by turn)) as body from conversations group by 1), tk as (select conv_id, unnest(regexp_extract_all(body, '[\\p{L}\\p{N}]+')) as term from e),
-q as (select distinct benchmark.item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from benchmark where item_id < 3),
-h as (select q.item_id, tk.conv_id, count(*) as score from q join tk using (term) group by 1, 2), r as (select *, row_number() over (partition by item_id order by score desc, conv_id) as rank from h)
-select item_id, conv_id, cast(rank as bigint) as rank, round(1.0 / (60 + rank), 9) as score from r where rank <= 10""")
-def h16(t):
-    from factlake.functions.text import tokens
-    from factlake.operators.common import first_rows
+EPISODES = """ep as (select conv_id, conv_id % 3 = 0 as open, concat('u', conv_id % 11) as principal, conv_id % 4 as agent, concat('src', (conv_id % 200) % 20, ':', conv_id % 200) as doc_id, lower(string_agg(text, ' ' order by turn)) as body from conversations group by all),
+tk as (select conv_id, unnest(regexp_extract_all(body, '[\\p{L}\\p{N}]+')) as term from ep), ti as (select conv_id, term, count(*) * 0.4 as score from tk where term not in ([stop]) group by 1, 2),
+qs as (select item_id, concat('v', item_id % 3 + 1) as viewer_id, case when item_id % 2 = 0 then item_id % 4 end as agent, lower(text) as body from benchmark),
+qt as (select distinct item_id, unnest(regexp_extract_all(body, '[\\p{L}\\p{N}]+')) as term from qs),
+ok as (select qs.item_id, ep.conv_id from qs join v_viewers v on v.viewer_id = qs.viewer_id join ep on (ep.open or list_contains(v.principals, ep.principal)) and (qs.agent is null or qs.agent = ep.agent) join vis on vis.viewer_id = qs.viewer_id and vis.doc_id = ep.doc_id),
+kw as (select qt.item_id, ti.conv_id, sum(ti.score) as score from qt join ti using (term) join ok on ok.item_id = qt.item_id and ok.conv_id = ti.conv_id group by all),
+kr as (select *, row_number() over (partition by item_id order by round(score, 9) desc, conv_id) as rank from kw),
+vs as (select qs.item_id, ok.conv_id, list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) as sim from qs join ok using (item_id) join embeddings a on a.vec_id = qs.item_id join embeddings b on b.vec_id = ok.conv_id),
+vr as (select *, row_number() over (partition by item_id order by round(sim, 9) desc, conv_id) as rank from vs),
+fu as (select item_id, conv_id, sum(1.0 / (60 + rank)) as score from (select item_id, conv_id, rank from kr where rank <= 100 union all select item_id, conv_id, rank from vr where rank <= 100) group by all),
+rr as (select *, row_number() over (partition by item_id order by round(score, 12) desc, conv_id) as rank from fu)""".replace("[stop]", ", ".join(f"'{w}'" for w in STOP_WORDS))
+
 
-    terms = search.episode_text(t.conversations.withColumn("role", F.lit("x")), 10_000_000).select("conv_id", F.explode(tokens(F.regexp_replace("episode_text", "(?m)^x: ", ""))).alias("term"))
-    wanted = t.benchmark.where("item_id < 3").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    hits = terms.join(wanted, "term").groupBy("item_id", "conv_id").agg(F.count(F.lit(1)).alias("score"))
-    ranked = first_rows(hits, ["item_id"], [F.desc("score"), F.col("conv_id")], 10, "rank")
-    fused = search.rrf_fuse([ranked.withColumnRenamed("item_id", "query_id")], "conv_id")
-    return ranked.drop("score").join(fused.withColumnRenamed("query_id", "item_id"), ["item_id", "conv_id"]).select("item_id", "conv_id", "rank", F.round("score", 9).alias("score"))
+@query("h16_episode_search", f"with {VIS}, {EPISODES} select item_id, conv_id, cast(rank as bigint) as rank, round(score, 9) as score from rr where rank <= 10")
+def h16(t):
+    i, c = F.col("item_id"), F.col("conv_id")
+    text = search.episode_text(t.conversations.withColumn("role", F.lit(None).cast("string")), 2**31 - 1)
+    vectors = t.embeddings.select(F.col("vec_id").alias("conv_id"), "embedding")
+    doc = F.concat(F.lit("src"), (c % 200) % 20, F.lit(":"), c % 200)
+    episodes = text.join(vectors, "conv_id", "left").select(
+        F.format_string("%012d", c).alias("memory_id"), "conv_id", F.lit("active").alias("status"), (c % 4).cast("string").alias("agent_id"), "embedding", F.lit("m").alias("embedding_model"),
+        (c % 3 == 0).alias("org_visible"), F.array(F.concat(F.lit("u"), c % 11)).alias("allowed_principals"), F.array(doc).alias("evidence_doc_ids"), F.lit("").alias("objective"), F.col("episode_text").alias("summary"),
+    )
+    none = F.array().cast("array<string>")
+    asked_ = t.benchmark.join(vectors.withColumnRenamed("conv_id", "item_id"), "item_id", "left").select(
+        F.concat(F.lit("q"), i).alias("query_id"), F.concat(F.lit("v"), i % 3 + 1).alias("viewer_id"), F.when(i % 2 == 0, (i % 4).cast("string")).alias("agent_id"), "embedding", F.lit("m").alias("embedding_model"),
+        none.alias("must"), F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("any"), none.alias("no"),
+    )
+    out = search.episode_search(asked_, episodes, t.v_viewers, visible(t), None, 10)
+    return out.select(F.expr("cast(substr(query_id, 2) as bigint)").alias("item_id"), F.col("item_id").cast("long").alias("conv_id"), "rank", F.round("score", 9).alias("score"))
 
 
 @query("h17_supersede_episodes", """with m as (select *, first_value(conv_id) over (partition by conv_id % 7, n_events order by conv_id desc) as newest from v_episodes) select conv_id as memory_id, case when newest <> conv_id then 'superseded' else 'active' end as status, case when newest <> conv_id then newest end as superseded_by from m""")
@@ -202,11 +219,13 @@ def e14(t):
     return out.select("item_id", "axis", F.date_format("point", "yyyy-MM-dd").alias("point"), F.date_format("range_end", "yyyy-MM-dd").alias("range_end"), "status", "confidence")
 
 
-@query("e17_passage_clocks", """select point_id, strftime(as_of, '%Y-%m-%d') as event_to, strftime(believed_as_of, '%Y-%m-%d') as updated_to, case when as_of is not null then 'world' when believed_as_of is not null then 'belief' else 'none' end as derived_from from v_points""")
+@query("e17_passage_clocks", """select point_id, strftime(case when h = 0 then timestamp '1997-01-01' else as_of end, '%Y-%m-%d') as event_to, strftime(believed_as_of, '%Y-%m-%d') as updated_to, case when h = 0 then 'host' when as_of is not null then 'world' when believed_as_of is not null then 'belief' else 'none' end as derived_from
+ from (select *, cast(substr(point_id, 2) as bigint) % 7 as h from v_order_points)""")
 def e17(t):
     from factlake.operators.intent import passage_clocks
 
-    out = passage_clocks(t.v_points)
+    told = F.when(F.expr("cast(substr(point_id, 2) as bigint) % 7 = 0"), F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))
+    out = passage_clocks(t.v_order_points.withColumn("host_event_to", told))
     return out.select("point_id", F.date_format("event_to", "yyyy-MM-dd").alias("event_to"), F.date_format("updated_to", "yyyy-MM-dd").alias("updated_to"), "derived_from")
 
 

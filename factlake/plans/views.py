@@ -22,6 +22,11 @@ select * from (values ('v1', split('u1,g0,g1,g2', ',')), ('v2', split('u2,g3', '
 select * from (values ('now', cast(null as <ts>), cast(null as <ts>), cast(null as varchar(10))),
  ('w1', <ts> '1995-03-15 00:00:00', cast(null as <ts>), 'month'), ('b1', cast(null as <ts>), <ts> '1996-06-01 00:00:00', cast(null as varchar(10))),
  ('j1', <ts> '1995-03-15 00:00:00', <ts> '1996-06-01 00:00:00', 'quarter')) as t(point_id, as_of, believed_as_of, as_of_grain)""",
+    "v_order_points": """
+select concat('o', o_orderkey) as point_id, case when o_orderkey % 3 <> 0 then o_orderdate end as as_of,
+ case when o_orderkey % 4 < 2 then o_orderdate + interval '1' day * cast(o_orderkey % 200 as int) end as believed_as_of,
+ case o_orderkey % 6 when 0 then ' Month ' when 1 then 'quarter' when 2 then 'YEAR' when 3 then '' when 4 then 'decade' end as host_grain,
+ case o_orderkey % 5 when 0 then 'day' when 1 then 'month' when 2 then 'quarter' when 3 then 'unknown' end as as_of_grain from [orders]""",
     "v_claims": """
 select concat('c', o_orderkey) as claim_id, 'ws' as workspace_id, 'person' as subject_type, concat('p', o_custkey % 500) as subject_id,
  case o_orderkey % 4 when 0 then 'title' when 1 then 'team' when 2 then 'reports_to' else 'definition' end as predicate, o_orderpriority as object_text,
@@ -45,7 +50,7 @@ select distinct concat('src', (event_id % 200) % 20, ':', event_id % 200) as doc
  case event_type when 'click' then 'author' when 'view' then 'to' when 'signup' then 'cc' when 'error' then 'reviewer' else 'participant' end as role, case when event_id % 23 = 0 then 'service' else 'person' end as identity_kind from [events]""",
     "v_chunks": """
 select concat('src', (vec_id % 200) % 20, ':', vec_id % 200, '#', vec_id) as chunk_id, concat('src', (vec_id % 200) % 20, ':', vec_id % 200) as doc_id, 'child' as chunk_role, embedding, 'm1' as embedding_model, label from [embeddings]""",
-    "v_query_vectors": "select concat('q', vec_id) as query_id, embedding from [embeddings] where vec_id < 5",
+    "v_query_vectors": "select concat('q', vec_id) as query_id, embedding from [embeddings] where vec_id % 20 = 0",
     "v_aliases": """
 select concat('p', c_custkey) as person_id, case when c_custkey % 2 = 0 then 'slack' else 'hr' end as source_system, concat('x', c_custkey % 400) as external_id, c_name as display_name,
  concat('User.', c_custkey % 300, '+t@', case when c_custkey % 3 = 0 then 'GoogleMail.com' else 'corp.example' end) as email, c_custkey % 4 <> 0 as email_verified from [customer]""",
