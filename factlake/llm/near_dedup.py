@@ -147,8 +147,27 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def forest(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links ``(a, b)`` between components left and right those that join two for the first time."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = root[k]
+        return k
+
+    out = []
+    for x, y, i, j in zip(left.tolist(), right.tolist(), a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append((min(i, j), max(i, j)))
+    return out
+
+
 def _block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between the blocks i and j of a bucket, one for each two components.
+    """Links between the blocks i and j of a bucket, no more than it takes to join their components.
 
     ``rows(key, i, j, block, id, label, shingles)``. Sets are multiplied as 0/1
     matrices over the shingles that both sides have, some columns at a time.
@@ -188,9 +207,10 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
             union = size[left][:, None] + size[right][None] - shared.astype(np.int64)
             x, y = np.nonzero((100 * shared.astype(np.int64) >= percent * union) & (labels[left][:, None] != labels[right][None]))
             x, y = left[x], right[y]
-            two = np.sort(np.stack([labels[x], labels[y]], axis=1), axis=1)
-            _, first = np.unique(two, axis=0, return_index=True)
-            out = [(min(p), max(p)) for p in zip(ids[x[first]].tolist(), ids[y[first]].tolist(), strict=True)]
+            names, own = np.unique(labels, return_inverse=True)
+            code = np.minimum(own[x], own[y]) * len(names) + np.maximum(own[x], own[y])
+            _, first = np.unique(code, return_index=True)
+            out = forest(own[x[first]], own[y[first]], ids[x[first]], ids[y[first]])
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
