@@ -37,6 +37,21 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def rename_files(spark: SparkSession, path: str, suffix: str, new: str) -> None:
+    """Move all files below ``path`` that end in ``suffix`` into it, as part-00000, part-00001 .. with the ending ``new``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, n = files.listFiles(hadoop, True), 0
+    found = []
+    while listed.hasNext():
+        at = listed.next().getPath()
+        if at.getName().endswith(suffix):
+            found.append(at)
+    for at in found:
+        files.rename(at, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hadoop, f"part-{n:06d}{new}"))
+        n += 1
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -92,20 +107,20 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     return df.sparkSession.range(1).select(F.explode(F.array(*found)).alias("_key")) if found else None
 
 
-def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | bool = False) -> DataFrame:
+def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None | bool = False, by: list[str] | None = None) -> DataFrame:
     """Join ``left`` to ``right``, whose rows are few per key, by ``key``; no key of ``left`` is one task's.
 
     The rows of its hot keys are dealt over SALTS tasks, to each of which the
     rows that ``right`` has for them are sent. ``left`` is read twice unless
     ``hot`` is given, so it should be a stored table. Columns but ``key`` have
-    different names. Where a row goes depends on its content and file only, so
-    a task that runs again deals alike.
+    different names. Where a row goes depends on its content (the columns
+    ``by``, or all) and file only, so a task that runs again deals alike.
     """
     hot = hot_keys(left, key) if hot is False else hot
     if hot is None:
         return left.join(right, key, how)
     is_hot = F.col("_key").isNotNull()
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*(by or left.columns)) + F.spark_partition_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     mine = left.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_salt", salt).drop("_key")
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     theirs = right.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn("_salt", F.explode(salts)).drop("_key")

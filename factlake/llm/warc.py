@@ -5,19 +5,21 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.storage import bit_filter, maybe_in, read_table, save, scratch_folder
+from factlake.llm.storage import bit_filter, hot_keys, join_dealt, maybe_in, read_table, rename_files, save, scratch_folder
 
 EOL = "\r\n"
 #: Payloads from this many bytes on are stored once.
 LEAST_REVISIT = 100
-#: Records of an archive file at most (three a capture).
-FILE_RECORDS = 30_000
+#: Compressed bytes of an archive file beyond which another is begun.
+FILE_BYTES = 1 << 25
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -34,51 +36,116 @@ def record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Column
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(EOL + EOL), block)
 
 
+def member(record: bytes) -> bytes:
+    """A record and the two line ends that close it as a gzip member of its own."""
+    zipper = zlib.compressobj(1, wbits=31)
+    return zipper.compress(record) + zipper.compress(b"\r\n\r\n") + zipper.flush()
+
+
+def _members(records: DataFrame, date: str) -> DataFrame:
+    """(volume, seq, member) of ``records(record)``: a volume is a file, and begins with a warcinfo record."""
+
+    def info(volume: int) -> bytes:
+        body = b"software: factlake\r\nformat: WARC File Format 1.1\r\n"
+        name = hashlib.md5(f"{TaskContext.get().partitionId()}|{volume}".encode()).hexdigest()
+        name = f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:]}>"
+        head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {name}\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+        return member(head.encode() + body)
+
+    def run(batches):
+        volume, held, seq = -1, FILE_BYTES, 0
+        for batch in batches:
+            rows, size = [], 0
+            for text in batch.column(0).cast(pa.large_binary()):
+                packed = member(text.as_py())
+                if held >= FILE_BYTES:
+                    volume, held = volume + 1, 0
+                    rows.append((volume, seq, info(volume)))
+                    seq += 1
+                rows.append((volume, seq, packed))
+                seq, held, size = seq + 1, held + len(packed), size + len(packed)
+                if size > FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["volume", "seq", "member"])
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["volume", "seq", "member"])
+
+    return records.mapInArrow(run, "volume int, seq long, member binary")
+
+
+def _write_files(members: DataFrame, path: str) -> None:
+    """Write the members one after another as files ``part-..warc.gz``.
+
+    Spark's text writer puts one byte between rows. A member ends in the
+    highest byte of its length, 0 below 16 MB: that byte is left to the writer.
+    A larger record is followed by an empty member, which ends in 0.
+    """
+    empty = F.lit(zlib.compressobj(1, wbits=31).flush())
+    whole = F.when(F.substring("member", -1, 1) == F.lit(b"\x00"), F.col("member")).otherwise(F.concat("member", empty))
+    lines = members.sortWithinPartitions("volume", "seq").select("volume", F.substring(whole, F.lit(1), F.octet_length(whole) - 1).cast("string").alias("value"))
+    lines.write.partitionBy("volume").option("lineSep", "\u0000").option("compression", "none").text(path)
+    rename_files(members.sparkSession, path, ".txt", ".warc.gz")
+
+
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write request, response (or revisit) and metadata records of each row of ``pages(page_id, url, html)``.
 
     The records of a row follow each other; request and metadata name the
     response in WARC-Concurrent-To. Of equal payloads of LEAST_REVISIT bytes
     or more the row with the smallest page_id is the response (null last; rows
-    that repeat it are responses too), others are revisits of it.
+    that repeat it are responses too), others are revisits of it. Each record
+    is a gzip member, files begin with a warcinfo record and end once they
+    have FILE_BYTES.
+
+    A revisit holds no payload, so copies are found and written without their
+    html. The html of a row that may be a copy is shuffled only if a filter of
+    the copies' rows takes it for one.
     """
     pages = pages.select(
         "page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row")
     )
     pages = save(pages.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256)))
+    narrow = pages.drop("html")
     first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "row"))
-    copies = pages.where(f"bytes >= {LEAST_REVISIT}").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = narrow.where(f"bytes >= {LEAST_REVISIT}").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     copies = save(copies.where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")))
-    seen = bit_filter(copies, "digest")
-    alone = maybe_in(pages, "digest", seen, negate=True).select("*", F.lit(None).cast("long").alias("first_page"), F.lit(None).cast("long").alias("first_row"))
-    rows = maybe_in(pages, "digest", seen).join(copies, "digest", "left").unionByName(alone)
-
-    own = record_id("response", F.col("page_id"), F.col("row"))
-    revisit = F.expr("first_row is not null and not (page_id <=> first_page)")
-    stamp, uri = ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))
-    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
-    http = F.concat(
-        F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(EOL + EOL)
-    )
-    reply = ("Content-Type", F.lit("application/http; msgtype=response"))
-    response = record("response", [("WARC-Record-ID", own), stamp, uri, digest, reply], F.concat(http, "html"))
-    refers = record_id("response", F.col("first_page"), F.col("first_row"))
-    again = record("revisit", [("WARC-Record-ID", own), stamp, uri, digest, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", refers), reply], http)
-    request = record(
-        "request",
-        [("WARC-Record-ID", record_id("request", F.col("page_id"), F.col("row"))), ("WARC-Concurrent-To", own), stamp, uri, ("Content-Type", F.lit("application/http; msgtype=request"))],
-        F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{EOL}{EOL}")),
-    )
-    fields = F.concat(
-        F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(EOL)), F.lit("")), F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit(EOL)
-    )
-    metadata = record(
-        "metadata",
-        [("WARC-Record-ID", record_id("metadata", F.col("page_id"), F.col("row"))), ("WARC-Concurrent-To", own), stamp, uri, ("Content-Type", F.lit("application/warc-fields"))],
-        fields,
-    )
-    records = rows.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)))
-    records.write.option("lineSep", EOL + EOL).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    hits = save(maybe_in(narrow, "digest", bit_filter(copies, "digest")))
+    again = save(join_dealt(hits, copies, "digest", by=["row"]).where("not (page_id <=> first_page)"))
+    seen = bit_filter(again, "row")
+    # Rows that the filter takes for copies and that aren't.
+    taken = save(maybe_in(narrow.select("row"), "row", seen).join(again.select("row"), "row", "left_anti"))
+    others = maybe_in(maybe_in(pages, "row", seen), "row", bit_filter(taken, "row")).join(taken, "row", "left_semi")
+    responses = maybe_in(pages, "row", seen, negate=True).unionByName(others.select(pages.columns))
+
+    def records(rows: DataFrame, revisit: bool) -> DataFrame:
+        own = record_id("response", F.col("page_id"), F.col("row"))
+        stamp, uri = ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))
+        digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
+        http = F.concat(
+            F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("bytes").cast("string"), F.lit(EOL + EOL)
+        )
+        reply = ("Content-Type", F.lit("application/http; msgtype=response"))
+        if revisit:
+            refers = record_id("response", F.col("first_page"), F.col("first_row"))
+            answer = record("revisit", [("WARC-Record-ID", own), stamp, uri, digest, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", refers), reply], http)
+        else:
+            answer = record("response", [("WARC-Record-ID", own), stamp, uri, digest, reply], F.concat(http, "html"))
+        request = record(
+            "request",
+            [("WARC-Record-ID", record_id("request", F.col("page_id"), F.col("row"))), ("WARC-Concurrent-To", own), stamp, uri, ("Content-Type", F.lit("application/http; msgtype=request"))],
+            F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{EOL}{EOL}")),
+        )
+        fields = F.concat(
+            F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(EOL)), F.lit("")), F.lit("payload-bytes: "), F.col("bytes").cast("string"), F.lit(EOL)
+        )
+        metadata = record(
+            "metadata",
+            [("WARC-Record-ID", record_id("metadata", F.col("page_id"), F.col("row"))), ("WARC-Concurrent-To", own), stamp, uri, ("Content-Type", F.lit("application/warc-fields"))],
+            fields,
+        )
+        return rows.select(F.explode(F.array(request, answer, metadata)).alias("record"))
+
+    _write_files(_members(records(responses, False).unionByName(records(again, True)), date), path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -157,7 +224,8 @@ def assemble(records: DataFrame) -> DataFrame:
     # Only records that refer to another are joined: the others would meet under one null key.
     columns = ["page_id", "payload_bytes", "refers_to_page", "response", "requests", "metadata"]
     referred = found.where("response.kind = 'response'").select(F.col("id").alias("refers_to"), F.col("page_id").alias("refers_to_page"))
-    again = found.where("refers_to is not null").join(referred, "refers_to", "left").select(columns)
+    hot = hot_keys(records.where("kind in ('response', 'revisit')"), "refers_to")
+    again = join_dealt(found.where("refers_to is not null"), referred, "refers_to", "left", hot, by=["id"]).select(columns)
     return again.unionByName(found.where("refers_to is null").withColumn("refers_to_page", F.lit(None).cast("long")).select(columns))
 
 
@@ -167,7 +235,8 @@ def round_trip(pages: DataFrame, payload: bool = True) -> DataFrame:
     A null html is an empty payload and always a response; a null url leaves
     out the target; a null page_id comes back as null. Repeated rows are
     captures of their own. An empty table gives an empty result; other columns
-    are ignored.
+    are ignored. A very long payload is one record, held whole by one task; a
+    file that holds it ends there.
     """
     path = scratch_folder(pages.sparkSession)
     write_archives(pages, path)

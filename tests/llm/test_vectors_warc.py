@@ -128,6 +128,45 @@ def test_warc(spark, tmp_path):
     assert round_trip(df.where("page_id < 0")).count() == 0
 
 
+def test_files_are_seekable_and_bounded(spark, tmp_path, monkeypatch):
+    """Each record is a gzip member; files end by bytes and begin with a warcinfo record; one record has over 16 MB."""
+    import zlib
+
+    from factlake.llm import storage, warc
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(storage, "HOT_ROWS", 5)
+    rng = np.random.default_rng(1)
+    page = lambda k: "".join(chr(c) for c in rng.integers(97, 123, 400)) if k % 3 else "one error page " * 20
+    pages = [(k, f"http://a/{k}", page(k)) for k in range(60)] + [(100, "http://a/100", "é" * 9_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "w")
+    write_archives(df, path)
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    assert len(files) > 8 and not list((tmp_path / "w").rglob("*.txt"))
+    kinds = []
+    for f in files:
+        data, own = f.read_bytes(), []
+        while data:
+            unzip = zlib.decompressobj(wbits=31)
+            record = unzip.decompress(data) + unzip.flush()
+            data = unzip.unused_data
+            if record:
+                assert record.startswith(b"WARC/1.1\r\nWARC-Type: ") and record.endswith(b"\r\n\r\n")
+                own.append(record.split(b"\r\n")[1].split(b": ")[1].decode())
+        assert own[0] == "warcinfo" and "warcinfo" not in own[1:]
+        assert f.stat().st_size < 3000 + 2000 or len(own) <= 10  # the one with the large record
+        kinds += own
+    assert kinds.count("response") == 42 and kinds.count("revisit") == 19 and kinds.count("request") == kinds.count("metadata") == 61
+    rows = assemble(storage.save(read_archives(spark, path))).collect()
+    assert sorted(r["page_id"] for r in rows) == sorted(p[0] for p in pages)
+    for r in rows:
+        if r["response"]["kind"] == "revisit":
+            assert r["refers_to_page"] == 0 and r["page_id"] % 3 == 0
+        else:
+            assert bytes(r["response"]["payload"]).decode() == dict((p[0], p[2]) for p in pages)[r["page_id"]]
+
+
 def test_plain_archives_are_read(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\n\r\nhello"
     record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:1>\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
