@@ -138,6 +138,20 @@ def relative_phrase(text: Column, ref: Column) -> tuple[Column, Column]:
     return instant, grain
 
 
+def ground_times(valid_from: Column, valid_to: Column, phrase: Column, grain: Column, ref: Column) -> tuple[Column, Column, Column, Column]:
+    """(from, to, grain, ok) of a fact's own times, which are texts, seen from ``ref``.
+
+    An ISO time counts, else the phrase, else ``ref`` itself; a grain that
+    isn't given is the phrase's, or day for ``ref``. A window that ends before
+    it begins is not ok.
+    """
+    told, until, g = iso_instant(valid_from), iso_instant(valid_to), normalize_grain(grain)
+    said, said_grain = relative_phrase(phrase, ref)
+    start = F.coalesce(told, said, ref)
+    fallback = F.when(told.isNull() & said.isNotNull(), said_grain).when(told.isNull(), F.lit("day")).otherwise(F.lit("unknown"))
+    return start, until, F.when(g == "unknown", fallback).otherwise(g), F.coalesce(start <= until, F.lit(True))
+
+
 def calendar_point(text: Column, clock: Column) -> tuple[Column, Column]:
     """(instant, grain): quarter, month or year that the text names; a missing year is the clock's."""
     t = F.lower(text)

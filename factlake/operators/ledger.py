@@ -149,30 +149,68 @@ def resolve_conflicts(claims: DataFrame, docs: DataFrame, registry: DataFrame, v
 
 
 def merge_relationships(rels: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming edges into those with the same ends and type: evidence joins, confidence rises, retracted rows revive."""
-    keys = ["from_type", "from_id", "relationship_type", "to_type", "to_id"]
-    return _merge(rels, incoming, keys, "relationship_id")
+    """Incoming edges into those with the same ends and type, as ``merge_claims`` but that the first creator stays."""
+    return _merge(rels, incoming, ["from_type", "from_id", "relationship_type", "to_type", "to_id"], "relationship_id", False)
 
 
 def merge_claims(claims: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming claims into those with the same subject, predicate and object; a creator of higher rank takes over."""
-    return _merge(claims, incoming, ["subject_type", "subject_id", "predicate", "object_text"], "claim_id")
-
-
-def _merge(old: DataFrame, incoming: DataFrame, keys: list[str], key: str) -> DataFrame:
-    live = old.where("status <> 'superseded'")
-    fresh = incoming.groupBy(*keys).agg(
-        F.min(key).alias("n_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_doc_ids")))).alias("n_docs"), F.max("confidence").alias("n_confidence"),
-        F.max_by("created_by", precedence_rank(F.col("created_by"), F.size("evidence_doc_ids"))).alias("n_by"), F.max_by("status", F.col("status") == "active").alias("n_status"),
-    )
-    both = live.select(*keys, key, "status", "confidence", "created_by", "evidence_doc_ids").join(fresh, keys, "full_outer")
-    docs = F.array_sort(F.array_distinct(F.concat(F.coalesce("evidence_doc_ids", F.array().cast("array<string>")), F.coalesce("n_docs", F.array().cast("array<string>")))))
-    outranks = precedence_rank(F.col("n_by"), F.size("n_docs")) > precedence_rank(F.col("created_by"), F.size("evidence_doc_ids"))
-    lifted = F.when(F.col("status").isin("proposed", "retracted") & F.col("n_status").isNotNull(), F.col("n_status")).otherwise(F.coalesce("status", "n_status"))
-    return both.select(
-        *keys, F.coalesce(key, "n_id").alias(key), lifted.alias("status"), F.greatest("confidence", "n_confidence").alias("confidence"),
-        F.when(outranks, F.col("n_by")).otherwise(F.coalesce("created_by", "n_by")).alias("created_by"), docs.alias("evidence_doc_ids"),
+    """Incoming claims into those with the same subject, predicate and object.
+
+    All rows come back whole: superseded ones, and live ones that nothing
+    merges into, as they are. Evidence and quotes join, confidence rises, open
+    window ends are filled, the finer grain wins. An active row lifts a
+    proposed or retracted one, a proposed row a retracted one, and its belief
+    is open again. A creator of higher rank takes over. Incoming rows count in
+    the order of created_at and id; columns that ``incoming`` lacks are null.
+    """
+    return _merge(claims, incoming, ["subject_type", "subject_id", "predicate", "object_text"], "claim_id", True)
+
+
+def _merge(old: DataFrame, incoming: DataFrame, keys: list[str], key: str, creator: bool) -> DataFrame:
+    columns = old.columns
+    fresh = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in columns])
+    has = set(columns).__contains__
+    by = ["created_at", key] if has("created_at") else [key]
+    order = F.struct(*by)
+    rank = F.when(F.col("created_by").startswith("structured_field"), 2).when(F.col("created_by").startswith("agent_promote"), 1).otherwise(0)
+    windows = [c for c in ("valid_from", "valid_to") if has(c)]
+    told = fresh.groupBy(*keys).agg(
+        F.min_by(F.struct(*columns), order).alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_doc_ids")))).alias("docs"), F.max("confidence").alias("score"),
+        F.bool_or(F.col("status") == "active").alias("any_active"), F.bool_or(F.col("status") == "proposed").alias("any_proposed"), F.min_by("created_by", F.struct(-rank, order)).alias("by"), F.max(rank).alias("by_rank"),
+        *([F.array_sort(F.collect_list(F.struct(*by, "evidence_quotes"))).alias("said")] if has("evidence_quotes") else []),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"n_{c}") for c in windows],
+        *([F.min_by("time_grain", F.struct(grain_rank(F.col("time_grain")), order)).alias("n_grain")] if has("time_grain") else []),
     )
+    state = F.when(F.col("status") == "active", 0).when(F.col("status") == "proposed", 1).otherwise(2)
+    keeper = first_rows(old.where("status <> 'superseded'"), keys, [state, F.col(key)])
+    rest = old.join(keeper.select(key), key, "left_anti").select(columns)
+    kept = keeper.select(*keys, F.struct(*columns).alias("own"))
+    both = kept.join(told, keys, "full_outer").withColumn("base", F.coalesce("own", "first"))
+    new = F.col("first").isNotNull()
+    status = F.when(F.col("any_active"), "active").when(F.col("any_proposed") & (F.col("base.status") == "retracted"), "proposed").otherwise(F.col("base.status"))
+    own_rank = F.when(F.col("base.created_by").startswith("structured_field"), 2).when(F.col("base.created_by").startswith("agent_promote"), 1).otherwise(0)
+    empty = F.array().cast("array<string>")
+    out = {
+        "evidence_doc_ids": F.array_sort(F.array_distinct(F.concat(F.coalesce("own.evidence_doc_ids", empty), F.coalesce("docs", empty)))),
+        "confidence": F.greatest("base.confidence", "score"), "status": status,
+    }
+    if has("invalidated_at"):
+        out["invalidated_at"] = F.when(status != F.col("base.status"), None).otherwise(F.col("base.invalidated_at"))
+    if creator:
+        out["created_by"] = F.when(F.col("by_rank") > own_rank, F.col("by")).otherwise(F.col("base.created_by"))
+    for c in windows:
+        out[c] = F.coalesce(f"base.{c}", f"n_{c}")
+    if has("time_grain"):
+        out["time_grain"] = F.when(grain_rank(F.col("n_grain")) < grain_rank(F.col("base.time_grain")), F.col("n_grain")).otherwise(F.col("base.time_grain"))
+    if has("evidence_quotes"):
+        quotes = old.schema["evidence_quotes"].dataType
+        none = F.array().cast(quotes)
+        every = F.concat(F.coalesce("own.evidence_quotes", none), F.flatten(F.transform(F.coalesce(F.col("said"), F.array().cast(both.schema["said"].dataType)), lambda x: F.coalesce(x["evidence_quotes"], none))))
+        # One per document and quote: the place of the first, the fields of the last.
+        same = lambda x, y: (x["doc_id"] == y["doc_id"]) & (x["quote"] == y["quote"])
+        out["evidence_quotes"] = F.aggregate(every, none, lambda held, q: F.when(F.exists(held, lambda h: same(h, q)), F.transform(held, lambda h: F.when(same(h, q), q).otherwise(h))).otherwise(F.concat(held, F.array(q))))
+    merged = both.select(*[F.when(new, out[c]).otherwise(F.col(f"base.{c}")).alias(c) if c in out and c not in keys else F.col(f"base.{c}").alias(c) for c in columns])
+    return merged.unionByName(rest)
 
 
 def check_transitions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -314,25 +352,110 @@ def decide_proposals(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("proposal_id", "decided_by", outcome.alias("outcome"))
 
 
-def apply_extractions(parsed: DataFrame, docs: DataFrame, predicates: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(claims, counters) of ``parsed(doc_id, items array<struct<subject_id, predicate, object, quote, confidence>>)``.
-
-    A claim's quote must be found in its document; unknown predicates stay as
-    proposals of ``extraction:untyped``; the confidence decides the status.
+#: What a model read out of one window of a document.
+REF = "struct<type:string,name:string>"
+TIMES = "valid_from:string,valid_to:string,time_expression:string,time_grain:string"
+PARSED = (
+    "doc_id string, window_id int, source_window string, entities array<struct<type:string,name:string,description:string,evidence_quote:string>>, "
+    f"relationships array<struct<`from`:{REF},`to`:{REF},relationship_type:string,confidence:string,evidence_quote:string,{TIMES}>>, "
+    f"claims array<struct<subject:{REF},predicate:string,object:string,confidence:string,evidence_quote:string,{TIMES}>>"
+)
+COUNTERS = ("entities", "relationships", "claims", "active_facts", "proposed_facts", "dropped_untyped", "dropped_unverifiable", "skipped_mentions", "malformed")
+
+
+def _clean(column: str, lower: bool = True) -> Column:
+    text = F.trim(F.coalesce(F.col(column), F.lit("")))
+    return F.lower(text) if lower else text
+
+
+def _resolved(rows: DataFrame, ref: str, persons: DataFrame, entities: DataFrame, entity_types: DataFrame) -> DataFrame:
+    """``rows(item_id, .., ref)`` with ref_type, ref_id and the reason why there is none."""
+    names = persons.where("merged_into_id is null").select(normalize_name(F.col("display_name")).alias("_norm"), F.col("canonical_id").alias("_person"))
+    if "name_aliases" in persons.columns:
+        names = names.unionByName(persons.where("merged_into_id is null").select(F.explode("name_aliases").alias("a"), F.col("canonical_id").alias("_person")).select(normalize_name(F.col("a")).alias("_norm"), "_person"))
+    people = names.groupBy("_norm").agg(F.count_distinct("_person").alias("_n_people"), F.min("_person").alias("_person"))
+    things = entities.select(normalize_name(F.col("name")).alias("_norm"), F.col("entity_type").alias("_kind"), "entity_id").distinct()
+    typed = things.groupBy("_norm", "_kind").agg(F.count(F.lit(1)).alias("_n_typed"), F.min("entity_id").alias("_typed"))
+    any_ = things.groupBy("_norm").agg(F.count(F.lit(1)).alias("_n_any"), F.min("entity_id").alias("_any"), F.min("_kind").alias("_any_kind"))
+    kinds = small(entity_types.select(F.col("key").alias("_kind"), F.lit(True).alias("_known")))
+    out = rows.withColumns({"_kind": _clean(f"{ref}.type"), "_norm": normalize_name(_clean(f"{ref}.name", False))})
+    out = out.join(people, "_norm", "left").join(typed, ["_norm", "_kind"], "left").join(any_, "_norm", "left").join(kinds, "_kind", "left")
+    person, loose = F.col("_kind") == "person", F.col("_kind").isin("", "entity")
+    got = F.when(person, F.when(F.col("_n_people") == 1, F.col("_person"))).when(loose, F.when(F.col("_n_any") == 1, F.col("_any"))).when(F.col("_known"), F.when(F.col("_n_typed") == 1, F.col("_typed")))
+    kind = F.when(loose, F.col("_any_kind")).otherwise(F.col("_kind"))
+    why = F.when(F.col("_norm") == "", "empty").when(got.isNotNull(), None).when(~person & ~loose & F.col("_known").isNull(), "dropped_untyped").otherwise("skipped_mentions")
+    got = F.when(F.col("_norm") != "", got)
+    return out.withColumns({f"{ref}_id": got, f"{ref}_type": F.when(got.isNotNull(), kind), f"{ref}_why": why}).drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def apply_extractions(
+    parsed: DataFrame, docs: DataFrame, predicates: DataFrame, edge_types: DataFrame, entity_types: DataFrame, persons: DataFrame, entities: DataFrame, threshold: float = 0.8
+) -> dict[str, DataFrame]:
+    """Entities, edges and claims of ``parsed`` (see PARSED), as rows to merge, and counters by document.
+
+    ``predicates(predicate, subject_types)``, ``edge_types(relationship_type,
+    from_types, to_types)``, ``entity_types(key)``; people are bound by exact
+    name only, never created. Each item needs a quote that its window holds.
+    An edge or claim of ends that its type doesn't take is dropped as untyped;
+    a claim of an unknown predicate stays, proposed, by ``extraction:untyped``.
+    A window of time that ends before it begins drops the fact. A described
+    glossary entity without a definition in its window gets one. The
+    confidence decides the status; one that isn't a number in 0 to 1 makes the
+    item malformed. New entities come first, so edges may name them.
     """
     from factlake.functions.ranking import parse_confidence
+    from factlake.functions.temporal import ground_times
     from factlake.functions.text import quote_supported
 
-    rows = parsed.select("doc_id", F.posexplode("items").alias("pos", "item")).join(docs.select("doc_id", "rendered_text", "event_time"), "doc_id").join(small(predicates.select("predicate").withColumn("typed", F.lit(True))), F.col("item.predicate") == F.col("predicate"), "left")
-    score = F.coalesce(parse_confidence(F.col("item.confidence")), F.lit(0.5))
-    verified = F.coalesce(quote_supported(F.col("item.quote"), F.col("rendered_text")), F.lit(False))
-    kind = F.when(~verified, "unverifiable").when(F.col("typed").isNull(), "untyped").otherwise("claim")
-    rows = rows.withColumn("kind", kind)
-    status = F.when(F.col("typed").isNull(), "proposed").otherwise(status_for_confidence(score, threshold))
-    claims = rows.where("kind <> 'unverifiable'").select(
-        "doc_id", "pos", F.col("item.subject_id").alias("subject_id"), F.col("item.predicate").alias("predicate"), F.col("item.object").alias("object_text"), score.alias("confidence"),
-        status.alias("status"), F.when(F.col("typed").isNull(), "extraction:untyped").otherwise("extraction").alias("created_by"), F.col("event_time").alias("valid_from"), F.array("doc_id").alias("evidence_doc_ids"),
-    )
-    return claims, rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
+    windows = parsed.join(docs.where("not deleted").select("doc_id", "event_time"), "doc_id")
+
+    def items(name: str) -> DataFrame:
+        rows = windows.select("doc_id", "window_id", "source_window", "event_time", F.posexplode(name).alias("pos", "i"))
+        item_id = F.concat_ws("#", "doc_id", "window_id", F.lit(name), "pos")
+        held = F.coalesce(quote_supported(F.col("i.evidence_quote"), F.col("source_window")), F.lit(False))
+        return rows.select("doc_id", "window_id", "event_time", "pos", item_id.alias("item_id"), held.alias("held"), "i.*")
+
+    def timed(rows: DataFrame) -> DataFrame:
+        start, end, grain, ok = ground_times(F.col("valid_from"), F.col("valid_to"), F.col("time_expression"), F.col("time_grain"), F.col("event_time"))
+        rows = rows.withColumns({"at_from": start, "at_to": end, "at_grain": grain, "in_order": ok})
+        return rows.withColumn("score", parse_confidence(F.col("confidence"))).withColumn("status", status_for_confidence(F.col("score"), threshold))
+
+    quotes = F.array(F.struct("doc_id", F.col("evidence_quote").alias("quote")))
+    kind, label = _clean("type"), _clean("name", False)
+    things = items("entities").withColumns({"entity_type": kind, "label": label, "told": _clean("description", False)}).where("entity_type <> '' and label <> ''")
+    things = things.join(small(entity_types.select(F.col("key").alias("entity_type"), F.lit(True).alias("known"))), "entity_type", "left")
+    things = things.withColumn("why", F.when(F.col("entity_type") == "person", "skipped_mentions").when(F.col("known").isNull(), "dropped_untyped").when(~F.col("held"), "dropped_unverifiable").otherwise("entities"))
+    new = things.where("why = 'entities'").select(F.concat(F.lit("x:"), F.sha2(F.concat_ws("|", "entity_type", normalize_name(F.col("label"))), 256)).alias("entity_id"), "entity_type", F.col("label").alias("name"), F.col("told").alias("description"), F.array("doc_id").alias("evidence_doc_ids"))
+    merged = upsert_entities(entities.select(new.columns), new)
+
+    edges = timed(items("relationships")).withColumnsRenamed({"from": "source", "to": "target"}).withColumn("relationship_type", _clean("relationship_type"))
+    for end in ("source", "target"):
+        edges = _resolved(edges, end, persons, merged, entity_types)
+    edges = edges.join(small(edge_types.select("relationship_type", "from_types", "to_types")), "relationship_type", "left")
+    fits = F.array_contains("from_types", F.col("source_type")) & F.array_contains("to_types", F.col("target_type"))
+    found = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
+    edges = edges.withColumn("why", F.when(~F.col("held"), "dropped_unverifiable").when(~found | (F.col("relationship_type") == ""), "unresolved").when(~F.coalesce(fits, F.lit(False)), "dropped_untyped").when(F.col("score").isNull(), "malformed").when(~F.col("in_order"), "dropped_unverifiable").otherwise("relationships"))
+
+    facts = timed(items("claims")).withColumns({"predicate": _clean("predicate"), "value": _clean("object", False)})
+    facts = _resolved(facts, "subject", persons, merged, entity_types).join(small(predicates.select("predicate", "subject_types")), "predicate", "left")
+    typed = F.col("subject_types").isNotNull()
+    facts = facts.withColumn("why", F.when(~F.col("held"), "dropped_unverifiable").when(F.col("subject_id").isNull() | (F.col("predicate") == "") | (F.col("value") == ""), "unresolved").when(~F.col("in_order"), "dropped_unverifiable").when(F.col("score").isNull(), "malformed").when(typed & ~F.array_contains("subject_types", F.col("subject_type")), "dropped_untyped").otherwise("claims"))
+    facts = facts.withColumns({"untyped": ~typed & (F.col("why") == "claims"), "status": F.when(typed, F.col("status")).otherwise("proposed")})
+
+    shared = [F.col("score").alias("confidence"), "status", F.array("doc_id").alias("evidence_doc_ids"), quotes.alias("evidence_quotes"), F.col("at_from").alias("valid_from"), F.col("at_to").alias("valid_to"), F.col("at_grain").alias("time_grain"), F.col("event_time").alias("created_at")]
+    claims = facts.where("why = 'claims'").select(F.col("item_id").alias("claim_id"), "subject_type", "subject_id", "predicate", F.col("value").alias("object_text"), *shared, F.when(F.col("untyped"), "extraction:untyped").otherwise("extraction").alias("created_by"))
+    rels = edges.where("why = 'relationships'").select(F.col("item_id").alias("relationship_id"), F.col("source_type").alias("from_type"), F.col("source_id").alias("from_id"), "relationship_type", F.col("target_type").alias("to_type"), F.col("target_id").alias("to_id"), *shared, F.lit("extraction").alias("created_by"))
+
+    defined = items("claims").where(_clean("predicate") == "definition").select("doc_id", "window_id", normalize_name(_clean("subject.name", False)).alias("norm")).distinct()
+    ids = merged.where("entity_type = 'glossary'").select("entity_id", F.col("normalized_name").alias("norm"))
+    seeds = things.where("why = 'entities' and entity_type = 'glossary' and length(told) >= 8").withColumn("norm", normalize_name(F.col("label"))).join(defined, ["doc_id", "window_id", "norm"], "left_anti").join(ids, "norm")
+    sure = F.least(F.lit(0.85), F.lit(threshold + 0.05))
+    seeds = seeds.withColumns({"score": sure, "status": status_for_confidence(sure, threshold), "at_from": F.col("event_time"), "at_to": F.lit(None).cast("timestamp_ntz"), "at_grain": F.lit("day")})
+    seeded = seeds.select(F.concat("item_id", F.lit("#seed")).alias("claim_id"), F.lit("glossary").alias("subject_type"), F.col("entity_id").alias("subject_id"), F.lit("definition").alias("predicate"), F.col("told").alias("object_text"), *shared, F.lit("extraction:glossary_seed").alias("created_by"))
+
+    told = things.select("doc_id", "why").unionByName(edges.select("doc_id", "why")).unionByName(facts.select("doc_id", "why")).unionByName(facts.where("untyped").select("doc_id", F.lit("dropped_untyped").alias("why")))
+    refs = [edges.where("held").select("doc_id", F.col(f"{e}_why").alias("why")) for e in ("source", "target")] + [facts.where("held").select("doc_id", F.col("subject_why").alias("why"))]
+    for more in [*refs, seeded.select(F.col("evidence_doc_ids")[0].alias("doc_id"), F.lit("claims").alias("why")), *[x.select(F.col("evidence_doc_ids")[0].alias("doc_id"), F.concat("status", F.lit("_facts")).alias("why")) for x in (claims, rels, seeded)]]:
+        told = told.unionByName(more)
+    counters = told.groupBy("doc_id").agg(*[F.count_if(F.col("why") == c).alias(c) for c in COUNTERS])
+    return {"entities": merged, "relationships": rels, "claims": claims.unionByName(seeded), "counters": counters}

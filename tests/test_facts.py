@@ -138,8 +138,42 @@ def test_diff(spark):
 
 def test_extractions(spark):
     d, _, _ = world(spark)
-    items = [("d1", [("alice", "title", "Engineer", "alice is  ENGINEER", "0.9"), ("alice", "mood", "x", "Alice is Engineer", "high"), ("alice", "title", "y", "never said so", "1")])]
-    parsed = spark.createDataFrame(items, "doc_id string, items array<struct<subject_id:string,predicate:string,object:string,quote:string,confidence:string>>")
-    found, counts = ledger.apply_extractions(parsed, d, spark.createDataFrame([("title",)], "predicate string"))
-    assert {(r["object_text"], r["status"], r["created_by"]) for r in found.collect()} == {("Engineer", "active", "extraction"), ("x", "proposed", "extraction:untyped")}
-    assert {tuple(r) for r in counts.collect()} == {("claim", 1), ("untyped", 1), ("unverifiable", 1)}
+    from factlake.operators.ledger import PARSED
+
+    text = "Alice Adams is ENGINEER of the Blue team. Blue is a group of painters. Alice joined Blue last month."
+    alice, blue = ("person", "Alice Adams"), ("team", "Blue")
+    none = (None,) * 4
+    entities = [("Team", "Blue", "painters all", "Blue is a  group of painters"), ("person", "Alice Adams", "", "Alice Adams is engineer"), ("planet", "Mars", "", "Alice Adams is engineer"), ("team", "Red", "", "never said so"), ("glossary", "Painter", "a person who paints", "group of painters")]
+    edges = [(alice, blue, "member_of", "0.9", "Alice joined Blue last month", None, None, "last month", None), (blue, alice, "member_of", "0.9", "Alice joined Blue", *none), (("person", "Nobody"), blue, "member_of", "0.9", "Alice joined Blue", *none), (alice, blue, "orbits", "0.5", "Alice joined Blue", *none)]
+    facts = [(alice, "title", "Engineer", "0.9", "alice adams is  ENGINEER", *none), (alice, "mood", "x", "0.9", "Alice Adams is engineer", *none), (blue, "title", "x", "1", "Alice Adams is engineer", *none), (alice, "title", "y", "high", "Alice Adams is engineer", *none), (alice, "title", "z", "0.7", "never said so", *none), (alice, "title", "w", "0.3", "Alice Adams is engineer", "2026-02-01", "2026-01-01", None, None)]
+    parsed = spark.createDataFrame([("d1", 0, text, entities, edges, facts)], PARSED)
+    predicates = spark.createDataFrame([("title", ["person"]), ("definition", ["glossary"])], "predicate string, subject_types array<string>")
+    kinds = spark.createDataFrame([("member_of", ["person"], ["team"])], "relationship_type string, from_types array<string>, to_types array<string>")
+    types = spark.createDataFrame([("team",), ("glossary",)], "key string")
+    people = spark.createDataFrame([("alice", "alice  adams", None)], "canonical_id string, display_name string, merged_into_id string")
+    known = spark.createDataFrame([("e1", "team", "blue", "", ["d4"])], "entity_id string, entity_type string, name string, description string, evidence_doc_ids array<string>")
+    out = ledger.apply_extractions(parsed, d, predicates, kinds, types, people, known)
+    assert {(r["entity_type"], r["name"], r["description"], tuple(r["evidence_doc_ids"])) for r in out["entities"].collect()} == {("team", "blue", "painters all", ("d1", "d4")), ("glossary", "Painter", "a person who paints", ("d1",))}
+    assert {(r["predicate"], r["object_text"], r["status"], r["created_by"]) for r in out["claims"].collect()} == {("title", "Engineer", "active", "extraction"), ("mood", "x", "proposed", "extraction:untyped"), ("definition", "a person who paints", "active", "extraction:glossary_seed")}
+    rel = out["relationships"].collect()
+    assert [(r["from_id"], r["to_id"], r["status"], r["time_grain"]) for r in rel] == [("alice", "e1", "active", "month")]
+    counts = out["counters"].collect()[0].asDict()
+    assert counts == {"doc_id": "d1", "entities": 2, "relationships": 1, "claims": 3, "active_facts": 3, "proposed_facts": 1, "dropped_untyped": 5, "dropped_unverifiable": 3, "skipped_mentions": 2, "malformed": 1}
+
+
+def test_merging_keeps_whole_rows(spark):
+    quoted = "array<struct<doc_id:string,quote:string,note:string>>"
+
+    def rows(*told):
+        columns = "claim_id string, subject_type string, subject_id string, predicate string, object_text string, status string, confidence double, created_by string, evidence_doc_ids array<string>, evidence_quotes " + quoted + ", valid_from timestamp_ntz, valid_to timestamp_ntz, time_grain string, invalidated_at timestamp_ntz, created_at timestamp_ntz"
+        return spark.createDataFrame([(i, "person", "p", "title", o, s, 0.5, by, docs, q, f, t, g, inv, JAN) for i, o, s, by, docs, q, f, t, g, inv in told], columns)
+
+    old = rows(("a", "x", "retracted", "extraction", ["d1"], [("d1", "q1", "old")], None, JAN, "year", JUL), ("s", "x", "superseded", "extraction", ["d9"], [], None, None, None, JAN), ("k", "y", "active", "extraction", ["d1"], [], JAN, None, "day", None))
+    new = rows(("b", "x", "proposed", "extraction", ["d2"], [("d1", "q1", "new"), ("d2", "q2", "n")], JUL, JUL, "month", None), ("c", "z", "proposed", "extraction", ["d3"], [], None, None, "day", None), ("d", "z", "active", "structured_field:t", ["d4"], [("d4", "q4", "z")], JUL, None, "unknown", None))
+    for seed in range(2):
+        got = {r["claim_id"]: r for r in ledger.merge_claims(old, new.orderBy(F.rand(seed))).collect()}
+        assert set(got) == {"a", "s", "k", "c"} and got["s"]["evidence_doc_ids"] == ["d9"] and got["k"]["status"] == "active"
+        a, c = got["a"], got["c"]
+        assert (a["status"], a["invalidated_at"], a["valid_from"], a["valid_to"], a["time_grain"]) == ("proposed", None, JUL, JAN, "month")
+        assert [tuple(q) for q in a["evidence_quotes"]] == [("d1", "q1", "new"), ("d2", "q2", "n")]
+        assert (c["status"], c["created_by"], c["evidence_doc_ids"], c["valid_from"], c["time_grain"]) == ("active", "structured_field:t", ["d3", "d4"], JUL, "day")
