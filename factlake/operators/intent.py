@@ -58,7 +58,7 @@ def passage_clocks(plans: DataFrame) -> DataFrame:
 
 def validate_model_plan(plans: DataFrame) -> DataFrame:
     """Plans from a model: an unknown axis or a missing point makes them ambiguous, with little confidence."""
-    known = F.col("axis").isin("current", "world", "belief")
+    known = F.coalesce(F.col("axis").isin("current", "world", "belief"), F.lit(False))
     pointless = (F.col("axis") != "current") & F.col("point").isNull()
     bad = ~known | pointless
     sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -389,7 +391,8 @@ def _resolved(rows: DataFrame, ref: str, persons: DataFrame, entities: DataFrame
 
 
 def apply_extractions(
-    parsed: DataFrame, docs: DataFrame, predicates: DataFrame, edge_types: DataFrame, entity_types: DataFrame, persons: DataFrame, entities: DataFrame, threshold: float = 0.8
+    parsed: DataFrame, docs: DataFrame, predicates: DataFrame, edge_types: DataFrame, entity_types: DataFrame, persons: DataFrame, entities: DataFrame, threshold: float = 0.8,
+    store: Callable[[DataFrame, str], DataFrame] = lambda df, _: df,
 ) -> dict[str, DataFrame]:
     """Entities, edges and claims of ``parsed`` (see PARSED), as rows to merge, and counters by document.
 
@@ -401,7 +404,8 @@ def apply_extractions(
     A window of time that ends before it begins drops the fact. A described
     glossary entity without a definition in its window gets one. The
     confidence decides the status; one that isn't a number in 0 to 1 makes the
-    item malformed. New entities come first, so edges may name them.
+    item malformed. New entities come first, so edges may name them. ``store``
+    (a table and its name to the table read back) may keep what is used again.
     """
     from factlake.functions.ranking import parse_confidence
     from factlake.functions.temporal import ground_times
@@ -426,7 +430,7 @@ def apply_extractions(
     things = things.join(small(entity_types.select(F.col("key").alias("entity_type"), F.lit(True).alias("known"))), "entity_type", "left")
     things = things.withColumn("why", F.when(F.col("entity_type") == "person", "skipped_mentions").when(F.col("known").isNull(), "dropped_untyped").when(~F.col("held"), "dropped_unverifiable").otherwise("entities"))
     new = things.where("why = 'entities'").select(F.concat(F.lit("x:"), F.sha2(F.concat_ws("|", "entity_type", normalize_name(F.col("label"))), 256)).alias("entity_id"), "entity_type", F.col("label").alias("name"), F.col("told").alias("description"), F.array("doc_id").alias("evidence_doc_ids"))
-    merged = upsert_entities(entities.select(new.columns), new)
+    merged = store(upsert_entities(entities.select(new.columns), new), "entities")
 
     edges = timed(items("relationships")).withColumnsRenamed({"from": "source", "to": "target"}).withColumn("relationship_type", _clean("relationship_type"))
     for end in ("source", "target"):
@@ -435,12 +439,13 @@ def apply_extractions(
     fits = F.array_contains("from_types", F.col("source_type")) & F.array_contains("to_types", F.col("target_type"))
     found = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
     edges = edges.withColumn("why", F.when(~F.col("held"), "dropped_unverifiable").when(~found | (F.col("relationship_type") == ""), "unresolved").when(~F.coalesce(fits, F.lit(False)), "dropped_untyped").when(F.col("score").isNull(), "malformed").when(~F.col("in_order"), "dropped_unverifiable").otherwise("relationships"))
+    edges = store(edges, "edges")
 
     facts = timed(items("claims")).withColumns({"predicate": _clean("predicate"), "value": _clean("object", False)})
     facts = _resolved(facts, "subject", persons, merged, entity_types).join(small(predicates.select("predicate", "subject_types")), "predicate", "left")
     typed = F.col("subject_types").isNotNull()
     facts = facts.withColumn("why", F.when(~F.col("held"), "dropped_unverifiable").when(F.col("subject_id").isNull() | (F.col("predicate") == "") | (F.col("value") == ""), "unresolved").when(~F.col("in_order"), "dropped_unverifiable").when(F.col("score").isNull(), "malformed").when(typed & ~F.array_contains("subject_types", F.col("subject_type")), "dropped_untyped").otherwise("claims"))
-    facts = facts.withColumns({"untyped": ~typed & (F.col("why") == "claims"), "status": F.when(typed, F.col("status")).otherwise("proposed")})
+    facts = store(facts.withColumns({"untyped": ~typed & (F.col("why") == "claims"), "status": F.when(typed, F.col("status")).otherwise("proposed")}), "facts")
 
     shared = [F.col("score").alias("confidence"), "status", F.array("doc_id").alias("evidence_doc_ids"), quotes.alias("evidence_quotes"), F.col("at_from").alias("valid_from"), F.col("at_to").alias("valid_to"), F.col("at_grain").alias("time_grain"), F.col("event_time").alias("created_at")]
     claims = facts.where("why = 'claims'").select(F.col("item_id").alias("claim_id"), "subject_type", "subject_id", "predicate", F.col("value").alias("object_text"), *shared, F.when(F.col("untyped"), "extraction:untyped").otherwise("extraction").alias("created_by"))

@@ -167,8 +167,9 @@ def e11(t):
     for i, option in enumerate(options):
         phrase = F.when(n % 8 == i, option).otherwise(phrase)
     rows = t.v_claims.select("claim_id", "valid_from", phrase.alias("phrase"))
-    at, grain = temporal.relative_phrase(F.col("phrase"), F.col("valid_from"))
-    return rows.select("claim_id", F.date_format(F.coalesce(temporal.iso_instant(F.col("phrase")), at, "valid_from"), "yyyy-MM-dd").alias("grounded"), F.coalesce(grain, F.lit("day")).alias("grain"))
+    none = F.lit(None).cast("string")
+    at, _, grain, _ = temporal.ground_times(F.col("phrase"), none, F.col("phrase"), none, F.col("valid_from"))
+    return rows.select("claim_id", F.date_format(at, "yyyy-MM-dd").alias("grounded"), grain.alias("grain"))
 
 
 @query("f1_collapse_duplicates", """with live as (select * from v_claims where status in ('proposed', 'active', 'retracted')),
@@ -483,7 +484,7 @@ def f14(t):
     k = F.expr("cast(substr(claim_id, 2) as bigint)")
     rows = t.v_claims.where("status <> 'superseded'").withColumn("rn", F.row_number().over(Window.partitionBy("subject_id", "predicate", "object_text").orderBy(k)))
     out = ledger.merge_claims(rows.where("rn = 1"), rows.where("rn > 1"))
-    return out.select("subject_id", "predicate", "object_text", "confidence", joined("evidence_doc_ids").alias("docs"))
+    return out.select("subject_id", "predicate", "object_text", "confidence", F.array_join(F.array_sort(F.array_distinct("evidence_doc_ids")), ",").alias("docs"))
 
 
 @query("f28_decide_proposals", "select claim_id as proposal_id, case when status <> 'proposed' then 'not_pending' when cast(substr(claim_id, 2) as bigint) % 4 = 0 then 'applied' else 'rejected' end as outcome from v_claims")

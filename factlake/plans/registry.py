@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from factlake.plans import facts, feed, governance, people, retrieval  # noqa: F401
+    from factlake.plans import extraction, facts, feed, governance, people, retrieval  # noqa: F401
 
 

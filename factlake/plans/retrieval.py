@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factlake.functions import ranking, temporal
 from factlake.functions.text import STOP_WORDS, tokens
 from factlake.operators import acl, profiles, search
-from factlake.plans.facts import VIS, joined, stamp, visible
+from factlake.plans.facts import VIS, joined, seen, stamp, visible
 from factlake.plans.feed import TERMS, clock
 from factlake.plans.registry import query
 
@@ -112,15 +112,37 @@ def h11(t):
     return search.canonical_author(ids.unionByName(t.spark.createDataFrame([("q", "p-1")], "query_id string, person_id string")), t.v_persons)
 
 
-@query("h12_hybrid_search")
+HYBRID = f"""{VEC}, {TERMS}, {seen('v_claims', 'claim_id')},
+qs as (select query_id, concat('v', cast(substr(query_id, 2) as int) % 3 + 1) as viewer_id, cast(substr(query_id, 2) as int) // 20 % 3 as k from v_query_vectors),
+w as (select qs.query_id, x.term, x.side from qs join (values (0, 'en', 'must'), (0, 'les', 'any'), (0, 'des', 'any'), (0, 'title', 'any'), (1, 'doc', 'must'), (1, 'und', 'any'), (1, 'der', 'any'), (1, 'rights', 'no'), (2, 'license', 'any'), (2, 'urgent', 'any'), (2, 'doc', 'no')) x(k, term, side) on x.k = qs.k),
+nw as (select query_id, count_if(side = 'must') as n_must, count_if(side = 'any') as n_any from w group by 1),
+kc as (select w.query_id, c.chunk_id, count(distinct case when side = 'must' then term end) as gm, count(distinct case when side = 'any' then term end) as ga, count_if(side = 'no') as gn, sum(case when side <> 'no' then tm.score end) as score
+ from w join tm using (term) join v_chunks c on c.doc_id = tm.doc_id join qs on qs.query_id = w.query_id join vis on vis.doc_id = c.doc_id and vis.viewer_id = qs.viewer_id group by 1, 2),
+hk as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from kc join nw using (query_id) where gm = n_must and (n_any = 0 or ga > 0) and gn = 0),
+tf as (select claim_id, term, count(*)::double as score from (select claim_id, unnest(regexp_extract_all(lower(concat(predicate, ': ', object_text)), '[\\p{{L}}\\p{{N}}]+')) as term from v_claims) group by 1, 2),
+fc as (select w.query_id, tf.claim_id, count(distinct case when side = 'must' then term end) as gm, count(distinct case when side = 'any' then term end) as ga, count_if(side = 'no') as gn, sum(case when side <> 'no' then tf.score end) as score
+ from w join tf using (term) join qs on qs.query_id = w.query_id join av on av.claim_id = tf.claim_id and av.viewer_id = qs.viewer_id group by 1, 2),
+hf as (select query_id, claim_id, row_number() over (partition by query_id order by round(score, 9) desc, claim_id) as rank from fc join nw using (query_id) where gm = n_must and (n_any = 0 or ga > 0) and gn = 0),
+fu as (select query_id, item_id, sum(1.0 / (60 + rank)) as score from (select query_id, concat('chunk:', chunk_id) as item_id, rank from vc where rank <= 100 union all select query_id, concat('chunk:', chunk_id), rank from hk where rank <= 100 union all select query_id, concat('fact:', claim_id), rank from hf where rank <= 100) group by 1, 2),
+ti as (select concat('chunk:', c.chunk_id) as item_id, d.event_time as at, c.doc_id as parent_id, 90.0 as half, 0.3 as floor from v_chunks c join v_documents d using (doc_id) union all select concat('fact:', claim_id), valid_from, null, 180.0, 0.25 from v_claims),
+de as (select fu.query_id, fu.item_id, ti.parent_id, fu.score * greatest(pow(0.5, greatest(date_diff('second', ti.at, timestamp '2024-02-01') / 86400.0, 0) / half), floor) as score from fu join ti using (item_id)),
+sl as (select *, row_number() over (partition by query_id order by round(score, 12) desc, item_id) as rank from de),
+dp as (select *, row_number() over (partition by query_id, coalesce(parent_id, item_id) order by rank) as nth, count(*) over (partition by query_id) as n from sl where rank <= 10)"""
+
+
+@query("h12_hybrid_search", f"with {HYBRID} select query_id, item_id, cast(rank as bigint) as rank, round(score, 9) as score, n - count(*) over (partition by query_id) as removed from dp where nth = 1")
 def h12(t):
     chunks = t.v_chunks.join(t.v_documents.select("doc_id", "title", "rendered_text"), "doc_id")
     index = search.index_terms(chunks, "chunk_id")
-    queries = asked(t).join(words(t).withColumn("query_id", F.regexp_replace("query_id", "q", "q")), "query_id")
+    words_ = [(0, ["en"], ["les", "des", "title"], []), (1, ["doc"], ["und", "der"], ["rights"]), (2, [], ["license", "urgent"], ["doc"])]
+    words_ = t.spark.createDataFrame(words_, "k int, must array<string>, any array<string>, no array<string>")
+    queries = asked(t).withColumn("k", F.expr("cast(substr(query_id, 2) as int) div 20 % 3").cast("int")).join(F.broadcast(words_), "k").drop("k")
     everyone, own = acl.all_visible(t.v_claims, visible(t), "claim_id")
     facts = everyone.withColumn("viewer_id", F.lit(None).cast("string")).unionByName(own).join(t.v_claims.select("claim_id", F.col("valid_from").alias("at")), "claim_id")
     facts = facts.select(F.col("claim_id").alias("fact_id"), "viewer_id", "at")
-    return search.hybrid_search(queries, chunks.select("chunk_id", "doc_id", "chunk_role", "embedding"), t.v_documents, index, facts, search.fact_terms(t.v_claims, t.v_relationships), visible(t), None, clock(), 10)
+    fact_index = search.fact_terms(t.v_claims, t.v_relationships)
+    out = search.hybrid_search(queries, chunks.select("chunk_id", "doc_id", "chunk_role", "embedding"), t.v_documents, index, facts, fact_index, visible(t), None, clock(), 10)
+    return out.select("query_id", "item_id", "rank", F.round("score", 9).alias("score"), "removed")
 
 
 @query("h13_search_diagnostics", "select label::varchar as query_id, count_if(n % 6 = 0) as vector, count_if(n % 6 = 1) as keyword, count_if(n % 6 = 2) as fact, count_if(n % 6 = 3) as fused, count_if(n % 6 = 4) as shortlist, count_if(n % 6 = 5) as returned from (select label, cast(split(chunk_id, '#')[2] as bigint) as n from v_chunks) group by 1")

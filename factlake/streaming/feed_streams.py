@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from factlake.operators import ledger
+
 DOC_STATE = "t timestamp, acl_t timestamp, visible boolean, principals string, version long, text_hash string, deleted boolean"
 DOC_OUTPUT = "doc_id string, seq long, outcome string, event_time timestamp, text_hash string, deleted boolean, org_visible boolean, allowed_principals string, acl_version long"
 
@@ -93,13 +95,78 @@ def late_event_report(rejects: DataFrame, width: str = "1 hour", delay: str | No
     return out.select("source_system", "reason", F.col("w.start").alias("window_start"), "n")
 
 
-def stream_ledger(parsed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Apply each micro-batch of parsed extractions with the batch operators.
-
-    ``apply(batch, batch_id)`` writes what the batch adds under its id, so a
-    batch that is run again overwrites itself.
+#: Buckets of a ledger table; a batch writes those that it touches anew.
+BUCKETS = 64
+_FACT = (
+    "confidence double, status string, evidence_doc_ids array<string>, evidence_quotes array<struct<doc_id:string,quote:string>>, valid_from timestamp_ntz, valid_to timestamp_ntz, time_grain string, "
+    "created_at timestamp_ntz, updated_at timestamp_ntz, invalidated_at timestamp_ntz, superseded_by string, created_by string, bucket int, version long"
+)
+#: The ledger's tables and what a row's bucket goes by.
+LEDGER = {
+    "claims": ("claim_id string, subject_type string, subject_id string, predicate string, object_text string, " + _FACT, "subject_id"),
+    "relationships": ("relationship_id string, from_type string, from_id string, relationship_type string, to_type string, to_id string, " + _FACT, "from_id"),
+    "entities": ("entity_id string, entity_type string, name string, description string, evidence_doc_ids array<string>, bucket int, version long", None),
+}
+
+
+def read_ledger(spark: SparkSession, path: str, name: str, before: int | None = None) -> DataFrame:
+    """The rows of a ledger table: of each bucket its newest version, or the newest that batches before ``before`` wrote."""
+    empty = spark.createDataFrame([], LEDGER[name][0])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return empty.drop("version")
+    rows = spark.read.schema(empty.schema).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # BUCKETS rows
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("version")
+
+
+def _write_ledger(rows: DataFrame, path: str, name: str, version: int) -> None:
+    rows.withColumn("version", F.lit(version)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{path}/{name}")
+
+
+def stream_ledger(
+    parsed: DataFrame, path: str, docs: DataFrame, predicates: DataFrame, edge_types: DataFrame, entity_types: DataFrame, persons: DataFrame, exclusive: DataFrame, now: Column,
+    checkpoint: str, threshold: float = 0.8, available_now: bool = False,
+):
+    """Apply each micro-batch of parsed windows to the ledger tables below ``path`` with the batch operators.
+
+    A batch extracts, merges into the live rows of the buckets that it touches
+    and closes their exclusive slots, then writes these buckets as a version of
+    its own number. It reads versions of earlier batches only, so a batch that
+    is run again writes the same once more.
     """
-    return parsed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        entities = read_ledger(spark, path, "entities", number)
+
+        def store(df: DataFrame, name: str) -> DataFrame:
+            at = f"{path}/_batches/{number}/{name}"
+            df.write.mode("overwrite").parquet(at)
+            return spark.read.schema(df.schema).parquet(at)
+
+        found = ledger.apply_extractions(batch, docs, predicates, edge_types, entity_types, persons, entities.drop("bucket"), threshold, store)
+        bucket = F.pmod(F.xxhash64("normalized_name"), F.lit(BUCKETS)).cast("int")
+        merged = found["entities"].withColumn("bucket", bucket).drop("normalized_name").select([c for c in entities.columns])
+        _write_ledger(merged, path, "entities", number)
+        for name, (schema, by) in LEDGER.items():
+            if by is None:
+                continue
+            key = schema.split()[0]
+            fresh = store(found[name].withColumns({"bucket": F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int"), "updated_at": F.col("created_at")}), name)
+            own = read_ledger(spark, path, name, number)
+            own = own.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi").select(own.columns)
+            merge = ledger.merge_claims if name == "claims" else ledger.merge_relationships
+            rows = store(merge(own, fresh), f"{name}_merged")
+            if name == "claims":
+                rows = ledger.close_claim_slots(rows.drop("superseded_by").join(own.select(key, "superseded_by"), key, "left").withColumnRenamed("superseded_by", "was"), docs, exclusive, now)
+                rows = rows.withColumn("superseded_by", F.coalesce("superseded_by", "was")).drop("was")
+            _write_ledger(rows.select(own.columns), path, name, number)
+
+    writer = parsed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_stream(spark, path: str, schema: StructType | str) -> DataFrame:
