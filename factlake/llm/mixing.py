@@ -103,7 +103,7 @@ def _level(rows: DataFrame) -> DataFrame:
     """Fly each block; the only block of a source lands, others hold back their share of ``reserve`` units."""
 
     def run(key, table):
-        table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending"), ("size", "ascending"), ("copy", "ascending")])
         seed = hashlib.sha256(repr([k.as_py() for k in key]).encode()).digest()
         pi, size = table.column("pi").to_numpy(), table.column("size").to_numpy()
         rng = np.random.default_rng(int.from_bytes(seed[:8], "little"))
@@ -176,7 +176,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     and are not taken. A null source is a source of its own, the last. Null and
     repeated ids are rows like others; the draw depends on doc_id and text
     only, so reruns agree. An empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. A very long text is counted in segments.
     """
 
     def count(batches):
@@ -186,7 +186,12 @@ def mix_sources(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(word_counts(part.column(3)))], ["doc_id", "source", "text_hash", "size"])
 
     sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text")
-    sizes = save(sizes.mapInArrow(count, "doc_id long, source string, text_hash long, size long"))
+    sizes = sizes.mapInArrow(count, "doc_id long, source string, text_hash long, size long")
+    # Repeated rows are counted, numbered and dealt over tasks, so that a row that is there very often is not one block.
+    sizes = sizes.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("rows"))
+    parts = sizes.withColumn("part", F.explode(F.expr(f"sequence(0L, (rows - 1) div {BLOCK})"))).repartition("doc_id", "text_hash", "part")
+    copy = F.explode(F.expr(f"sequence(part * {BLOCK}, least(rows, (part + 1) * {BLOCK}) - 1)"))
+    sizes = save(parts.withColumn("copy", copy).drop("rows", "part"))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = save(targets(save(sources)))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)
@@ -197,9 +202,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         .withColumn("rate", rate).withColumn("whole", whole)
         .withColumn("pi", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("rate") - whole)).otherwise(0.0))
         .withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(0))
-        .withColumn("level", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash"), blocks))
+        .withColumn("level", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), blocks))
         .withColumn("blocks", blocks).withColumn("reserve", F.lit(0))
-        .select("doc_id", "source", "text_hash", "size", "source_size", "target", "n", "whole", "pi", "level", "block", "blocks", "reserve")
+        .select("doc_id", "source", "text_hash", "copy", "size", "source_size", "target", "n", "whole", "pi", "level", "block", "blocks", "reserve")
     )
     n_blocks = sources.agg(F.max(blocks)).first()[0] or 1
     decided, rows = large_first(save(joined))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factlake.llm.language_id import fold
 from factlake.llm.storage import read_table, save
-from factlake.llm.words import BASE, BYTE_VALUE, INVERSE, mix, parts, powers, text_bytes, word_bounds
+from factlake.llm.words import BASE, BYTE_VALUE, INVERSE, SEGMENT, hash_long_word, mix, powers, segments, text_bytes, word_bounds
 
 #: What is measured of a text, in this order.
 STATISTICS = (
@@ -41,43 +41,70 @@ LETTER = UPPER + _class("abcdefghijklmnopqrstuvwxyz")
 LETTER[128:] = 1
 
 
+def _parts(text: np.ndarray, whole: bool):
+    """(hashes, sizes, last bytes) of the words of a text's segments, some megabytes at a time."""
+    for at, to in [(0, len(text))] if whole else segments(text):
+        part = text[at:to]
+        if not whole and len(part) > SEGMENT:  # a long word
+            yield hash_long_word(part), np.array([float(len(part))]), part[-1:]
+            continue
+        starts, ends = word_bounds(part, np.array([0, len(part)]))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[part] * powers(BASE, len(part)), out=sums[1:])
+        yield mix((sums[ends] - sums[starts]) * powers(INVERSE, len(part) + 1)[starts]), (ends - starts).astype(float), part[ends - 1]
+
+
+def _line_hashes(text: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Hash of each line between two line feeds at ``edges`` (the first is -1, the last the end), some megabytes at a time."""
+    out, carry = np.zeros(len(edges), np.uint64), np.zeros(1, np.uint64)
+    scale, back = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    start_sum, start_back = np.zeros(len(edges), np.uint64), np.ones(len(edges), np.uint64)
+    for at in range(0, len(text) + 1, SEGMENT):
+        part = text[at : at + SEGMENT]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[part] * powers(BASE, len(part)), out=sums[1:])
+        inside = np.flatnonzero((edges >= at) & (edges < at + SEGMENT) & (edges <= len(text)))
+        local = edges[inside] - at
+        out[inside] = carry + scale * sums[local]
+        after = np.flatnonzero((edges + 1 >= at) & (edges + 1 < at + SEGMENT) & (edges + 1 <= len(text)))
+        local = edges[after] + 1 - at
+        start_sum[after] = carry + scale * sums[local]
+        start_back[after] = back * powers(INVERSE, SEGMENT + 1)[local]
+        carry = carry + scale * sums[-1]
+        scale, back = scale * np.uint64(pow(BASE, SEGMENT, 1 << 64)), back * np.uint64(pow(INVERSE, SEGMENT, 1 << 64))
+    return (out[1:] - start_sum[:-1]) * start_back[:-1]
+
+
 def statistics(column: pa.Array) -> np.ndarray:
-    """One row of STATISTICS per whole text; all 0 for null, empty and blank texts."""
+    """One row of STATISTICS per whole text; all 0 for null, empty and blank texts.
+
+    A text of more than SEGMENT bytes is read in segments: beside the text 8
+    bytes a word and a line are held.
+    """
     data, offsets = text_bytes(column)
     out = np.zeros((len(column), len(STATISTICS)))
-    for a, b in parts(offsets):
-        chunk, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, ends = word_bounds(chunk, own)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(chunk) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[chunk] * powers(BASE, len(chunk)), out=sums[1:])
-            back = powers(INVERSE, len(chunk) + 1)
-            words = mix((sums[ends] - sums[starts]) * back[starts])
+    with np.errstate(over="ignore"):
+        for i in range(len(column)):
+            text = data[offsets[i] : offsets[i + 1]]
+            found = list(_parts(text, len(text) <= SEGMENT)) if len(text) else []
+            words, size, last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+            n = len(words)
+            if not n:
+                continue
+            counts = np.bincount(text, minlength=256) if len(text) <= SEGMENT else sum(np.bincount(text[k : k + SEGMENT], minlength=256) for k in range(0, len(text), SEGMENT))
+            share = counts[counts > 0] / len(text)
+            letters = max(1.0, float(counts @ LETTER))
             pairs = mix(words[:-1] * np.uint64(BASE) + words[1:])
-            first = np.searchsorted(starts, own)
-            for i in range(b - a):
-                lo, hi = first[i], first[i + 1]
-                n = int(hi - lo)
-                if not n:
-                    continue
-                text = chunk[own[i] : own[i + 1]]
-                counts = np.bincount(text, minlength=256)
-                share = counts[counts > 0] / len(text)
-                letters = max(1.0, float(counts @ LETTER))
-                size = (ends[lo:hi] - starts[lo:hi]).astype(float)
-                kinds, often = np.unique(words[lo:hi], return_counts=True)
-                cut = np.flatnonzero(text == 10)
-                edges = np.r_[-1, cut, len(text)] + own[i]
-                lines = (edges[1:] - edges[:-1] - 1).astype(float)
-                line_hash = (sums[edges[1:]] - sums[edges[:-1] + 1]) * back[edges[:-1] + 1]
-                last = chunk[ends[lo:hi] - 1]
-                out[a + i] = (
-                    math.log1p(n), size.mean(), size.std(), len(kinds) / n ** 0.8, len(np.unique(pairs[lo : hi - 1])) / max(1, n - 1),
-                    (words[lo + 1 : hi] == words[lo : hi - 1]).mean() if n > 1 else 0.0, often.max() / n,
-                    float(counts @ UPPER) / letters, float(counts @ DIGIT) / len(text), float(counts @ SIGN) / len(text),
-                    counts[33] / n, counts[124] / n, counts[128:].sum() / len(text), -float((share * np.log2(share)).sum()),
-                    math.log1p(lines.mean()), (lines < 20).mean(), 1 - len(np.unique(line_hash)) / len(lines), np.isin(last, (33, 46, 63)).mean(),
-                )
+            kinds, often = np.unique(words, return_counts=True)
+            edges = np.r_[-1, np.flatnonzero(text == 10), len(text)]
+            lines = (edges[1:] - edges[:-1] - 1).astype(float)
+            out[i] = (
+                math.log1p(n), size.mean(), size.std(), len(kinds) / n ** 0.8, len(np.unique(pairs)) / max(1, n - 1),
+                (words[1:] == words[:-1]).mean() if n > 1 else 0.0, often.max() / n,
+                float(counts @ UPPER) / letters, float(counts @ DIGIT) / len(text), float(counts @ SIGN) / len(text),
+                counts[33] / n, counts[124] / n, counts[128:].sum() / len(text), -float((share * np.log2(share)).sum()),
+                math.log1p(lines.mean()), (lines < 20).mean(), 1 - len(np.unique(_line_hashes(text, edges))) / len(lines), np.isin(last, (33, 46, 63)).mean(),
+            )
     return out
 
 
@@ -197,7 +224,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows without a quality of 0 or 1 are no labels; repeated labels count each.
     Null ids are scored, never learned from; repeated rows are returned each.
     An empty table gives an empty result; without labels the score is 0.5.
-    Other columns are ignored: only the text is an input of the score.
+    Other columns are ignored: only the text is an input of the score. A very
+    long text is measured in segments by one task.
     """
     measured = save(measure(docs))
     known = labels.where("quality in (0, 1)").where(fold("doc_id") != 2).select("doc_id", F.col("quality").cast("int").alias("y"))

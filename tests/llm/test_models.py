@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -59,6 +60,64 @@ def test_language_sizes_by_plain_zstandard(spark, monkeypatch):
     assert got[900]["score"] > 0.8 * got[902]["score"]
 
 
+def test_long_texts_are_measured_alike_in_segments(monkeypatch):
+    import pyarrow as pa
+
+    from factlake.llm import quality, words
+
+    rng = random.Random(5)
+    texts = ["\n".join(speak(rng, "en", rng.randrange(1, 12)) + rng.choice([".", "", "!"]) for _ in range(60)), "x" * 900 + " y\n\n", "\n\nOne\none\n" * 50, "", None, " ", "a b"]
+    column = pa.array(texts)
+    whole, counts = statistics(column), words.word_counts(column)
+    assert counts.tolist() == [len([w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]) for t in texts]
+    for size in (64, 100, 257):
+        for module in (quality, words):
+            monkeypatch.setattr(module, "SEGMENT", size)
+        monkeypatch.setattr(words, "parts", lambda offsets, most=0: ((k, k + 1) for k in range(len(offsets) - 1)))
+        assert np.allclose(statistics(column), whole) and words.word_counts(column).tolist() == counts.tolist()
+
+
+def test_normal_equations_are_those_of_one_dense_solve(spark):
+    """Partition sums against numpy on all rows at once."""
+    from factlake.llm import quality
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, len(quality.STATISTICS))), rng.integers(0, 2, 300)
+    model = quality.Model(x.mean(axis=0), x.std(axis=0))
+    train = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y int").repartition(7)
+    gram, moment, n = quality._normal_equations(train, model)
+    z = model.lift(x)
+    assert n == 300 and np.allclose(gram, z.T @ z) and np.allclose(moment, z.T @ y)
+
+
+def test_mix_targets_by_sql(spark):
+    """Sizes and targets recomputed by DuckDB; taken words near them; a row repeated very often."""
+    import duckdb
+
+    rng = random.Random(8)
+    rows = [(k, " ".join("w" for _ in range(rng.choice([0, 3, 40, 400]))), rng.choice(["a", "b", "b", "c", "d", None])) for k in range(3000)] + [(7, "one row many times over", "c")] * 2500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(df).collect()
+    told = df.toPandas()  # noqa: F841
+    sizes = duckdb.sql(r"select source, sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')))::bigint as n from told group by 1 order by source nulls last").fetchall()
+    weights, total = [k % 3 + 1 for k in range(len(sizes))], sum(n for _, n in sizes)
+    full: set = set()
+    while True:
+        unit = (total - sum(3 * sizes[k][1] for k in full)) / max(1, sum(w for k, w in enumerate(weights) if k not in full))
+        more = {k for k in range(len(sizes)) if k not in full and unit * weights[k] > 3 * sizes[k][1]}
+        if not more:
+            break
+        full |= more
+    want = {s: (n, 3.0 * n if k in full else unit * weights[k]) for k, (s, n) in enumerate(sizes)}
+    taken = Counter()
+    for r in got:
+        assert r["source_size"] == want[r["source"]][0] and abs(r["target"] - want[r["source"]][1]) < 1e-6 * total
+        assert r["taken"] <= 3 * r["size"] and r["taken"] % max(1, r["size"]) == 0
+        taken[r["source"]] += r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[s] - t) <= 0.005 * t for s, (_, t) in want.items())
+    assert sorted(map(tuple, mix_sources(df.repartition(9)).select("doc_id", "text_hash", "taken").collect()), key=repr) == sorted(((r["doc_id"], r["text_hash"], r["taken"]) for r in got), key=repr)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(3)
     for _ in range(30):
