@@ -71,6 +71,11 @@ def bit_filter(keys: DataFrame, column: str, bits: int = 1 << 24, hashed: bool =
     ).groupBy("_slice").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
+def bits_for(n: int, least: int = 1 << 24, most: int = 1 << 29) -> int:
+    """Bits of a filter of ``n`` values: 16 a value, but 64 MB at most; a power of two."""
+    return min(most, max(least, 1 << (16 * max(1, n) - 1).bit_length()))
+
+
 def bit_array(filter_: DataFrame, bits: int) -> np.ndarray:
     """A filter as an array of ``bits / 8`` bytes, for use within tasks."""
     out = np.zeros(bits // 8, np.uint8)

@@ -177,6 +177,37 @@ def test_suffix(docs, odd):
     assert sorted(got, key=repr) == expect_cut(rows, 200)
 
 
+def test_suffix_index_over_batches(docs, spark, monkeypatch):
+    """Three batches one after another, each against brute force over all so far; levels merge; long texts come in segments."""
+    from factlake.llm import suffix_dedup as module
+
+    monkeypatch.setattr(module, "SEGMENT", 500)
+    monkeypatch.setattr(module, "parts", lambda offsets: ((k, k + 1) for k in range(len(offsets) - 1)))
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 8)))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    index, seen = module.SuffixIndex(spark, 200), []
+    for b in range(3):
+        batch = []
+        for k in range(7):
+            text = [" ".join(word() for _ in range(rng.randrange(5, 90)))]
+            for _ in range(rng.randrange(4)):
+                p = rng.choice(passages[: b + 2])
+                text += [p[rng.randrange(30) :], " ".join(word() for _ in range(rng.randrange(60)))]
+            batch.append((100 * b + k, " ".join(text)))
+        batch += [(100 * b + 50, "z" * (700 + b)), (None, passages[b] * 6)]
+        seen += batch
+        matches = index.add(docs(batch))
+        assert {"head", "prefix_hash", "doc_key", "place", "level_key", "level_place"} <= set(matches.columns) and matches.count() > 0
+        assert b == 0 or matches.where("level_key is not null").count() > 0
+        got = [(r["doc_id"], r["n_bytes"], str([[s["start"], s["end"]] for s in r["spans"]]), bytes(r["kept"])) for r in index.cut().collect()]
+        assert sorted(got, key=repr) == expect_cut(seen, 200)
+        for level in index.levels:
+            order = [(r["head"], r["prefix_hash"]) for r in spark.read.parquet(level.path).coalesce(1).select("head", "prefix_hash").collect()]
+            assert len(order) == len(set(order))
+    assert [level.batches for level in index.levels] == [2, 1]
+
+
 def test_empty_tables(docs, spark):
     none = docs([(1, "x")]).where("doc_id > 1")
     assert exact_dedup(none).count() == 0
