@@ -112,8 +112,8 @@ def sufficient(signals: Column) -> Column:
 def identity_fingerprint(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
     """A digest of both people's sorted identity evidence; a change of evidence changes it."""
     rows = _sides(pairs, aliases)
-    parts = F.struct(*[F.col(f"{s}_{c}") for s in ("a", "b") for c in ("names", "mails", "keys")])
-    return rows.select("a", "b", F.sha2(F.to_json(parts), 256).alias("fingerprint"))
+    parts = [F.coalesce(F.array_join(f"{s}_{c}", "\x1f"), F.lit("")) for s in ("a", "b") for c in ("names", "mails", "keys")]
+    return rows.select("a", "b", F.sha2(F.concat_ws("\x1e", *parts), 256).alias("fingerprint"))
 
 
 def merge_decisions(pairs: DataFrame, aliases: DataFrame, verdicts: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -43,10 +43,13 @@ def k4(t):
     return governance.spend_by_class(t.v_spend, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 1000, 1_000_000_000)
 
 
-@query("k5_spend_admission")
+@query("k5_spend_admission", """with recursive e as (select entry_id, concat('w', entry_id % 7) as workspace_id, strftime(created_at, '%Y-%m') as month, tokens, row_number() over (partition by entry_id % 7, strftime(created_at, '%Y-%m') order by entry_id) as n from v_spend),
+f as (select entry_id, workspace_id, month, n, tokens <= 400000 as admitted, case when tokens <= 400000 then tokens else 0 end as used from e where n = 1
+ union all select e.entry_id, e.workspace_id, e.month, e.n, f.used + e.tokens <= 400000, f.used + case when f.used + e.tokens <= 400000 then e.tokens else 0 end from f join e on e.workspace_id = f.workspace_id and e.month = f.month and e.n = f.n + 1)
+select workspace_id, month, entry_id, admitted from f""")
 def k5(t):
-    rows = t.v_spend.select("entry_id", F.lit("ws").alias("workspace_id"), "created_at", "tokens")
-    return governance.spend_admission(rows, 1_000_000)
+    rows = t.v_spend.select("entry_id", F.concat(F.lit("w"), F.col("entry_id") % 7).alias("workspace_id"), "created_at", "tokens")
+    return governance.spend_admission(rows, 400_000)
 
 
 @query("k6_reconcile", "with r as (select entry_id, created_at, case when entry_id % 3 = 0 then entry_id % 100 else tokens end as tokens from v_spend) select entry_id, tokens, (sum(tokens) over (partition by strftime(created_at, '%Y-%m') order by created_at, entry_id rows unbounded preceding))::bigint as running, sum(tokens) over (partition by strftime(created_at, '%Y-%m') order by created_at, entry_id rows unbounded preceding) > 1000000 as over_limit from r")

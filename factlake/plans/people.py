@@ -78,7 +78,11 @@ def i6(t):
     return people.corroborating_signals(pairs(t), t.v_aliases).select("a", "b", joined("signals").alias("signals"))
 
 
-@query("i8_fingerprints")
+FACETS = f"""fs as (select person_id, string_agg(distinct lower(trim(regexp_replace(display_name, '\\s+', ' ', 'g'))), chr(31) order by lower(trim(regexp_replace(display_name, '\\s+', ' ', 'g')))) as names,
+ string_agg(distinct case when email_verified then {mail('email')} end, chr(31) order by case when email_verified then {mail('email')} end) as mails, string_agg(distinct concat(source_system, ':', external_id), chr(31) order by concat(source_system, ':', external_id)) as ids from v_aliases group by 1)"""
+
+
+@query("i8_fingerprints", f"with {PAIRS}, {FACETS} select p.a, p.b, sha256(concat(coalesce(x.names, ''), chr(30), coalesce(x.mails, ''), chr(30), coalesce(x.ids, ''), chr(30), coalesce(y.names, ''), chr(30), coalesce(y.mails, ''), chr(30), coalesce(y.ids, ''))) as fingerprint from pairs p left join fs x on x.person_id = p.a left join fs y on y.person_id = p.b")
 def i8(t):
     return people.identity_fingerprint(pairs(t), t.v_aliases)
 

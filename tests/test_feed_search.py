@@ -149,6 +149,62 @@ def test_spend_admission(spark):
     assert {r["entry_id"]: r["admitted"] for r in governance.spend_admission(rows, 100).collect()} == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_spend_admission_by_a_plain_loop(spark, monkeypatch):
+    """Ranges that fit whole, what is too large for the room left, refunds, and the fold of the rest."""
+    import random
+
+    monkeypatch.setattr(governance, "RANGE", 20)
+    rng = random.Random(3)
+    rows = [(k, f"w{k % 3}", T0 + timedelta(days=k // 40), rng.choice([0, 1, 5, 60, 400, 900]) if k % 3 < 2 else rng.choice([-50, 10, 300])) for k in range(600)]
+    used, want = {}, {}
+    for entry, workspace, at, tokens in rows:
+        key = (workspace, at.strftime("%Y-%m"))
+        fits = used.get(key, 0) + tokens <= 4000
+        used[key] = used.get(key, 0) + (tokens if fits else 0)
+        want[entry] = fits
+    df = spark.createDataFrame(rows, "entry_id long, workspace_id string, created_at timestamp_ntz, tokens long").repartition(5)
+    assert {r["entry_id"]: r["admitted"] for r in governance.spend_admission(df, 4000).collect()} == want and len(set(want.values())) == 2
+
+
+def test_passages_by_a_plain_packer(spark):
+    """Paragraphs, sentences of one long paragraph and overlaps, packed once more by hand."""
+    import random
+
+    rng = random.Random(7)
+    texts = ["\n\n".join(" ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([3, 50, 180, 1500]))) for _ in range(rng.randrange(1, 9))) for _ in range(12)]
+
+    def pieces(text, target, most, overlap):
+        units = []
+        for part in (p for p in text.split("\n\n") if p):
+            w = part.split()
+            units += [w] if len(w) <= most else [w[k : k + target] for k in range(0, len(w), target)]
+        out, n, held = [], 0, None
+        for u in units:
+            if held is not None and n + len(u) <= target:
+                held.append(" ".join(u))
+                n += len(u)
+            else:
+                tail = " ".join(" ".join(held).split()[-overlap:]) if held and overlap else ""
+                held = [tail, " ".join(u)] if tail else [" ".join(u)]
+                out.append(held)
+                n = len(u) + len(tail.split())
+        return ["\n\n".join(p) for p in out]
+
+    docs = spark.createDataFrame([(str(k), None, x) for k, x in enumerate(texts)], "doc_id string, title string, rendered_text string")
+    got = {(r["doc_id"], r["chunk_role"], r["chunk_index"]): r["text"] for r in chunking.chunk_documents(docs).collect()}
+    want = {}
+    for k, x in enumerate(texts):
+        n = 0
+        for p, parent in enumerate(pieces(x, chunking.PARENT, chunking.PARENT_MOST, 0)):
+            want[str(k), "parent", p] = parent
+            for child in pieces(parent, chunking.CHILD, chunking.CHILD_MOST, chunking.CHILD_OVERLAP):
+                want[str(k), "child", n] = child
+                n += 1
+    assert got == want
+    for r in chunking.extraction_windows(docs).collect():
+        assert len(r["text"]) <= chunking.WINDOW + chunking.WINDOW_OVERLAP and r["text"].split()[-1] in texts[int(r["doc_id"])]
+
+
 def test_profiles(spark):
     raw = spark.createDataFrame([("a", '```json\n{"descriptions": ["x"], "prose": "p"}\n```'), ("b", "no json"), ("c", None)], "subject_id string, reply string")
     got = {r["subject_id"]: (r["descriptions"], r["prose"], r["parsed"]) for r in profiles.parse_profiles(raw).collect()}
