@@ -1,10 +1,8 @@
 """The queries of this subpackage and their SQL twins."""
 
-import corpus_pipeline
 from factlake.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup, quality, suffix_dedup, token_counts, vector_search, warc
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
