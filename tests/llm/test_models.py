@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factlake.llm.language_id import identify, learn, predict
 from factlake.llm.mixing import fly, mix_sources, targets
@@ -77,6 +78,17 @@ def test_long_texts_are_measured_alike_in_segments(monkeypatch):
         assert np.allclose(statistics(column), whole) and words.word_counts(column).tolist() == counts.tolist()
 
 
+def test_clashing_columns_and_odd_rows(docs, odd, spark):
+    """Other columns with the names of results and of inner columns change nothing; every row comes back."""
+    rows = [(i, t) for i, t in odd] + [(k, speak(random.Random(k), "en" if k % 2 else "de", 30)) for k in range(100, 160)]
+    plain = docs(rows)
+    clash = plain.withColumns({"score": F.lit("x"), "x": F.lit(1), "y": F.lit("y"), "found": F.lit(2), "rejected": F.lit("r"), "held_out": F.lit(3), "copies": F.lit(4), "n": F.lit(5), "rate": F.lit(6), "copy": F.lit(7)})
+    labels = spark.createDataFrame([(k, k % 2, "extra") for k in range(100, 160)] + [(None, 1, "e"), (100, 0, "e"), (101, None, "e"), (102, 7, "e")], "doc_id long, quality int, x string")
+    for run in (identify, lambda d: score_quality(d, labels), mix_sources):
+        one, two = (sorted(map(repr, run(d).collect())) for d in (plain, clash))
+        assert one == two and len(one) == len(rows)
+
+
 def test_normal_equations_are_those_of_one_dense_solve(spark):
     """Partition sums against numpy on all rows at once."""
     from factlake.llm import quality
