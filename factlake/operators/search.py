@@ -21,8 +21,13 @@ DROP_ORDER = {
 
 def index_terms(docs: DataFrame, key: str, title: str = "title", body: str = "rendered_text") -> DataFrame:
     """(key, term, tf, score): frequency and weighted frequency of each term of title and body."""
-    parts = [docs.select(key, F.explode(terms(F.col(c))).alias("term"), F.lit(w).alias("weight")) for c, w in ((title, TITLE_WEIGHT), (body, BODY_WEIGHT))]
-    return parts[0].unionByName(parts[1]).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("weight").alias("score"))
+    none = F.array().cast("array<struct<term:string,weight:double>>")
+
+    def weighted(column: str, weight: float) -> Column:
+        return F.coalesce(F.transform(terms(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))), none)
+
+    rows = docs.select(key, F.explode(F.concat(weighted(title, TITLE_WEIGHT), weighted(body, BODY_WEIGHT))).alias("t")).select(key, "t.term", "t.weight")
+    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("weight").alias("score"))
 
 
 def match_terms(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
