@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factlake.llm.language_id import fold
 from factlake.llm.storage import read_table, save
-from factlake.llm.words import BASE, BYTE_VALUE, INVERSE, SEGMENT, hash_long_word, mix, powers, segments, text_bytes, word_bounds
+from factlake.llm.words import BASE, BYTE_VALUE, INVERSE, SEGMENT, hash_words, mix, powers, segments, text_bytes, word_bounds
 
 #: What is measured of a text, in this order.
 STATISTICS = (
@@ -45,13 +45,8 @@ def _parts(text: np.ndarray, whole: bool):
     """(hashes, sizes, last bytes) of the words of a text's segments, some megabytes at a time."""
     for at, to in [(0, len(text))] if whole else segments(text):
         part = text[at:to]
-        if not whole and len(part) > SEGMENT:  # a long word
-            yield hash_long_word(part), np.array([float(len(part))]), part[-1:]
-            continue
         starts, ends = word_bounds(part, np.array([0, len(part)]))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[part] * powers(BASE, len(part)), out=sums[1:])
-        yield mix((sums[ends] - sums[starts]) * powers(INVERSE, len(part) + 1)[starts]), (ends - starts).astype(float), part[ends - 1]
+        yield hash_words(part, starts, ends), (ends - starts).astype(float), part[ends - 1]
 
 
 def _line_hashes(text: np.ndarray, edges: np.ndarray) -> np.ndarray:

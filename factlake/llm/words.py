@@ -7,18 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 
 #: Fixed by the contracts: the bytes of ``[\x20\x09-\x0D]``.
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: A random odd base for polynomial hashes modulo 2**64, and a random number per byte.
+#: A random odd base for polynomial hashes modulo 2**64, and a random number per byte: for strings under 1,024 bytes or
+#: numbers only, as longer strings of two alternating parts collide whatever the base.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes of a long text that are hashed at a time.
 SEGMENT = 1 << 22
+#: Key of the hashes of longer words.
+KEY = "hashes of words."
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -64,11 +68,11 @@ def parts(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word; words never cross texts."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word, a longest run of bytes that aren't ``blank``; words never cross texts."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~IS_BLANK[data]
+    ink = ~blank[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     starts = ink.copy()
@@ -95,22 +99,39 @@ def word_counts(column: pa.Array) -> np.ndarray:
     return out
 
 
-def hash_long_word(data: np.ndarray) -> np.ndarray:
-    """The hash of one word, a piece at a time."""
-    total, at = np.zeros(1, np.uint64), np.ones(1, np.uint64)
-    for k in range(0, len(data), SEGMENT):
-        piece = data[k : k + SEGMENT]
-        total += (BYTE_VALUE[piece] * powers(BASE, len(piece))).sum(dtype=np.uint64) * at
-        at *= np.uint64(pow(BASE, len(piece), 1 << 64))
-    return mix(total)
+def kinds_of_words(chunk: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct byte strings from starts to ends, which don't overlap and are in order, and which of them each is."""
+    edge = np.zeros(len(chunk) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inside = chunk[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    own = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(own), pa.py_buffer(inside)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def hash_words(chunk: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, for which no two words can be written that collide.
+
+    Words of up to seven bytes and their lengths are numbers of their own, which
+    are permuted; longer ones are hashed by a keyed SipHash, each distinct one once.
+    """
+    size = ends - starts
+    padded = np.concatenate([chunk, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(chunk) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    kept = np.minimum(size, 7).astype(np.uint64)
+    out = mix((eight[starts] & ((np.uint64(1) << (np.uint64(8) * kept)) - np.uint64(1))) | (kept << np.uint64(56)))
+    long = size > 7
+    if long.any():
+        words, which = kinds_of_words(chunk, starts[long], ends[long])
+        out[long] = hash_array(words.to_numpy(zero_copy_only=False), hash_key=KEY, categorize=False)[which]
+    return out
 
 
 def _word_hashes(chunk: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of some texts, and the first word of each text (one more than texts)."""
     starts, ends = word_bounds(chunk, own)
-    sums = np.zeros(len(chunk) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[chunk] * powers(BASE, len(chunk)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, len(chunk) + 1)[starts]), np.searchsorted(starts, own)
+    return hash_words(chunk, starts, ends), np.searchsorted(starts, own)
 
 
 def segments(text: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -145,8 +166,7 @@ def hashed_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[np.ndar
             found = []
             for at, to in segments(text):
                 part = LOWER[text[at:to]] if lower else text[at:to]
-                word = len(part) > SEGMENT
-                found.append(hash_long_word(part) if word else _word_hashes(part, np.array([0, len(part)]))[0])
+                found.append(_word_hashes(part, np.array([0, len(part)]))[0])
             found = np.concatenate(found)
             yield found, np.array([0, len(found)])
 
