@@ -123,11 +123,35 @@ def work_lag(jobs: DataFrame) -> DataFrame:
     )
 
 
-def open_work(jobs: DataFrame) -> DataFrame:
-    """The newest open item of each logical key: a document, an unordered pair, or the type itself."""
-    key = F.when(F.col("job_type") == "view", F.concat_ws(":", F.lit("pair"), F.least("person_a", "person_b"), F.greatest("person_a", "person_b"))).when(F.col("job_type") == "signup", F.lit("one")).otherwise(F.concat(F.lit("doc:"), "doc_id"))
-    rows = jobs.where(F.col("status").isin("pending", "running")).withColumn("logical_key", key)
-    return first_rows(rows, ["job_type", "logical_key"], [F.desc("created_at"), F.desc("job_id")])
+#: The payload fields that name what a job of each type works on. A job type without an entry, or a job
+#: without one of its fields, is no duplicate of another; one of no fields is open once; a pair is the same both ways.
+WORK_KEYS = {
+    "extract_graph": ("doc_id",), "embed_chunks": ("doc_id",), "adjudicate_persons": ("person_a", "person_b"),
+    "resolve_claim_conflict": ("subject_type", "subject_id", "predicate"), "resolve_relationship_conflict": ("from_type", "from_id", "relationship_type"),
+    "generate_taxonomy_proposals": (), "aggregate_collaboration_edges": (), "push_taxonomy_proposal_webhook": (), "refresh_identity_embedding": ("person_id",),
+}
+UNORDERED = frozenset({"adjudicate_persons"})
+
+
+def logical_key(rules: dict[str, tuple[str, ...]] = WORK_KEYS, unordered: frozenset[str] = UNORDERED) -> Column:
+    """The JSON list of what a job works on, from its ``payload`` (JSON); null where it has no key."""
+    out = F.lit(None).cast("string")
+    for job_type, fields in rules.items():
+        found = [F.nullif(F.get_json_object("payload", f"$.{f}"), F.lit("")) for f in fields]
+        missing = F.lit(False)
+        for f in found:
+            missing = missing | f.isNull()
+        values = F.array(*found) if found else F.array().cast("array<string>")
+        key = F.to_json(F.array_sort(values) if job_type in unordered else values)
+        out = F.when((F.col("job_type") == job_type) & ~missing, key).otherwise(out)
+    return out
+
+
+def open_work(jobs: DataFrame, rules: dict[str, tuple[str, ...]] = WORK_KEYS, unordered: frozenset[str] = UNORDERED) -> DataFrame:
+    """Open items of ``jobs(workspace_id, job_id, job_type, status, payload, created_at)``: the newest of each logical key, and all without one."""
+    rows = jobs.where(F.col("status").isin("pending", "running")).withColumn("logical_key", logical_key(rules, unordered))
+    keyed = first_rows(rows.where("logical_key is not null"), ["workspace_id", "job_type", "logical_key"], [F.desc("created_at"), F.desc("job_id")])
+    return keyed.unionByName(rows.where("logical_key is null"))
 
 
 def embed_backlog(chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from factlake.functions.text import normalize_name
 from factlake.operators.acl import Visible, for_viewers
 from factlake.operators.common import first_rows, paired, sorted_set
 from factlake.operators.search import SAME_MODEL, dot, model, norm
+from factlake.operators.vector_index import VectorIndex
 
 #: Similarity and number of candidates; thresholds of a merge.
 SIMILAR, MOST_CANDIDATES, NAME_CANDIDATES, VERY_SIMILAR, SURE = 0.88, 3, 5, 0.95, 0.95
@@ -64,15 +65,34 @@ def name_candidates(persons: DataFrame, aliases: DataFrame, most: int = NAME_CAN
     return rows.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def embedding_candidates(vectors: DataFrame, queries: DataFrame, least: float = SIMILAR, most: int = MOST_CANDIDATES) -> DataFrame:
-    """The few people at least so similar to each of ``queries(id, embedding)``, by vectors of the same length and, where both tables name it, model."""
+def embedding_candidates(vectors: DataFrame, queries: DataFrame, least: float = SIMILAR, most: int = MOST_CANDIDATES, persons: DataFrame | None = None, index: VectorIndex | None = None) -> DataFrame:
+    """The few people at least so similar to each of ``queries(id, embedding)``, by vectors of the same length and, where both tables name it, model.
+
+    Merged people of ``persons`` are no candidates and ask nothing. With an
+    ``index`` (of ``person_index``, of the same persons) only lists that can
+    hold a nearer person are read; without one, all vectors are compared.
+    """
+    if persons is not None:
+        roots = persons.where("merged_into_id is null").select(F.col("canonical_id").alias("id"))
+        vectors, queries = vectors.join(roots, "id", "left_semi"), queries.join(roots, "id", "left_semi")
     asked = queries.select(F.col("id").alias("query_id"), F.col("id").alias("q_id"), F.col("embedding").alias("q"), norm("embedding").alias("q_norm"), model(queries).alias("q_model"))
+    if index is not None:
+        found = index.search(queries.withColumnRenamed("id", "query_id"), None, most + 1)
+        rows = found.select(F.col("query_id").alias("q_id"), F.col("key").alias("id"), "similarity").where((F.col("id") != F.col("q_id")) & (F.col("similarity") >= least))
+        return first_rows(rows, ["q_id"], [F.desc(F.round("similarity", 9)), F.col("id")], most, "rank")
     rows = vectors.select("id", F.col("embedding").alias("v"), norm("embedding").alias("v_norm"), model(vectors).alias("v_model"))
     rows = paired(rows, asked, (F.col("id") != F.col("q_id")) & (F.size("v") == F.size("q")) & F.expr(SAME_MODEL))
     rows = rows.withColumn("similarity", dot("v", "q") / (F.col("v_norm") * F.col("q_norm"))).where(F.col("similarity") >= least)
     return first_rows(rows.select("q_id", "id", "similarity"), ["q_id"], [F.desc(F.round("similarity", 9)), F.col("id")], most, "rank")
 
 
+def person_index(vectors: DataFrame, persons: DataFrame | None = None, path: str | None = None) -> VectorIndex:
+    """The index of people's vectors ``vectors(id, embedding)``, without those who are merged."""
+    if persons is not None:
+        vectors = vectors.join(persons.where("merged_into_id is null").select(F.col("canonical_id").alias("id")), "id", "left_semi")
+    return VectorIndex.build(vectors, "id", "id", path)
+
+
 def _facets(aliases: DataFrame) -> DataFrame:
     mail = F.when(F.col("email_verified"), normalize_email(F.col("email")))
     return aliases.groupBy("person_id").agg(

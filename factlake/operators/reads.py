@@ -10,6 +10,7 @@ from factlake.functions.temporal import believed_as_of, read_statuses, resolve_p
 from factlake.functions.text import normalize_name
 from factlake.operators.acl import Visible, for_viewers
 from factlake.operators.common import first_rows, holding, small
+from factlake.operators.store import save
 
 
 def resolved_points(points: DataFrame, now: Column) -> DataFrame:
@@ -139,15 +140,28 @@ def walk_paths(
     return ranked.withColumn("truncated", more).where(F.col("rank") <= limit).drop("last")
 
 
-def person_roots(persons: DataFrame, steps: int = 8) -> DataFrame:
-    """(canonical_id, root_id): merges followed; each step doubles the length that is followed."""
-    roots = persons.select("canonical_id", F.coalesce("merged_into_id", "canonical_id").alias("root_id"))
-    for _ in range(steps):
-        up = roots.select(F.col("canonical_id").alias("root_id"), F.col("root_id").alias("next"))
-        roots = roots.join(up, "root_id", "left").select("canonical_id", F.coalesce("next", "root_id").alias("root_id"))
-        if roots.join(up.where("root_id <> next").select("root_id"), "root_id", "left_semi").isEmpty():
+def person_roots(persons: DataFrame) -> DataFrame:
+    """(canonical_id, root_id, in_cycle): merges followed to their end, however long the chain.
+
+    Each round doubles the length that is followed, until every pointer is at
+    a person that is merged into none (or into one that the table lacks). What
+    still has no end after as many rounds as it takes to pass everyone leads
+    into a cycle: ``in_cycle`` is true, and the root is the cycle's smallest id.
+    """
+    up = persons.select(F.col("canonical_id").alias("up_id")).distinct()
+    own = persons.select("canonical_id", F.nullif("merged_into_id", "canonical_id").alias("into"))
+    own = own.join(up, F.col("into") == F.col("up_id"), "left")
+    ends = F.col("up_id").isNull()
+    at = save(own.select("canonical_id", F.coalesce("into", "canonical_id").alias("root_id"), F.least("canonical_id", "into").alias("least"), ends.alias("ended")))
+    for _ in range(at.count().bit_length() + 1):
+        if at.where("not ended").isEmpty():
             break
-    return roots
+        further = at.select(F.col("canonical_id").alias("root_id"), F.col("root_id").alias("next"), F.col("least").alias("next_least"), F.col("ended").alias("next_ended"))
+        moved = at.where("not ended").join(further, "root_id").select("canonical_id", F.col("next").alias("root_id"), F.least("least", "next_least").alias("least"), F.col("next_ended").alias("ended"))
+        at = save(at.where("ended").unionByName(moved))
+    on_cycle = at.where("not ended").select(F.col("canonical_id").alias("root_id"), F.col("least").alias("first"))
+    rows = at.where("not ended").join(on_cycle, "root_id").select("canonical_id", F.col("first").alias("root_id"), F.lit(True).alias("in_cycle"))
+    return at.where("ended").select("canonical_id", "root_id", F.lit(False).alias("in_cycle")).unionByName(rows)
 
 
 def subject_card(subjects: DataFrame, persons: DataFrame, claims: DataFrame, rels: DataFrame, viewers: DataFrame, visible: Visible, points: DataFrame, now: Column) -> DataFrame:

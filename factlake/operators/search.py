@@ -9,6 +9,7 @@ from factlake.functions.ranking import FACT_FLOOR, FACT_HALF_LIFE, PASSAGE_FLOOR
 from factlake.functions.text import BODY_WEIGHT, TITLE_WEIGHT, escape_like, terms
 from factlake.operators.acl import Visible, seen_by
 from factlake.operators.common import first_rows, holding, paired, small
+from factlake.operators.vector_index import VectorIndex
 
 #: Candidates of each channel; what a budget drops first to last.
 POOL = 100
@@ -61,13 +62,25 @@ def model(vectors: DataFrame) -> Column:
     return F.col("embedding_model") if "embedding_model" in vectors.columns else F.lit(None).cast("string")
 
 
-def vector_candidates(chunks: DataFrame, queries: DataFrame, visible: Visible | None, k: int = POOL) -> DataFrame:
+def passage_index(chunks: DataFrame, path: str | None = None) -> VectorIndex:
+    """The index of the child passages' vectors."""
+    return VectorIndex.build(chunks.where("chunk_role = 'child'"), "chunk_id", "doc_id", path)
+
+
+def vector_candidates(chunks: DataFrame, queries: DataFrame, visible: Visible | None, k: int = POOL, index: VectorIndex | None = None) -> DataFrame:
     """The ``k`` cosine-nearest child passages of each ``queries(query_id, embedding[, viewer_id])``; access comes before the cut.
 
-    Queries are a parameter table; passages are never shuffled before each
-    task has kept its own k best. Vectors of another length or, where both
-    tables name it, another embedding model are no candidates.
+    With an ``index`` (of passages that all name their model, or all don't)
+    lists that access or bounds rule out are not read; without one, all
+    passages are compared. Queries are a parameter table. Vectors of another
+    length or, where both tables name it, another embedding model are no
+    candidates.
     """
+    if index is not None:
+        if "embedding_model" not in queries.columns and "embedding_model" in chunks.columns:
+            queries = queries.join(small(chunks.select("embedding_model").distinct()), how="cross")
+        found = index.search(queries, visible, k).withColumnRenamed("key", "chunk_id")
+        return found if "embedding_model" not in queries.columns else first_rows(found.drop("rank"), ["query_id"], [F.desc(F.round("similarity", 9)), F.col("chunk_id")], k, "rank")
     base = chunks.where("chunk_role = 'child' and embedding is not null").select("chunk_id", "doc_id", F.col("embedding").alias("v"), norm("embedding").alias("v_norm"), model(chunks).alias("v_model"))
     asked = queries.select(*[c for c in ("query_id", "viewer_id") if c in queries.columns], F.col("embedding").alias("q"), norm("embedding").alias("q_norm"), model(queries).alias("q_model"))
     rows = paired(base, asked, (F.size("v") == F.size("q")) & F.expr(SAME_MODEL))
@@ -147,7 +160,7 @@ def canonical_author(ids: DataFrame, persons: DataFrame) -> DataFrame:
 
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, docs: DataFrame, index: DataFrame, facts: DataFrame, fact_index: DataFrame, visible: Visible, scores: DataFrame | None,
-    now: Column, limit: int = 10, channels: tuple[str, ...] = ("vector", "keyword", "fact"),
+    now: Column, limit: int = 10, channels: tuple[str, ...] = ("vector", "keyword", "fact"), vectors: VectorIndex | None = None,
 ) -> DataFrame:
     """Three channels for a table of ``queries(query_id, viewer_id, embedding, must, any, no)`` in one plan.
 
@@ -156,7 +169,7 @@ def hybrid_search(
     """
     lists, keys = [], queries.select("query_id", "viewer_id")
     if "vector" in channels:
-        lists.append(vector_candidates(chunks, queries, visible).select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), "rank"))
+        lists.append(vector_candidates(chunks, queries, visible, POOL, vectors).select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), "rank"))
     if "keyword" in channels:
         own = chunks.where("chunk_role = 'child'").select("doc_id", "chunk_id")
         public = own.join(visible.public, "doc_id", "left_semi").select("chunk_id")
@@ -215,7 +228,12 @@ def episode_text(turns: DataFrame, most: int) -> DataFrame:
     return lines.select("conv_id", F.substring(F.array_join("lines.line", "\n"), 1, most).alias("episode_text"))
 
 
-def episode_search(queries: DataFrame, episodes: DataFrame, viewers: DataFrame, visible: Visible, scores: DataFrame | None, limit: int = 10) -> DataFrame:
+def episode_index(episodes: DataFrame, path: str | None = None) -> VectorIndex:
+    """The index of the active episodes' vectors."""
+    return VectorIndex.build(episodes.where("status = 'active'").withColumn("doc_id", F.col("memory_id")), "memory_id", "doc_id", path)
+
+
+def episode_search(queries: DataFrame, episodes: DataFrame, viewers: DataFrame, visible: Visible, scores: DataFrame | None, limit: int = 10, vectors: VectorIndex | None = None) -> DataFrame:
     """Active episodes for ``queries(query_id, viewer_id, agent_id, embedding, embedding_model, must, any, no)``: vector and keyword lists, fused and reranked.
 
     A viewer needs access to the episode and to all of its evidence; one
@@ -234,7 +252,8 @@ def episode_search(queries: DataFrame, episodes: DataFrame, viewers: DataFrame,
     # Each query is a viewer of its own here, since its agent and model decide too.
     private = pairs.where("embedding_model = asked_model").select(F.col("query_id").alias("viewer_id"), F.col("memory_id").alias("doc_id"))
     chunks = active.select(F.col("memory_id").alias("chunk_id"), F.col("memory_id").alias("doc_id"), F.lit("child").alias("chunk_role"), "embedding")
-    near = vector_candidates(chunks, queries.withColumn("viewer_id", F.col("query_id")), Visible(private.select("doc_id").limit(0), private))
+    own_viewers, reach = queries.withColumn("viewer_id", F.col("query_id")), Visible(private.select("doc_id").limit(0), private)
+    near = vector_candidates(chunks, own_viewers, reach) if vectors is None else vectors.search(own_viewers, reach, POOL).withColumnRenamed("key", "chunk_id")
     index = index_terms(active.select("memory_id", F.lit("").alias("title"), F.concat_ws(" ", "objective", "summary").alias("rendered_text")), "memory_id")
     worded = keyword_candidates(index, queries, "memory_id", pairs.select("query_id", "memory_id"))
     fused = rrf_fuse([near.select("query_id", F.col("chunk_id").alias("item_id"), "rank"), worded.withColumnRenamed("memory_id", "item_id")], "item_id")

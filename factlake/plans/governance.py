@@ -69,9 +69,14 @@ def k8(t):
     return out.withColumns({c: stamp(c) for c in ("oldest_pending", "last_activity")})
 
 
-@query("k9_open_work", "with k as (select *, case when job_type = 'view' then concat('pair:', least(person_a, person_b), ':', greatest(person_a, person_b)) when job_type = 'signup' then 'one' else concat('doc:', doc_id) end as logical_key from v_jobs where status in ('pending', 'running')) select job_id, job_type, logical_key from k qualify row_number() over (partition by job_type, logical_key order by created_at desc, job_id desc) = 1")
+@query("k9_open_work", """with j as (select *, json_extract_string(payload, '$.doc_id') as d, json_extract_string(payload, '$.person_a') as a, json_extract_string(payload, '$.person_b') as b, json_extract_string(payload, '$.subject_type') as st, json_extract_string(payload, '$.subject_id') as si, json_extract_string(payload, '$.predicate') as pr,
+ json_extract_string(payload, '$.from_type') as ft, json_extract_string(payload, '$.from_id') as fi, json_extract_string(payload, '$.relationship_type') as rt, json_extract_string(payload, '$.person_id') as pe from v_work where status in ('pending', 'running')),
+k as (select *, case when job_type in ('extract_graph', 'embed_chunks') then concat('["', d, '"]') when job_type = 'adjudicate_persons' then concat('["', least(a, b), '","', greatest(a, b), '"]')
+ when job_type = 'resolve_claim_conflict' and st is not null then concat('["', st, '","', si, '","', pr, '"]') when job_type = 'resolve_relationship_conflict' then concat('["', ft, '","', fi, '","', rt, '"]')
+ when job_type in ('generate_taxonomy_proposals', 'aggregate_collaboration_edges', 'push_taxonomy_proposal_webhook') then '[]' when job_type = 'refresh_identity_embedding' and pe is not null then concat('["', pe, '"]') end as logical_key from j)
+select job_id, job_type, logical_key from k qualify logical_key is null or row_number() over (partition by workspace_id, job_type, logical_key order by created_at desc, job_id desc) = 1""")
 def k9(t):
-    return governance.open_work(t.v_jobs).select("job_id", "job_type", "logical_key")
+    return governance.open_work(t.v_work).select("job_id", "job_type", "logical_key")
 
 
 @query("k10_embed_backlog", "select embedding_model, count(*) as waiting from v_chunks where label % 3 = 0 group by 1")

@@ -23,7 +23,7 @@ vc as (select *, row_number() over (partition by query_id order by round(sim, 9)
 
 @query("h1_vector_candidates", f"with {VEC} select query_id, chunk_id, cast(rank as bigint) as rank, round(sim, 6) as similarity from vc where rank <= 20")
 def h1(t):
-    out = search.vector_candidates(t.v_chunks, asked(t), visible(t), 20)
+    out = search.vector_candidates(t.v_chunks, asked(t), visible(t), 20, search.passage_index(t.v_chunks))
     return out.select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -141,7 +141,8 @@ def h12(t):
     facts = everyone.withColumn("viewer_id", F.lit(None).cast("string")).unionByName(own).join(t.v_claims.select("claim_id", F.col("valid_from").alias("at")), "claim_id")
     facts = facts.select(F.col("claim_id").alias("fact_id"), "viewer_id", "at")
     fact_index = search.fact_terms(t.v_claims, t.v_relationships)
-    out = search.hybrid_search(queries, chunks.select("chunk_id", "doc_id", "chunk_role", "embedding"), t.v_documents, index, facts, fact_index, visible(t), None, clock(), 10)
+    chunks = chunks.select("chunk_id", "doc_id", "chunk_role", "embedding")
+    out = search.hybrid_search(queries, chunks, t.v_documents, index, facts, fact_index, visible(t), None, clock(), 10, vectors=search.passage_index(chunks))
     return out.select("query_id", "item_id", "rank", F.round("score", 9).alias("score"), "removed")
 
 
@@ -211,7 +212,7 @@ def h16(t):
         F.concat(F.lit("q"), i).alias("query_id"), F.concat(F.lit("v"), i % 3 + 1).alias("viewer_id"), F.when(i % 2 == 0, (i % 4).cast("string")).alias("agent_id"), "embedding", F.lit("m").alias("embedding_model"),
         none.alias("must"), F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("any"), none.alias("no"),
     )
-    out = search.episode_search(asked_, episodes, t.v_viewers, visible(t), None, 10)
+    out = search.episode_search(asked_, episodes, t.v_viewers, visible(t), None, 10, search.episode_index(episodes))
     return out.select(F.expr("cast(substr(query_id, 2) as bigint)").alias("item_id"), F.col("item_id").cast("long").alias("conv_id"), "rank", F.round("score", 9).alias("score"))
 
 

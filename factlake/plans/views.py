@@ -69,6 +69,14 @@ select concat('e', p_partkey) as entity_id, case p_partkey % 3 when 0 then 'team
     "v_jobs": """
 select event_id as job_id, event_type as job_type, case event_id % 5 when 0 then 'pending' when 1 then 'running' when 2 then 'done' when 3 then 'dead' else 'pending' end as status,
  concat('d', user_id % 50) as doc_id, concat('p', user_id % 30) as person_a, concat('p', event_id % 30) as person_b, ts as created_at, ts + interval '1' minute * cast(event_id % 90 as int) as updated_at from [events]""",
+    "v_work": """
+select event_id as job_id, concat('ws', user_id % 2) as workspace_id,
+ case event_id % 11 when 0 then 'extract_graph' when 1 then 'embed_chunks' when 2 then 'adjudicate_persons' when 3 then 'resolve_claim_conflict' when 4 then 'resolve_relationship_conflict'
+ when 5 then 'generate_taxonomy_proposals' when 6 then 'aggregate_collaboration_edges' when 7 then 'push_taxonomy_proposal_webhook' when 8 then 'refresh_identity_embedding' when 9 then 'extract_graph' else 'export_bundle' end as job_type,
+ case event_id % 3 when 0 then 'pending' when 1 then 'running' else 'done' end as status,
+ concat('{"doc_id":"d', user_id % 50, '","person_a":"p', user_id % 12, '","person_b":"p', (event_id * 7) % 12, case when event_id % 13 = 0 then '' else '","subject_type":"person' end,
+ '","subject_id":"s', user_id % 20, '","predicate":"', event_type, '","from_type":"person","from_id":"p', user_id % 9, '","relationship_type":"', event_type, case when event_id % 17 = 0 then '' else concat('","person_id":"p', user_id % 25) end, '"}') as payload,
+ ts as created_at from [events]""",
     "v_episodes": """
 select conv_id, count(*) as n_events, min(case when turn = 0 then text end) as objective from [conversations] group by conv_id""",
 }
@@ -85,7 +93,7 @@ class Tables:
         if name in TABLES:
             found = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         elif name in VIEWS:
-            sql = VIEWS[name].replace("<ts>", TIMESTAMPS["spark"])
+            sql = VIEWS[name].replace("<ts>", TIMESTAMPS["spark"]).replace("{", "{{").replace("}", "}}")
             used = re.findall(r"\[(\w+)\]", sql)
             found = self.spark.sql(re.sub(r"\[(\w+)\]", r"{\1}", sql), **{u: getattr(self, u) for u in used})
         else:
