@@ -19,8 +19,11 @@ LIST_ROWS, SUBLISTS = 500, 512
 SHARD, BLOCK = 32, 20_000
 #: A vector is also put in lists up to this ratio of its nearest centroid's distance, COPIES lists at most.
 NEAR_RATIO, COPIES = 1.05, 2
-#: A search reads the lists up to this ratio of the nearest centroid's distance, out of BEAM that the graph finds.
+#: A search reads all lists up to this ratio of the nearest centroid's distance. The graph is walked with BEAM lists in
+#: view, and with four times as many as long as the last of them is nearer than that.
 SEARCH_RATIO, BEAM = 1.25, 512
+#: Distances that a task holds at a time while it looks for lists.
+DISTANCES = 1 << 22
 #: Lists that a search reads in any case, before the others; spare points against rounding.
 FIRST, TIES = 16, 4
 #: Half-octaves of norms above and below the most frequent one that share a band; a band's sample is at least LEAST.
@@ -29,6 +32,11 @@ WIDTH, LEAST = 1, 256
 DEGREE = 24
 
 
+def reach(ratio: float, nearest: np.ndarray) -> np.ndarray:
+    """Distance up to which lists are read; all of them with an infinite ratio."""
+    return nearest * ratio if np.isfinite(ratio) else nearest + np.inf
+
+
 @dataclass
 class Band:
     """Lists of vectors of similar norm: the first centroids, the graph over them, and the centroids they are split into.
@@ -58,7 +66,7 @@ class Band:
         out_ids, out_dist = np.zeros((len(rows), beam), int), np.full((len(rows), beam), np.inf)
         for k, row in enumerate(rows):
             # A part may be nearer than the whole, so a few more first centroids are opened than the ratio has.
-            cells = ids[k, np.isfinite(dist[k]) & ((dist[k] <= ratio * dist[k, 0]) | (np.arange(ids.shape[1]) < 4))]
+            cells = ids[k, np.isfinite(dist[k]) & ((dist[k] <= reach(ratio, dist[k, 0])) | (np.arange(ids.shape[1]) < 4))]
             near = np.concatenate([self.start[c] + np.arange(len(self.parts[c])) for c in cells])
             d = np.concatenate([((self.parts[c] - row) ** 2).sum(axis=1) for c in cells])
             order = np.argsort(d, kind="stable")[:beam]
@@ -140,9 +148,12 @@ def link(centroids: np.ndarray) -> np.ndarray:
 def walk(queries: np.ndarray, centroids: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of the graph, all queries in step: (centroids, distances) of each, nearest first."""
     n, m = len(queries), len(centroids)
-    beam = min(beam, m)
     norms = (centroids**2).sum(axis=1)
     own = (queries**2).sum(axis=1)
+    if beam >= m:  # all are in view
+        dist = own[:, None] + norms - 2 * queries @ centroids.T
+        order = np.argsort(dist, axis=1, kind="stable")
+        return order, np.sqrt(np.maximum(np.take_along_axis(dist, order, axis=1), 0))
 
     def distance(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return own[rows, None] + norms[ids] - 2 * np.einsum("nd,nkd->nk", queries[rows], centroids[ids])
@@ -205,7 +216,25 @@ def _own_lists(points: DataFrame, shared, ratio: float = NEAR_RATIO, most: int =
     return points.select("id", "first", "vec", "half").mapInArrow(run, f"list int, id long, first long, vec {points.schema['vec'].dataType.simpleString()}")
 
 
-def _probes(points: DataFrame, shared) -> DataFrame:
+def within(band: Band, asked: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, rank, list) of all lists of a band that are within the ratio of each row's nearest, and of its FIRST nearest."""
+    found, todo, beam = [], np.arange(len(asked)), BEAM
+    while len(todo):
+        wider = []
+        for at in range(0, len(todo), max(1, DISTANCES // min(beam, band.n_lists))):
+            own = todo[at : at + max(1, DISTANCES // min(beam, band.n_lists))]
+            ids, dist = band.nearest(asked[own], ratio, min(beam, band.n_lists))
+            near = np.isfinite(dist) & ((dist <= reach(ratio, dist[:, :1])) | (np.arange(dist.shape[1]) < FIRST))
+            # Where the last list in view is within the ratio there may be more.
+            more = near[:, -1] & (dist.shape[1] > FIRST) & (beam < band.n_lists)
+            row, rank = np.nonzero(near & ~more[:, None])
+            found.append((own[row], rank, ids[row, rank]))
+            wider.append(own[more])
+        todo, beam = np.concatenate(wider), beam * 4
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+
+
+def _probes(points: DataFrame, shared, ratio: float = SEARCH_RATIO) -> DataFrame:
     """(shard, near, far, reach, id, vec): the lists that each of ``points(id, vec)`` reads, one row for each shard of them.
 
     near are the query's FIRST nearest lists of a band, far the others. reach
@@ -222,10 +251,7 @@ def _probes(points: DataFrame, shared) -> DataFrame:
                 norm = np.linalg.norm(vectors / scale[:, None], axis=1)
                 asked = np.c_[vectors / scale[:, None] / norm[:, None], np.zeros(len(vectors))].astype(np.float32)
                 for band in bands:
-                    ids, dist = band.nearest(asked, SEARCH_RATIO, BEAM)
-                    place = np.broadcast_to(np.arange(ids.shape[1]), ids.shape)
-                    row, col = np.nonzero(np.isfinite(dist) & ((dist <= SEARCH_RATIO * dist[:, :1]) | (place < FIRST)))
-                    lists = ids[row, col]
+                    row, col, lists = within(band, asked, ratio)
                     order = np.lexsort((col, lists // SHARD, row))
                     row, col, lists = row[order], col[order], lists[order]
                     cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lists[1:] // SHARD != lists[:-1] // SHARD)]) if len(row) else np.zeros(0, int)
@@ -326,7 +352,7 @@ def _split_lists(classes: DataFrame, shared, n: int) -> None:
         base += -(-band.n_lists // SHARD) * SHARD
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ratio: float = SEARCH_RATIO) -> DataFrame:
     """The k rows of ``vectors(vec_id, embedding)`` with the largest inner product with each row of ``queries``.
 
     Returns query_id, rank (from 1), vec_id, score: nearest first, ties to the
@@ -342,7 +368,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     score. The first centroids are fitted on SAMPLE vectors at most (and LEAST
     a rare band), those that split their lists on LIST vectors a list; every
     vector is put in the lists. A query's vector is sent once to each shard of
-    SHARD neighbouring lists that it reads, not once a list.
+    SHARD neighbouring lists that it reads, not once a list. It reads all lists
+    within ``ratio`` of its nearest one, however many there are; an infinite
+    ratio reads every list, so the result is exact.
     """
     spark = vectors.sparkSession
 
@@ -408,7 +436,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     counts = save(counts)  # a row for SHARD lists, of which there are some 10**5 at most
     postings = postings.join(F.broadcast(counts), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     postings = postings.select("shard", "block", "list", "id", "first", "vec")
-    probes = save(_probes(points.select("id", "vec").repartition(tasks, "id"), shared))
+    probes = save(_probes(points.select("id", "vec").repartition(tasks, "id"), shared, ratio))
     probes = probes.join(F.broadcast(counts), "shard").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     # The nearest lists come first; the k-th score there is what others must reach.
     lowest = F.lit(float("-inf"))

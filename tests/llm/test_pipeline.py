@@ -81,3 +81,20 @@ def test_whole_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     assert rows.count() > 50 and np.all([r["n_tokens"] > 0 for r in rows.select("n_tokens").collect()])
+
+
+def test_repeated_rows_share_what_the_mix_takes(spark):
+    """200 rows alike but for one column, beside another source: as many words as the operator takes, each row as often as any or once more."""
+    rng = random.Random(6)
+    text = speak(rng, "en", 40)
+    rows = [(7, text, "en", "a", k % 90) for k in range(200)] + [(100 + k, speak(rng, "en", 60), "en", "b", 1) for k in range(40)] + [(7, text, "en", "b", 1)]
+    docs = save(spark.createDataFrame(rows, COLUMNS).repartition(5))
+    want = Counter()
+    for r in mix_sources(docs).collect():
+        want[r["doc_id"], r["source"]] += r["copies"]
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").collect()]
+    have = Counter((r[0], r[3]) for r in got)
+    assert have == Counter({k: n for k, n in want.items() if n}) and set(got) <= set(rows)
+    times, given = Counter(r[4] for r in got if r[0] == 7 and r[3] == "a"), Counter(k % 90 for k in range(200))
+    least = want[7, "a"] // 200
+    assert all(least * given[k] <= times[k] <= (least + 1) * given[k] for k in given)

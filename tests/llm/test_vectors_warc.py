@@ -173,3 +173,34 @@ def test_plain_archives_are_read(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record)
     row = assemble(read_archives(spark, str(tmp_path))).collect()[0]
     assert bytes(row["response"]["payload"]) == b"hello" and row["page_id"] is None
+
+
+def test_all_lists_within_the_ratio_are_read():
+    """Several thousand lists, of which far more than BEAM are near: the walk widens until the ratio decides."""
+    from factlake.llm import vector_search as v
+
+    rng = np.random.default_rng(12)
+    centroids = rng.standard_normal((6000, 16)).astype(np.float32)
+    centroids = np.c_[centroids / np.linalg.norm(centroids, axis=1)[:, None], np.zeros(6000)].astype(np.float32)
+    band = v.Band(0, centroids, v.link(centroids), 1.0)
+    asked = centroids[:40] + 0.3 * rng.standard_normal((40, 17)).astype(np.float32)
+    row, rank, lists = v.within(band, asked, 1.6)
+    dist = np.linalg.norm(asked[:, None] - centroids, axis=2)
+    want = dist <= 1.6 * dist.min(axis=1)[:, None]
+    assert want.sum(axis=1).max() > 2 * v.BEAM
+    got = np.zeros_like(want)
+    got[row, lists] = True
+    assert (got & want).sum() >= 0.99 * want.sum() and got[np.arange(40), dist.argmin(axis=1)].all()
+    row, _, lists = v.within(band, asked, np.inf)
+    assert len(set(zip(row.tolist(), lists.tolist()))) == 40 * 6000
+
+
+def test_an_infinite_ratio_is_exact(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((4000, 48))
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest(vectors, vectors.where("vec_id % 100 = 0"), 10, float("inf")).collect()}
+    for q in range(0, 4000, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [got[q, k + 1] for k in range(10)] == np.argsort(-score)[:10].tolist()
