@@ -10,7 +10,7 @@ from factlake.llm.exact_dedup import exact_dedup, normalised
 from factlake.llm.language_id import judge, learn_outside
 from factlake.llm.mixing import mix_sources
 from factlake.llm.near_dedup import near_dedup
-from factlake.llm.storage import read_table, save
+from factlake.llm.storage import join_dealt, read_table, save
 
 #: A text whose best dictionary saves less than this share over the second is rejected.
 LEAST_MARGIN = 0.002
@@ -64,15 +64,26 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix takes it.
 
     Null, empty and blank texts are never taken. Null ids and sources are rows
-    like others, a null source a source of its own. Rows that repeat an id and
-    text are drawn one by one. An empty table stays empty; other columns come
+    like others, a null source a source of its own. Rows that repeat an id,
+    source and text share what the mix takes of them: each as often as any
+    other, or once more. An empty table stays empty; other columns come
     through unchanged. A very long text is counted in segments.
     """
-    taken = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies")
-    taken = taken.groupBy("_id", "_hash").agg(F.max("copies").alias("_copies"))
-    texts = docs.withColumn("_own", F.xxhash64("text"))
-    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_hash"))
-    return texts.join(taken, same).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(docs.columns)
+    key = F.xxhash64("doc_id", "source", "_own", F.col("doc_id").isNull(), F.col("source").isNull()).alias("_key")
+    taken = mix_sources(docs).withColumn("_own", F.col("text_hash")).select(key, "copies")
+    taken = save(taken.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies")).where("_copies > 0"))
+    texts = docs.withColumn("_own", F.xxhash64("text")).select(*docs.columns, key)
+    once = texts.join(taken.where("_rows = 1"), "_key").select(*docs.columns, "_copies")
+    # Rows of one key are numbered within tasks, behind those of the tasks before.
+    repeated = taken.where("_rows > 1")
+    rows = save(join_dealt(texts, repeated, "_key").withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_id", 33)))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    tasks = rows.groupBy("_key", "_task").agg(F.count(F.lit(1)).alias("_n")).select("_key", "_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_key", "_task").orderBy("_id")) + F.col("_before")
+    own = F.expr("_copies div _rows") + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("int")
+    again = rows.join(tasks, ["_key", "_task"]).withColumn("_place", place).select(*docs.columns, own.alias("_copies"))
+    rows = once.unionByName(again).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
