@@ -9,6 +9,7 @@ from factlake.functions.ranking import FACT_FLOOR, FACT_HALF_LIFE, PASSAGE_FLOOR
 from factlake.functions.text import BODY_WEIGHT, TITLE_WEIGHT, escape_like, terms
 from factlake.operators.acl import Visible, seen_by
 from factlake.operators.common import first_rows, holding, paired, small
+from factlake.operators.term_index import TermIndex
 from factlake.operators.vector_index import VectorIndex
 
 #: Candidates of each channel; what a budget drops first to last.
@@ -159,10 +160,13 @@ def canonical_author(ids: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, docs: DataFrame, index: DataFrame, facts: DataFrame, fact_index: DataFrame, visible: Visible, scores: DataFrame | None,
+    queries: DataFrame, chunks: DataFrame, docs: DataFrame, index: DataFrame | TermIndex, facts: DataFrame, fact_index: DataFrame, visible: Visible, scores: DataFrame | None,
     now: Column, limit: int = 10, channels: tuple[str, ...] = ("vector", "keyword", "fact"), vectors: VectorIndex | None = None,
 ) -> DataFrame:
-    """Three channels for a table of ``queries(query_id, viewer_id, embedding, must, any, no)`` in one plan.
+    """Three channels for a table of ``queries(query_id, viewer_id, embedding, must, any, no[, text])`` in one plan.
+
+    With a ``TermIndex`` passages are searched by the queries' ``text``, with
+    ``vectors`` by lists of the vector index.
 
     ``facts(fact_id, viewer_id, at)`` are facts that each viewer may read
     (viewer null: all). Passages and facts compete in one list.
@@ -174,7 +178,11 @@ def hybrid_search(
         own = chunks.where("chunk_role = 'child'").select("doc_id", "chunk_id")
         public = own.join(visible.public, "doc_id", "left_semi").select("chunk_id")
         private = own.join(visible.private.join(keys, "viewer_id").select("query_id", "doc_id"), "doc_id").select("query_id", "chunk_id").distinct()
-        lists.append(keyword_candidates(index, queries, "chunk_id", private, public=public).select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), "rank"))
+        if isinstance(index, TermIndex):
+            worded = index.top(queries.select("query_id", "text"), POOL, private.withColumnRenamed("chunk_id", "key"), public.withColumnRenamed("chunk_id", "key")).withColumnRenamed("key", "chunk_id")
+        else:
+            worded = keyword_candidates(index, queries, "chunk_id", private, public=public)
+        lists.append(worded.select("query_id", F.concat(F.lit("chunk:"), "chunk_id").alias("item_id"), "rank"))
     if "fact" in channels:
         public = facts.where("viewer_id is null").select("fact_id").distinct()
         private = facts.where("viewer_id is not null").join(keys, "viewer_id").select("query_id", "fact_id").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factlake.functions import identity, text
+from factlake.functions.text import STOP_WORDS
 from factlake.operators import chunking, feed
 from factlake.plans.registry import query
 
@@ -171,13 +172,27 @@ def c10(t):
     return index_terms(t.v_documents, "doc_id").select("doc_id", "term", "tf", F.round("score", 6).alias("score"))
 
 
-@query("c11_match_terms", f"""with {TERMS} select d.doc_id, 'q1' as query_id from v_documents d where exists (select 1 from tm where tm.doc_id = d.doc_id and term = 'en') and exists (select 1 from tm where tm.doc_id = d.doc_id and term in ('les', 'des'))
- and not exists (select 1 from tm where tm.doc_id = d.doc_id and term = 'pas')""")
+#: The operands of v_searches as patterns over the terms of a text, and the documents that fit an alternative.
+FITS = f"""{TERMS}, op as (
+ select concat('q', item_id) as query_id, unnest([1, 2, 2, 2]) as alternative, unnest([false, false, false, true]) as negated,
+  unnest([concat_ws(' ', split_part(text, ' ', 2), split_part(text, ' ', 3), split_part(text, ' ', 4)), split_part(text, ' ', 5), split_part(text, ' ', 6), split_part(text, ' ', 7)]) as part from benchmark),
+tk as (select query_id, alternative, negated, regexp_extract_all(lower(part), '[\\p{{L}}\\p{{N}}]+') as ts from op),
+pt as (
+ select query_id, alternative, negated, list_filter(ts, lambda x: not list_contains({list(STOP_WORDS)}, x)) as ts,
+  regexp_replace(regexp_replace(concat(' ', array_to_string(list_transform(ts, lambda x: case when list_contains({list(STOP_WORDS)}, x) then '[^ ]+' else x end), ' '), ' '), '^( \\[\\^ \\]\\+)+ ', ' '), ' (\\[\\^ \\]\\+ )+$', ' ') as pattern from tk),
+pn as (select *, count_if(not negated) over (partition by query_id, alternative) as needed from pt where len(ts) > 0),
+dt as (select doc_id, concat(' ', array_to_string(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'), ' '), ' ') as head, concat(' ', array_to_string(regexp_extract_all(lower(rendered_text), '[\\p{{L}}\\p{{N}}]+'), ' '), ' ') as body from v_documents),
+oc as (select query_id, alternative, doc_id, needed, negated, ts from pn join dt on regexp_matches(head, pattern) or regexp_matches(coalesce(body, ''), pattern)),
+al as (select query_id, alternative, doc_id from oc group by all having count_if(not negated) = any_value(needed) and count_if(negated) = 0 and any_value(needed) > 0),
+fits as (select query_id, doc_id, sum(score) as score from (select distinct oc.query_id, oc.doc_id, term, score from al join oc using (query_id, alternative, doc_id) join tm on tm.doc_id = oc.doc_id and list_contains(oc.ts, tm.term) where not negated) group by all)"""
+
+
+@query("c11_match_terms", f"with {FITS} select query_id, doc_id, round(score, 6) as score from fits")
 def c11(t):
-    from factlake.operators.search import index_terms, match_terms
+    from factlake.operators.term_index import TermIndex
 
-    queries = t.spark.createDataFrame([("q1", ["en"], ["les", "des"], ["pas"])], "query_id string, must array<string>, any array<string>, no array<string>")
-    return match_terms(index_terms(t.v_documents, "doc_id"), queries, "doc_id").select("doc_id", "query_id")
+    found = TermIndex.build(t.v_documents, "doc_id").match(t.v_searches)
+    return found.select("query_id", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("c12_person_descriptor", "select p.canonical_id, coalesce(a.d, p.display_name) as descriptor from v_persons p left join (select person_id, string_agg(concat(source_system, ' ', external_id, ' ', display_name, ' ', email), ' | ' order by source_system, external_id, display_name, email) as d from v_aliases group by 1) a on a.person_id = p.canonical_id")

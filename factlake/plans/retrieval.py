@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from factlake.functions import ranking, temporal
 from factlake.functions.text import STOP_WORDS, tokens
 from factlake.operators import acl, profiles, search
+from factlake.operators.term_index import TermIndex
 from factlake.plans.facts import VIS, joined, seen, stamp, visible
-from factlake.plans.feed import TERMS, clock
+from factlake.plans.feed import FITS, TERMS, clock
 from factlake.plans.registry import query
 
 
@@ -27,22 +28,10 @@ def h1(t):
     return out.select("query_id", "chunk_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-def words(t):
-    rows = [("q1", ["en"], ["les", "des"], []), ("q2", ["doc"], ["und", "the"], ["rights"]), ("q3", [], ["license"], ["doc"])]
-    return t.spark.createDataFrame(rows, "query_id string, must array<string>, any array<string>, no array<string>")
-
-
-KEYWORDS = f"""{TERMS}, kw as (
- select 'q1' as query_id, doc_id, sum(case when term in ('en', 'les', 'des') then score end) as score, count(distinct case when term in ('en') then term end) = 1 and count(distinct case when term in ('les', 'des') then term end) > 0 as ok from tm where term in ('en', 'les', 'des') group by doc_id
- union all select 'q2', doc_id, sum(case when term in ('doc', 'und', 'the') then score end), count(distinct case when term = 'doc' then term end) = 1 and count(distinct case when term in ('und', 'the') then term end) > 0 and count(case when term = 'rights' then 1 end) = 0 from tm where term in ('doc', 'und', 'the', 'rights') group by doc_id
- union all select 'q3', doc_id, sum(case when term = 'license' then score end), count(case when term = 'license' then 1 end) > 0 and count(case when term = 'doc' then 1 end) = 0 from tm where term in ('license', 'doc') group by doc_id),
-kr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from kw where ok)"""
-
-
-@query("h2_keyword_candidates", f"with {KEYWORDS} select query_id, doc_id, cast(rank as bigint) as rank, round(score, 6) as score from kr where rank <= 25")
+@query("h2_keyword_candidates", f"with {FITS}, kr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from fits) select query_id, doc_id, cast(rank as bigint) as rank, round(score, 6) as score from kr where rank <= 25")
 def h2(t):
-    out = search.keyword_candidates(search.index_terms(t.v_documents, "doc_id"), words(t), "doc_id", None, 25)
-    return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    out = TermIndex.build(t.v_documents, "doc_id").top(t.v_searches, 25)
+    return out.select("query_id", F.col("key").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
 @query("h3_fact_candidates", """with x as (select claim_id as id, concat(predicate, ': ', object_text) as text from v_claims union all select relationship_id, concat(from_id, ' ', relationship_type, ' ', to_id) from v_relationships),
@@ -133,9 +122,9 @@ dp as (select *, row_number() over (partition by query_id, coalesce(parent_id, i
 @query("h12_hybrid_search", f"with {HYBRID} select query_id, item_id, cast(rank as bigint) as rank, round(score, 9) as score, n - count(*) over (partition by query_id) as removed from dp where nth = 1")
 def h12(t):
     chunks = t.v_chunks.join(t.v_documents.select("doc_id", "title", "rendered_text"), "doc_id")
-    index = search.index_terms(chunks, "chunk_id")
-    words_ = [(0, ["en"], ["les", "des", "title"], []), (1, ["doc"], ["und", "der"], ["rights"]), (2, [], ["license", "urgent"], ["doc"])]
-    words_ = t.spark.createDataFrame(words_, "k int, must array<string>, any array<string>, no array<string>")
+    index = TermIndex.build(chunks, "chunk_id")
+    words_ = [(0, "en les or en des or en title", ["en"], ["les", "des", "title"], []), (1, "doc und -rights or doc der -rights", ["doc"], ["und", "der"], ["rights"]), (2, "license -doc or urgent -doc", [], ["license", "urgent"], ["doc"])]
+    words_ = t.spark.createDataFrame(words_, "k int, text string, must array<string>, any array<string>, no array<string>")
     queries = asked(t).withColumn("k", F.expr("cast(substr(query_id, 2) as int) div 20 % 3").cast("int")).join(F.broadcast(words_), "k").drop("k")
     everyone, own = acl.all_visible(t.v_claims, visible(t), "claim_id")
     facts = everyone.withColumn("viewer_id", F.lit(None).cast("string")).unionByName(own).join(t.v_claims.select("claim_id", F.col("valid_from").alias("at")), "claim_id")

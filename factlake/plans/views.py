@@ -69,6 +69,8 @@ select concat('e', p_partkey) as entity_id, case p_partkey % 3 when 0 then 'team
     "v_jobs": """
 select event_id as job_id, event_type as job_type, case event_id % 5 when 0 then 'pending' when 1 then 'running' when 2 then 'done' when 3 then 'dead' else 'pending' end as status,
  concat('d', user_id % 50) as doc_id, concat('p', user_id % 30) as person_a, concat('p', event_id % 30) as person_b, ts as created_at, ts + interval '1' minute * cast(event_id % 90 as int) as updated_at from [events]""",
+    "v_searches": """
+select concat('q', item_id) as query_id, concat('"', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), ' ', split_part(text, ' ', 4), '" or ', split_part(text, ' ', 5), ' ', split_part(text, ' ', 6), ' -', split_part(text, ' ', 7)) as text from [benchmark]""",
     "v_work": """
 select event_id as job_id, concat('ws', user_id % 2) as workspace_id,
  case event_id % 11 when 0 then 'extract_graph' when 1 then 'embed_chunks' when 2 then 'adjudicate_persons' when 3 then 'resolve_claim_conflict' when 4 then 'resolve_relationship_conflict'
