@@ -30,7 +30,7 @@ NO_TERM[0:0x41] = NO_TERM[0x5B:0x61] = NO_TERM[0x7B:0x80] = True
 #: Terms of a shard at most; bytes of the transducers that a pass broadcasts.
 SHARD, PASS = 1 << 17, 64 << 20
 #: Rows that a task gathers before it sends them on; bytes of text that are read at a time.
-GATHERED, CHUNK = 1 << 20, 1 << 21
+GATHERED, CHUNK = 1 << 19, 1 << 20
 #: Terms and sources of a block whose sources are compared.
 TERMS, SOURCES = 1 << 16, 64
 
