@@ -10,6 +10,7 @@ from factlake.functions.temporal import believed_as_of, read_statuses, resolve_p
 from factlake.functions.text import normalize_name
 from factlake.operators.acl import Visible, for_viewers
 from factlake.operators.common import first_rows, holding, small
+from factlake.operators.intervals import join_points
 from factlake.operators.store import save
 
 
@@ -20,23 +21,38 @@ def resolved_points(points: DataFrame, now: Column) -> DataFrame:
     return points.select(*points.columns, instant.alias("instant"), grain.alias("grain"), belief.alias("belief"), read_statuses(is_point).alias("statuses"))
 
 
-def at_points(facts: DataFrame, points: DataFrame, now: Column) -> DataFrame:
-    """Facts that are valid and believed at each point; the table of points is a parameter and broadcast if small."""
-    at = small(resolved_points(points, now).withColumnsRenamed({c: f"at_{c}" for c in ("instant", "grain", "belief", "statuses")}))
-    at = at.select(*[c for c in at.columns if c.startswith("at_") or c not in facts.columns])
+#: Points up to which each fact is compared with all of them.
+FEW_POINTS = 256
+
+
+def at_points(facts: DataFrame, points: DataFrame, now: Column, by: list[str] | None = None) -> DataFrame:
+    """Facts that are valid and believed at each point; columns ``by`` (a subject, say) that both tables have must be equal.
+
+    A few points are broadcast; many meet the facts by nodes of a tree of time.
+    """
+    by = by or []
+    at = resolved_points(points, now).withColumnsRenamed({c: f"at_{c}" for c in ("instant", "grain", "belief", "statuses")})
+    at = at.select(*[c for c in at.columns if c.startswith("at_") or c in by or c not in facts.columns])
+    if points.limit(FEW_POINTS + 1).count() > FEW_POINTS:
+        return join_points(facts, at, by).drop("at_statuses", "as_of", "believed_as_of", "as_of_grain")
+    same = F.lit(True)
+    for c in by:
+        same = same & (facts[c] == F.col(f"_{c}"))
     return facts.join(
-        at,
+        F.broadcast(at.withColumnsRenamed({c: f"_{c}" for c in by})),
         F.array_contains("at_statuses", F.col("status"))
         & valid_as_of(F.col("valid_from"), F.col("valid_to"), F.col("time_grain"), F.col("at_instant"), F.col("at_grain"))
-        & believed_as_of(F.col("recorded_at"), F.col("invalidated_at"), F.col("at_belief")),
-    ).drop("at_statuses", "as_of", "believed_as_of", "as_of_grain")
+        & believed_as_of(F.col("recorded_at"), F.col("invalidated_at"), F.col("at_belief"))
+        & same,
+    ).drop("at_statuses", "as_of", "believed_as_of", "as_of_grain", *[f"_{c}" for c in by])
 
 
 def claims_for_viewers(claims: DataFrame, subjects: DataFrame | None, viewers: DataFrame, visible: Visible, points: DataFrame, now: Column) -> DataFrame:
     """Claims by viewer and point, of ``subjects(subject_id)`` or of all; the order is the reader's (newest first)."""
     if subjects is not None:
         claims = claims.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
-    return at_points(for_viewers(claims, visible, "claim_id", viewers), points, now)
+    # Time first: it doesn't depend on the viewer.
+    return for_viewers(claims, visible, "claim_id", viewers, at_points(claims, points, now))
 
 
 def relationships_for_viewers(rels: DataFrame, nodes: DataFrame, viewers: DataFrame, visible: Visible, points: DataFrame, now: Column) -> DataFrame:
@@ -46,7 +62,7 @@ def relationships_for_viewers(rels: DataFrame, nodes: DataFrame, viewers: DataFr
         for e in ("from", "to")
     ]
     both = ends[0].unionByName(ends[1].where("not (from_type = to_type and from_id = to_id)"))
-    return at_points(for_viewers(rels, visible, "relationship_id", viewers, both), points, now)
+    return for_viewers(rels, visible, "relationship_id", viewers, at_points(both, points, now))
 
 
 def search_entities(entities: DataFrame, names: DataFrame, viewers: DataFrame, visible: Visible, limit: int) -> DataFrame:
@@ -115,7 +131,7 @@ def walk_paths(
     max_depth, limit = min(max(max_depth, 1), 3), min(max(limit, 1), 200)
     if types is not None:
         rels = rels.where(F.col("relationship_type").isin(*types))
-    own = at_points(for_viewers(rels, visible, "relationship_id", viewers), points, now).where("not (from_type = to_type and from_id = to_id)")
+    own = for_viewers(rels, visible, "relationship_id", viewers, at_points(rels.where("not (from_type = to_type and from_id = to_id)"), points, now))
     edges = own.select("viewer_id", "point_id", "relationship_id", F.concat_ws(":", "from_type", "from_id").alias("a"), F.concat_ws(":", "to_type", "to_id").alias("b"))
     edges = first_rows(edges, ["viewer_id", "point_id", "a", "b"], [F.col("relationship_id")], limit + 1)
     edges = first_rows(edges, ["viewer_id", "point_id", "a"], [F.col("relationship_id")], (max_depth + 1) * (limit + 1))
