@@ -378,11 +378,10 @@ def g8_types(t):
 
 
 @query("g3_search_entities", f"""with {VIS}, {seen('v_entities', 'entity_id')}, h as (select q.query_id, av.viewer_id, e.entity_id, row_number() over (partition by q.query_id, av.viewer_id order by lower(e.name), e.entity_id) as rank
- from (values ('q1', 'an', null), ('q2', 'e', 'team')) q(query_id, pattern, et) join v_entities e on contains(lower(e.name), q.pattern) and (q.et is null or q.et = e.entity_type) join av on av.entity_id = e.entity_id)
+ from v_words q join v_entities e on contains(lower(e.name), lower(q.pattern)) and (q.entity_type is null or q.entity_type = e.entity_type) join av on av.entity_id = e.entity_id)
 select query_id, viewer_id, entity_id, cast(rank as bigint) as rank from h where rank <= 10""")
 def g3(t):
-    names = t.spark.createDataFrame([("q1", "AN", None), ("q2", "e", "team")], "query_id string, pattern string, entity_type string")
-    return reads.search_entities(t.v_entities, names, t.v_viewers, visible(t), 10).select("query_id", "viewer_id", "entity_id", "rank")
+    return reads.search_entities(t.v_entities, t.v_words, t.v_viewers, visible(t), 10).select("query_id", "viewer_id", "entity_id", "rank")
 
 
 @query("g4_list_entities", f"""with {VIS}, {seen('v_entities', 'entity_id')}, h as (select av.viewer_id, e.entity_type, e.entity_id, row_number() over (partition by av.viewer_id, e.entity_type order by e.name, e.entity_id) as rank from v_entities e join av on av.entity_id = e.entity_id)
@@ -404,10 +403,9 @@ def g9(t):
     return out.select("subject_id", "root_id", "viewer_id", "point_id", joined("claims.claim_id").alias("claims"), joined("edges.relationship_id").alias("edges"))
 
 
-@query("g10_search_people", """select 'q1' as query_id, canonical_id, cast(row_number() over (order by display_name, canonical_id) as bigint) as rank from v_persons where merged_into_id is null and contains(lower(display_name), '12') qualify rank <= 20""")
+@query("g10_search_people", """select query_id, canonical_id, cast(row_number() over (partition by query_id order by display_name, canonical_id) as bigint) as rank from v_names join v_persons on merged_into_id is null and contains(lower(display_name), lower(name)) qualify rank <= 20""")
 def g10(t):
-    names = t.spark.createDataFrame([("q1", "12")], "query_id string, pattern string")
-    return reads.search_people(t.v_persons, names, 20).select("query_id", "canonical_id", "rank")
+    return reads.search_people(t.v_persons, t.v_names.withColumnRenamed("name", "pattern"), 20).select("query_id", "canonical_id", "rank")
 
 
 @query("g14_alias_query_text", "select p.canonical_id, coalesce(case when a.n is null or a.n = p.display_name then p.display_name else concat(p.display_name, ' ', a.n) end, '') as query_text from v_persons p left join (select person_id, min(display_name) as n from v_aliases group by 1) a on a.person_id = p.canonical_id")
@@ -521,11 +519,10 @@ def f27(t):
     return ok.select(F.col("claim_id").alias("promotion_id"), F.lit("promoted").alias("outcome")).unionByName(bad.select("promotion_id", F.col("reason").alias("outcome")))
 
 
-@query("g13_subject_candidates", """with w as (select * from (values ('q1', '00001'), ('q2', 'an')) t(query_id, name)), s as (select 'person' as type, canonical_id as id, display_name as label from v_persons where merged_into_id is null union all select entity_type, entity_id, name from v_entities)
+@query("g13_subject_candidates", """with w as (select query_id, lower(name) as name from v_names), s as (select 'person' as type, canonical_id as id, display_name as label from v_persons where merged_into_id is null union all select entity_type, entity_id, name from v_entities)
 select w.query_id, s.type, count(*) as n from w join s on contains(lower(s.label), w.name) group by all""")
 def g13(t):
-    names = t.spark.createDataFrame([("q1", "00001"), ("q2", "AN")], "query_id string, name string")
-    return reads.subject_candidates(names, t.v_persons, t.v_entities).groupBy("query_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return reads.subject_candidates(t.v_names, t.v_persons, t.v_entities).groupBy("query_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("i13_reconcile_slots", f"""with {RANKED}, roots as (select distinct coalesce(merged_into_id, canonical_id) as id from v_persons where merged_into_id is not null), a as (select rk.*, first_value(object_text) over w as best from rk join roots on roots.id = rk.subject_id where status = 'active' and predicate in ('title', 'reports_to', 'definition') window w as (partition by subject_id, predicate order by {ORDER}))

@@ -161,10 +161,9 @@ def g12(t):
     return reads.list_subjects(t.v_entities, t.v_participants, t.v_persons, t.v_viewers, visible(t), 10).select("viewer_id", "category", "subject_id", "rank")
 
 
-@query("g11_resolve_subjects", """with w as (select * from (values ('q1', 'customer#000000012'), ('q2', 'customer#00000001'), ('q3', 'zzz')) t(query_id, name)), s as (select 'person' as type, canonical_id as id, display_name as label, 0 as place from v_persons where merged_into_id is null union all select entity_type, entity_id, name, case entity_type when 'team' then 1 when 'project' then 2 else 3 end from v_entities),
+@query("g11_resolve_subjects", """with w as (select query_id, lower(name) as name from v_names), s as (select 'person' as type, canonical_id as id, display_name as label, 0 as place from v_persons where merged_into_id is null union all select entity_type, entity_id, name, case entity_type when 'team' then 1 when 'project' then 2 else 3 end from v_entities),
 h as (select w.query_id, s.*, case when lower(s.label) = w.name then 0 else 1 end as inexact from w join s on contains(lower(s.label), w.name)), b as (select * from h qualify row(place, inexact) = min(row(place, inexact)) over (partition by query_id)),
 f as (select query_id, min(type) as type, string_agg(distinct id, ',' order by id) as candidates, count(distinct id) as n from b group by 1)
 select w.query_id, w.name, f.type, f.candidates, case when f.n is null then 'unknown' when f.n = 1 then 'resolved' else 'ambiguous' end as status from w left join f using (query_id)""")
 def g11(t):
-    names = t.spark.createDataFrame([("q1", "customer#000000012"), ("q2", "customer#00000001"), ("q3", "zzz")], "query_id string, name string")
-    return reads.resolve_subjects(names, t.v_persons, t.v_entities).withColumn("candidates", F.array_join("candidates", ","))
+    return reads.resolve_subjects(t.v_names.withColumn("name", F.lower("name")), t.v_persons, t.v_entities).withColumn("candidates", F.array_join("candidates", ","))

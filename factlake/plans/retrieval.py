@@ -89,9 +89,9 @@ def h9(t):
     return search.dedupe_parents(shortlist(t)).select("item_id", "removed")
 
 
-@query("h10_expand_authors", "with a as (select * from (values ('q1', '00012'), ('q2', 'nobody')) t(query_id, author)), h as (select a.query_id, p.canonical_id, p.display_name, count(*) over (partition by a.query_id) as n from a join v_persons p on contains(lower(p.display_name), lower(a.author))) select query_id, concat('%', author, '%') as pattern from a union select query_id, concat('%', display_name, '%') from h where n <= 3 union select h.query_id, concat('%', l.display_name, '%') from h join v_aliases l on l.person_id = h.canonical_id where n <= 3")
+@query("h10_expand_authors", "with a as (select query_id, name as author from v_names), h as (select a.query_id, p.canonical_id, p.display_name, count(*) over (partition by a.query_id) as n from a join v_persons p on contains(lower(p.display_name), lower(a.author))) select query_id, concat('%', author, '%') as pattern from a union select query_id, concat('%', display_name, '%') from h where n <= 3 union select h.query_id, concat('%', l.display_name, '%') from h join v_aliases l on l.person_id = h.canonical_id where n <= 3")
 def h10(t):
-    authors = t.spark.createDataFrame([("q1", "00012"), ("q2", "nobody")], "query_id string, author string")
+    authors = t.v_names.withColumnRenamed("name", "author")
     return search.expand_authors(authors, t.v_persons, t.v_aliases)
 
 

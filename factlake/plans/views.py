@@ -69,6 +69,10 @@ select concat('e', p_partkey) as entity_id, case p_partkey % 3 when 0 then 'team
     "v_jobs": """
 select event_id as job_id, event_type as job_type, case event_id % 5 when 0 then 'pending' when 1 then 'running' when 2 then 'done' when 3 then 'dead' else 'pending' end as status,
  concat('d', user_id % 50) as doc_id, concat('p', user_id % 30) as person_a, concat('p', event_id % 30) as person_b, ts as created_at, ts + interval '1' minute * cast(event_id % 90 as int) as updated_at from [events]""",
+    "v_names": """
+select concat('n', c_custkey) as query_id, case c_custkey % 10 when 0 then upper(c_name) when 1 then substr(c_name, 12, 6) when 2 then concat(c_name, 'x') else substr(c_name, 14, 5) end as name from [customer]""",
+    "v_words": """
+select w as query_id, upper(w) as pattern, case when length(w) % 2 = 0 then 'team' end as entity_type from (select distinct split_part(p_name, ' ', 1) as w from [part]) as ws""",
     "v_searches": """
 select concat('q', item_id) as query_id, concat('"', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3), ' ', split_part(text, ' ', 4), '" or ', split_part(text, ' ', 5), ' ', split_part(text, ' ', 6), ' -', split_part(text, ' ', 7)) as text from [benchmark]""",
     "v_work": """
