@@ -10,7 +10,7 @@ from factlake.functions.temporal import between_points, calendar_point
 #: The words that show what a query asks for.
 BELIEF = r"\b(what did we (think|believe|report|know)|before the correction|as of our records|according to (the )?(old |previous )?(wiki|records|system)|what (was|were) (we|the system) (showing|reporting))\b"
 BETWEEN = r"\b(what\s+changed|changes?|difference|diff)\b.*\bbetween\b"
-SOFT = r"\bas of\b|\b(during (the )?(reorg|reorganization|transition)|when (she|he|they) was)\b"
+SOFT = (r"\bas of\b", r"\b(during (the )?(reorg|reorganization|transition)|when (she|he|they) was)\b")
 CURRENT = r"\b(now|current|currently|today|who is|what is)\b"
 
 
@@ -20,7 +20,7 @@ def plan_temporal_queries(queries: DataFrame, now: Column) -> DataFrame:
     point, grain = calendar_point(text, now)
     start, end, pair_grain = between_points(text, now)
     rows = queries.withColumns({
-        "_empty": text == "", "_belief": text.rlike(BELIEF), "_between": text.rlike(BETWEEN), "_soft": text.rlike(SOFT), "_current": text.rlike(CURRENT),
+        "_empty": text == "", "_belief": text.rlike(BELIEF), "_between": text.rlike(BETWEEN), "_soft": text.rlike(SOFT[0]) | text.rlike(SOFT[1]), "_current": text.rlike(CURRENT),
         "_point": point, "_grain": grain, "_start": start, "_end": end, "_pair": pair_grain,
     })
     b, axis = F.col("_belief"), F.when(F.col("_belief"), "belief").otherwise("world")

@@ -121,13 +121,15 @@ def walk_paths(
 
     Each edge is checked for time and visibility before it is walked; order is
     depth, last edge, edges; ``limit`` a viewer, point and start, and truncated
-    where there are more. Depth and limit are clamped to 3 and 200.
+    where there are more. Depth and limit are clamped to 3 and 200, and capped
+    tells that more was asked for.
 
     Since shorter walks come first, only starts that have ``limit`` walks or
     fewer so far are walked further, and a node needs no more than its first
     edges: a walk passes over the few nodes it has been at, ``limit`` + 1 edges
     to each, and then takes ``limit`` + 1.
     """
+    capped = max_depth > 3 or limit > 200
     max_depth, limit = min(max(max_depth, 1), 3), min(max(limit, 1), 200)
     if types is not None:
         rels = rels.where(F.col("relationship_type").isin(*types))
@@ -153,7 +155,7 @@ def walk_paths(
         out = out.unionByName(more)
     ranked = first_rows(out, keys, [F.col("depth"), F.col("last"), F.col("edges")], limit + 1, "rank")
     more = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > limit
-    return ranked.withColumn("truncated", more).where(F.col("rank") <= limit).drop("last")
+    return ranked.withColumn("truncated", more).where(F.col("rank") <= limit).drop("last").withColumn("capped", F.lit(capped))
 
 
 def person_roots(persons: DataFrame) -> DataFrame:

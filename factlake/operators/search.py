@@ -217,11 +217,11 @@ def pack_tokens(items: DataFrame, budgets: DataFrame) -> DataFrame:
     return rows.withColumn("running", run).withColumn("trimmed", total > F.col("budget")).where("running <= budget")
 
 
-def retrieve_context(requests: DataFrame, hits: DataFrame, facts: DataFrame, paths: DataFrame) -> DataFrame:
+def pack_context(requests: DataFrame, hits: DataFrame, facts: DataFrame, paths: DataFrame) -> DataFrame:
     """Passages, facts and paths of each ``requests(request_id, mode, budget)``, packed and gathered in one row.
 
-    The channels are ``(request_id, item_id, position, cost)``; they come from
-    ``hybrid_search``, ``query_facts`` and ``walk_paths``.
+    The channels are ``(request_id, item_id, position, cost)``, from wherever;
+    ``context.retrieve_context`` makes them from the request itself.
     """
     rows = hits.withColumn("channel", F.lit("passages")).unionByName(facts.withColumn("channel", F.lit("structured_facts"))).unionByName(paths.withColumn("channel", F.lit("paths")))
     packed = pack_tokens(rows, requests)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from factlake.functions import ranking, temporal
 from factlake.functions.text import STOP_WORDS, tokens
-from factlake.operators import acl, profiles, search
+from factlake.operators import acl, context, profiles, search
 from factlake.operators.term_index import TermIndex
-from factlake.plans.facts import VIS, joined, seen, stamp, visible
+from factlake.plans.facts import AT, HALF, PTS, VIS, joined, now, predicates, seen, stamp, visible
 from factlake.plans.feed import FITS, TERMS, clock
 from factlake.plans.registry import query
 
@@ -160,15 +160,15 @@ def h15(t):
     return search.pack_tokens(items, budgets).select("request_id", "channel", "position")
 
 
-@query("h14_retrieve_context", """with i as (select subject_id as request_id, claim_id, cast(substr(claim_id, 2) as bigint) as position, cast(substr(claim_id, 2) as bigint) % 40 + 1 as cost, cast(substr(claim_id, 2) as bigint) % 3 as c from v_claims),
+@query("h14_pack_context", """with i as (select subject_id as request_id, claim_id, cast(substr(claim_id, 2) as bigint) as position, cast(substr(claim_id, 2) as bigint) % 40 + 1 as cost, cast(substr(claim_id, 2) as bigint) % 3 as c from v_claims),
 r as (select *, sum(cost) over (partition by request_id order by case c when 0 then 0 when 1 then 1 else 2 end, position rows unbounded preceding) as running, sum(cost) over (partition by request_id) as total from i)
 select request_id, bool_or(total > 100) as trimmed, count_if(c = 0 and running <= 100) as n_passages, count_if(c = 1 and running <= 100) as n_facts, count_if(c = 2 and running <= 100) as n_paths from r group by 1 having count_if(running <= 100) > 0""")
-def h14(t):
+def h14_pack(t):
     n = F.expr("cast(substr(claim_id, 2) as bigint)")
     items = t.v_claims.select(F.col("subject_id").alias("request_id"), F.col("claim_id").alias("item_id"), n.alias("position"), (n % 40 + 1).alias("cost"), (n % 3).alias("c"))
     parts = [items.where(F.col("c") == k).drop("c") for k in range(3)]
     requests = t.v_claims.select(F.col("subject_id").alias("request_id")).distinct().withColumns({"mode": F.lit("joint"), "budget": F.lit(100)})
-    out = search.retrieve_context(requests, *parts).where("channels is not null")
+    out = search.pack_context(requests, *parts).where("channels is not null")
     size = lambda c: F.coalesce(F.size(F.col("channels")[c]), F.lit(0)).cast("long")
     return out.select("request_id", "trimmed", F.greatest(size("passages"), F.lit(0)).alias("n_passages"), F.greatest(size("structured_facts"), F.lit(0)).alias("n_facts"), F.greatest(size("paths"), F.lit(0)).alias("n_paths"))
 
@@ -333,3 +333,34 @@ def l5(t):
 @query("l6_graph_fact_lines", "select from_id as subject_id, relationship_id as id, concat(from_id, ' ', relationship_type, ' ', to_id, ' [', array_to_string(evidence_doc_ids[1:3], ', '), ']') as line from v_relationships union all select subject_id, claim_id, concat(predicate, ': ', object_text, ' [', array_to_string(evidence_doc_ids[1:3], ', '), ']') from v_claims")
 def l6(t):
     return profiles.graph_fact_lines(t.v_claims, t.v_relationships).select("subject_id", "id", "line")
+
+
+CONTEXT = f"""{VIS}, {seen('v_claims', 'claim_id')}, {INTENT}, rq as (select concat('r', item_id) as request_id, concat('v', item_id % 3 + 1) as viewer_id, concat('p', item_id * 7 % 500) as subject_id, k from i),
+pts as (select *, case k when 0 then timestamp '2023-03-15' when 2 then timestamp '2022-06-15' when 6 then timestamp '2021-07-01' when 1 then timestamp '2022-05-15' else timestamp '1998-01-01' end as i,
+ case k when 0 then 'month' when 2 then 'month' when 6 then 'year' else 'day' end as g, case k when 1 then timestamp '2022-05-15' else timestamp '1998-01-01' end as b, k in (0, 1, 2, 6) as is_point from rq where k <> 3),
+{PTS[PTS.index("pb as"):]},
+q as (select f.*, pb.request_id, f.confidence * greatest(pow(0.5, greatest(date_diff('second', f.valid_from, timestamp '1998-01-01') / 86400.0, 0) / {HALF}), 0.25) as freshness
+ from v_claims f join pb on f.subject_id = pb.subject_id and {AT} join av on av.claim_id = f.claim_id and av.viewer_id = pb.viewer_id),
+r as (select request_id, claim_id, row_number() over (partition by request_id order by freshness desc, confidence desc, claim_id desc) as rank from q),
+fs as (select request_id, string_agg(claim_id, ',' order by rank) as facts from r where rank <= 20 group by 1)"""
+
+
+@query("h14_retrieve_context", f"with {CONTEXT} select rq.request_id, case k when 3 then 'ambiguous' else 'ok' end as status, case k when 3 then 'temporal_axis_ambiguous' else '' end as detail, case k when 2 then 'world' else '' end as diff_axis, coalesce(facts, '') as facts from rq left join fs using (request_id)")
+def h14(t):
+    """All benchmark items as requests of the three modes: the whole answer, of which facts, plan and status have a twin."""
+    texts = ["who is the owner in March 2023", "what did we think in Q2 2022", "what changed between March 2021 and June 2022", "as of the reorg", "", "who is the lead now", "status report 2021", "tell me more"]
+    i, modes = F.col("item_id"), F.array(*map(F.lit, ("graph_first", "joint", "vector_first")))
+    subject = F.struct(F.lit("Person ").alias("type"), F.concat(F.lit("p"), i * 7 % 500).alias("id"))
+    vectors = t.embeddings.select(F.col("vec_id").alias("item_id"), "embedding")
+    requests = t.benchmark.join(vectors, "item_id", "left").select(
+        F.concat(F.lit("r"), i).alias("request_id"), F.concat(F.lit("v"), i % 3 + 1).alias("viewer_id"), F.element_at(modes, (i % 3 + 1).cast("int")).alias("mode"),
+        F.element_at(F.array(*map(F.lit, texts)), (i % 8 + 1).cast("int")).alias("query"), F.array(subject, subject).alias("subjects"), "embedding",
+    )
+    chunks = t.v_chunks.join(t.v_documents.select("doc_id", "title", F.col("rendered_text").alias("text")), "doc_id").drop("embedding_model")
+    facts = t.v_claims.select("claim_id", F.lit("").alias("title"), F.concat_ws(": ", "predicate", "object_text").alias("rendered_text"))
+    sources = context.Sources(
+        t.v_persons, t.v_entities, t.v_claims, t.v_relationships, t.v_documents, t.v_participants, chunks, predicates(t), predicates(t).where("predicate <> 'team'"), visible(t),
+        TermIndex.build(chunks, "chunk_id", body="text"), TermIndex.build(facts, "claim_id"), search.passage_index(chunks),
+    )
+    out = context.retrieve_context(requests, sources, now())
+    return out.select("request_id", "status", F.coalesce("detail", F.lit("")).alias("detail"), F.coalesce("diff_axis", F.lit("")).alias("diff_axis"), F.coalesce(F.array_join(F.col("channels")["structured_facts"], ","), F.lit("")).alias("facts"))
