@@ -44,8 +44,8 @@ def count_tokens(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """Parts between blank lines, trimmed, empty ones left out."""
-    parts = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    """Parts between two line feeds in a row, trimmed, empty ones left out; a line of blanks is no break."""
+    parts = F.transform(F.split(text, r"\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -60,7 +60,7 @@ def pack(parts: list[str], target: int, most: int, overlap: int, size: Callable[
 
 
 def cut(text: str) -> list[str]:
-    return [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    return [p.strip() for p in text.split("\n\n") if p.strip()]
 
 
 def chunk_documents(docs: DataFrame, size: Callable[[str], int] = word_tokens) -> DataFrame:

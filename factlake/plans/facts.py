@@ -240,9 +240,10 @@ def f11(t):
     return ledger.claim_conflicts(t.v_claims)
 
 
-@query("f11_relationship_conflicts", "select from_type, from_id, relationship_type, count(distinct concat(to_type, ':', to_id)) as n_targets from v_relationships where relationship_type = 'reports_to' group by all having count(distinct concat(to_type, ':', to_id)) > 1")
+@query("f11_relationship_conflicts", "select from_type, from_id, relationship_type, count(distinct concat(case when cast(split_part(substr(relationship_id, 2), '_', 1) as bigint) % 3 = 0 then 'team' else to_type end, ':', to_id)) as n_targets from v_relationships where relationship_type = 'reports_to' group by all having n_targets > 1")
 def f11r(t):
-    return ledger.relationship_conflicts(t.v_relationships, edges(t))
+    kind = F.when(F.expr("cast(split_part(substr(relationship_id, 2), '_', 1) as bigint) % 3 = 0"), "team").otherwise(F.col("to_type"))
+    return ledger.relationship_conflicts(t.v_relationships.withColumn("to_type", kind), edges(t))
 
 
 @query("f15_check_transitions", """select claim_id, status as old, case when cast(substr(claim_id, 2) as bigint) % 3 = 0 then 'active' else 'proposed' end as new from v_claims where

@@ -142,7 +142,7 @@ def c1(t):
     return t.v_documents.select("doc_id", text.count_tokens(F.col("rendered_text")).alias("n_tokens"))
 
 
-@query("c2_split_paragraphs", "with p as (select doc_id, unnest(string_split_regex(replace(rendered_text, chr(10), concat(chr(10), chr(10))), '\\n\\s*\\n')) as p from v_documents) select doc_id, count(*) as n, sum(length(trim(p, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))))::bigint as chars from p where trim(p, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> '' group by 1")
+@query("c2_split_paragraphs", "with p as (select doc_id, unnest(string_split(replace(rendered_text, chr(10), concat(chr(10), chr(10))), concat(chr(10), chr(10)))) as p from v_documents) select doc_id, count(*) as n, sum(length(trim(p, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))))::bigint as chars from p where trim(p, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> '' group by 1")
 def c2(t):
     doubled = F.replace("rendered_text", F.lit("\n"), F.lit("\n\n"))
     rows = t.v_documents.select("doc_id", F.explode(text.paragraphs(doubled)).alias("p"))

@@ -145,8 +145,7 @@ def s6(t):
 g as (select key, t, sum(brk::int) over (partition by key order by t rows unbounded preceding) as s from e) select key, strftime(min(t), '%Y-%m-%d %H:%M:%S') as first_at, count(*) as n from g group by key, s""")
 def s3(t):
     work = t.v_envelopes.select(F.concat_ws(":", "source_system", "external_id").alias("key"), F.col("arrived_at").cast("timestamp").alias("at"))
-    out = work.groupBy("key", F.session_window("at", "60 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select("key", stamp("w.start").alias("first_at"), "n")
+    return feed_streams.stream_debounce(work, "60 minutes").select("key", stamp("first_at").alias("first_at"), "n")
 
 
 @query("s4_source_freshness", "select source_system, strftime(max(arrived_at), '%Y-%m-%d %H:%M:%S') as last_arrival, strftime(max(event_time), '%Y-%m-%d %H:%M:%S') as last_event, count(*) as accepted from v_envelopes group by 1")
