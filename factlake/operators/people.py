@@ -157,7 +157,7 @@ def merge_map(merges: DataFrame, persons: DataFrame) -> DataFrame:
     told = merges.join(one, "a").join(two, "b").select(F.when(F.col("a_age") < F.col("b_age"), F.col("b")).otherwise(F.col("a")).alias("canonical_id"), F.when(F.col("a_age") < F.col("b_age"), F.col("a")).otherwise(F.col("b")).alias("into"))
     told = told.groupBy("canonical_id").agg(F.min("into").alias("into"))
     rows = persons.join(told, "canonical_id", "left").select("canonical_id", F.coalesce("into", "merged_into_id").alias("merged_into_id"))
-    return person_roots(rows)
+    return person_roots(rows).drop("in_cycle")
 
 
 def repoint(df: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
