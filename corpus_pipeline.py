@@ -74,8 +74,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = save(taken.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies")).where("_copies > 0"))
     texts = docs.withColumn("_own", F.xxhash64("text")).select(*docs.columns, key)
     once = texts.join(taken.where("_rows = 1"), "_key").select(*docs.columns, "_copies")
-    # Rows of one key are numbered within tasks, behind those of the tasks before.
     repeated = taken.where("_rows > 1")
+    if repeated.isEmpty():
+        return once.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(docs.columns)
+    # Rows of one key are numbered within tasks, behind those of the tasks before.
     rows = save(join_dealt(texts, repeated, "_key").withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_id", 33)))
     before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
     tasks = rows.groupBy("_key", "_task").agg(F.count(F.lit(1)).alias("_n")).select("_key", "_task", F.coalesce(before, F.lit(0)).alias("_before"))
