@@ -29,6 +29,8 @@ from factlake.llm.words import mix, shingle_sets
 SIGNATURE, BAND, BATCH = 100, 4, 20
 #: Classes of a bucket that are all compared; shingles and classes of a block in larger ones.
 FEW, BLOCK, ROWS = 32, 1 << 18, 2000
+#: Shingles that a block's matrices have as columns at a time.
+COLUMNS = 1024
 #: Chance at which a pair at the threshold may be ruled out by its posterior.
 MISS = 1e-7
 _rng = np.random.default_rng(7)
@@ -196,17 +198,21 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
                 hit = both[at] == col if len(both) else np.zeros(len(col), bool)
                 order = np.argsort(at[hit], kind="stable")
                 spots.append((row[hit][order], at[hit][order]))
-            for c in range(0, len(both), 4096):
+            for c in range(0, len(both), COLUMNS):
                 parts = []
                 for (row, col), n in zip(spots, (len(left), len(right)), strict=True):
-                    lo, hi = np.searchsorted(col, [c, c + 4096])
-                    m = np.zeros((n, 4096), np.float32)
+                    lo, hi = np.searchsorted(col, [c, c + COLUMNS])
+                    m = np.zeros((n, COLUMNS), np.float32)
                     m[row[lo:hi], col[lo:hi] - c] = 1
                     parts.append(m)
                 shared += parts[0] @ parts[1].T
-            union = size[left][:, None] + size[right][None] - shared.astype(np.int64)
-            x, y = np.nonzero((100 * shared.astype(np.int64) >= percent * union) & (labels[left][:, None] != labels[right][None]))
-            x, y = left[x], right[y]
+            found = []
+            for r in range(0, len(left), 256):
+                own, n = left[r : r + 256], shared[r : r + 256].astype(np.int64)
+                union = size[own][:, None] + size[right][None] - n
+                i_, j_ = np.nonzero((100 * n >= percent * union) & (labels[own][:, None] != labels[right][None]))
+                found.append((own[i_], right[j_]))
+            x, y = (np.concatenate(f) for f in zip(*found, strict=True))
             names, own = np.unique(labels, return_inverse=True)
             code = np.minimum(own[x], own[y]) * len(names) + np.maximum(own[x], own[y])
             _, first = np.unique(code, return_index=True)
