@@ -257,13 +257,23 @@ def strip_entity_evidence(entities: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def resolve_mentions(mentions: DataFrame, persons: DataFrame, entities: DataFrame) -> DataFrame:
-    """``mentions(mention_id, name, type)``: exactly one person of that exact name, else exactly one entity (of the type, if given)."""
+    """``mentions(mention_id, name, type)``: exactly one person of that exact name, else exactly one entity (of the type, if given).
+
+    Those who share a name are reduced to the smallest and largest id before
+    they meet the mentions: there is exactly one where both are the same.
+    """
+
+    def ends(low: str, high: str, *more: Column) -> list[Column]:
+        return [F.min(low).alias("low"), F.max(high).alias("high"), *more]
+
     wanted = mentions.withColumn("norm", normalize_name(F.col("name")))
-    people = persons.where("merged_into_id is null").select(normalize_name(F.col("display_name")).alias("norm"), F.col("canonical_id").alias("person_id"))
-    person = wanted.join(people, "norm").groupBy("mention_id").agg(F.countDistinct("person_id").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").drop("n")
-    things = entities.select(normalize_name(F.col("name")).alias("norm"), "entity_id", "entity_type")
-    entity = wanted.join(things, "norm").where("type is null or type = entity_type").groupBy("mention_id")
-    entity = entity.agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"), F.min("entity_type").alias("entity_type")).where("n = 1").drop("n")
+    people = persons.where("merged_into_id is null").groupBy(normalize_name(F.col("display_name")).alias("norm")).agg(*ends("canonical_id", "canonical_id"))
+    person = wanted.join(people, "norm").groupBy("mention_id").agg(*ends("low", "high")).where("low = high").select("mention_id", F.col("low").alias("person_id"))
+    typed = entities.groupBy(normalize_name(F.col("name")).alias("norm"), F.col("entity_type").alias("of_type")).agg(*ends("entity_id", "entity_id", F.min("entity_type").alias("entity_type")))
+    any_type = typed.groupBy("norm", F.lit(None).cast("string").alias("of_type")).agg(*ends("low", "high", F.min("entity_type").alias("entity_type")))
+    things = typed.where("of_type is not null").unionByName(any_type).withColumnRenamed("norm", "of_norm")
+    entity = wanted.join(things, (F.col("norm") == F.col("of_norm")) & F.col("type").eqNullSafe(F.col("of_type"))).groupBy("mention_id")
+    entity = entity.agg(*ends("low", "high", F.min("entity_type").alias("entity_type"))).where("low = high").select("mention_id", F.col("low").alias("entity_id"), "entity_type")
     out = mentions.join(person, "mention_id", "left").join(entity, "mention_id", "left")
     kind = F.when(F.col("person_id").isNotNull(), "person").otherwise(F.col("entity_type"))
     return out.select("mention_id", kind.alias("subject_type"), F.coalesce("person_id", "entity_id").alias("subject_id"))
