@@ -1,6 +1,8 @@
-"""What plans pass on: joins whose output must not grow with the square of a group."""
+"""What plans pass on: joins and generators whose output must not grow with the square of a group."""
 
-from factlake.operators import ledger
+from pyspark.sql import functions as F
+
+from factlake.operators import intervals, ledger, reads
 from factlake.plans import feed, registry
 from factlake.plans.views import Tables
 
@@ -8,7 +10,7 @@ registry.load()
 
 
 def most_joined(df):
-    """Rows of ``df``, and those of the join that gives the most."""
+    """Rows of ``df``, and those of the join or generator that gives the most."""
     rows = df.collect()
     todo, most = [df._jdf.queryExecution().executedPlan()], 0
     while todo:
@@ -19,7 +21,7 @@ def most_joined(df):
         elif name.endswith("QueryStageExec"):
             todo.append(plan.plan())
         else:
-            if "Join" in name:
+            if "Join" in name or name == "GenerateExec":
                 most = max(most, plan.metrics().apply("numOutputRows").value())
             todo += [plan.children().apply(k) for k in range(plan.children().size())]
     return rows, most
@@ -49,3 +51,16 @@ def test_searches_are_cut_at_blanks(spark, tmp_path):
     for name in ("c11_match_terms", "h2_keyword_candidates"):
         got = sorted((r["query_id"], r["doc_id"]) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == [("q1", "src1:1"), ("q1", "src4:4"), ("q2", "src5:5"), ("q2", "src7:7")], name
+
+
+def test_points_of_many_subjects(spark, monkeypatch):
+    """A node is dealt over tasks by what a subject has in it, so points aren't copied for the windows of others."""
+    at = F.lit("2000-01-01").cast("timestamp_ntz")
+    none = F.lit(None).cast("timestamp_ntz")
+    n = spark.range(2000)
+    facts = n.select("id", F.concat(F.lit("s"), F.col("id") % 200).alias("subject_id"), at.alias("valid_from"), none.alias("valid_to"), F.lit("day").alias("time_grain"), at.alias("recorded_at"), none.alias("invalidated_at"), F.lit("active").alias("status"))
+    points = n.select(F.col("id").alias("point_id"), F.concat(F.lit("s"), F.col("id") % 200).alias("subject_id"), at.alias("as_of"), none.alias("believed_as_of"), F.lit("day").alias("as_of_grain"))
+    monkeypatch.setattr(intervals, "ROWS", 20)
+    rows, most = most_joined(reads.at_points(facts, points, at, ["subject_id"]).select("id", "point_id"))
+    # Each of 2000 points with the 10 facts of its subject; a point is in 18 nodes.
+    assert len(rows) == len(set(rows)) == 20_000 and most <= 40_000
