@@ -1,8 +1,10 @@
 """What plans pass on: joins and generators whose output must not grow with the square of a group."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from factlake.operators import intervals, ledger, reads
+from factlake.operators import intervals, ledger, reads, search
+from factlake.operators.term_index import TermIndex
 from factlake.plans import feed, registry
 from factlake.plans.views import Tables
 
@@ -64,3 +66,32 @@ def test_points_of_many_subjects(spark, monkeypatch):
     rows, most = most_joined(reads.at_points(facts, points, at, ["subject_id"]).select("id", "point_id"))
     # Each of 2000 points with the 10 facts of its subject; a point is in 18 nodes.
     assert len(rows) == len(set(rows)) == 20_000 and most <= 40_000
+
+
+def test_alike_queries_are_searched_once(spark, monkeypatch):
+    rows = [("1", "v", "a", ["x"]), ("2", "v", "a", ["x"]), ("3", "w", "a", ["x"]), ("4", None, None, []), ("5", None, None, [])]
+    queries = spark.createDataFrame(rows, "query_id string, viewer_id string, text string, must array<string>")
+    asked, same = search.alike(queries, ["viewer_id", "text", "must"])
+    of = {r["query_id"]: (r["viewer_id"], r["text"], r["must"]) for r in asked.collect()}
+    assert len(of) == 3 and {r["query_id"]: of[r["like"]] for r in same.collect()} == {r[0]: r[1:] for r in rows}
+
+    class Stop(Exception):
+        pass
+
+    def top(index, queries, *rest):
+        raise Stop(queries.count())
+
+    monkeypatch.setattr(TermIndex, "top", top)
+    with pytest.raises(Stop) as told:
+        registry.QUERIES["h12_hybrid_search"](spark, "/root/testdata/sf0.01")
+    assert told.value.args[0] <= 9  # three texts of three viewers, however many vectors
+
+
+def test_only_terms_asked_for_are_counted(spark):
+    claims = spark.createDataFrame([("c1", "title", "urgent urgent"), ("c2", "title", "low")], "claim_id string, predicate string, object_text string")
+    rels = spark.createDataFrame([("r1", "title", "urgent", "x")], "relationship_id string, from_id string, relationship_type string, to_id string")
+    queries = spark.createDataFrame([("q", ["title", "urgent"], [], [])], "query_id string, must array<string>, any array<string>, no array<string>")
+    found = search.keyword_candidates(search.fact_terms(claims, rels), queries, "fact_id")
+    assert [(r["fact_id"], r["score"], r["rank"]) for r in found.collect()] == [("c1", 3.0, 1), ("r1", 2.0, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [fact_id#") < plan.index("Join LeftSemi")
