@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from factlake.functions.text import escape_like
 from factlake.operators.common import small
 
+#: Rows whose evidence a task gathers on average.
+TASK_ROWS = 200_000
+
 
 @dataclass
 class Visible:
@@ -78,6 +81,10 @@ def visible_evidence(rows: DataFrame, visible: Visible, key: str) -> DataFrame:
     public = cited.join(visible.public, "doc_id", "left_semi")
     private = cited.join(visible.private, ["viewer_id", "doc_id"], "left_semi")
     kept = public.select("viewer_id", key, "pos", "doc_id").unionByName(private.select("viewer_id", key, "pos", "doc_id"))
+    # Tasks grow in number, not in size: both sides are dealt alike, so neither the grouping nor the join shuffles again.
+    parts = -(-rows.count() // TASK_ROWS)
+    if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows, kept = (part.repartition(parts, "viewer_id", key) for part in (rows, kept))
     kept = kept.groupBy("viewer_id", key).agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))).alias("kept"))
     kept = kept.select("viewer_id", key, F.col("kept.doc_id").alias("visible_doc_ids"))
     out = rows.join(kept, ["viewer_id", key], "left")

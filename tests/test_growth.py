@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.operators import intervals, ledger, reads, search
+from factlake.operators import acl, intervals, ledger, reads, search
 from factlake.operators.term_index import TermIndex
 from factlake.plans import feed, registry
 from factlake.plans.views import Tables
@@ -95,3 +95,15 @@ def test_only_terms_asked_for_are_counted(spark):
     assert [(r["fact_id"], r["score"], r["rank"]) for r in found.collect()] == [("c1", 3.0, 1), ("r1", 2.0, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [fact_id#") < plan.index("Join LeftSemi")
+
+
+def test_evidence_is_dealt_over_more_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([("d1", True, []), ("d2", False, ["g"])], "doc_id string, org_visible boolean, allowed_principals array<string>").withColumn("deleted", F.lit(False))
+    viewers = spark.createDataFrame([("in", ["g"]), ("out", ["h"])], "viewer_id string, principals array<string>")
+    rows = spark.range(400).select("id", F.array(F.lit("d2"), F.lit("d1"), F.lit("d9")).alias("evidence_doc_ids")).crossJoin(viewers.select("viewer_id"))
+    few = acl.visible_evidence(rows, acl.visible_docs(docs, viewers), "id")
+    monkeypatch.setattr(acl, "TASK_ROWS", 20)
+    many = acl.visible_evidence(rows, acl.visible_docs(docs, viewers), "id")
+    got, want = ({(r["id"], r["viewer_id"], tuple(r["visible_doc_ids"])) for r in df.collect()} for df in (many, few))
+    assert got == want == {(i, v, e) for i in range(400) for v, e in (("in", ("d2", "d1")), ("out", ("d1",)))}
+    assert many.rdd.getNumPartitions() == 40
