@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.text import escape_like
-from factlake.operators.common import small
+from factlake.operators.common import SMALL, small
+from factlake.operators.store import save
 
 #: Rows whose evidence a task gathers on average.
 TASK_ROWS = 200_000
@@ -52,8 +53,34 @@ def all_visible(facts: DataFrame, visible: Visible, key: str) -> tuple[DataFrame
     return closed.where("closed = 0").select(key), own
 
 
+def _evidence() -> Column:
+    return F.sort_array(F.array_distinct("evidence_doc_ids"))
+
+
+def judged(facts: DataFrame, visible: Visible, ids: DataFrame | None = None) -> DataFrame:
+    """(_evidence, _viewer): the sets of documents that ``facts`` cite, and who (of ``ids``) sees each whole; viewer null: everyone.
+
+    Facts that cite the same documents are judged once, so rows that carry
+    their evidence meet as many sets as there are, and aren't grouped by fact.
+    """
+    sets = save(facts.select(_evidence().alias("evidence_doc_ids")).distinct().withColumn("_set", F.monotonically_increasing_id()))
+    everyone, own = all_visible(sets, visible, "_set")
+    own = own if ids is None else own.join(small(ids), "viewer_id", "left_semi")
+    seen = own.withColumnRenamed("viewer_id", "_viewer").unionByName(everyone.withColumn("_viewer", F.lit(None).cast("string")))
+    return small(save(sets.join(seen, "_set").select(F.col("evidence_doc_ids").alias("_evidence"), "_viewer")))
+
+
+def _carried(rows: DataFrame | None, facts: DataFrame) -> bool:
+    """Whether ``rows`` aren't the facts themselves, and carry the evidence of theirs."""
+    return rows is not None and rows is not facts and "evidence_doc_ids" in rows.columns
+
+
 def seen_by(rows: DataFrame, facts: DataFrame, visible: Visible, key: str) -> DataFrame:
-    """The rows (with viewer_id and key) whose fact their viewer sees whole."""
+    """The rows (with viewer_id and key) whose fact their viewer sees whole; rows that carry evidence_doc_ids are judged by these."""
+    if _carried(rows, facts):
+        rows = rows.withColumn("_own", _evidence())
+        fits = (F.col("_own") == F.col("_evidence")) & (F.col("_viewer").isNull() | (F.col("_viewer") == F.col("viewer_id")))
+        return rows.join(judged(facts, visible), fits, "left_semi").drop("_own")
     everyone, own = all_visible(facts, visible, key)
     own = own.unionByName(everyone.withColumn("viewer_id", F.lit(None).cast("string")))
     # A fact is in one part only, so no row doubles.
@@ -65,11 +92,20 @@ def for_viewers(facts: DataFrame, visible: Visible, key: str, viewers: DataFrame
     """``rows`` (or the facts themselves), once for each viewer who sees the fact's evidence whole.
 
     Access comes first: what everyone sees is paired with the viewers, what is
-    private only with its own.
+    private only with its own. ``rows`` that carry evidence_doc_ids are judged
+    by these, and read once where the viewers are few.
     """
+    ids = viewers.select("viewer_id").distinct()
+    if _carried(rows, facts):
+        met = rows.withColumn("_evidence", _evidence()).join(judged(facts, visible, ids), "_evidence").drop("_evidence")
+        if ids.limit(SMALL + 1).count() <= SMALL:
+            every = F.broadcast(ids.agg(F.collect_list("viewer_id").alias("_every")))
+            who = F.when(F.col("_viewer").isNull(), F.col("_every")).otherwise(F.array("_viewer"))
+            return met.join(every, how="cross").select(*rows.columns, F.explode(who).alias("viewer_id"))
+        public = met.where("_viewer is null").drop("_viewer").join(ids, how="cross")
+        return public.unionByName(met.where("_viewer is not null").withColumnRenamed("_viewer", "viewer_id").select(public.columns))
     rows = facts if rows is None else rows
     everyone, own = all_visible(facts, visible, key)
-    ids = viewers.select("viewer_id").distinct()
     public = rows.join(everyone, key, "left_semi").join(small(ids), how="cross")
     private = rows.join(own.join(small(ids), "viewer_id", "left_semi"), key)
     return public.unionByName(private.select(public.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.ranking import FACT_HALF_LIFE, fact_freshness
-from factlake.functions.temporal import believed_as_of, read_statuses, resolve_point, valid_as_of
+from factlake.functions.temporal import believed_as_of, expand_valid_from, query_bucket, read_statuses, resolve_point
 from factlake.functions.text import normalize_name
 from factlake.operators.acl import Visible, for_viewers
 from factlake.operators.common import first_rows, holding, small
@@ -23,6 +23,28 @@ def resolved_points(points: DataFrame, now: Column) -> DataFrame:
 
 #: Points up to which each fact is compared with all of them.
 FEW_POINTS = 256
+#: Columns of ``with_first`` and ``with_bounds``.
+BOUNDS = ["_first", "_start", "_end"]
+
+
+def with_first(facts: DataFrame) -> DataFrame:
+    """With the start of each fact's window, worked out once a fact, so that a pair with a point costs comparisons only."""
+    return facts.withColumn("_first", expand_valid_from(F.col("valid_from"), F.col("time_grain")))
+
+
+def with_bounds(at: DataFrame, name: str = "") -> DataFrame:
+    """With the bounds of each point's bucket, worked out once a point."""
+    start, end = query_bucket(F.col(f"{name}instant"), F.col(f"{name}grain"))
+    return at.withColumns({"_start": start, "_end": end})
+
+
+def holds_at(name: str = "") -> Column:
+    """Whether a fact ``with_first`` is readable, believed and valid at a point ``with_bounds``; as ``valid_as_of``."""
+    first, start, valid_to, instant = F.col("_first"), F.col("_start"), F.col("valid_to"), F.col(f"{name}instant")
+    meets = (first.isNull() | (first < F.col("_end"))) & (valid_to.isNull() | (valid_to > start))
+    holds = (first.isNull() | (first <= instant)) & (valid_to.isNull() | (valid_to > instant))
+    valid = F.when(start.isNotNull(), meets).otherwise(holds)
+    return F.array_contains(f"{name}statuses", F.col("status")) & believed_as_of(F.col("recorded_at"), F.col("invalidated_at"), F.col(f"{name}belief")) & valid
 
 
 def at_points(facts: DataFrame, points: DataFrame, now: Column, by: list[str] | None = None) -> DataFrame:
@@ -35,16 +57,12 @@ def at_points(facts: DataFrame, points: DataFrame, now: Column, by: list[str] |
     at = at.select(*[c for c in at.columns if c.startswith("at_") or c in by or c not in facts.columns])
     if points.limit(FEW_POINTS + 1).count() > FEW_POINTS:
         return join_points(facts, at, by).drop("at_statuses", "as_of", "believed_as_of", "as_of_grain")
+    facts = with_first(facts)
     same = F.lit(True)
     for c in by:
         same = same & (facts[c] == F.col(f"_{c}"))
-    return facts.join(
-        F.broadcast(at.withColumnsRenamed({c: f"_{c}" for c in by})),
-        F.array_contains("at_statuses", F.col("status"))
-        & valid_as_of(F.col("valid_from"), F.col("valid_to"), F.col("time_grain"), F.col("at_instant"), F.col("at_grain"))
-        & believed_as_of(F.col("recorded_at"), F.col("invalidated_at"), F.col("at_belief"))
-        & same,
-    ).drop("at_statuses", "as_of", "believed_as_of", "as_of_grain", *[f"_{c}" for c in by])
+    met = facts.join(F.broadcast(with_bounds(at, "at_").withColumnsRenamed({c: f"_{c}" for c in by})), same & holds_at("at_"))
+    return met.drop("at_statuses", "as_of", "believed_as_of", "as_of_grain", *BOUNDS, *[f"_{c}" for c in by])
 
 
 def claims_for_viewers(claims: DataFrame, subjects: DataFrame | None, viewers: DataFrame, visible: Visible, points: DataFrame, now: Column) -> DataFrame:
@@ -95,7 +113,8 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: list[str], exclusive: D
     """Unchanged, added and removed claims; one removed and one added value of an exclusive predicate pair up as changed."""
     fields = [*keys, "claim_id", "predicate", "object_text"]
     both = old.select(*fields, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select(*fields, F.lit(0).alias("o"), F.lit(1).alias("n")))
-    kinds = both.groupBy(*fields).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    # Saved, since each kind of row below reads it again.
+    kinds = save(both.groupBy(*fields).agg(F.max("o").alias("o"), F.max("n").alias("n")))
     kind = F.when(F.col("o") + F.col("n") == 2, "unchanged").when(F.col("n") == 1, "added").otherwise("removed")
     rows = kinds.select(*fields, kind.alias("kind")).join(small(exclusive.select("predicate", F.lit(True).alias("exclusive"))), "predicate", "left")
     place = F.row_number().over(Window.partitionBy(*keys, "predicate", "kind").orderBy("claim_id"))

@@ -107,3 +107,24 @@ def test_evidence_is_dealt_over_more_tasks(spark, monkeypatch):
     got, want = ({(r["id"], r["viewer_id"], tuple(r["visible_doc_ids"])) for r in df.collect()} for df in (many, few))
     assert got == want == {(i, v, e) for i in range(400) for v, e in (("in", ("d2", "d1")), ("out", ("d1",)))}
     assert many.rdd.getNumPartitions() == 40
+
+
+def test_facts_of_the_same_evidence_are_judged_once(spark):
+    """Rows that carry their evidence are read once and not grouped by fact; points cost them comparisons only."""
+    at = F.lit("2000-01-01").cast("timestamp_ntz")
+    none = F.lit(None).cast("timestamp_ntz")
+    docs = spark.createDataFrame([("d1", True, []), ("d2", False, ["g"]), ("d2", False, ["g"])], "doc_id string, org_visible boolean, allowed_principals array<string>").withColumn("deleted", F.lit(False))
+    viewers = spark.createDataFrame([("in", ["g"]), ("out", ["h"])], "viewer_id string, principals array<string>")
+    cited = F.element_at(F.expr("array(array('d1'), array('d2', 'd1', 'd2'), array('d1', 'd9'), array(), cast(null as array<string>), array('d2', null))"), (F.col("id") % 6 + 1).cast("int"))
+    facts = spark.range(600).select("id", cited.alias("evidence_doc_ids"), at.alias("valid_from"), none.alias("valid_to"), F.lit("day").alias("time_grain"), at.alias("recorded_at"), none.alias("invalidated_at"), F.lit("active").alias("status"))
+    visible = acl.visible_docs(docs, viewers)
+    points = spark.createDataFrame([("now", None, None, None)], "point_id string, as_of timestamp_ntz, believed_as_of timestamp_ntz, as_of_grain string")
+    found = acl.for_viewers(facts, visible, "id", viewers, reads.at_points(facts, points, at))
+    want = {(i, v) for i in range(600) for v in ("in", "out") if i % 6 == 0 or (i % 6 == 1 and v == "in")}
+    assert sorted((r["id"], r["viewer_id"]) for r in found.collect()) == sorted(want)
+    pairs = facts.join(viewers.select("viewer_id"), how="cross")
+    assert sorted((r["id"], r["viewer_id"]) for r in acl.seen_by(pairs, facts, visible, "id").collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 600") == 1 and "Aggregate [id#" not in plan
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("date_trunc" in line for line in joins)
