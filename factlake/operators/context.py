@@ -157,7 +157,7 @@ def paths(plans: DataFrame, sources: Sources, now: Column, limits: Limits) -> Da
     if limits.types:
         rels = rels.where(F.col("relationship_type").isin(*limits.types))
     rels = rels.withColumns({"a": F.concat_ws(":", "from_type", "from_id"), "c": F.concat_ws(":", "to_type", "to_id")})
-    rels = rels.select("relationship_id", "a", "c", "status", "valid_from", "valid_to", "time_grain", "recorded_at", "invalidated_at")
+    rels = rels.select("relationship_id", "a", "c", "evidence_doc_ids", "status", "valid_from", "valid_to", "time_grain", "recorded_at", "invalidated_at")
     at = resolved_points(plans.select("request_id", "viewer_id", "subjects", *POINT), now)
     holds = F.array_contains("statuses", F.col("status")) & valid_as_of(F.col("valid_from"), F.col("valid_to"), F.col("time_grain"), F.col("instant"), F.col("grain")) & believed_as_of(F.col("recorded_at"), F.col("invalidated_at"), F.col("belief"))
     own = ["request_id", "viewer_id", "start", "instant", "grain", "belief", "statuses"]
@@ -269,8 +269,9 @@ def retrieve_context(requests: DataFrame, sources: Sources, now: Column, limits:
     every = items[0]
     for more in items[1:]:
         every = every.unionByName(more)
+    every = save(every)  # packed below, and summed up
     budgets = live.select("request_id", "mode", F.coalesce("budget", F.lit((1 << 62) - 1)).alias("budget"))
-    packed = pack_tokens(save(every), budgets)
+    packed = pack_tokens(every, budgets)
     channels = packed.groupBy("request_id", "channel").agg(F.array_sort(F.collect_list(F.struct("position", "item_id"))).alias("items"))
     channels = channels.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", F.col("items.item_id").alias("ids"))))).alias("channels"))
     totals = every.groupBy("request_id").agg(F.sum("cost").alias("total")).join(budgets, "request_id").select("request_id", (F.col("total") > F.col("budget")).alias("trimmed"))
@@ -278,4 +279,6 @@ def retrieve_context(requests: DataFrame, sources: Sources, now: Column, limits:
     more = walks.groupBy("request_id").agg(F.max("truncated").alias("paths_cut"), F.max("capped").alias("capped"))
     out = plans.drop("embedding", "budget").join(channels, "request_id", "left").join(totals, "request_id", "left").join(cut, "request_id", "left").join(more, "request_id", "left")
     no = F.lit(False)
-    return out.select(*plans.drop("embedding", "budget").columns, "channels", F.coalesce("trimmed", no).alias("trimmed"), (F.coalesce("facts_cut", no) | F.coalesce("paths_cut", no)).alias("truncated"), F.coalesce("capped", no).alias("capped"))
+    # A request whose budget nothing fits has no items, but channels.
+    channels = F.when(F.col("status") == "ok", F.coalesce("channels", F.create_map().cast("map<string,array<string>>")))
+    return out.select(*plans.drop("embedding", "budget").columns, channels.alias("channels"), F.coalesce("trimmed", no).alias("trimmed"), (F.coalesce("facts_cut", no) | F.coalesce("paths_cut", no)).alias("truncated"), F.coalesce("capped", no).alias("capped"))

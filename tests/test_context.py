@@ -132,3 +132,12 @@ def test_capped_and_empty(spark, world):
     public = Visible(sources.documents.select("doc_id"), sources.visible.private.limit(0))
     for depth, limit, capped in ((2, 201, True), (2, 200, False)):
         assert {r["capped"] for r in reads.walk_paths(rels, start, viewers, public, points, F.lit(NOW).cast(T), depth, limit).collect()} == {capped}
+
+
+def test_answers_are_gathered_from_stored_items(spark, world):
+    """What a request gets is worked out once: the answer reads stored items, and no claim again."""
+    sources, _ = world
+    rows = [(k, *v[:5]) for k, v in REQUESTS.items() if k in ("diff", "tight")]
+    requests = spark.createDataFrame(rows, "request_id string, viewer_id string, mode string, query string, subjects array<struct<type:string,id:string>>, about string")
+    out = context.retrieve_context(requests, sources, F.lit(NOW).cast(T), context.Limits(5, 4, 2, 6))
+    assert "object_text" not in out._jdf.queryExecution().optimizedPlan().toString()
