@@ -98,3 +98,41 @@ def test_repeated_rows_share_what_the_mix_takes(spark):
     times, given = Counter(r[4] for r in got if r[0] == 7 and r[3] == "a"), Counter(k % 90 for k in range(200))
     least = want[7, "a"] // 200
     assert all(least * given[k] <= times[k] <= (least + 1) * given[k] for k in given)
+
+
+def test_texts_that_stay_as_they_are_are_not_shuffled(spark):
+    """Only the texts of copies, near copies and rows that the mix takes otherwise than once are sent."""
+    rng = random.Random(8)
+    rows = [(k, speak(rng, "en", 60), "en", "ab"[k % 2], k) for k in range(200)]
+    rows += [(300, rows[3][1] + " ", "en", "a", 1), (301, rows[4][1] + " more", "en", "a", 1)]
+    docs = save(spark.createDataFrame(rows, COLUMNS))
+
+    def sent(df):
+        """Rows that exchanges with whole texts wrote."""
+        todo, n = [df._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            plan = todo.pop()
+            name = plan.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                todo.append(plan.executedPlan())
+            elif name.endswith("QueryStageExec"):
+                todo.append(plan.plan())
+            else:
+                if name == "ShuffleExchangeExec" and "text#" in plan.output().toString():
+                    n += plan.metrics().apply("shuffleRecordsWritten").value()
+                todo += [plan.children().apply(k) for k in range(plan.children().size())]
+        return n
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, most, gone in (("exact_dedup", 8, 1), ("near_dedup", 4, 2)):
+            out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+            assert len(out.collect()) == len(rows) - gone and sent(out) <= most, name
+        copies = Counter()
+        for r in mix_sources(docs).collect():
+            copies[r["copies"]] += 1
+        out = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "")
+        assert len(out.collect()) == sum(k * n for k, n in copies.items())
+        assert copies[1] > 20 and sent(out) <= sum(n for k, n in copies.items() if k > 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
