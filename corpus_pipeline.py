@@ -10,7 +10,7 @@ from factlake.llm.exact_dedup import exact_dedup, normalised
 from factlake.llm.language_id import judge, learn_outside
 from factlake.llm.mixing import mix_sources
 from factlake.llm.near_dedup import near_dedup
-from factlake.llm.storage import bit_filter, join_dealt, maybe_in, read_table, save
+from factlake.llm.storage import bit_filter, join_dealt, maybe_in, read_table, save, short_batches
 
 #: A text whose best dictionary saves less than this share over the second is rejected.
 LEAST_MARGIN = 0.002
@@ -26,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other. An empty table stays empty; other columns come through unchanged. A
     very long text is compressed in pieces within one task.
     """
+    short_batches(spark)
     name = "_" + "_".join(docs.columns)  # no other column has it
     judged = judge(docs, learn_outside(docs), LEAST_MARGIN, name)
     return judged.where(~F.col(name)["rejected"]).select(docs.columns)
@@ -60,6 +61,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table stays empty; other columns come through unchanged. A very long text
     is hashed in segments.
     """
+    short_batches(spark)
     dropped = save(near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     hashes = save(bit_filter(dropped, "_hash", BITS))
     own = docs.withColumn("_own", F.xxhash64("text"))
@@ -77,6 +79,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other, or once more. An empty table stays empty; other columns come
     through unchanged. A very long text is counted in segments.
     """
+    short_batches(spark)
     key = F.xxhash64("doc_id", "source", "_own", F.col("doc_id").isNull(), F.col("source").isNull()).alias("_key")
     taken = mix_sources(docs).withColumn("_own", F.col("text_hash")).select(key, "copies")
     taken = save(taken.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies")))
@@ -109,6 +112,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are; an empty table gives an empty result; other columns are ignored. A
     text is held whole by one task.
     """
+    short_batches(spark)
     coded = encode_documents(docs)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -20,7 +20,7 @@ from factlake.llm.storage import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Characters of a text whose pieces are listed at once.
 LONG = 1 << 20
 

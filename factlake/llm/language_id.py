@@ -58,7 +58,7 @@ def learn(labelled: DataFrame) -> list[list[tuple[str, bytes]]]:
     return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker that is used again lets go of the models of the table before
 def _compressors(model: tuple[tuple[str, bytes], ...]) -> list:
     import zstandard
 

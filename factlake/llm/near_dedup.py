@@ -31,6 +31,8 @@ SIGNATURE, BAND, BATCH = 100, 4, 20
 FEW, BLOCK, ROWS = 32, 1 << 18, 2000
 #: Shingles that a block's matrices have as columns at a time.
 COLUMNS = 1024
+#: Bits of the filter of keys that several classes have.
+KEY_BITS = 1 << 25
 #: Chance at which a pair at the threshold may be ruled out by its posterior.
 MISS = 1e-7
 _rng = np.random.default_rng(7)
@@ -222,6 +224,16 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys(id, size, key)`` whose key several rows have, and a few others.
+
+    Most keys are of one class only. They are counted once and told by a filter,
+    so that rows of the others are never sorted nor shuffled.
+    """
+    again = save(bit_filter(keys.groupBy("key").count().where("count > 1"), "key", KEY_BITS))
+    return save(maybe_in(keys, "key", again, KEY_BITS))
+
+
 def _links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links: of all classes of small buckets, and of the pivot with the others in larger ones."""
     few = members.where(f"n <= {FEW}").select("key", "id", "size")
@@ -291,7 +303,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     reps = linkable.groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), one)
     reps = save(reps.select(F.monotonically_increasing_id().alias("id"), "set_id", "first_doc", F.col("x.n_shingles").alias("size"), "x.signature", "x.keys"))
 
-    keys = save(reps.select("id", "size", F.explode("keys").alias("key")))
+    keys = shared_keys(save(reps.select("id", "size", F.explode("keys").alias("key"))))
     order = F.struct(F.xxhash64("id").alias("h"), "id", "size")
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("pivot")).where("n > 1")
     members = save(join_dealt(keys, buckets, "key"))

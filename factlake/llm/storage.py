@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BITS_PER_BUCKET = 32768
+#: Bytes of the rows that are sent to a Python worker at a time, where a stage asks for it.
+BATCH_BYTES = 4 << 20
 #: A key with more than 1 / HOT_SHARE of all rows, and more than HOT_ROWS, is dealt over SALTS tasks when it is joined.
 HOT_SHARE, HOT_ROWS, SALTS = 4096, 500, 256
 
@@ -52,6 +54,14 @@ def rename_files(spark: SparkSession, path: str, suffix: str, new: str) -> None:
         n += 1
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Have rows sent to Python workers in batches of BATCH_BYTES, not of 64 MB, from now on in this session.
+
+    A task holds several copies of a batch, in the JVM and in Python. No result depends on their size.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

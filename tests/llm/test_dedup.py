@@ -6,7 +6,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from factlake.llm.exact_dedup import exact_dedup
-from factlake.llm.near_dedup import least_matches, near_dedup
+from factlake.llm.near_dedup import least_matches, near_dedup, shared_keys
+from factlake.llm.storage import save
 from factlake.llm.suffix_dedup import remove_repeats
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -213,3 +214,9 @@ def test_empty_tables(docs, spark):
     assert exact_dedup(none).count() == 0
     assert near_dedup(none).count() == 0
     assert remove_repeats(none).count() == 0
+
+
+def test_keys_of_one_class_are_not_shuffled(spark):
+    keys = save(spark.range(4000).selectExpr("id", "id % 7 as size", "if(id < 40, id div 4, id) * 7919 as key"))
+    kept = {r.id for r in shared_keys(keys).collect()}
+    assert kept >= set(range(40)) and len(kept) < 60

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ import corpus_pipeline
 from factlake.llm.byte_bpe import VOCABULARY, read_ranks
 from factlake.llm.language_id import fold, learn, predict
 from factlake.llm.mixing import mix_sources
-from factlake.llm.storage import save
+from factlake.llm.storage import save, short_batches
 from tests.llm.test_dedup import expect_exact, expect_near
 from tests.llm.test_models import speak
 
@@ -136,3 +137,15 @@ def test_texts_that_stay_as_they_are_are_not_shuffled(spark):
         assert copies[1] > 20 and sent(out) <= sum(n for k, n in copies.items() if k > 1)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_reach_workers_in_short_batches(spark):
+    docs = save(spark.range(3000).coalesce(1).select(F.repeat(F.lit("word "), 1600).alias("text")))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    default = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        short_batches(spark)
+        sizes = [r.n for r in sizes.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", default)
+    assert sum(sizes) > 24_000_000 and max(sizes) < 6_000_000
