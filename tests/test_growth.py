@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.operators import acl, intervals, ledger, reads, search
+from factlake.operators import acl, intervals, ledger, reads, search, store
 from factlake.operators.term_index import TermIndex
 from factlake.plans import feed, registry
 from factlake.plans.views import Tables
@@ -128,3 +128,15 @@ def test_facts_of_the_same_evidence_are_judged_once(spark):
     assert plan.count("Range (0, 600") == 1 and "Aggregate [id#" not in plan
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("date_trunc" in line for line in joins)
+
+
+def test_terms_of_facts_are_grouped_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "FACT_ROWS", 100)
+    claims = store.save(spark.range(1000).selectExpr("concat('c', id) as claim_id", "if(id % 2 = 0, 'title', 'team') as predicate", "if(id % 3 = 0, 'urgent title', 'low') as object_text"))
+    claims = claims.unionByName(spark.createDataFrame([("c2", "team", "urgent")], claims.schema))  # a fact in two rows
+    rels = spark.createDataFrame([], "relationship_id string, from_id string, relationship_type string, to_id string")
+    queries = spark.createDataFrame([("q", ["title", "urgent"], [], [])], "query_id string, must array<string>, any array<string>, no array<string>")
+    index = search.fact_terms(claims, rels)
+    assert index.rdd.getNumPartitions() == 11
+    found = search.match_terms(index, queries, "fact_id")
+    assert {(r.fact_id, r.score) for r in found.collect()} == {(f"c{k}", 3.0 if k % 2 == 0 else 2.0) for k in range(0, 1000, 3)} | {("c2", 2.0)}
