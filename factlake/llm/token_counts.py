@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm.byte_bpe import VOCABULARY, tokenizer
+from factlake.llm.byte_bpe import VOCABULARY, Memory, groups_of, tokenizer
 from factlake.llm.storage import read_table, text_or_empty
 
 #: Pre-tokens of a leaf when a tree is built.
 LEAF = 64
 #: Characters right of a pre-token that its end may depend on ("'re" looks two ahead, a blank run one).
 LOOK_AHEAD = 4
+#: Distinct pre-tokens whose counts a worker remembers; a count takes no memory beside the text of its pre-token.
+COUNTED = 400_000
 
 _counters: dict = {}
 
 
-class Counter:
+class Counter(Memory):
     """Tokens of single pre-tokens, remembered by the worker."""
 
     def __init__(self, data: bytes, pattern: str):
+        super().__init__(COUNTED)
         self.bpe = tokenizer(data, pattern)
         self.pattern = self.bpe.pattern
 
+    def fresh(self, pieces: list[str]) -> list[int]:
+        return [len(ids) // 4 for ids in self.bpe.fresh(pieces)]
+
     def count(self, pieces: list[str]) -> list[int]:
-        return [len(ids) // 4 for ids in self.bpe.encode_pieces(pieces)]
+        return self.remembered(pieces)
 
 
 class PretokenTree:
@@ -36,10 +45,10 @@ class PretokenTree:
     [characters, tokens, pre-tokens] of all leaves below it.
     """
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, pieces: list[str] | None = None):
         self.text, self.counter, self.encoded = text, counter, 0
-        pieces = counter.pattern.findall(text)
-        self._build([len(p) for p in pieces], counter.count(pieces))
+        pieces = counter.pattern.findall(text) if pieces is None else pieces
+        self._build(list(map(len, pieces)), counter.count(pieces))
 
     def _build(self, sizes: list[int], counts: list[int]) -> None:
         n = max(1, -(-len(sizes) // LEAF))
@@ -127,6 +136,16 @@ class PretokenTree:
             changed = {i // 2 for i in changed if i > 1}
 
 
+def trees(texts: list[str], counter: Counter) -> Iterator[PretokenTree]:
+    """The tree of each text; new pre-tokens of some texts are counted at once."""
+    for group in groups_of(texts):
+        listed = [counter.pattern.findall(text) for text in group]
+        if len(group) > 1:
+            counter.learn(list(chain.from_iterable(listed)))
+        for text, pieces in zip(group, listed, strict=True):
+            yield PretokenTree(text, counter, pieces)
+
+
 #: A mail address: tried at the start of a run only and never given back, so that a long run is read once.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+"
 EDIT = "array<struct<start:int,stop:int,replacement:string>>"
@@ -153,8 +172,8 @@ def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = p
         counter = _counters[shared.value]
         for batch in batches:
             rows = []
-            for text, edits in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tree = PretokenTree("" if text is None else text.decode("utf-8", "replace"), counter)
+            texts = ["" if text is None else text.decode("utf-8", "replace") for text in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            for tree, edits in zip(trees(texts, counter), batch.column(2).to_pylist(), strict=True):
                 before, pieces, done = tree.tokens, tree.nodes[1][2], 0
                 for e in edits or []:
                     if e is not None and e["start"] is not None and e["stop"] is not None:

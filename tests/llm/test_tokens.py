@@ -55,6 +55,33 @@ def test_pieces_that_hold_a_token_twice(data, library, monkeypatch):
     assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_pieces_go_through_the_library_together(data, library):
+    """Lines of one text: line feeds, odd bytes, repeats, short and long pieces keep their ids; small calls too."""
+    bpe, rng = ByteBpe(data, public_tokenizers.PATTERN), random.Random(5)
+    pieces = ["\n", "\r\n\n", " \n\n", "\x00", "Ċ", "ÿ\n", "", "é漢🙂", "a" * 65, "ab" * 3000, "".join(map(chr, range(33, 2500)))]
+    pieces += ["".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    rank = library._core_bpe.encode_single_piece
+    want = [rank(p.encode()) if p else [] for p in pieces]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in bpe.fresh(pieces)] == want
+    assert bpe.n_by_rank < len(pieces)
+    assert [np.frombuffer(bpe.fresh([p])[0], "<u4").tolist() for p in pieces] == want
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(90))) for _ in range(50)] + ["", "x" * 70]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in bpe.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_frequent_pieces_are_encoded_once(data):
+    counter = Counter(data, public_tokenizers.PATTERN)
+    counter.most, asked, encode = 100, [], counter.bpe.fresh
+    counter.bpe.fresh = lambda pieces: asked.extend(pieces) or encode(pieces)
+    try:
+        for k in range(400):
+            assert counter.count([" often", f" rare{k}"]) == [len(ids) // 4 for ids in encode([" often", f" rare{k}"])]
+            assert len(counter.known) + len(counter.old) <= 100
+    finally:
+        del counter.bpe.fresh
+    assert asked.count(" often") == 1 and len(asked) == 401
+
+
 def test_long_runs_take_linear_time(docs):
     rows = [(1, "a" * 600_000), (2, "x.%" * 200_000 + " me@here.org"), (3, "@" * 300_000)]
     got = {r["doc_id"]: r for r in count_edited(with_redactions(docs(rows))).collect()}
