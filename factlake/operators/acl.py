@@ -54,7 +54,8 @@ def all_visible(facts: DataFrame, visible: Visible, key: str) -> tuple[DataFrame
 
 
 def _evidence() -> Column:
-    return F.sort_array(F.array_distinct("evidence_doc_ids"))
+    """The set of documents; null counts as none, which no one sees, so that a join by it needs no look for nulls before."""
+    return F.coalesce(F.sort_array(F.array_distinct("evidence_doc_ids")), F.array().cast("array<string>"))
 
 
 def judged(facts: DataFrame, visible: Visible, ids: DataFrame | None = None) -> DataFrame:

@@ -140,3 +140,47 @@ def test_terms_of_facts_are_grouped_in_bounded_tasks(spark, monkeypatch):
     assert index.rdd.getNumPartitions() == 11
     found = search.match_terms(index, queries, "fact_id")
     assert {(r.fact_id, r.score) for r in found.collect()} == {(f"c{k}", 3.0 if k % 2 == 0 else 2.0) for k in range(0, 1000, 3)} | {("c2", 2.0)}
+
+
+def shuffled(df):
+    """Rows of ``df``, and how many its plan shuffles."""
+    rows = df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                n += plan.metrics().apply("shuffleRecordsWritten").value()
+            todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return rows, n
+
+
+def test_cards_of_persons_without_facts_are_not_shuffled(spark):
+    """Only persons that facts name meet the facts; the others' rows, points times viewers each, are made where they are."""
+    people = [("a", None), ("b", "a"), ("c", None), ("d", "gone")] + [(f"x{k}", None) for k in range(300)]
+    persons = spark.createDataFrame([(i, f"Name {i}", m) for i, m in people], "canonical_id string, display_name string, merged_into_id string")
+    stamps = [f"cast(null as timestamp_ntz) {c}" for c in ("valid_from", "valid_to", "invalidated_at")] + ["timestamp_ntz'2000-01-01' recorded_at", "'day' time_grain", "'active' status"]
+    said = [("c2", "a", ["d1"]), ("c1", "a", ["d1", "d1"]), ("c1", "a", ["d1"]), ("c3", "c", ["d2"]), ("c4", "nobody", ["d1"]), ("c5", "a", None), ("c6", "a", []), ("c7", None, ["d1"])]
+    claims = spark.createDataFrame(said, "claim_id string, subject_id string, evidence_doc_ids array<string>").selectExpr("*", "'p' predicate", "'v' object_text", *stamps)
+    tied = [("r1", "a", "c", "person", ["d1"]), ("r2", "c", "c", "person", ["d1"]), ("r3", "a", "c", "team", ["d2"]), ("r4", "d", "a", "person", ["d3"])]
+    rels = spark.createDataFrame(tied, "relationship_id string, from_id string, to_id string, to_type string, evidence_doc_ids array<string>").selectExpr("*", "'person' from_type", "'t' relationship_type", *stamps)
+    docs = spark.createDataFrame([("d1", True, [], False), ("d2", False, ["g"], False), ("d3", True, [], True)], "doc_id string, org_visible boolean, allowed_principals array<string>, deleted boolean")
+    viewers = spark.createDataFrame([("v1", ["g"]), ("v2", ["h"])], "viewer_id string, principals array<string>")
+    points = spark.createDataFrame([(f"p{k}", None, None, None) for k in range(3)], "point_id string, as_of timestamp_ntz, believed_as_of timestamp_ntz, as_of_grain string")
+    now = F.lit("2001-01-01").cast("timestamp_ntz")
+    subjects = persons.select(F.col("canonical_id").alias("subject_id")).unionByName(spark.createDataFrame([("a",), ("lost",)], "subject_id string"))
+    rows, n = shuffled(reads.subject_card(subjects, persons, claims, rels, viewers, acl.visible_docs(docs, viewers), points, now))
+    got = {}
+    for r in rows:
+        card = tuple(None if r[c] is None else [x[0] for x in r[c]] for c in ("claims", "edges"))
+        got.setdefault((r["subject_id"], r["root_id"], r["display_name"], r["viewer_id"]), []).append(card)
+    want = {("a", "v1"): (["c1", "c1", "c2"], ["r1", "r3"]), ("a", "v2"): (["c1", "c1", "c2"], ["r1"]), ("c", "v1"): (["c3"], ["r1", "r2"]), ("c", "v2"): (None, ["r1", "r2"])}
+    for (subject, root, name, viewer), cards in got.items():
+        assert name == f"Name {root}" and cards == [want.get((root, viewer), (None, None))] * (6 if subject == "a" else 3), subject
+    assert {k[:2] for k in got} == {("a", "a"), ("b", "a"), ("c", "c")} | {(f"x{k}", f"x{k}") for k in range(300)} and len(rows) == 2 * 3 * 304
+    assert n < len(rows)
