@@ -184,3 +184,18 @@ def test_cards_of_persons_without_facts_are_not_shuffled(spark):
         assert name == f"Name {root}" and cards == [want.get((root, viewer), (None, None))] * (6 if subject == "a" else 3), subject
     assert {k[:2] for k in got} == {("a", "a"), ("b", "a"), ("c", "c")} | {(f"x{k}", f"x{k}") for k in range(300)} and len(rows) == 2 * 3 * 304
     assert n < len(rows)
+
+
+def test_points_of_one_subject_are_not_copied_for_times(spark):
+    """Facts and points that are alike in a subject meet in blocks: what is shuffled grows with both, not with nodes of time or pairs."""
+    day = "timestamp_ntz'2000-01-01' + make_dt_interval(cast(id * 7 % 1500 as int))"
+    none = F.lit(None).cast("timestamp_ntz")
+    n = spark.range(1200)
+    facts = n.selectExpr("id", "concat('s', id % 3) subject_id", f"{day} valid_from", f"if(id % 2 = 0, {day} + interval 90 days, null) valid_to", "'month' time_grain", f"{day} recorded_at").withColumns({"invalidated_at": none, "status": F.lit("active"), "text": F.lit("t")})
+    points = n.selectExpr("id point_id", "concat('s', id % 4) subject_id", f"{day} + interval 11 days as_of", "if(id % 5 = 0, 'quarter', 'day') as_of_grain").withColumn("believed_as_of", none)
+    at = F.lit("2005-01-01").cast("timestamp_ntz")
+    few = {(r["id"], r["point_id"]) for k in range(0, 1200, 200) for r in reads.at_points(facts, points.where(f"point_id div 200 = {k // 200}"), at, ["subject_id"]).collect()}
+    found = reads.at_points(facts, points, at, ["subject_id"], ["id", "point_id"])
+    rows, sent = shuffled(found)
+    assert found.columns == ["id", "point_id"] and len(rows) == len(few) > 50_000 and {tuple(r) for r in rows} == few
+    assert sent <= 3 * 2400
