@@ -199,3 +199,20 @@ def test_points_of_one_subject_are_not_copied_for_times(spark):
     rows, sent = shuffled(found)
     assert found.columns == ["id", "point_id"] and len(rows) == len(few) > 50_000 and {tuple(r) for r in rows} == few
     assert sent <= 3 * 2400
+
+
+def test_the_driver_never_holds_all_channels_of_a_search(spark):
+    """Channels are stored one by one, and times are looked up for what was found; so the last plan joins a stored list with few tables."""
+    found = registry.QUERIES["h12_hybrid_search"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 40
+    assert 0 < found.count() == found.select("query_id", "item_id").distinct().count()
+
+
+def test_readers_of_facts(spark):
+    docs = spark.createDataFrame([("d1", True, [], False), ("d2", False, ["g"], False), ("d3", True, [], True)], "doc_id string, org_visible boolean, allowed_principals array<string>, deleted boolean")
+    viewers = spark.createDataFrame([("v1", ["g"]), ("v2", ["h"]), ("v3", ["g"])], "viewer_id string, principals array<string>")
+    said = [("a", ["d1"]), ("b", ["d2", "d1"]), ("c", ["d1", "d3"]), ("d", []), ("e", None), ("f", ["d1", "d1"])]
+    facts = spark.createDataFrame(said, "id string, evidence_doc_ids array<string>")
+    got = acl.with_readers(facts, acl.visible_docs(docs, viewers))
+    assert sorted((r["id"], r["viewer_id"] or "") for r in got.collect()) == [("a", ""), ("b", "v1"), ("b", "v3"), ("f", "")]
